@@ -22,18 +22,21 @@ def append_parquet(frame: DataFrame, path: str) -> None:
     frame.write.mode("append").parquet(path)
 
 
-def append_to_zones(frame: DataFrame, paths: Sequence[str]) -> None:
-    """Append the same rows to several datasets, computing them once.
+def append_to_zones(frame: DataFrame, paths: Sequence[str], keep: bool = False) -> None:
+    """Append the same rows to several datasets.
 
-    A plain scan is cheaper to repeat than to cache, so pass ``frame`` uncached
-    only when it carries work worth keeping; the storage level spills to disk.
+    A frame that is only a scan is cheaper to read again than to cache. Set
+    ``keep`` when it carries joins or aggregates worth computing once; the
+    storage level spills to disk.
     """
-    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    if keep:
+        frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         for path in paths:
-            append_parquet(kept, path)
+            append_parquet(frame, path)
     finally:
-        kept.unpersist()
+        if keep:
+            frame.unpersist()
 
 
 def overwrite_managed(frame: DataFrame, table: str, path: str | None = None) -> None:
