@@ -1 +1,342 @@
-QUERIES = {}
+"""Row changes, change events and change streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill import adapters
+from tidemill.adapters import ADDRESS, ADDRESS_KEY, CULTURE, CULTURE_KEY
+from tidemill.operators.changes import (
+    INSERT_CREATED,
+    INSERT_CREATED_OR_UPDATED,
+    latest_per_key,
+    merge_changes,
+)
+from tidemill.registry import sales
+from tidemill.registry.query import Query
+from tidemill.session import workspace
+from tidemill.sinks.streams import archive_bodies
+from tidemill.streaming.apply import Target, stream_into_many, stream_into_one, stream_per_table
+from tidemill.streaming.envelope import decode, row_image, typed_changes, with_event_time
+from tidemill.tables.snapshot import SnapshotTable
+
+NEW_YEAR = "timestamp '2024-01-01 00:00:00'"
+
+
+# -- row changes on a table -----------------------------------------------------------
+
+
+def _customer_addresses(spark: SparkSession, folder: str) -> SnapshotTable:
+    rows = adapters.sales_tables(spark, folder)["CustomerAddress"]
+    return SnapshotTable.create(rows, workspace(spark, "customer_address"), "CustomerId")
+
+
+def insert(spark: SparkSession, folder: str) -> DataFrame:
+    table = _customer_addresses(spark, folder)
+    new = adapters.table(spark, folder, "supplier").selectExpr(
+        "cast(s_suppkey as int) as CustomerId",
+        "s_nationkey as AddressId",
+        "'Warehouse' as AddressType",
+        f"{NEW_YEAR} as ModifiedDate",
+    )
+    table.insert(new)
+    table.insert_values(12345, 567, "Main Office", F.expr(NEW_YEAR))
+    return table.read()
+
+
+def update(spark: SparkSession, folder: str) -> DataFrame:
+    table = _customer_addresses(spark, folder)
+    table.update(F.col("AddressType") == "Shipping", {"AddressType": "Airport"})
+    return table.read()
+
+
+def delete(spark: SparkSession, folder: str) -> DataFrame:
+    table = _customer_addresses(spark, folder)
+    table.delete(F.col("AddressType") == "Main Office")
+    return table.read()
+
+
+def overwritten(spark: SparkSession, folder: str) -> DataFrame:
+    """A table replaced by its own filtered rows, read at the version before."""
+    table = _customer_addresses(spark, folder)
+    first = table.version().number
+    kept = table.read().where(F.col("AddressType").isNotNull())
+    SnapshotTable.create(kept, table.path, "CustomerId")
+    return table.read(first)
+
+
+# -- change events as a batch ---------------------------------------------------------
+
+
+def extract(spark: SparkSession, folder: str) -> DataFrame:
+    decoded = decode(adapters.bodies(spark, folder))
+    return decoded.select(
+        "sequence",
+        "op",
+        "schemaname",
+        "basetime",
+        F.col("before").isNotNull().alias("has_before"),
+        F.col("after").isNotNull().alias("has_after"),
+    )
+
+
+def image(spark: SparkSession, folder: str) -> DataFrame:
+    images = row_image(decode(adapters.bodies(spark, folder)))
+    key = F.coalesce(
+        F.get_json_object("data", f"$.{ADDRESS_KEY}"), F.get_json_object("data", f"$.{CULTURE_KEY}")
+    )
+    return images.select(
+        "sequence", "op", key.alias("row_key"), F.get_json_object("data", "$.ModifiedDate").alias("modified")
+    )
+
+
+def _images(spark: SparkSession, folder: str, one_table: bool = False) -> DataFrame:
+    return row_image(decode(adapters.bodies(spark, folder, one_table)))
+
+
+def _address_changes(spark: SparkSession, folder: str, one_table: bool = False) -> DataFrame:
+    schema = adapters.target_schemas(spark, folder)[ADDRESS]
+    return typed_changes(_images(spark, folder, one_table), schema, ADDRESS)
+
+
+def _culture_changes(spark: SparkSession, folder: str) -> DataFrame:
+    schema = adapters.target_schemas(spark, folder)[CULTURE]
+    return typed_changes(_images(spark, folder), schema, CULTURE)
+
+
+def typed(spark: SparkSession, folder: str) -> DataFrame:
+    schema = adapters.target_schemas(spark, folder)[ADDRESS]
+    return with_event_time(typed_changes(_images(spark, folder, one_table=True), schema))
+
+
+def latest(spark: SparkSession, folder: str) -> DataFrame:
+    return latest_per_key(_address_changes(spark, folder), ADDRESS_KEY)
+
+
+def latest_op_first(spark: SparkSession, folder: str) -> DataFrame:
+    changes = _culture_changes(spark, folder).drop("sequence")
+    return latest_per_key(changes, CULTURE_KEY, op_first=True)
+
+
+def merged(insert_ops: frozenset[str]):
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        changes = latest_per_key(_address_changes(spark, folder), ADDRESS_KEY)
+        return merge_changes(
+            adapters.address_target(spark, folder), changes, ADDRESS_KEY, insert_ops
+        )
+
+    return build
+
+
+def merged_table(spark: SparkSession, folder: str) -> DataFrame:
+    table = SnapshotTable.create(
+        adapters.address_target(spark, folder), workspace(spark, "address"), ADDRESS_KEY
+    )
+    table.merge(latest_per_key(_address_changes(spark, folder), ADDRESS_KEY), INSERT_CREATED)
+    return table.read()
+
+
+# -- change events as streams ---------------------------------------------------------
+
+
+def _targets(spark: SparkSession, folder: str, root: str) -> list[Target]:
+    targets = [
+        Target(ADDRESS, f"{root}/{ADDRESS}", ADDRESS_KEY),
+        Target(CULTURE, f"{root}/{CULTURE}", CULTURE_KEY),
+    ]
+    SnapshotTable.create(adapters.address_target(spark, folder), targets[0].path, ADDRESS_KEY)
+    SnapshotTable.create(adapters.culture_target(spark, folder), targets[1].path, CULTURE_KEY)
+    return targets
+
+
+def stream_one(spark: SparkSession, folder: str) -> DataFrame:
+    root = workspace(spark, "stream_one")
+    target = _targets(spark, folder, root)[0]
+    stream = adapters.body_stream(spark, folder, one_table=True)
+    stream_into_one(stream, target, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return SnapshotTable(spark, target.path).read()
+
+
+def _both(spark: SparkSession, targets: list[Target]) -> DataFrame:
+    addresses = SnapshotTable(spark, targets[0].path).read()
+    cultures = SnapshotTable(spark, targets[1].path).read()
+    return addresses.selectExpr(
+        f"'{ADDRESS}' as target", f"cast({ADDRESS_KEY} as string) as row_key",
+        "AddressLine1 as name", "ModifiedDate",
+    ).unionByName(
+        cultures.selectExpr(
+            f"'{CULTURE}' as target", f"{CULTURE_KEY} as row_key", "Name as name", "ModifiedDate"
+        )
+    )
+
+
+def stream_many(op_first: bool = False):
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        root = workspace(spark, "stream_many")
+        targets = _targets(spark, folder, root)
+        stream = adapters.body_stream(spark, folder)
+        stream_into_many(
+            stream, targets, f"{root}/checkpoint", op_first=op_first, available_now=True
+        ).awaitTermination()
+        return _both(spark, targets)
+
+    return build
+
+
+def streams_per_table(spark: SparkSession, folder: str) -> DataFrame:
+    root = workspace(spark, "streams_per_table")
+    targets = _targets(spark, folder, root)
+    queries = stream_per_table(
+        lambda: adapters.body_stream(spark, folder), targets, f"{root}/checkpoint", available_now=True
+    )
+    for query in queries:
+        query.awaitTermination()
+    return _both(spark, targets)
+
+
+def archive(spark: SparkSession, folder: str) -> DataFrame:
+    root = workspace(spark, "archive")
+    stream = adapters.body_stream(spark, folder)
+    archive_bodies(stream, f"{root}/bodies", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return decode(spark.read.parquet(f"{root}/bodies")).select("sequence", "op", "schemaname")
+
+
+# -- the same in SQL ------------------------------------------------------------------
+
+
+def _changes(one_table: bool = False) -> str:
+    is_address = "true" if one_table else "value >= 25"
+    return f"""
+changes AS (
+  SELECT event_id AS sequence,
+         CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' WHEN 'purchase' THEN 'r'
+              ELSE 'u' END AS op,
+         {is_address} AS is_address,
+         CASE WHEN {is_address} THEN 'Person.Address' ELSE 'Production.Culture' END AS schemaname,
+         CAST(epoch_us(ts) // 1000 AS DOUBLE) AS basetime,
+         user_id AS AddressID, event_type || ' ' || value AS AddressLine1, props->>'$.k' AS City,
+         'c' || (props->>'$.k') AS CultureId, event_type AS Name, ts AS ModifiedDate
+  FROM events),
+address_changes AS (
+  SELECT op, basetime, sequence, AddressID, AddressLine1, City, ModifiedDate
+  FROM changes WHERE is_address),
+culture_changes AS (
+  SELECT op, basetime, sequence, CultureId, Name, ModifiedDate FROM changes WHERE NOT is_address),
+latest_address AS (
+  SELECT * FROM address_changes
+  QUALIFY row_number() OVER (PARTITION BY AddressID ORDER BY basetime DESC, sequence DESC) = 1),
+latest_culture AS (
+  SELECT * FROM culture_changes
+  QUALIFY row_number() OVER (PARTITION BY CultureId ORDER BY basetime DESC, sequence DESC) = 1),
+op_first_address AS (
+  SELECT * EXCLUDE (sequence) FROM address_changes
+  QUALIFY row_number() OVER (PARTITION BY AddressID
+    ORDER BY op DESC, basetime DESC, AddressLine1 DESC, City DESC, ModifiedDate DESC) = 1),
+op_first_culture AS (
+  SELECT * EXCLUDE (sequence) FROM culture_changes
+  QUALIFY row_number() OVER (PARTITION BY CultureId
+    ORDER BY op DESC, basetime DESC, Name DESC, ModifiedDate DESC) = 1),
+address AS (
+  SELECT s_suppkey AS AddressID, s_name AS AddressLine1, CAST(s_nationkey AS VARCHAR) AS City,
+         TIMESTAMP '2023-12-31 00:00:00' AS ModifiedDate FROM supplier),
+culture AS (
+  SELECT 'c' || p_size AS CultureId, min(p_brand) AS Name,
+         TIMESTAMP '2023-12-31 00:00:00' AS ModifiedDate FROM part GROUP BY p_size)"""
+
+
+def _merged(target: str, changes: str, key: str, columns: tuple[str, ...], ops: frozenset[str]) -> str:
+    inserting = ", ".join(f"'{op}'" for op in sorted(ops))
+    shown = ", ".join(
+        f"CASE WHEN s.{key} IS NOT NULL THEN s.{c} ELSE t.{c} END AS {c}" for c in (key, *columns)
+    )
+    return f"""SELECT {shown} FROM {target} t FULL OUTER JOIN {changes} s ON t.{key} = s.{key}
+      WHERE (t.{key} IS NOT NULL AND coalesce(s.op, '') <> 'd')
+         OR (t.{key} IS NULL AND s.op IN ({inserting}))"""
+
+
+_ADDRESS_COLUMNS = ("AddressLine1", "City", "ModifiedDate")
+_CULTURE_COLUMNS = ("Name", "ModifiedDate")
+
+
+def _both_sql(addresses: str, cultures: str, ops: frozenset[str]) -> str:
+    return f"""WITH {_changes()}
+      SELECT 'Person.Address' AS target, CAST(AddressID AS VARCHAR) AS row_key,
+             AddressLine1 AS name, ModifiedDate
+      FROM ({_merged("address", addresses, "AddressID", _ADDRESS_COLUMNS, ops)})
+      UNION ALL
+      SELECT 'Production.Culture', CultureId, Name, ModifiedDate
+      FROM ({_merged("culture", cultures, "CultureId", _CULTURE_COLUMNS, ops)})"""
+
+
+def _address_sql(ops: frozenset[str], one_table: bool = False) -> str:
+    merge = _merged("address", "latest_address", "AddressID", _ADDRESS_COLUMNS, ops)
+    return f"WITH {_changes(one_table)} {merge}"
+
+
+QUERIES = {
+    "table_insert": Query(
+        insert,
+        f"""{sales.CUSTOMER_ADDRESS}
+        UNION ALL SELECT CAST(s_suppkey AS INTEGER), s_nationkey, 'Warehouse',
+                         TIMESTAMP '2024-01-01 00:00:00' FROM supplier
+        UNION ALL SELECT 12345, 567, 'Main Office', TIMESTAMP '2024-01-01 00:00:00'""",
+    ),
+    "table_update": Query(
+        update,
+        f"""SELECT CustomerId, AddressId,
+        CASE WHEN AddressType = 'Shipping' THEN 'Airport' ELSE AddressType END AS AddressType,
+        ModifiedDate FROM ({sales.CUSTOMER_ADDRESS})""",
+    ),
+    "table_delete": Query(
+        delete,
+        f"""SELECT * FROM ({sales.CUSTOMER_ADDRESS})
+        WHERE AddressType <> 'Main Office' OR AddressType IS NULL""",
+    ),
+    "table_versions": Query(overwritten, sales.CUSTOMER_ADDRESS),
+    "cdc_extract": Query(
+        extract,
+        f"""WITH {_changes()} SELECT sequence, op, schemaname, basetime,
+        op = 'd' AS has_before, op <> 'd' AS has_after FROM changes""",
+    ),
+    "cdc_row_image": Query(
+        image,
+        f"""WITH {_changes()} SELECT sequence, op,
+        CASE WHEN is_address THEN CAST(AddressID AS VARCHAR) ELSE CultureId END AS row_key,
+        strftime(ModifiedDate, '%Y-%m-%d %H:%M:%S.%f') AS modified FROM changes""",
+    ),
+    "cdc_typed": Query(
+        typed,
+        f"""WITH {_changes(one_table=True)}
+        SELECT *, ModifiedDate AS modified_date_timestamp FROM address_changes""",
+    ),
+    "cdc_demux_address": Query(
+        _address_changes, f"WITH {_changes()} SELECT * FROM address_changes"
+    ),
+    "cdc_demux_culture": Query(
+        _culture_changes, f"WITH {_changes()} SELECT * FROM culture_changes"
+    ),
+    "cdc_latest": Query(latest, f"WITH {_changes()} SELECT * FROM latest_address"),
+    "cdc_latest_op_first": Query(
+        latest_op_first, f"WITH {_changes()} SELECT * FROM op_first_culture"
+    ),
+    "merge_strict": Query(merged(INSERT_CREATED), _address_sql(INSERT_CREATED)),
+    "merge_upsert": Query(
+        merged(INSERT_CREATED_OR_UPDATED), _address_sql(INSERT_CREATED_OR_UPDATED)
+    ),
+    "merge_table": Query(merged_table, _address_sql(INSERT_CREATED)),
+    "cdc_stream_one": Query(stream_one, _address_sql(INSERT_CREATED, one_table=True)),
+    "cdc_stream_multi": Query(
+        stream_many(), _both_sql("latest_address", "latest_culture", INSERT_CREATED_OR_UPDATED)
+    ),
+    "cdc_stream_multi_op_first": Query(
+        stream_many(op_first=True),
+        _both_sql("op_first_address", "op_first_culture", INSERT_CREATED_OR_UPDATED),
+    ),
+    "cdc_stream_per_table": Query(
+        streams_per_table, _both_sql("latest_address", "latest_culture", INSERT_CREATED)
+    ),
+    "cdc_archive": Query(
+        archive, f"WITH {_changes()} SELECT sequence, op, schemaname FROM changes"
+    ),
+}

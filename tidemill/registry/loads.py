@@ -1 +1,219 @@
-QUERIES = {}
+"""Loads between zones: the tables are landed, loaded and read back."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemill import adapters
+from tidemill.config import LoadConfig
+from tidemill.plans import synth
+from tidemill.plans.loads import (
+    full_load,
+    incremental_load,
+    land_increment,
+    load_csv,
+    profile_tables,
+)
+from tidemill.registry import profiles, sales
+from tidemill.registry.query import Query, plain
+from tidemill.session import workspace
+from tidemill.sinks.files import overwrite_managed, overwrite_parquet
+from tidemill.sources.catalog import refresh
+from tidemill.sources.files import table_name_of
+from tidemill.tables.snapshot import SnapshotTable
+
+RUN_AT = datetime(2024, 1, 31, 12, 0, 0)
+
+
+def _config(root: str, *tables: str) -> LoadConfig:
+    return LoadConfig(
+        tables=tables,
+        source_dir=f"{root}/bronze",
+        file_based_dir=f"{root}/files",
+        sink_dir=f"{root}/silver",
+        fill_columns={t: sales.FILLED[t] for t in tables},
+        drop_columns={t: sales.DROPPED.get(t, ()) for t in tables},
+        fill_values=sales.FILLS,
+    )
+
+
+def loaded(table: str) -> Callable[[SparkSession, str], DataFrame]:
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        config = _config(workspace(spark, "full_load"), table)
+        overwrite_parquet(adapters.sales_tables(spark, folder)[table], f"{config.source_dir}/{table}")
+        return plain(full_load(spark, config)[table])
+
+    return build
+
+
+def loaded_and_edited(spark: SparkSession, folder: str) -> DataFrame:
+    table = "CustomerAddress"
+    root = workspace(spark, "full_load_edited")
+    config = _config(root, table)
+    overwrite_parquet(adapters.sales_tables(spark, folder)[table], f"{config.file_based_dir}/{table}")
+    stamp = F.expr("timestamp '2024-01-01 00:00:00'")
+
+    def edit(managed: SnapshotTable) -> None:
+        managed.insert_values(-12345, 567, "Main Office", stamp)
+        managed.update(F.col("CustomerId") == -12345, {"AddressType": "Airport"})
+        managed.delete(F.col("AddressType") == "Shipping")
+
+    silver = full_load(
+        spark, config, file_based=True, managed_dir=f"{root}/managed", edits={table: edit}
+    )
+    return silver[table]
+
+
+def incremented(spark: SparkSession, folder: str) -> DataFrame:
+    """Closed orders loaded first, the others as an increment."""
+    table = "CustomerAddress"
+    root = workspace(spark, "incremental_load")
+    config = _config(root, table)
+    rows = adapters.sales_tables(spark, folder)[table]
+    closed = F.coalesce(F.col("AddressType") == "Main Office", F.lit(False))
+    overwrite_parquet(rows.where(closed), f"{config.source_dir}/{table}")
+    overwrite_parquet(rows.where(~closed), f"{root}/incremental/{table}_part.parquet")
+    full_load(spark, config)
+    return incremental_load(spark, config, f"{root}/incremental")[table]
+
+
+def fanned_out(spark: SparkSession, folder: str) -> DataFrame:
+    table = "Product"
+    root = workspace(spark, "fan_out")
+    config = _config(root, table)
+    rows = adapters.sales_tables(spark, folder)[table]
+    overwrite_parquet(rows, f"{root}/incremental/{table}_part.parquet")
+    land_increment(spark, config, f"{root}/incremental", f"{root}/landing", f"{root}/bronze")
+    zones = [
+        spark.read.parquet(f"{root}/{zone}/{table}").withColumn("zone", F.lit(zone))
+        for zone in ("landing", "bronze")
+    ]
+    return zones[0].unionByName(zones[1])
+
+
+def _csv(spark: SparkSession, folder: str) -> tuple[str, str]:
+    root = workspace(spark, "csv")
+    rows = adapters.table(spark, folder, "customer")
+    rows.write.csv(f"{root}/customers.csv", header=False)
+    return root, f"customers_{root.rsplit('-', 1)[1]}"
+
+
+def csv_rows(spark: SparkSession, folder: str) -> DataFrame:
+    root, table = _csv(spark, folder)
+    load_csv(spark, root, "customers.csv", table, f"{root}/{table}")
+    return spark.table(table)
+
+
+def csv_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The audit of the second of two loads of one file."""
+    root, table = _csv(spark, folder)
+    load_csv(spark, root, "customers.csv", table, f"{root}/{table}")
+    audit = load_csv(spark, root, "customers.csv", table, f"{root}/{table}")
+    return spark.range(1).select(
+        F.lit(table_name_of("customers.csv")).alias("source"),
+        F.lit(audit.inserted).cast("bigint").alias("inserted"),
+        F.lit(audit.total).cast("bigint").alias("total"),
+    )
+
+
+def managed(spark: SparkSession, folder: str) -> DataFrame:
+    root = workspace(spark, "managed")
+    table = f"product_{root.rsplit('-', 1)[1]}"
+    overwrite_managed(adapters.sales_tables(spark, folder)["Product"], table, f"{root}/{table}")
+    refresh(spark, [table])
+    return spark.table(table)
+
+
+def profile_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The stored profile of a loaded table, read back from CSV."""
+    root = workspace(spark, "profile")
+    rows = adapters.sales_tables(spark, folder)["Product"]
+    path = profile_tables({"Product": rows}, root, RUN_AT)["Product"]
+    stored = spark.read.csv(path, header=True, inferSchema=False)
+    return stored.selectExpr(
+        "column_names",
+        "data_types",
+        *(
+            f"cast({c} as bigint) as {c}"
+            for c in ("num_rows", "num_null", "num_distinct", "most_freq_value_count")
+        ),
+        "most_freq_value",
+    )
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """Generated orders, landed as files and loaded from there."""
+    root = workspace(spark, "generated")
+    numbers = adapters.table(spark, folder, "orders").select("o_orderkey")
+    config = LoadConfig(
+        tables=["SalesOrderDetail"],
+        source_dir=f"{root}/bronze",
+        file_based_dir=f"{root}/files",
+        sink_dir=f"{root}/silver",
+    )
+    from_numbers = synth.generate_from(numbers, "SalesOrderDetail", 7)
+    overwrite_parquet(from_numbers, f"{config.file_based_dir}/SalesOrderDetail")
+    silver = full_load(spark, config, file_based=True)["SalesOrderDetail"]
+    return silver.agg(
+        F.count(F.lit(1)).alias("num_rows"),
+        F.min("SalesOrderID").alias("first_order"),
+        F.max("SalesOrderID").alias("last_order"),
+        F.count_if(
+            F.col("LineTotal") != F.expr("OrderQty * (UnitPrice - UnitPriceDiscount)")
+        ).alias("wrong_totals"),
+    )
+
+
+# -- the same in SQL ------------------------------------------------------------------
+
+_PROFILED = (
+    "column_names, data_types, num_rows, num_null, num_distinct, most_freq_value_count, most_freq_value"
+)
+
+QUERIES = {
+    "full_load_product": Query(
+        loaded("Product"),
+        f"""SELECT ProductId, Name, {sales.SIZE} AS Size, Color, ListPrice, Bulky
+        FROM ({sales.FILLED_PRODUCT})""",
+    ),
+    "full_load_address": Query(
+        loaded("Address"),
+        f"""SELECT AddressId, AddressLine1 AS AddressL1, AddressLine2 AS AddressL2, City
+        FROM ({sales.FILLED_ADDRESS})""",
+    ),
+    "full_load_salesorderdetail": Query(
+        loaded("SalesOrderDetail"), sales.FILLED_SALES_ORDER_DETAIL
+    ),
+    "full_load_edited": Query(
+        loaded_and_edited,
+        f"""SELECT * FROM ({sales.FILLED_CUSTOMER_ADDRESS}) WHERE AddressType <> 'Shipping'
+        UNION ALL SELECT -12345, 567, 'Airport', TIMESTAMP '2024-01-01 00:00:00'""",
+    ),
+    "incremental_load": Query(incremented, sales.FILLED_CUSTOMER_ADDRESS),
+    "parquet_fanout": Query(
+        fanned_out,
+        f"""SELECT * FROM ({sales.PRODUCT}), (VALUES ('landing'), ('bronze')) z(zone)""",
+    ),
+    "csv_to_table": Query(
+        csv_rows,
+        """SELECT CAST(c_custkey AS VARCHAR) AS _c0, c_name AS _c1, CAST(c_nationkey AS VARCHAR) AS _c2,
+        CAST(c_acctbal AS VARCHAR) AS _c3, c_mktsegment AS _c4 FROM customer""",
+    ),
+    "csv_audit": Query(
+        csv_audit,
+        "SELECT 'customers' AS source, count(*) AS inserted, 2 * count(*) AS total FROM customer",
+    ),
+    "managed_overwrite": Query(managed, sales.PRODUCT),
+    "profile_csv": Query(
+        profile_file, f"SELECT {_PROFILED} FROM ({profiles.QUERIES['profile_product'].sql})"
+    ),
+    "generate_and_load": Query(
+        landed,
+        """SELECT count(*) AS num_rows, min(o_orderkey) + 3000 AS first_order,
+        max(o_orderkey) + 3000 AS last_order, 0 AS wrong_totals FROM orders""",
+    ),
+}
