@@ -133,7 +133,9 @@ def merged_table(spark: SparkSession, folder: str) -> DataFrame:
     table = SnapshotTable.create(
         adapters.address_target(spark, folder), workspace(spark, "address"), ADDRESS_KEY
     )
-    table.merge(latest_per_key(_address_changes(spark, folder), ADDRESS_KEY), INSERT_CREATED)
+    changes = latest_per_key(_address_changes(spark, folder), ADDRESS_KEY).persist()
+    table.merge(changes, INSERT_CREATED)
+    changes.unpersist()
     return table.read()
 
 

@@ -4,38 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Collection, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-# The row images stay text here; their schema depends on the table named in the source.
-ENVELOPE = (
-    "before string, after string, op string, "
-    "source struct<schema: string, `table`: string, ts_ms: string>, _corrupt string"
-)
-
-
 def decode(bodies: DataFrame) -> DataFrame:
-    """Envelope fields of each ``Body``, parsed once.
+    """Envelope fields of each ``Body``.
 
     Gives ``before``, ``after``, ``op``, ``schemaname`` (``schema.table``) and
-    ``basetime`` (commit time as a double) next to the columns ``bodies`` brings. A
+    ``basetime`` (commit time as a double) next to the columns ``bodies`` brings. The
+    row images stay text; their schema depends on the table named in the source. A
     body that is not JSON gives NULL in all of them.
+
+    The text is parsed by generators, not by expressions: a filter on what they give
+    stays above them, where an expression would be copied into the filter and every
+    body parsed once more per mention.
     """
-    options = {"columnNameOfCorruptRecord": "_corrupt"}
-    parsed = bodies.withColumn("_e", F.from_json("Body", ENVELOPE, options))
-    sound = F.col("_e._corrupt").isNull()
-
-    def field(path: str) -> Column:
-        return F.when(sound, F.col(f"_e.{path}"))
-
-    return parsed.select(
-        *[F.col(c) for c in bodies.columns if c != "Body"],
-        field("before").alias("before"),
-        field("after").alias("after"),
-        field("op").alias("op"),
-        F.concat(field("source.schema"), F.lit("."), field("source.table")).alias("schemaname"),
-        field("source.ts_ms").try_cast("double").alias("basetime"),
+    carried = [c for c in bodies.columns if c != "Body"]
+    outer = bodies.select(
+        *carried,
+        F.json_tuple("Body", "before", "after", "op", "source").alias(
+            "before", "after", "op", "_source"
+        ),
+    )
+    inner = outer.select(
+        *carried,
+        "before",
+        "after",
+        "op",
+        F.json_tuple("_source", "schema", "table", "ts_ms").alias("_schema", "_table", "_ts_ms"),
+    )
+    return inner.select(
+        *carried,
+        "before",
+        "after",
+        "op",
+        F.concat("_schema", F.lit("."), "_table").alias("schemaname"),
+        F.col("_ts_ms").try_cast("double").alias("basetime"),
     )
 
 
@@ -73,12 +78,13 @@ def typed_changes(
     if table is not None:
         images = images.where(F.col("schemaname") == table)
     carried = [c for c in CARRIED if c in images.columns]
-    parsed = images.withColumn("_row", F.from_json("data", _parse_schema(schema, epoch_millis)))
+    row = F.from_json("data", _parse_schema(schema, epoch_millis))
+    parsed = images.select(*carried, F.inline(F.array(row)).alias(*[f"_{f.name}" for f in schema]))
     columns = [
         (
-            F.timestamp_millis(F.col(f"_row.`{f.name}`")).cast(f.dataType)
+            F.timestamp_millis(F.col(f"`_{f.name}`")).cast(f.dataType)
             if f.name in epoch_millis
-            else F.col(f"_row.`{f.name}`")
+            else F.col(f"`_{f.name}`")
         ).alias(f.name)
         for f in schema
     ]

@@ -170,12 +170,22 @@ class SnapshotTable:
             F.when(F.col(key).isNull(), rest).otherwise(F.xxhash64(F.col(key))), F.lit(buckets)
         ).cast("int")
 
-    def _write(self, frame: DataFrame, base: Version, write: str, spread: bool = True) -> None:
-        bucketed = frame.withColumn(BUCKET, self._bucket(frame, base.key, base.buckets))
-        if spread:
-            bucketed = spread_by(bucketed, [BUCKET])
+    def _write(
+        self, frame: DataFrame, base: Version, write: str, in_place: DataFrame | None = None
+    ) -> None:
+        """Write rows by bucket, in one job.
+
+        ``frame`` is brought together by bucket first. ``in_place`` rows come straight
+        from a few buckets each and are written by the task that read them.
+        """
+        bucketed = spread_by(self._with_bucket(frame, base), [BUCKET])
+        if in_place is not None:
+            bucketed = self._with_bucket(in_place, base).unionByName(bucketed)
         bucketed.write.mode("append").partitionBy(BUCKET).parquet(f"{self.path}/data/{write}")
 
+    def _with_bucket(self, frame: DataFrame, base: Version) -> DataFrame:
+        return frame.withColumn(BUCKET, self._bucket(frame, base.key, base.buckets))
+
     def _written_buckets(self, write: str) -> set[int]:
         fs, folder = self._hadoop(f"data/{write}")
         if not fs.exists(folder):
@@ -284,8 +294,7 @@ class SnapshotTable:
         A batch already recorded for ``stream`` is skipped, so a replay is harmless.
         The changes are measured per bucket first, which says both which buckets to
         rewrite and whether the changes are few enough to send to the target instead
-        of shuffling it. ``changes`` are read more than once; cache them if they are
-        costly.
+        of shuffling it. ``changes`` are read twice; cache them if they are costly.
         """
         base = self.version()
         if stream is not None and base.applied.get(stream, -1) >= batch_id:
@@ -303,8 +312,7 @@ class SnapshotTable:
             self._write(merge_checked(target, changes, key, insert_ops), base, write)
         elif rows <= few_rows and size <= few_bytes:
             kept, new = merge_few_changes(target, changes, key, insert_ops)
-            self._write(kept, base, write, spread=False)
-            self._write(new, base, write)
+            self._write(new, base, write, in_place=kept)
         else:
             self._write(merge_changes(target, changes, key, insert_ops), base, write)
         applied = {} if stream is None else {stream: batch_id}
