@@ -1,14 +1,17 @@
 """Column profile of a table: one row per column, computed without collecting.
 
-Two passes over the data. The first is a single wide aggregate that needs no
-shuffle beyond one row per task. The second turns the table into (column, value)
-pairs and counts them; the counts are then reduced per column by aggregates that
-combine inside each task, so neither a hot value nor a column with billions of
-distinct values lands in one place.
+Every column is read twice, whatever their number. A single wide aggregate gives the
+counts and moments and shuffles one row per task. Then the columns of each type are
+turned into (column, value) pairs and counted; keeping the types apart keeps numbers
+as numbers, and a columnar source is asked for each column by one of the passes only.
+The counts are reduced per column by aggregates that combine inside each task, so
+neither a hot value nor a column with billions of distinct values lands in one place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -16,6 +19,8 @@ from pyspark.sql.types import (
     DataType,
     DoubleType,
     FloatType,
+    IntegralType,
+    MapType,
     NumericType,
     StringType,
 )
@@ -46,24 +51,32 @@ def _how_many(condition: Column) -> Column:
     return F.count_if(F.coalesce(condition, F.lit(False)))
 
 
-def _missing(column: Column, kind: DataType) -> Column:
-    """NULL, or not-a-number; the text ``NaN`` counts as not-a-number too."""
-    if isinstance(kind, (StringType, FloatType, DoubleType)):
-        return column.isNull() | F.isnan(column.try_cast("double"))
-    return column.isNull()
+# How any text that casts to a double begins. Trying the cast on other text costs an
+# exception per row inside the cast.
+NUMBER_START = r"(?i)^[\x00-\x20]*[-+]?([.0-9]|inf|nan)"
+
+
+def _as_number(column: Column, kind: DataType) -> Column:
+    """The value as a number where it is one; NULL for other text."""
+    if isinstance(kind, StringType):
+        return F.when(column.rlike(NUMBER_START), column.try_cast("double"))
+    return column
 
 
-def _facts(column: Column, kind: DataType, name: str) -> Column:
+def _facts(column: Column, number: Column, kind: DataType, name: str) -> Column:
     """The aggregates of one column as a struct."""
     nothing = F.lit(0).cast("bigint")
     text = isinstance(kind, StringType)
     described = text or isinstance(kind, NumericType)
-    number = column.try_cast("double") if text else column
+    missing = column.isNull()
+    if isinstance(kind, (StringType, FloatType, DoubleType)):
+        # The text NaN is as little a value as the number.
+        missing = missing | F.isnan(number)
     return F.struct(
         F.lit(name).alias("column_names"),
         F.lit(kind.simpleString()).alias("data_types"),
         F.count(F.lit(1)).alias("num_rows"),
-        _how_many(_missing(column, kind)).alias("num_null"),
+        _how_many(missing).alias("num_null"),
         (_how_many(column.rlike(r"^\s+$")) if text else nothing).alias("num_spaces"),
         (_how_many(column == F.lit("")) if text else nothing).alias("num_blank"),
         (F.count(column) if described else F.lit(None).cast("bigint")).alias("count"),
@@ -72,23 +85,62 @@ def _facts(column: Column, kind: DataType, name: str) -> Column:
     )
 
 
-def _as_text(column: Column, kind: DataType) -> Column:
-    return F.hex(column) if isinstance(kind, BinaryType) else column.cast("string")
+def _counted_as(kind: DataType) -> str:
+    """The type a column's values are counted in; whole numbers of any width share one."""
+    if isinstance(kind, IntegralType):
+        return "bigint"
+    return "string" if isinstance(kind, (MapType, StringType)) else kind.simpleString()
+
+
+def _as_text(value: Column, counted_as: str) -> Column:
+    return F.hex(value) if counted_as == "binary" else value.cast("string")
+
+
+def _extremes(frame: DataFrame, columns: dict[int, Column], counted_as: str) -> DataFrame:
+    """Distinct values and extreme frequencies of columns counted in one type."""
+    values = frame.select(*[c.cast(counted_as).alias(str(i)) for i, c in columns.items()])
+    names = [F.col(_quoted(c)) for c in values.columns]
+    counted = (
+        values.unpivot([], names, "position", "value")
+        .groupBy("position", "value")
+        .agg(F.count(F.lit(1)).alias("copies"))
+    )
+    absent = F.col("value").isNull().alias("absent")
+    fewest = F.struct(F.col("copies"), absent, F.col("value"))
+    most = F.struct((-F.col("copies")).alias("copies"), absent, F.col("value"))
+    reduced = counted.groupBy(F.col("position").cast("int").alias("position")).agg(
+        F.count(F.lit(1)).alias("num_distinct"),
+        F.min(most).alias("most"),
+        F.min(fewest).alias("least"),
+    )
+    return reduced.select(
+        "position",
+        "num_distinct",
+        _as_text(F.col("most.value"), counted_as).alias("most_freq_value"),
+        (-F.col("most.copies")).alias("most_freq_value_count"),
+        _as_text(F.col("least.value"), counted_as).alias("least_freq_value"),
+        F.col("least.copies").alias("least_freq_value_count"),
+    )
 
 
 def profile(frame: DataFrame) -> DataFrame:
     """Counts, moments, distinct values and extreme frequencies of every column.
 
-    Values are reported as text. Ties between frequencies go to the smaller text,
-    NULL last. NULL is one of the distinct values.
+    Values are reported as text. Ties between frequencies go to the smaller value,
+    NULL last. NULL is one of the distinct values. The rows are read once for each
+    type among the columns, so profile a stored table rather than a long computation.
     """
     fields = frame.schema.fields
     columns = [F.col(_quoted(f.name)) for f in fields]
 
-    facts = frame.agg(
+    numbered = frame.select(
+        *[c.alias(f"c{i}") for i, c in enumerate(columns)],
+        *[_as_number(c, f.dataType).alias(f"n{i}") for i, (c, f) in enumerate(zip(columns, fields))],
+    )
+    facts = numbered.agg(
         *[
-            _facts(column, field.dataType, field.name).alias(f"f{i}")
-            for i, (column, field) in enumerate(zip(columns, fields))
+            _facts(F.col(f"c{i}"), F.col(f"n{i}"), field.dataType, field.name).alias(f"f{i}")
+            for i, field in enumerate(fields)
         ]
     )
     facts = facts.select(
@@ -102,30 +154,12 @@ def profile(frame: DataFrame) -> DataFrame:
         ).alias("fact")
     ).select("fact.*")
 
-    values = frame.select(
-        *[
-            _as_text(column, field.dataType).alias(str(i))
-            for i, (column, field) in enumerate(zip(columns, fields))
-        ]
-    )
-    counted = (
-        values.unpivot([], [F.col(_quoted(c)) for c in values.columns], "position", "value")
-        .groupBy("position", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    absent = F.col("value").isNull()
-    extremes = counted.groupBy(F.col("position").cast("int").alias("position")).agg(
-        F.count(F.lit(1)).alias("num_distinct"),
-        F.min(F.struct(-F.col("copies"), absent, F.col("value"))).alias("most"),
-        F.min(F.struct(F.col("copies"), absent, F.col("value"))).alias("least"),
-    )
-    extremes = extremes.select(
-        "position",
-        "num_distinct",
-        F.col("most.value").alias("most_freq_value"),
-        (-F.col("most.col1")).alias("most_freq_value_count"),
-        F.col("least.value").alias("least_freq_value"),
-        F.col("least.copies").alias("least_freq_value_count"),
+    by_type: dict[str, dict[int, Column]] = {}
+    for i, (column, field) in enumerate(zip(columns, fields)):
+        by_type.setdefault(_counted_as(field.dataType), {})[i] = column
+    extremes = reduce(
+        DataFrame.unionByName,
+        [_extremes(frame, group, counted_as) for counted_as, group in by_type.items()],
     )
     joined = facts.join(extremes, "position", "left")
     counts = ("num_distinct", "most_freq_value_count", "least_freq_value_count")

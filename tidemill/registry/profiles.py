@@ -43,7 +43,7 @@ def profile_sql(source: str, columns: dict[str, str]) -> str:
         missing = f"{name} IS NULL" + (
             f" OR coalesce(isnan(TRY_CAST({name} AS DOUBLE)), false)" if can_be_nan else ""
         )
-        freq = f"SELECT CAST({name} AS VARCHAR) AS v, count(*) AS n FROM src GROUP BY {name}"
+        freq = f"SELECT {name} AS v, count(*) AS n FROM src GROUP BY {name}"
         most = f"SELECT {{}} FROM ({freq}) ORDER BY n DESC, v ASC NULLS LAST LIMIT 1"
         least = f"SELECT {{}} FROM ({freq}) ORDER BY n ASC, v ASC NULLS LAST LIMIT 1"
         rows.append(
@@ -55,8 +55,8 @@ def profile_sql(source: str, columns: dict[str, str]) -> str:
             {f"round(avg({number}), {DIGITS})" if described else "NULL"} AS mean,
             {f"round(stddev_samp({number}), {DIGITS})" if described else "NULL"} AS stddev,
             count(DISTINCT {name}) + max(CASE WHEN {name} IS NULL THEN 1 ELSE 0 END) AS num_distinct,
-            ({most.format("v")}) AS most_freq_value, ({most.format("n")}) AS most_freq_value_count,
-            ({least.format("v")}) AS least_freq_value, ({least.format("n")}) AS least_freq_value_count
+            ({most.format("CAST(v AS VARCHAR)")}) AS most_freq_value, ({most.format("n")}) AS most_freq_value_count,
+            ({least.format("CAST(v AS VARCHAR)")}) AS least_freq_value, ({least.format("n")}) AS least_freq_value_count
             FROM src"""
         )
     return f"WITH src AS ({source}) " + " UNION ALL ".join(rows)
