@@ -41,6 +41,13 @@ MONTH_END = "isc_monthly"
 CURRENT_MONTH = "isc_current_month"
 PREVIOUS_MONTH = "isc_previous_month"
 REGIONAL_FACTS = ("inv_fct_na", "inv_fct_la", "inv_fct_asia", "inv_fct_emea")
+DIMENSION_TABLES = {
+    "product_line": "tdc_val_dim",
+    "material": "matl_dim",
+    "valuation": "val_class_dim",
+    "conversion": "conversion_dim",
+    "plant": "plant_dim",
+}
 PARTITION_COLUMNS = ("fct_type", "subsector", "data_type")
 
 FACT_KEYS = ("tdc_val", "material", "valuation_class", "currency_key", "plant")
@@ -324,15 +331,10 @@ def build_from_catalog(
     regions: Sequence[str] = REGIONAL_FACTS,
 ) -> DataFrame:
     """The report from catalog tables, stored at ``path`` by region, subsector and period."""
-    names = {
-        "product_line": "tdc_val_dim",
-        "material": "matl_dim",
-        "valuation": "val_class_dim",
-        "conversion": "conversion_dim",
-        "plant": "plant_dim",
-    }
-    refresh(spark, [f"{database}.{t}" for t in (*regions, *names.values())])
-    dims = Dimensions(**{k: spark.table(f"{database}.{t}") for k, t in names.items()}).checked()
+    refresh(spark, [f"{database}.{t}" for t in (*regions, *DIMENSION_TABLES.values())])
+    dims = Dimensions(
+        **{field: spark.table(f"{database}.{t}") for field, t in DIMENSION_TABLES.items()}
+    ).checked()
     facts = {t: project(spark, f"{database}.{t}", FACT_COLUMNS) for t in regions}
     result = report(stage(regional_union(facts, as_of), as_of), dims)
     if path is None:

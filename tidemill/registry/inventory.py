@@ -10,7 +10,7 @@ from tidemill.functions import in_two_year_window
 from tidemill.plans import inventory as inv
 from tidemill.registry.query import Query, plain
 from tidemill.session import workspace
-from tidemill.sinks.files import overwrite_partitioned
+from tidemill.sinks.files import overwrite_managed, overwrite_partitioned
 
 CHECK_FACT, CHECK_MONTH = "inv_fct_na", "2001-04"
 SLICE = (inv.MONTH_END, "FABRICCARE", "inv_fct_na")
@@ -69,6 +69,21 @@ def stored_report(spark: SparkSession, folder: str) -> DataFrame:
     return plain(spark.read.parquet(path))
 
 
+def from_catalog(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole report from catalog tables, in a database of its own."""
+    root = workspace(spark, "inventory_catalog")
+    database = f"stock_{root.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{root}/{database}'")
+    dims = adapters.dimensions(spark, folder)
+    tables = {
+        **adapters.regional_facts(spark, folder),
+        **{name: getattr(dims, field) for field, name in inv.DIMENSION_TABLES.items()},
+    }
+    for name, frame in tables.items():
+        overwrite_managed(frame, f"{database}.{name}")
+    return plain(inv.build_from_catalog(spark, database, adapters.AS_OF, f"{root}/report"))
+
+
 def check(spark: SparkSession, folder: str) -> DataFrame:
     joined = inv.star_join(_staged(spark, folder), adapters.dimensions(spark, folder))
     return plain(inv.stock_check(inv.daily_rollup(joined), CHECK_FACT, CHECK_MONTH))
@@ -260,6 +275,7 @@ QUERIES = {
     "inventory_monthly": Query(monthly, f"WITH {_JOINED} {_MONTHLY}"),
     "inventory_report": Query(report, f"WITH {_REPORT} SELECT * FROM report"),
     "inventory_partitioned_write": Query(stored_report, f"WITH {_REPORT} SELECT * FROM report"),
+    "inventory_from_catalog": Query(from_catalog, f"WITH {_REPORT} SELECT * FROM report"),
     "inventory_check": Query(
         check,
         f"""WITH {_JOINED}
