@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import executed_plan, rows
 from tidemill import adapters
+from tidemill.session import configure
 from tidemill.plans import inventory as inv
 
 AS_OF = date(2024, 3, 10)
@@ -249,3 +250,40 @@ def test_build_from_catalog(spark, dims, tmp_path):
     assert got.count() == 8
     assert {r[0] for r in rows(got, "fct_type")} == set(inv.REGIONAL_FACTS)
     assert (tmp_path / "report" / "fct_type=inv_fct_na" / "subsector=FABRICCARE").exists()
+
+
+def test_hot_material_is_split_between_tasks(spark):
+    """A third of the facts are of one material, and its dimension is too large to send."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    larger = SF.replace("0.001", "0.01")
+    staged = inv.stage(adapters.tagged_facts(spark, larger), adapters.AS_OF)
+    hot = F.when(F.crc32("plant") % 3 == 0, F.lit("000000000007")).otherwise(F.col("material"))
+    staged = staged.withColumn("material", hot).repartition(8)
+    materials = adapters.material_dimension(spark, larger)
+
+    def stock():
+        joined = staged.join(inv.dimension(materials, max_rows=10), "material")
+        return joined.groupBy("material").agg(F.sum("msu_stock_in_transit"), F.count("*"))
+
+    expected = rows(stock())
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        split = stock()
+        assert rows(split) == expected
+        split.collect()
+        assert "skew=true" in executed_plan(split)
+        spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "false")
+        whole = stock()
+        whole.collect()
+        assert "skew=true" not in executed_plan(whole)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+        configure(spark)
