@@ -1,14 +1,10 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidemill.operators.changes import (
-    latest_per_key,
-    merge_changes,
-    merge_checked,
-    merge_few_changes,
-)
+from tidemill.operators.changes import latest_per_key, merge_changes, merge_parts
 
 CHANGE = "op string, basetime double, sequence long, k int, v string"
 TARGET = "k int, v string"
@@ -30,11 +26,15 @@ def applied(target, changes, ops):
 
 
 def all_merges(target, changes, ops):
-    kept, new = merge_few_changes(target, changes, "k", ops)
+    def parts(**options):
+        kept, new = merge_parts(target, changes, "k", ops, **options)
+        return kept.unionByName(new)
+
     return {
-        "full": merge_changes(target, changes, "k", ops),
-        "few": kept.unionByName(new),
-        "checked": merge_checked(target, changes, "k", ops),
+        "plain": merge_changes(target, changes, "k", ops),
+        "few": parts(few=True),
+        "checked": parts(keys_repeat=True),
+        "few checked": parts(keys_repeat=True, few=True),
     }
 
 
@@ -81,11 +81,11 @@ def test_columns_are_matched_by_name(spark):
 def test_repeated_key_raises_only_when_it_meets_a_row(spark):
     target = spark.createDataFrame([(1, "a")], TARGET)
     unknown = [("c", 1.0, 1, 7, "x"), ("c", 1.0, 2, 7, "y"), ("u", 1.0, 3, 1, "b")]
-    merged = merge_checked(target, spark.createDataFrame(unknown, CHANGE), "k", {"c"})
+    merged = merge_changes(target, spark.createDataFrame(unknown, CHANGE), "k", {"c"}, keys_repeat=True)
     assert rows(merged) == [(1, "b"), (7, "x"), (7, "y")]
     clash = spark.createDataFrame([("u", 1.0, 1, 1, "x"), ("d", 1.0, 2, 1, "y")], CHANGE)
     with pytest.raises(Exception, match="several changes match one row: k = 1"):
-        merge_checked(target, clash, "k", {"c"}).collect()
+        merge_changes(target, clash, "k", {"c"}, keys_repeat=True).collect()
 
 
 def test_latest_is_by_time_then_sequence(spark):
@@ -117,6 +117,34 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
     assert latest.where("k = 0").first().v == "5997"
 
 
+def test_target_rows_sharing_a_key_are_split_between_tasks(spark):
+    """A third of the target has one key, a third has none."""
+    target = spark.range(30000).selectExpr(
+        "cast(case id % 3 when 0 then 7 when 1 then null else id end as int) as k", "uuid() as v"
+    )
+    target = target.repartition(8)
+    changes = spark.createDataFrame([("u", 1.0, 1, 7, "new"), ("c", 1.0, 2, -1, "x")], CHANGE)
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "50KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+    }
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        merged = merge_changes(target, changes, "k", {"c"})
+        got = merged.groupBy("k").agg(F.count("*"), F.count_if(F.col("v") == "new"))
+        assert dict((r[0], (r[1], r[2])) for r in got.collect() if r[0] in (None, 7, -1)) == {
+            None: (10000, 0), 7: (10000, 10000), -1: (1, 0)
+        }
+        merged.collect()
+        assert "SortMergeJoin(skew=true)" in merged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+
+
 keys = st.one_of(st.none(), st.integers(0, 6))
 ops = st.sampled_from(["c", "u", "d", "r", None])
 
@@ -127,7 +155,7 @@ ops = st.sampled_from(["c", "u", "d", "r", None])
     st.lists(st.tuples(ops, keys), max_size=12),
     st.sampled_from([{"c"}, {"c", "u"}]),
 )
-def test_three_merges_agree_with_applying_the_last_change_of_each_key(spark, before, raw, insert_ops):
+def test_merges_agree_with_applying_the_last_change_of_each_key(spark, before, raw, insert_ops):
     changes = [(op, float(i), i, k, f"new {i}") for i, (op, k) in enumerate(raw)]
     last = list({c[3]: c for c in changes}.values())
     target = spark.createDataFrame(before, TARGET)

@@ -1,9 +1,4 @@
-from tidemill.operators.changes import (
-    latest_per_key,
-    merge_changes,
-    merge_checked,
-    merge_few_changes,
-)
+from tidemill.operators.changes import latest_per_key, merge_changes, merge_parts
 from tidemill.operators.cleanse import (
     cast_columns,
     column_types,
@@ -23,8 +18,7 @@ __all__ = [
     "fill_nulls",
     "latest_per_key",
     "merge_changes",
-    "merge_checked",
-    "merge_few_changes",
+    "merge_parts",
     "profile",
     "rename_columns",
     "require_unique",

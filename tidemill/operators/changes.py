@@ -33,26 +33,12 @@ def latest_per_key(
     return changes.groupBy(F.col(key).alias("_key")).agg(chosen.alias("_row")).select("_row.*")
 
 
-def _spread(frame: DataFrame, key: str) -> Column:
-    """Zero for a row with a key, otherwise a hash of the row.
-
-    A NULL key matches nothing, but every NULL hashes to the same partition.
-    Joining on this as well scatters them.
-    """
-    rest = F.xxhash64(*[F.col(c) for c in frame.columns])
-    return F.when(F.col(key).isNull(), rest).otherwise(F.lit(0).cast("bigint"))
-
-
 def _is(op: Column, wanted: Collection[str]) -> Column:
     return F.coalesce(op.isin(*wanted), F.lit(False))
 
 
-def _checked(changes: DataFrame, key: str) -> DataFrame:
-    """``changes`` with one row per key, carrying how many rows the key had.
-
-    Only rows that share a key collapse, and a target row meeting such a key
-    raises, so no change is lost silently.
-    """
+def _once(changes: DataFrame, key: str) -> DataFrame:
+    """One of the changes of each key, with how many the key has."""
     row = F.struct(*[F.col(c) for c in changes.columns])
     return (
         changes.where(F.col(key).isNotNull())
@@ -78,87 +64,62 @@ def _replaced(target: DataFrame, changes: DataFrame, matched: Column) -> list[Co
     ]
 
 
-def merge_changes(
+def merge_parts(
     target: DataFrame,
     changes: DataFrame,
     key: str,
     insert_ops: Collection[str] = INSERT_CREATED,
-) -> DataFrame:
-    """``target`` after applying ``changes``, which hold at most one row per key.
+    keys_repeat: bool = False,
+    few: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The two parts of ``target`` after ``changes``: rows that remain, and new rows.
 
     A matched row is deleted by ``op = 'd'`` and updated by anything else; an
     unmatched change is inserted if its ``op`` is one of ``insert_ops`` and ignored
-    otherwise. Both sides cross the network once, on the key.
-    """
-    t = target.withColumn("_t", F.lit(True)).withColumn("_spread", _spread(target, key))
-    s = changes.withColumn("_s", F.lit(True)).withColumn("_spread", _spread(changes, key))
-    t, s = t.alias("t"), s.alias("s")
-    same = (F.col(f"t.{key}") == F.col(f"s.{key}")) & (F.col("t._spread") == F.col("s._spread"))
-    there = F.col("_t").isNotNull()
-    changed = F.col("_s").isNotNull()
-    op = F.col("s.op")
-    keep = (there & ~(changed & _is(op, {"d"}))) | (~there & _is(op, insert_ops))
-    return t.join(s, same, "full_outer").where(keep).select(*_replaced(target, changes, changed))
-
+    otherwise. ``changes`` hold one row per key unless ``keys_repeat``: then a target
+    row that several changes match raises, and changes to an unknown key are inserts
+    of their own.
 
-def merge_few_changes(
-    target: DataFrame,
-    changes: DataFrame,
-    key: str,
-    insert_ops: Collection[str] = INSERT_CREATED,
-) -> tuple[DataFrame, DataFrame]:
-    """The same merge for changes known to fit in memory, in two parts: the target
-    rows that remain, and the rows to insert.
-
-    The target is joined where it lies, without a shuffle.
+    The target is the left side of every join it is in, where AQE can split a key,
+    or the rows without one, that many target rows share; a full outer join could not.
+    With ``few`` the changes must fit in memory, and the target is not shuffled.
     """
-    few = F.broadcast(changes)
+    single = _once(changes, key) if keys_repeat else changes
+    sent = F.broadcast(single) if few else single
     t = target.alias("t")
-    s = few.withColumn("_s", F.lit(True)).alias("s")
+    s = sent.withColumn("_s", F.lit(True)).alias("s")
     changed = F.col("_s").isNotNull()
+    stays = ~(changed & _is(F.col("s.op"), {"d"}))
+    if keys_repeat:
+        shown = F.col(f"t.{key}").cast("string")
+        clash = F.raise_error(
+            F.concat(F.lit(f"several changes match one row: {key} = "), shown)
+        )
+        stays = F.when(F.col("s._copies") > 1, clash.cast("boolean")).otherwise(stays)
     kept = (
         t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "left")
-        .where(~(changed & _is(F.col("s.op"), {"d"})))
+        .where(stays)
         .select(*_replaced(target, changes, changed))
     )
-    known = target.select(key).join(F.broadcast(changes.select(key)), key, "left_semi").distinct()
-    missing = [c for c in target.columns if c not in changes.columns]
+    keys = single.select(key)
+    known = target.select(key).join(F.broadcast(keys) if few else keys, key, "left_semi").distinct()
+    absent = [f for f in target.schema if f.name not in changes.columns]
     new = (
         changes.where(_is(F.col("op"), insert_ops))
         .join(known, key, "left_anti")
-        .withColumns({c: F.lit(None).cast(target.schema[c].dataType) for c in missing})
+        .withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
         .select(*target.columns)
     )
     return kept, new
 
 
-def merge_checked(
+def merge_changes(
     target: DataFrame,
     changes: DataFrame,
     key: str,
     insert_ops: Collection[str] = INSERT_CREATED,
+    keys_repeat: bool = False,
 ) -> DataFrame:
-    """The merge for changes that may repeat a key.
-
-    A target row that several changes match raises. Changes to an unknown key are
-    separate inserts, all of them kept.
-    """
-    once = _checked(changes, key)
-    t = target.alias("t")
-    s = once.withColumn("_s", F.lit(True)).alias("s")
-    changed = F.col("_s").isNotNull()
-    clash = F.raise_error(
-        F.concat(F.lit(f"several changes match one row: {key} = "), F.col(f"t.{key}").cast("string"))
-    )
-    deleted = changed & _is(F.col("s.op"), {"d"})
-    stays = F.when(F.col("s._copies") > 1, clash.cast("boolean")).otherwise(~deleted)
-    kept = (
-        t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "left")
-        .where(stays)
-        .select(*_replaced(target, changes, changed))
-    )
-    new = changes.where(_is(F.col("op"), insert_ops)).join(
-        target.select(key).distinct(), key, "left_anti"
-    )
-    carried = [c for c in target.columns if c in changes.columns]
-    return kept.unionByName(new.select(*carried), allowMissingColumns=True)
+    """``target`` after applying ``changes``; see ``merge_parts``."""
+    kept, new = merge_parts(target, changes, key, insert_ops, keys_repeat)
+    return kept.unionByName(new)

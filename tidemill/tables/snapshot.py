@@ -23,12 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemill.operators.changes import (
-    INSERT_CREATED,
-    merge_changes,
-    merge_checked,
-    merge_few_changes,
-)
+from tidemill.operators.changes import INSERT_CREATED, merge_parts
 from tidemill.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
 from tidemill.sinks.files import spread_by
 
@@ -289,7 +284,7 @@ class SnapshotTable:
         few_rows: int = MAX_BROADCAST_ROWS,
         few_bytes: int = MAX_BROADCAST_BYTES,
     ) -> Version:
-        """Apply change rows by key. See ``merge_changes`` for what each ``op`` does.
+        """Apply change rows by key. See ``merge_parts`` for what each ``op`` does.
 
         A batch already recorded for ``stream`` is skipped, so a replay is harmless.
         The changes are measured per bucket first, which says both which buckets to
@@ -303,18 +298,16 @@ class SnapshotTable:
         changes = self._typed(changes, StructType.fromJson(json.loads(base.schema)))
         sizes = self._sizes(changes, base)
         write = self._new_write(base)
-        target = self._rows(base, sizes.keys())
         rows = sum(n for n, _ in sizes.values())
         size = sum(b for _, b in sizes.values())
-        if not sizes:
-            pass
-        elif keys_repeat:
-            self._write(merge_checked(target, changes, key, insert_ops), base, write)
-        elif rows <= few_rows and size <= few_bytes:
-            kept, new = merge_few_changes(target, changes, key, insert_ops)
-            self._write(new, base, write, in_place=kept)
-        else:
-            self._write(merge_changes(target, changes, key, insert_ops), base, write)
+        few = rows <= few_rows and size <= few_bytes
+        if sizes:
+            target = self._rows(base, sizes.keys())
+            kept, new = merge_parts(target, changes, key, insert_ops, keys_repeat, few)
+            if few:
+                self._write(new, base, write, in_place=kept)
+            else:
+                self._write(kept.unionByName(new), base, write)
         applied = {} if stream is None else {stream: batch_id}
         return self._finish(base, write, sizes.keys(), applied)
 
