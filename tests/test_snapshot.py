@@ -102,6 +102,21 @@ def test_second_writer_of_a_version_fails(table):
     assert not list(Path(table.path, "versions").glob(".2-*"))
 
 
+def test_a_lagging_or_missing_hint_is_no_harm(table):
+    table.insert_values(100, "x")
+    table.insert_values(101, "y")
+    hint = Path(table.path, "versions", "_last")
+    assert hint.read_text() == "3"
+    for stale in ("1", None):
+        Path(table.path, "versions", "._last.crc").unlink(missing_ok=True)
+        hint.unlink()
+        if stale:
+            hint.write_text(stale)
+        assert table.version().number == 3
+    with pytest.raises(FileNotFoundError, match="no version 9"):
+        table.read(9)
+
+
 def test_replace_and_empty(spark, table):
     SnapshotTable.create(table.read().where("k < 2"), table.path, "k", buckets=2)
     assert rows(table.read()) == [(0, "v0"), (1, "v1")]

@@ -28,6 +28,7 @@ from tidemill.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
 from tidemill.sinks.files import spread_by
 
 BUCKET = "_bucket"
+HINT = "versions/_last"
 
 
 class ConcurrentChange(RuntimeError):
@@ -86,8 +87,7 @@ class SnapshotTable:
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def exists(self) -> bool:
-        fs, folder = self._hadoop("versions")
-        return bool(fs.exists(folder))
+        return self._latest() > 0
 
     def versions(self) -> list[int]:
         fs, folder = self._hadoop("versions")
@@ -96,19 +96,37 @@ class SnapshotTable:
         names = [status.getPath().getName() for status in fs.listStatus(folder)]
         return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json"))
 
-    def version(self, number: int | None = None) -> Version:
-        """A version's description; the latest by default."""
-        if number is None:
-            known = self.versions()
-            if not known:
-                raise FileNotFoundError(f"no table at {self.path}")
-            number = known[-1]
-        fs, path = self._hadoop(f"versions/{number}.json")
+    def _text(self, relative: str) -> str | None:
+        fs, path = self._hadoop(relative)
+        if not fs.exists(path):
+            return None
         stream = fs.open(path)
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
+
+    def _latest(self) -> int:
+        """The newest version or 0, found from the hint the last writer left.
+
+        The hint may lag behind after a crash or a race, so later versions are looked
+        for; a table with many versions is not listed.
+        """
+        hint = self._text(HINT)
+        if not hint:
+            known = self.versions()
+            return known[-1] if known else 0
+        number = int(hint)
+        while self._text(f"versions/{number + 1}.json"):
+            number += 1
+        return number
+
+    def version(self, number: int | None = None) -> Version:
+        """A version's description; the latest by default."""
+        number = self._latest() if number is None else number
+        text = self._text(f"versions/{number}.json")
+        if text is None:
+            raise FileNotFoundError(f"no version {number} at {self.path}")
         return Version.from_json(text)
 
     def _commit(self, version: Version) -> None:
@@ -132,6 +150,12 @@ class SnapshotTable:
         except Py4JJavaError as error:
             fs.delete(draft, False)
             raise ConcurrentChange(f"version {version.number} is already taken") from error
+        _, hint = self._hadoop(HINT)
+        stream = fs.create(hint, True)
+        try:
+            stream.write(bytearray(str(version.number), "utf-8"))
+        finally:
+            stream.close()
 
     # -- reading ------------------------------------------------------------------
 
@@ -222,9 +246,8 @@ class SnapshotTable:
         to the cluster. More buckets make a small change rewrite less.
         """
         table = cls(frame.sparkSession, path)
-        known = table.versions()
         count = buckets or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        base = Version(known[-1] if known else 0, frame.schema.json(), key, count, {}, {})
+        base = Version(table._latest(), frame.schema.json(), key, count, {}, {})
         write = table._new_write(base)
         table._write(frame, base, write)
         table._finish(base, write, ())
