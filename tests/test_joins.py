@@ -28,9 +28,16 @@ def test_large_side_is_left_to_a_shuffled_join(spark, no_auto_broadcast):
     assert "BroadcastHashJoin" not in plan
 
 
-def test_measuring_stops_early(spark):
-    assert measured_size(spark.range(1000), 10)[0] == 11
-    assert measured_size(spark.range(0), 10) == (0, 0)
+def test_a_side_too_large_to_measure_is_left_alone(spark, no_auto_broadcast):
+    side = spark.range(5).groupBy("id").agg(F.count("*").alias("n"))
+    assert dimension(side, worth_measuring=1) is side
+    assert dimension(side) is not side
+
+
+def test_measuring(spark):
+    frame = spark.createDataFrame([("abc", 1), (None, 22)], "s string, i int")
+    assert measured_size(frame) == (2, 3 + 1 + 2 + 4 * 8)
+    assert measured_size(spark.range(0)) == (0, 0)
 
 
 def test_unique_key(spark):

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+WORTH_MEASURING_BYTES = 10 * 1024 * 1024 * 1024
 
 
 def _estimated_bytes(frame: DataFrame) -> int:
@@ -18,16 +21,17 @@ def _auto_broadcast_bytes(frame: DataFrame) -> int:
     return int(jconf.autoBroadcastJoinThreshold())
 
 
-def measured_size(frame: DataFrame, max_rows: int) -> tuple[int, int]:
-    """Rows and approximate bytes, looking at no more than ``max_rows + 1`` rows."""
-    width = sum(
-        F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8
-        for c in frame.columns
-    )
-    head = frame.limit(max_rows + 1).agg(
-        F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+def row_width(columns: Iterable[str]) -> Column:
+    """Approximate bytes of a row."""
+    return sum(
+        F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 8 for c in columns
     )
-    row = head.first()
+
+
+def measured_size(frame: DataFrame) -> tuple[int, int]:
+    """Rows and approximate bytes, from one aggregate that shuffles a row per task."""
+    total = F.coalesce(F.sum(row_width(frame.columns)), F.lit(0))
+    row = frame.agg(F.count(F.lit(1)).alias("rows"), total.alias("bytes")).first()
     return row.rows, row.bytes
 
 
@@ -35,18 +39,20 @@ def dimension(
     frame: DataFrame,
     max_rows: int = MAX_BROADCAST_ROWS,
     max_bytes: int = MAX_BROADCAST_BYTES,
+    worth_measuring: int = WORTH_MEASURING_BYTES,
 ) -> DataFrame:
     """Prepare the small side of a star join.
 
-    A table Catalyst already sees as small needs nothing. A side that comes out of
-    an aggregate is estimated at the size of its input, so the planner would
-    shuffle the facts to meet it; such a side is measured, and hinted only when it
-    really fits. Anything larger is left to a shuffled join, where AQE splits hot
-    keys.
+    A table Catalyst already sees as small needs nothing. A side that comes out of a
+    filter or an aggregate is estimated at up to the size of its input, so the planner
+    would shuffle the facts to meet it; such a side is measured, and hinted only when
+    it really fits. Anything larger is left to a shuffled join, where AQE splits hot
+    keys; so is a side whose input is too large to read once more for the measuring.
     """
-    if _estimated_bytes(frame) <= _auto_broadcast_bytes(frame):
+    estimate = _estimated_bytes(frame)
+    if estimate <= _auto_broadcast_bytes(frame) or estimate > worth_measuring:
         return frame
-    rows, size = measured_size(frame, max_rows)
+    rows, size = measured_size(frame)
     return F.broadcast(frame) if rows <= max_rows and size <= max_bytes else frame
 
 

@@ -55,8 +55,10 @@ def profile_sql(source: str, columns: dict[str, str]) -> str:
             {f"round(avg({number}), {DIGITS})" if described else "NULL"} AS mean,
             {f"round(stddev_samp({number}), {DIGITS})" if described else "NULL"} AS stddev,
             count(DISTINCT {name}) + max(CASE WHEN {name} IS NULL THEN 1 ELSE 0 END) AS num_distinct,
-            ({most.format("CAST(v AS VARCHAR)")}) AS most_freq_value, ({most.format("n")}) AS most_freq_value_count,
-            ({least.format("CAST(v AS VARCHAR)")}) AS least_freq_value, ({least.format("n")}) AS least_freq_value_count
+            ({most.format("CAST(v AS VARCHAR)")}) AS most_freq_value,
+            ({most.format("n")}) AS most_freq_value_count,
+            ({least.format("CAST(v AS VARCHAR)")}) AS least_freq_value,
+            ({least.format("n")}) AS least_freq_value_count
             FROM src"""
         )
     return f"WITH src AS ({source}) " + " UNION ALL ".join(rows)

@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+# Columns a change row keeps next to the row itself.
+CARRIED = ("op", "basetime", "sequence")
+
+
 def decode(bodies: DataFrame) -> DataFrame:
     """Envelope fields of each ``Body``.
 
@@ -50,9 +54,6 @@ def row_image(changes: DataFrame) -> DataFrame:
     return changes.withColumn("data", image).drop("before", "after")
 
 
-CARRIED = ("op", "basetime", "sequence")
-
-
 def _parse_schema(schema: StructType, epoch_millis: Collection[str]) -> StructType:
     return StructType(
         [

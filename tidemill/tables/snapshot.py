@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tidemill.operators.changes import INSERT_CREATED, merge_parts
-from tidemill.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS
+from tidemill.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, row_width
+from tidemill.operators.union import union_all_by_name
 from tidemill.sinks.files import spread_by
 
 BUCKET = "_bucket"
@@ -190,17 +191,25 @@ class SnapshotTable:
         ).cast("int")
 
     def _write(
-        self, frame: DataFrame, base: Version, write: str, in_place: DataFrame | None = None
+        self,
+        base: Version,
+        write: str,
+        spread: DataFrame | None = None,
+        in_place: DataFrame | None = None,
     ) -> None:
         """Write rows by bucket, in one job.
 
-        ``frame`` is brought together by bucket first. ``in_place`` rows come straight
-        from a few buckets each and are written by the task that read them.
+        Rows to ``spread`` are brought together by bucket first. Rows written
+        ``in_place`` come straight from a few buckets each, so the task that read them
+        writes them, without a shuffle.
         """
-        bucketed = spread_by(self._with_bucket(frame, base), [BUCKET])
+        parts = []
         if in_place is not None:
-            bucketed = self._with_bucket(in_place, base).unionByName(bucketed)
-        bucketed.write.mode("append").partitionBy(BUCKET).parquet(f"{self.path}/data/{write}")
+            parts.append(self._with_bucket(in_place, base))
+        if spread is not None:
+            parts.append(spread_by(self._with_bucket(spread, base), [BUCKET]))
+        rows = union_all_by_name(parts)
+        rows.write.mode("append").partitionBy(BUCKET).parquet(f"{self.path}/data/{write}")
 
     def _with_bucket(self, frame: DataFrame, base: Version) -> DataFrame:
         return frame.withColumn(BUCKET, self._bucket(frame, base.key, base.buckets))
@@ -249,7 +258,7 @@ class SnapshotTable:
         count = buckets or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         base = Version(table._latest(), frame.schema.json(), key, count, {}, {})
         write = table._new_write(base)
-        table._write(frame, base, write)
+        table._write(base, write, spread=frame)
         table._finish(base, write, ())
         return table
 
@@ -259,7 +268,7 @@ class SnapshotTable:
         schema = StructType.fromJson(json.loads(base.schema))
         write = self._new_write(base)
         typed = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        self._write(typed, base, write)
+        self._write(base, write, spread=typed)
         return self._finish(base, write, ())
 
     def insert_values(self, *values: Any) -> Version:
@@ -294,7 +303,7 @@ class SnapshotTable:
         if not touched:
             return base
         write = self._new_write(base)
-        self._write(change(self._rows(base, touched)), base, write)
+        self._write(base, write, in_place=change(self._rows(base, touched)))
         return self._finish(base, write, touched)
 
     def merge(
@@ -328,9 +337,9 @@ class SnapshotTable:
             target = self._rows(base, sizes.keys())
             kept, new = merge_parts(target, changes, key, insert_ops, keys_repeat, few)
             if few:
-                self._write(new, base, write, in_place=kept)
+                self._write(base, write, spread=new, in_place=kept)
             else:
-                self._write(kept.unionByName(new), base, write)
+                self._write(base, write, spread=kept.unionByName(new))
         applied = {} if stream is None else {stream: batch_id}
         return self._finish(base, write, sizes.keys(), applied)
 
@@ -345,14 +354,10 @@ class SnapshotTable:
     def _sizes(self, changes: DataFrame, base: Version) -> dict[int, tuple[int, int]]:
         """Rows and approximate bytes of the changes, by the bucket they fall into."""
         schema = StructType.fromJson(json.loads(base.schema))
-        width = sum(
-            F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8
-            for c in changes.columns
-        )
         absent = {f.name: F.lit(None).cast(f.dataType) for f in schema}
         for c in changes.columns:
             absent.pop(c, None)
-        padded = changes.withColumn("_width", width).withColumns(absent)
+        padded = changes.withColumn("_width", row_width(changes.columns)).withColumns(absent)
         row = padded.select(*schema.fieldNames(), "_width")
         bucket = self._bucket(row.drop("_width"), base.key, base.buckets)
         counted = row.groupBy(bucket.alias(BUCKET)).agg(
@@ -361,11 +366,6 @@ class SnapshotTable:
         return {r[BUCKET]: (r.rows, r.bytes) for r in counted.collect()}
 
 
-def inserted(rows: DataFrame, new: DataFrame) -> DataFrame:
-    """``rows`` with ``new`` added, by column name."""
-    return rows.unionByName(new)
-
-
 def updated(rows: DataFrame, condition: Column, values: Mapping[str, Any]) -> DataFrame:
     """``rows`` with columns set where ``condition`` is true."""
     hit = F.coalesce(condition, F.lit(False))
