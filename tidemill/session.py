@@ -30,16 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by ``spark.checkpoint.dir``.
 
     Only a local-mode session may go without the setting; it then gets a fresh
-    temporary folder, recorded on the session so that later calls agree.
+    temporary folder as its checkpoint directory, so that later calls agree.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="tidemill-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
+    return context.getCheckpointDir().rstrip("/")
 
 
 def workspace(spark: SparkSession, name: str) -> str:
