@@ -105,3 +105,11 @@ def test_order_rules(spark):
     detail = synth.generate(spark, "SalesOrderDetail", 500)
     assert detail.where("LineTotal != OrderQty * (UnitPrice - UnitPriceDiscount)").count() == 0
     assert detail.where("not OrderQty between 0 and 25").count() == 0
+
+
+def test_keys_beyond_an_integer(spark):
+    first = synth.generate(spark, "ProductModelProductDescription", 5, id_type="bigint")
+    numbers = spark.range(synth.PRIME, synth.PRIME + 5)
+    later = synth.generate_from(numbers, "ProductModelProductDescription", id_type="bigint")
+    assert rows(later, "ProductDescriptionID")[0] == (synth.PRIME + 5000,)
+    assert first.union(later).select("rowguid").distinct().count() == 10

@@ -192,11 +192,16 @@ def dimensions(spark: SparkSession, folder: str) -> Dimensions:
 
 def product_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
     """Product hierarchy entries; entries of cheap parts are outdated."""
-    return table(spark, folder, "part").select(
-        F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("prod_19_id"),
-        F.lit("710").alias("prod_hier_id"),
-        F.when(F.col("p_retailprice") < 950, F.lit("N")).otherwise(F.lit("Y")).alias("curr_ind"),
-        F.concat(F.lit("long "), F.col("p_name")).alias("prod_7_long_name"),
+    entries = (
+        table(spark, folder, "part")
+        .groupBy(F.expr("right(lpad(p_partkey, 12, '0'), 8)").alias("prod_19_id"))
+        .agg(F.min("p_name").alias("name"), F.max("p_retailprice").alias("price"))
+    )
+    return entries.selectExpr(
+        "prod_19_id",
+        "'710' as prod_hier_id",
+        "if(price < 950, 'N', 'Y') as curr_ind",
+        "concat('long ', name) as prod_7_long_name",
     )
 
 
@@ -209,7 +214,7 @@ def sales_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
     orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
     return {
         "Address": customer.select(
-            F.col("c_custkey").cast("int").alias("AddressId"),
+            F.col("c_custkey").alias("AddressId"),
             F.col("c_name").alias("AddressLine1"),
             F.nullif(F.col("c_mktsegment"), F.lit("MACHINERY")).alias("AddressLine2"),
             F.when(F.col("c_nationkey") == 3, F.lit(""))
@@ -219,7 +224,7 @@ def sales_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
             F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("Balance"),
         ),
         "Product": part.select(
-            F.col("p_partkey").cast("int").alias("ProductId"),
+            F.col("p_partkey").alias("ProductId"),
             F.col("p_name").alias("Name"),
             F.when(F.col("p_type") == "PROMO", F.lit("one size"))
             .otherwise(F.col("p_size").cast("string"))
@@ -229,8 +234,8 @@ def sales_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
             F.when(F.col("p_size") != 1, F.col("p_size") > 25).alias("Bulky"),
         ),
         "CustomerAddress": orders.select(
-            F.col("o_orderkey").cast("int").alias("CustomerId"),
-            F.col("o_custkey").cast("int").alias("AddressId"),
+            F.col("o_orderkey").alias("CustomerId"),
+            F.col("o_custkey").alias("AddressId"),
             F.when(F.col("o_orderstatus") == "F", F.lit("Main Office"))
             .when(F.col("o_orderstatus") == "O", F.lit("Shipping"))
             .alias("AddressType"),
@@ -239,7 +244,7 @@ def sales_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
             .alias("ModifiedDate"),
         ),
         "SalesOrderDetail": lines.select(
-            F.col("l_orderkey").cast("int").alias("SalesOrderID"),
+            F.col("l_orderkey").cast("string").alias("SalesOrderID"),
             F.col("l_linenumber").alias("SalesOrderDetailID"),
             F.col("l_quantity").cast("int").alias("OrderQty"),
             F.col("l_extendedprice").cast(MONEY).alias("UnitPrice"),

@@ -20,6 +20,8 @@ from tidemill.sinks.files import overwrite_parquet
 # Two primes below 2^31: products with the multipliers stay inside a bigint.
 PRIME = 2147483647
 OTHER_PRIME = 2147483629
+# What every further PRIME rows shift the numbers by.
+CYCLE_STEP = 7919
 
 # Rows of each table unless told otherwise.
 ROWS = {
@@ -72,15 +74,21 @@ class Stream:
 class Draw:
     """Columns drawn for one table from the row number ``i``."""
 
-    def __init__(self, seed: int, table: str):
+    def __init__(self, seed: int, table: str, id_type: str = "int"):
         self.seed = seed
         self.table = table
+        self.id_type = id_type
+
+    def id(self, start: int) -> Column:
+        """The row's key."""
+        return (F.col("i") + start).cast(self.id_type)
 
     def number(self, column: str, index: Column | None = None) -> Column:
         """A whole number in ``[0, PRIME)``."""
         stream = Stream.of(self.seed, self.table, column)
         i = F.col("i") if index is None else index
-        x = (i % PRIME * stream.multiplier + stream.offset) % PRIME
+        cycle = F.call_function("div", i, F.lit(PRIME))
+        x = (i % PRIME * stream.multiplier + cycle * CYCLE_STEP + stream.offset) % PRIME
         x = (x * 69621 + stream.offset) % OTHER_PRIME
         return (x * 39373) % PRIME
 
@@ -121,13 +129,9 @@ class Draw:
         return F.concat_ws(" ", *[self.choice(f"{column}{n}", WORDS) for n in range(count)])
 
 
-def _id(start: int) -> Column:
-    return (F.col("i") + start).cast("int")
-
-
 def _address(d: Draw) -> dict[str, Column]:
     return {
-        "AddressId": _id(1),
+        "AddressId": d.id(1),
         "AddressLine1": F.concat_ws(
             " ", d.between("number", 1, 9999).cast("string"), d.choice("street", WORDS), F.lit("Street")
         ),
@@ -143,7 +147,7 @@ def _address(d: Draw) -> dict[str, Column]:
 
 def _customer(d: Draw) -> dict[str, Column]:
     return {
-        "CustomerId": _id(1000),
+        "CustomerId": d.id(1000),
         "NameStyle": d.flag("style"),
         "Title": d.choice("title", TITLES),
         "FirstName": d.choice("first", WORDS),
@@ -163,8 +167,8 @@ def _customer(d: Draw) -> dict[str, Column]:
 
 def _customer_address(d: Draw) -> dict[str, Column]:
     return {
-        "CustomerId": _id(1000),
-        "AddressId": _id(1),
+        "CustomerId": d.id(1000),
+        "AddressId": d.id(1),
         "AddressType": d.choice("type", ADDRESS_TYPES),
         "rowguid": d.guid(),
         "ModifiedDate": d.stamp(),
@@ -180,7 +184,7 @@ def _product(d: Draw) -> dict[str, Column]:
         F.sha2(F.concat(F.lit("photo"), d.number("photo2").cast("string")), 256),
     )
     return {
-        "ProductId": _id(2000),
+        "ProductId": d.id(2000),
         "Name": F.concat(d.choice("name", PRODUCT_NAMES), F.lit(" - "), color, F.lit(","), size),
         "ProductNumber": F.concat(F.lit("PN-"), d.digits("number", 6)),
         "Color": color,
@@ -202,8 +206,8 @@ def _product(d: Draw) -> dict[str, Column]:
 
 def _product_category(d: Draw) -> dict[str, Column]:
     return {
-        "ProductCategoryID": _id(9000),
-        "ParentProductCategoryID": _id(9000),
+        "ProductCategoryID": d.id(9000),
+        "ParentProductCategoryID": d.id(9000),
         "Name": d.choice("name", WORDS),
         "rowguid": d.guid(),
         "ModifiedDate": d.stamp(),
@@ -212,7 +216,7 @@ def _product_category(d: Draw) -> dict[str, Column]:
 
 def _product_description(d: Draw) -> dict[str, Column]:
     return {
-        "ProductDescriptionID": _id(5000),
+        "ProductDescriptionID": d.id(5000),
         "Description": d.words("text", 6),
         "rowguid": d.guid(),
         "ModifiedDate": d.stamp(),
@@ -221,7 +225,7 @@ def _product_description(d: Draw) -> dict[str, Column]:
 
 def _product_model(d: Draw) -> dict[str, Column]:
     return {
-        "ProductModelID": _id(4000),
+        "ProductModelID": d.id(4000),
         "Name": d.choice("name", PRODUCT_NAMES),
         "CatalogDescription": d.words("text", 6),
         "rowguid": d.guid(),
@@ -235,8 +239,8 @@ def _product_model_description(d: Draw) -> dict[str, Column]:
     group = F.expr("(i + 5) div 6")
     culture = d.choice("culture", CULTURES, group)
     return {
-        "ProductModelID": (group + 4000).cast("int"),
-        "ProductDescriptionID": _id(5000),
+        "ProductModelID": (group + 4000).cast(d.id_type),
+        "ProductDescriptionID": d.id(5000),
         "Culture": F.when(F.col("i") == 0, F.lit(CULTURES[0])).otherwise(culture),
         "rowguid": d.guid(),
         "ModifiedDate": d.stamp(),
@@ -251,7 +255,7 @@ def _sales_order_header(d: Draw) -> dict[str, Column]:
     freight = (tax * F.expr("0.31249973BD")).cast(money)
     address = d.between("address", 620, 1150).cast("int")
     return {
-        "SalesOrderID": _id(3000),
+        "SalesOrderID": d.id(3000),
         "RevisionNumber": d.between("revision", 1, 5).cast("int"),
         "ModifiedDate": modified,
         "OrderDate": modified - F.expr("interval 10 days"),
@@ -259,10 +263,10 @@ def _sales_order_header(d: Draw) -> dict[str, Column]:
         "ShipDate": modified - F.expr("interval 7 days"),
         "Status": F.lit(5),
         "OnlineOrderFlag": d.flag("online"),
-        "SalesOrderNumber": F.concat(F.lit("SO"), _id(3000).cast("string")),
+        "SalesOrderNumber": F.concat(F.lit("SO"), d.id(3000).cast("string")),
         "PurchaseOrderNumber": F.concat(F.lit("PO"), d.digits("purchase", 9)),
         "AccountNumber": F.concat(F.lit("10-4020-000"), d.digits("account", 3)),
-        "CustomerID": _id(1000),
+        "CustomerID": d.id(1000),
         "ShipToAddressID": address,
         "BillToAddressID": address,
         "ShipMethod": F.lit("CARGO TRANSPORT 5"),
@@ -282,10 +286,10 @@ def _sales_order_detail(d: Draw) -> dict[str, Column]:
     price = d.scaled("price", 30, 1500, 4, money)
     discount = d.scaled("discount", 0, 1, 2, money)
     return {
-        "SalesOrderID": _id(3000),
-        "SalesOrderDetailID": _id(5000),
+        "SalesOrderID": d.id(3000),
+        "SalesOrderDetailID": d.id(5000),
         "OrderQty": quantity,
-        "ProductID": _id(2000),
+        "ProductID": d.id(2000),
         "UnitPrice": price,
         "UnitPriceDiscount": discount,
         "LineTotal": (quantity * (price - discount)).cast("decimal(38,6)"),
@@ -308,19 +312,29 @@ COLUMNS: Mapping[str, Callable[[Draw], dict[str, Column]]] = {
 }
 
 
-def generate_from(numbers: DataFrame, table: str, seed: int = 0) -> DataFrame:
-    """Rows of ``table``, one for each value of the only column of ``numbers``."""
+def generate_from(
+    numbers: DataFrame, table: str, seed: int = 0, id_type: str = "int"
+) -> DataFrame:
+    """Rows of ``table``, one for each value of the only column of ``numbers``.
+
+    Keys are declared as integers; more than two thousand million rows need ``bigint``.
+    """
     (column,) = numbers.columns
     indexed = numbers.select(F.col(column).cast("bigint").alias("i"))
-    columns = COLUMNS[table](Draw(seed, table))
+    columns = COLUMNS[table](Draw(seed, table, id_type))
     return indexed.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def generate(
-    spark: SparkSession, table: str, rows: int | None = None, seed: int = 0
+    spark: SparkSession,
+    table: str,
+    rows: int | None = None,
+    seed: int = 0,
+    id_type: str = "int",
 ) -> DataFrame:
     """``rows`` rows of ``table``."""
-    return generate_from(spark.range(ROWS[table] if rows is None else rows), table, seed)
+    numbers = spark.range(ROWS[table] if rows is None else rows)
+    return generate_from(numbers, table, seed, id_type)
 
 
 def generate_and_land(

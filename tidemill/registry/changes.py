@@ -35,7 +35,7 @@ def _customer_addresses(spark: SparkSession, folder: str) -> SnapshotTable:
 def insert(spark: SparkSession, folder: str) -> DataFrame:
     table = _customer_addresses(spark, folder)
     new = adapters.table(spark, folder, "supplier").selectExpr(
-        "cast(s_suppkey as int) as CustomerId",
+        "s_suppkey as CustomerId",
         "s_nationkey as AddressId",
         "'Warehouse' as AddressType",
         f"{NEW_YEAR} as ModifiedDate",
@@ -280,7 +280,7 @@ QUERIES = {
     "table_insert": Query(
         insert,
         f"""{sales.CUSTOMER_ADDRESS}
-        UNION ALL SELECT CAST(s_suppkey AS INTEGER), s_nationkey, 'Warehouse',
+        UNION ALL SELECT s_suppkey, s_nationkey, 'Warehouse',
                          TIMESTAMP '2024-01-01 00:00:00' FROM supplier
         UNION ALL SELECT 12345, 567, 'Main Office', TIMESTAMP '2024-01-01 00:00:00'""",
     ),

@@ -299,8 +299,9 @@ QUERIES = {
     "inventory_hierarchy": Query(
         hierarchy,
         f"""WITH {_STAGED}, h AS (
-          SELECT lpad(CAST(p_partkey AS VARCHAR), 8, '0') AS id, 'long ' || p_name AS prod_7_long_name
-          FROM part WHERE p_retailprice >= 950)
+          SELECT right(lpad(CAST(p_partkey AS VARCHAR), 12, '0'), 8) AS id,
+                 'long ' || min(p_name) AS prod_7_long_name
+          FROM part GROUP BY 1 HAVING max(p_retailprice) >= 950)
         SELECT calendar_date, material, plant, fct_type, prod_7_long_name
         FROM staged LEFT JOIN h ON right(material, 8) = h.id""",
     ),

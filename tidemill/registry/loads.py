@@ -155,7 +155,7 @@ def landed(spark: SparkSession, folder: str) -> DataFrame:
         file_based_dir=f"{root}/files",
         sink_dir=f"{root}/silver",
     )
-    from_numbers = synth.generate_from(numbers, "SalesOrderDetail", 7)
+    from_numbers = synth.generate_from(numbers, "SalesOrderDetail", 7, "bigint")
     overwrite_parquet(from_numbers, f"{config.file_based_dir}/SalesOrderDetail")
     silver = full_load(spark, config, file_based=True)["SalesOrderDetail"]
     return silver.agg(
@@ -186,7 +186,9 @@ QUERIES = {
         FROM ({sales.FILLED_ADDRESS})""",
     ),
     "full_load_salesorderdetail": Query(
-        loaded("SalesOrderDetail"), sales.FILLED_SALES_ORDER_DETAIL
+        loaded("SalesOrderDetail"),
+        f"""SELECT * REPLACE (CAST(SalesOrderID AS BIGINT) AS SalesOrderID)
+        FROM ({sales.FILLED_SALES_ORDER_DETAIL})""",
     ),
     "full_load_edited": Query(
         loaded_and_edited,

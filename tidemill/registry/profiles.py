@@ -81,7 +81,7 @@ QUERIES = {
         profile_sql(
             sales.ADDRESS,
             _columns(
-                "AddressId int, AddressLine1 string, AddressLine2 string, City string, Balance double"
+                "AddressId bigint, AddressLine1 string, AddressLine2 string, City string, Balance double"
             ),
         ),
     ),
@@ -90,7 +90,7 @@ QUERIES = {
         profile_sql(
             sales.PRODUCT,
             _columns(
-                "ProductId int, Name string, Size string, Color string, ListPrice double, Bulky boolean"
+                "ProductId bigint, Name string, Size string, Color string, ListPrice double, Bulky boolean"
             ),
         ),
     ),

@@ -71,20 +71,19 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 
 # -- the same in SQL ------------------------------------------------------------------
 
-PRODUCT = """SELECT CAST(p_partkey AS INTEGER) AS ProductId, p_name AS Name,
+PRODUCT = """SELECT p_partkey AS ProductId, p_name AS Name,
   CASE WHEN p_type = 'PROMO' THEN 'one size' ELSE CAST(p_size AS VARCHAR) END AS Size,
   NULLIF(p_brand, 'Brand#7') AS Color,
   CASE WHEN p_retailprice >= 905 THEN p_retailprice END AS ListPrice,
   CASE WHEN p_size <> 1 THEN p_size > 25 END AS Bulky FROM part"""
-CUSTOMER_ADDRESS = """SELECT CAST(o_orderkey AS INTEGER) AS CustomerId,
-  CAST(o_custkey AS INTEGER) AS AddressId,
+CUSTOMER_ADDRESS = """SELECT o_orderkey AS CustomerId, o_custkey AS AddressId,
   CASE o_orderstatus WHEN 'F' THEN 'Main Office' WHEN 'O' THEN 'Shipping' END AS AddressType,
   CASE WHEN o_orderstatus <> 'F' THEN o_orderdate END AS ModifiedDate FROM orders"""
-ADDRESS = """SELECT CAST(c_custkey AS INTEGER) AS AddressId, c_name AS AddressLine1,
+ADDRESS = """SELECT c_custkey AS AddressId, c_name AS AddressLine1,
   NULLIF(c_mktsegment, 'MACHINERY') AS AddressLine2,
   CASE c_nationkey WHEN 3 THEN '' WHEN 4 THEN '  ' ELSE 'city ' || c_nationkey END AS City,
   CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS Balance FROM customer"""
-SALES_ORDER_DETAIL = """SELECT CAST(l_orderkey AS INTEGER) AS SalesOrderID,
+SALES_ORDER_DETAIL = """SELECT CAST(l_orderkey AS VARCHAR) AS SalesOrderID,
   l_linenumber AS SalesOrderDetailID, CAST(l_quantity AS INTEGER) AS OrderQty,
   CAST(l_extendedprice AS DECIMAL(19,4)) AS UnitPrice,
   CAST(NULLIF(l_discount, 0) AS DECIMAL(19,4)) AS UnitPriceDiscount FROM lineitem"""

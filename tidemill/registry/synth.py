@@ -32,7 +32,7 @@ def generated(table: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def build(spark: SparkSession, folder: str) -> DataFrame:
         numbers = adapters.table(spark, folder, source).select(key)
-        return plain(synth.generate_from(numbers, table, SEED))
+        return plain(synth.generate_from(numbers, table, SEED, "bigint"))
 
     return build
 
@@ -48,7 +48,8 @@ class _Sql:
 
     def number(self, column: str, index: str = "i") -> str:
         s = synth.Stream.of(SEED, self.table, column)
-        first = f"(({index}) % {synth.PRIME} * {s.multiplier} + {s.offset}) % {synth.PRIME}"
+        cycle = f"({index}) // {synth.PRIME} * {synth.CYCLE_STEP}"
+        first = f"(({index}) % {synth.PRIME} * {s.multiplier} + {cycle} + {s.offset}) % {synth.PRIME}"
         second = f"(({first}) * 69621 + {s.offset}) % {synth.OTHER_PRIME}"
         return f"(({second}) * 39373 % {synth.PRIME})"
 
