@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import SparkSession
 
-from tidemill.session import configure
+from tidemill.session import clean, configure
 
 
 @pytest.fixture(scope="session")
@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
     )
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
+    clean(session)
     session.stop()
 
 

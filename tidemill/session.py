@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,21 +27,41 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
-
-    Only a local-mode session may go without the setting; it then gets a fresh
-    temporary folder as its checkpoint directory, so that later calls agree.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not context.master.startswith("local"):
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's
+    checkpoint directory where the setting is absent."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
-    return context.getCheckpointDir().rstrip("/")
+    return folder.rstrip("/")
+
+
+_made: set[str] = set()
 
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new, empty path under the shared folder for one run of ``name``."""
-    return f"{shared_folder(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    """A new, empty path under the shared folder for one run of ``name``. It is deleted
+    by :func:`clean`, at the latest when the driver exits."""
+    path = f"{shared_folder(spark)}/tidemill/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean_at_exit)
+    _made.add(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a workspace, wherever the shared folder is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    _made.discard(path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every workspace this driver made."""
+    for path in list(_made):
+        delete(spark, path)
+
+
+def _clean_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        clean(spark)
