@@ -11,8 +11,8 @@ passage found in thousands of texts is not a column of texts that have words of
    any order gives the same result.
 2. A second scan makes the incidence rows, shuffled by column. Columns with one text go.
 3. Star round: each text is compared with the one text it shares most columns with, out of
-   the smallest ids of its columns. Groups of copies, however large, come together here
-   without a pair for each two members.
+   the smallest ids of its columns, if these columns reach the bound of step 4. Groups of
+   copies, however large, come together here without a pair for each two members.
 4. Block product of what is left: pairs of texts of different classes in one column, hot
    columns cut into blocks dealt as tasks of their own. The overlap counts of a pair are
    summed and those that cannot reach the size-derived bound are discarded.
@@ -306,19 +306,33 @@ def near_duplicates(
         "jaccard-shared",
     )
 
-    wanted = staged(shared.select("id").distinct(), "jaccard-wanted")
-    chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = staged(texts.join(chosen, "id").select("id", "text").mapInArrow(_sets(size), "id long, members array<long>"), "jaccard-sets")
-
+    def reaches(common, both, larger):
+        """Whether a pair with ``common`` leading columns can be similar enough: what it
+        shares beyond them comes after the leading columns of one of the two sets."""
+        beyond = F.floor(num * larger / den).cast("long")
+        return (num + den) * (common + beyond) >= num * both
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = staged(pairs.select("a", "b"), "jaccard-pairs")
+        ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-wanted")
+        chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        sets = texts.join(chosen, "id").select("id", "text").mapInArrow(_sets(size), "id long, members array<long>")
+        sets = staged(sets, "jaccard-sets")
+        links = staged(_linked(pairs, sets, similarity), "jaccard-links")
+        unstage(pairs, ids, sets)
+        return links
+
+    both, larger = F.col("n") + F.col("hub_n"), F.greatest("n", "hub_n")
     stars = (
-        shared.where((F.col("id") != F.col("hub")) & (den * F.least("n", "hub_n") >= num * F.greatest("n", "hub_n")))
+        shared.where(F.col("id") != F.col("hub"))
         .groupBy("id", "hub")
-        .agg(F.count("*").alias("c"))
+        .agg(F.count("*").alias("c"), F.min(both).alias("both"), F.max(larger).alias("larger"))
+        .where(reaches(F.col("c"), F.col("both"), F.col("larger")))
         .groupBy("id")
         .agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("best"))
         .select(F.col("id").alias("b"), (-F.col("best.h")).alias("a"))
     )
-    links = staged(_linked(stars, sets, similarity), "jaccard-links")
+    links = verified(stars)
     classes = connected(links)
 
     rest = shared.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id"))
@@ -333,11 +347,9 @@ def near_duplicates(
         # an id whose rows differ has several sizes: the bound holds for each of them
         .agg(F.count("*").alias("c"), F.min(F.col("na") + F.col("nb")).alias("both"), F.max(F.greatest("na", "nb")).alias("larger"))
     )
-    # shared members are counted, or come after the columns of one of the two sets
-    beyond = F.floor(num * F.col("larger") / den).cast("long")
-    left = counted.where((num + den) * (F.col("c") + beyond) >= num * F.col("both"))
-    links = staged(links.unionByName(_linked(left, sets, similarity)), "jaccard-links")
-    unstage(sets, shared, wanted)
+    left = counted.where(reaches(F.col("c"), F.col("both"), F.col("larger")))
+    links = staged(links.unionByName(verified(left)), "jaccard-links")
+    unstage(shared)
 
     copies = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
     copies = staged(copies.where("c > 1").select("key", "rep"), "jaccard-copies")
