@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemill.llm.entropy_mix import entropy_mix, source_key, weighted_targets, words
 from tidemill.llm.jaccard_join import near_duplicates
+from tidemill.llm.stages import staged
+from tidemill.llm.warc_chunks import chunked, read_archives, write_archives
 from tidemill.registry.query import Query
+from tidemill.session import workspace
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -17,6 +22,40 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.toDF("doc_id", "n_shingles", "component_id")
 
 
+def mix(spark: SparkSession, folder: str) -> DataFrame:
+    sized = staged(
+        _table(spark, folder, "documents").select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sized"
+    )
+    key = source_key(F.col("source")).alias("key")
+    targets = staged(weighted_targets(sized.groupBy(key).agg(F.sum("size").alias("words"))), "mix-targets")
+    mixed = entropy_mix(sized, targets).select("*", key).join(targets, "key", "left")
+    taken = F.col("copies") * F.col("size")
+    return mixed.select("doc_id", "size", F.col("words").alias("source_size"), "target", taken.alias("taken"), "source", "rate", "copies")
+
+
+def warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = workspace(spark, "warc")
+    write_archives(chunked(_table(spark, folder, "pages")), path)
+    return read_archives(spark, path).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to"
+    )
+
+
 QUERIES = {
+    "op5_entropy_mix": Query(mix),
     "op8_jaccard_join": Query(jaccard_join),
+    "op10_warc": Query(
+        warc,
+        """
+        WITH rows AS (
+            SELECT page_id, encode(coalesce(html, '')) AS payload, sha256(coalesce(html, '')) AS digest FROM pages
+        ), firsts AS (
+            SELECT digest, min(page_id) AS first FROM rows WHERE octet_length(payload) >= 100 GROUP BY digest HAVING count(*) > 1
+        )
+        SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, digest AS payload_digest,
+            CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM rows LEFT JOIN firsts USING (digest)
+        """,
+    ),
 }
