@@ -46,8 +46,9 @@ COLUMN_BLOCK = 2048
 #: Up to so many ids (8 bytes each) are sent to the executors instead of joined.
 BROADCAST_IDS = 2_000_000
 
+_SHARED = ["column", "id", "n", "place", "hub", "hub_n", "hub_place", "block", "blocks"]
 _FACTS = "kind int, id long, n long, key long"
-_ENTRIES = pa.schema([("column", pa.int64()), ("id", pa.int64()), ("n", pa.int64())])
+_ENTRIES = pa.schema([("column", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
 
 def _set_key(members: np.ndarray) -> int:
@@ -114,6 +115,7 @@ def _entries(size: int, similarity: tuple[int, int], frequent):
                     pa.array(np.concatenate([np.zeros(0, np.uint64), *columns]).view(np.int64)),
                     pa.array(np.repeat(np.array([i for i, _ in of_key.values()], np.int64), counts)),
                     pa.array(np.repeat(np.array([len(own) for _, own in of_key.values()], np.int64), counts)),
+                    pa.array(np.concatenate([np.zeros(0, np.int64), *map(np.arange, counts)])),
                 ],
                 schema=_ENTRIES,
             )
@@ -150,30 +152,19 @@ def _edges(values: list[np.ndarray]) -> np.ndarray:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of columns that several texts hold, with the column's smallest id (hub), its
-    number of blocks and the row's own block."""
-    for column, ids, n in _runs(batches, 1):
+    """Rows of columns that several texts hold: the text's id, set size and place of the
+    column in its order, the same of the column's smallest id (hub), the row's own block
+    and the number of blocks."""
+    for column, ids, n, place in _runs(batches, 1):
         edge = _edges([column])
         members = np.diff(edge)
-        hub = np.minimum.reduceat(ids, edge[:-1])
-        hub_n = n[np.lexsort((ids, np.repeat(np.arange(len(members)), members)))][edge[:-1]]
-        place = np.arange(len(ids)) - np.repeat(edge[:-1], members)
-        many = np.repeat(members > 1, members)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(x[many])
-                for x in (
-                    column,
-                    ids,
-                    n,
-                    np.repeat(hub, members),
-                    np.repeat(hub_n, members),
-                    place // COLUMN_BLOCK,
-                    np.repeat(-(-members // COLUMN_BLOCK), members),
-                )
-            ],
-            ["column", "id", "n", "hub", "hub_n", "block", "blocks"],
-        )
+        run = np.repeat(np.arange(len(members)), members)
+        first = np.lexsort((ids, run))[edge[:-1]][run]
+        block = (np.arange(len(ids)) - edge[:-1][run]) // COLUMN_BLOCK
+        blocks = -(-members // COLUMN_BLOCK)[run]
+        many = (members > 1)[run]
+        rows = (column, ids, n, place, ids[first], n[first], place[first], block, blocks)
+        yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in rows], _SHARED)
 
 
 def _products(similarity: tuple[int, int]):
@@ -181,7 +172,7 @@ def _products(similarity: tuple[int, int]):
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for column, low, high, block, ids, n, cls in _runs(batches, 3):
+        for column, low, high, block, ids, n, place, cls in _runs(batches, 3):
             edge = _edges([column, low, high])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2 or (cls[a:b] == cls[a]).all():
@@ -199,8 +190,9 @@ def _products(similarity: tuple[int, int]):
                         i, j = part[i], right[j]
                         swap = ids[i] > ids[j]
                         i, j = np.where(swap, j, i), np.where(swap, i, j)
+                        after = np.minimum(n[i] - place[i], n[j] - place[j]) - 1
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(v) for v in (ids[i], ids[j], n[i], n[j])], ["a", "b", "na", "nb"]
+                            [pa.array(v) for v in (ids[i], ids[j], n[i], n[j], after)], ["a", "b", "na", "nb", "after"]
                         )
 
     return run
@@ -247,13 +239,15 @@ def connected(edges: DataFrame) -> DataFrame:
         large = large.distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u")
-        directed = staged(
+        following = staged(
             small.where("v <> m")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(lowest.select("u", F.col("m").alias("v")))
             .distinct(),
             "edges",
         )
+        unstage(directed)
+        directed = following
         now = directed.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             break
@@ -297,20 +291,19 @@ def near_duplicates(
     grade = np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((hashes[order], grade[order]))
     shared = staged(
-        texts.mapInArrow(_entries(size, similarity, frequent), "column long, id long, n long")
+        texts.mapInArrow(_entries(size, similarity, frequent), "column long, id long, n long, place long")
         .repartition("column")
         .sortWithinPartitions("column")
-        .mapInArrow(
-            _shared, "column long, id long, n long, hub long, hub_n long, block long, blocks long"
-        ),
+        .mapInArrow(_shared, ", ".join(f"{c} long" for c in _SHARED)),
         "jaccard-shared",
     )
 
-    def reaches(common, both, larger):
-        """Whether a pair with ``common`` leading columns can be similar enough: what it
-        shares beyond them comes after the leading columns of one of the two sets."""
-        beyond = F.floor(num * larger / den).cast("long")
-        return (num + den) * (common + beyond) >= num * both
+    def reaches(na, nb, common, after):
+        """Whether two sets with ``common`` leading columns can be similar enough: what else
+        they share comes after the last of these in both (``after`` members at most), and
+        after the leading columns of one of the two."""
+        beyond = F.least(after, F.floor(num * F.greatest(na, nb) / den).cast("long"))
+        return (num + den) * (common + beyond) >= num * (na + nb)
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = staged(pairs.select("a", "b"), "jaccard-pairs")
@@ -322,12 +315,12 @@ def near_duplicates(
         unstage(pairs, ids, sets)
         return links
 
-    both, larger = F.col("n") + F.col("hub_n"), F.greatest("n", "hub_n")
+    after = F.least(F.col("n") - F.col("place"), F.col("hub_n") - F.col("hub_place")) - 1
     stars = (
         shared.where(F.col("id") != F.col("hub"))
-        .groupBy("id", "hub")
-        .agg(F.count("*").alias("c"), F.min(both).alias("both"), F.max(larger).alias("larger"))
-        .where(reaches(F.col("c"), F.col("both"), F.col("larger")))
+        .groupBy("id", "n", "hub", "hub_n")
+        .agg(F.count("*").alias("c"), F.min(after).alias("after"))
+        .where(reaches(F.col("n"), F.col("hub_n"), F.col("c"), F.col("after")))
         .groupBy("id")
         .agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("best"))
         .select(F.col("id").alias("b"), (-F.col("best.h")).alias("a"))
@@ -338,16 +331,15 @@ def near_duplicates(
     rest = shared.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id"))
     dealt = rest.withColumn(
         "other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long"))))
-    ).select("column", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "cls")
+    ).select("column", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "place", "cls")
     counted = (
         dealt.repartition("column", "low", "high")
         .sortWithinPartitions("column", "low", "high")
-        .mapInArrow(_products(similarity), "a long, b long, na long, nb long")
-        .groupBy("a", "b")
-        # an id whose rows differ has several sizes: the bound holds for each of them
-        .agg(F.count("*").alias("c"), F.min(F.col("na") + F.col("nb")).alias("both"), F.max(F.greatest("na", "nb")).alias("larger"))
+        .mapInArrow(_products(similarity), "a long, b long, na long, nb long, after long")
+        .groupBy("a", "b", "na", "nb")
+        .agg(F.count("*").alias("c"), F.min("after").alias("after"))
     )
-    left = counted.where(reaches(F.col("c"), F.col("both"), F.col("larger")))
+    left = counted.where(reaches(F.col("na"), F.col("nb"), F.col("c"), F.col("after"))).select("a", "b").distinct()
     links = staged(links.unionByName(verified(left)), "jaccard-links")
     unstage(shared)
 
