@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.entropy_mix import entropy_mix, source_key, weighted_targets, words
 from tidemill.llm.jaccard_join import near_duplicates
+from tidemill.llm.linear_packing import linear_packing
 from tidemill.llm.stages import staged
 from tidemill.llm.warc_chunks import chunked, read_archives, write_archives
 from tidemill.registry.query import Query
@@ -33,6 +35,11 @@ def mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "size", F.col("words").alias("source_size"), "target", taken.alias("taken"), "source", "rate", "copies")
 
 
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = linear_packing(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.toDF("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def warc(spark: SparkSession, folder: str) -> DataFrame:
     path = workspace(spark, "warc")
     write_archives(chunked(_table(spark, folder, "pages")), path)
@@ -43,6 +50,7 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op5_entropy_mix": Query(mix),
+    "op6_linear_packing": Query(packing),
     "op8_jaccard_join": Query(jaccard_join),
     "op10_warc": Query(
         warc,
