@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.entropy_mix import entropy_mix, source_key, weighted_targets, words
 from tidemill.llm.jaccard_join import near_duplicates
 from tidemill.llm.linear_packing import linear_packing
+from tidemill.llm.pii_votes import BASE, listed, pii_spans
 from tidemill.llm.stages import staged
 from tidemill.llm.warc_chunks import chunked, read_archives, write_archives
 from tidemill.registry.query import Query
@@ -40,6 +41,17 @@ def packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed.toDF("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii_spans(_table(spark, folder, "documents").select("doc_id", "text"), keep_text=False)
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def warc(spark: SparkSession, folder: str) -> DataFrame:
     path = workspace(spark, "warc")
     write_archives(chunked(_table(spark, folder, "pages")), path)
@@ -51,6 +63,7 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op5_entropy_mix": Query(mix),
     "op6_linear_packing": Query(packing),
+    "op7_pii_votes": Query(pii),
     "op8_jaccard_join": Query(jaccard_join),
     "op10_warc": Query(
         warc,
