@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.entropy_mix import entropy_mix, source_key, weighted_targets, words
 from tidemill.llm.jaccard_join import near_duplicates
+from tidemill.llm.kneser_ney import STATS, quality
 from tidemill.llm.linear_packing import linear_packing
 from tidemill.llm.pii_votes import BASE, listed, pii_spans
 from tidemill.llm.stages import staged
@@ -25,6 +26,11 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.toDF("doc_id", "n_shingles", "component_id")
 
 
+def perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality(_table(spark, folder, "documents").select("doc_id", "lang", "text"), keep_text=False)
+    return judged.select("doc_id", *STATS, "base_failed", "kept", "log_perplexity", "lowest", "highest")
+
+
 def mix(spark: SparkSession, folder: str) -> DataFrame:
     sized = staged(
         _table(spark, folder, "documents").select("doc_id", "source", words(F.col("text")).alias("size")), "mix-sized"
@@ -61,6 +67,7 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_kneser_ney": Query(perplexity),
     "op5_entropy_mix": Query(mix),
     "op6_linear_packing": Query(packing),
     "op7_pii_votes": Query(pii),
