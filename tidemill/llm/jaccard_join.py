@@ -11,11 +11,12 @@ passage found in thousands of texts is not a column of texts that have words of
    any order gives the same result.
 2. A second scan makes the incidence rows, shuffled by column. Columns with one text go.
 3. Star round: each text is compared with the one text it shares most columns with, out of
-   the smallest ids of its columns, if these columns reach the bound of step 4. Groups of
-   copies, however large, come together here without a pair for each two members.
+   the hubs of its columns, if these columns reach the bound of step 4. Groups of copies,
+   however large, come together here without a pair for each two members.
 4. Block product of what is left: pairs of texts of different classes in one column, hot
-   columns cut into blocks dealt as tasks of their own. The overlap counts of a pair are
-   summed and those that cannot reach the size-derived bound are discarded.
+   columns cut into blocks dealt as tasks of their own. Pairs that cannot reach the
+   size-derived bound from this column on are not made; the overlap counts of the others
+   are summed, and those that still cannot reach it are discarded.
 5. Candidates of 3 and 4 are compared on their whole sets. Links are merged by alternating
    large-star and small-star steps.
 
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.blocks import blocks, distinct, mixed, shingle_sets
@@ -153,13 +154,14 @@ def _edges(values: list[np.ndarray]) -> np.ndarray:
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of columns that several texts hold: the text's id, set size and place of the
-    column in its order, the same of the column's smallest id (hub), the row's own block
-    and the number of blocks."""
+    column in its order, the same of the column's hub, the row's own block and the number
+    of blocks. The hub has the fewest shingles before the column, hence the fewest that few
+    others hold: in a group of copies, what they are copies of."""
     for column, ids, n, place in _runs(batches, 1):
         edge = _edges([column])
         members = np.diff(edge)
         run = np.repeat(np.arange(len(members)), members)
-        first = np.lexsort((ids, run))[edge[:-1]][run]
+        first = np.lexsort((ids, place, run))[edge[:-1]][run]
         block = (np.arange(len(ids)) - edge[:-1][run]) // COLUMN_BLOCK
         blocks = -(-members // COLUMN_BLOCK)[run]
         many = (members > 1)[run]
@@ -168,11 +170,13 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _products(similarity: tuple[int, int]):
-    """Pairs of texts of different classes within each (column, block, block)."""
+    """Pairs of texts of different classes within each (column, block, block) that can reach
+    the bound: what they share is the column, or one of the ``before`` and ``after`` it that
+    each shares with any text at all, as far as that is known."""
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for column, low, high, block, ids, n, place, cls in _runs(batches, 3):
+        for column, low, high, block, ids, n, before, after, cls in _runs(batches, 3):
             edge = _edges([column, low, high])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2 or (cls[a:b] == cls[a]).all():
@@ -185,14 +189,16 @@ def _products(similarity: tuple[int, int]):
                     if low[a] == high[a]:
                         apart &= ids[x] < ids[y]
                     apart &= den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+                    most = np.minimum(before[x], before[y]) + 1 + np.minimum(after[x], after[y])
+                    apart &= (num + den) * most >= num * (n[x] + n[y])
                     i, j = np.nonzero(apart)
                     if len(i):
                         i, j = part[i], right[j]
                         swap = ids[i] > ids[j]
                         i, j = np.where(swap, j, i), np.where(swap, i, j)
-                        after = np.minimum(n[i] - place[i], n[j] - place[j]) - 1
+                        rest = np.minimum(after[i], after[j])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(v) for v in (ids[i], ids[j], n[i], n[j], after)], ["a", "b", "na", "nb", "after"]
+                            [pa.array(v) for v in (ids[i], ids[j], n[i], n[j], rest)], ["a", "b", "na", "nb", "after"]
                         )
 
     return run
@@ -328,10 +334,15 @@ def near_duplicates(
     links = verified(stars)
     classes = connected(links)
 
-    rest = shared.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id"))
+    # the columns of a text that others have too: what others lack can't be shared
+    own = Window.partitionBy("id", "n")
+    before = F.row_number().over(own.orderBy("place")).cast("long") - 1
+    unknown = F.col("n") - (F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1)
+    placed = shared.withColumn("before", before).withColumn("after", F.count("*").over(own) - F.col("before") - 1 + unknown)
+    rest = placed.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id"))
     dealt = rest.withColumn(
         "other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long"))))
-    ).select("column", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "place", "cls")
+    ).select("column", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "before", "after", "cls")
     counted = (
         dealt.repartition("column", "low", "high")
         .sortWithinPartitions("column", "low", "high")
