@@ -12,6 +12,7 @@ from tidemill.llm.kneser_ney import STATS, quality
 from tidemill.llm.linear_packing import linear_packing
 from tidemill.llm.pii_votes import BASE, listed, pii_spans
 from tidemill.llm.stages import staged
+from tidemill.llm.threshold_topk import exact_topk
 from tidemill.llm.warc_chunks import chunked, read_archives, write_archives
 from tidemill.registry.query import Query
 from tidemill.session import workspace
@@ -26,6 +27,11 @@ def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.toDF("doc_id", "n_shingles", "component_id")
 
 
+def topk(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_topk(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+    return found.toDF("query_id", "rank", "vec_id", "score")
+
+
 def perplexity(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality(_table(spark, folder, "documents").select("doc_id", "lang", "text"), keep_text=False)
     return judged.select("doc_id", *STATS, "base_failed", "kept", "log_perplexity", "lowest", "highest")
@@ -67,6 +73,21 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_threshold_topk": Query(
+        topk,
+        """
+        WITH v AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+        ), ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+        )
+        SELECT * FROM ranked WHERE rank <= 5
+        """,
+    ),
     "op4_kneser_ney": Query(perplexity),
     "op5_entropy_mix": Query(mix),
     "op6_linear_packing": Query(packing),
