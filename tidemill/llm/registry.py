@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.entropy_mix import entropy_mix, source_key, weighted_targets, words
+from tidemill.llm.html_content import main_text
 from tidemill.llm.jaccard_join import near_duplicates
 from tidemill.llm.kneser_ney import STATS, quality
 from tidemill.llm.linear_packing import linear_packing
@@ -32,6 +33,10 @@ def topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.toDF("query_id", "rank", "vec_id", "score")
 
 
+def html(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(_table(spark, folder, "pages")).toDF("page_id", "url", "text", "n_chars")
+
+
 def perplexity(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality(_table(spark, folder, "documents").select("doc_id", "lang", "text"), keep_text=False)
     return judged.select("doc_id", *STATS, "base_failed", "kept", "log_perplexity", "lowest", "highest")
@@ -88,6 +93,7 @@ QUERIES = {
         SELECT * FROM ranked WHERE rank <= 5
         """,
     ),
+    "op3_html_content": Query(html),
     "op4_kneser_ney": Query(perplexity),
     "op5_entropy_mix": Query(mix),
     "op6_linear_packing": Query(packing),
