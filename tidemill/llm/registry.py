@@ -10,10 +10,12 @@ from tidemill.llm.entropy_mix import entropy_mix, source_key, weighted_targets,
 from tidemill.llm.html_content import main_text
 from tidemill.llm.jaccard_join import near_duplicates
 from tidemill.llm.kneser_ney import STATS, quality
+from tidemill.llm.license_rules import license_scan, scan_sql
 from tidemill.llm.linear_packing import linear_packing
 from tidemill.llm.pii_votes import BASE, listed, pii_spans
 from tidemill.llm.stages import staged
 from tidemill.llm.threshold_topk import exact_topk
+from tidemill.llm.url_templates import judged_urls
 from tidemill.llm.warc_chunks import chunked, read_archives, write_archives
 from tidemill.registry.query import Query
 from tidemill.session import workspace
@@ -33,6 +35,20 @@ def topk(spark: SparkSession, folder: str) -> DataFrame:
     return found.toDF("query_id", "rank", "vec_id", "score")
 
 
+def urls(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels are those of the document that a page shows, whose id ends its path."""
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    shown = F.expr(r"try_cast(regexp_extract(split(url, '[?#]', 2)[0], '/([0-9]+)(?:[.][a-z]+)?/?$', 1) as bigint)")
+    labels = _table(spark, folder, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    labelled = pages.withColumn("shown", shown).join(labels.withColumnRenamed("doc_id", "shown"), "shown", "left")
+    judged = judged_urls(labelled, bad_column="bad")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+def licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def html(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(_table(spark, folder, "pages")).toDF("page_id", "url", "text", "n_chars")
 
@@ -93,12 +109,14 @@ QUERIES = {
         SELECT * FROM ranked WHERE rank <= 5
         """,
     ),
+    "op2_url_templates": Query(urls),
     "op3_html_content": Query(html),
     "op4_kneser_ney": Query(perplexity),
     "op5_entropy_mix": Query(mix),
     "op6_linear_packing": Query(packing),
     "op7_pii_votes": Query(pii),
     "op8_jaccard_join": Query(jaccard_join),
+    "op9_license_rules": Query(licenses, scan_sql()),
     "op10_warc": Query(
         warc,
         """
