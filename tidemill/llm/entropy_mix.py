@@ -176,7 +176,7 @@ def entropy_mix(
     prior = F.lit(1.0) if prior_column is None else F.coalesce(F.col(f"`{prior_column}`").cast("double"), F.lit(1.0))
     drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in key_columns)), 11) / float(1 << 53)
     facts = {"key": source_key(F.col(f"`{source_column}`")), "size": size, "prior": prior, "u": drawn}
-    rows = docs.select(*(c.alias(n) for n, c in facts.items()))
+    rows = staged(docs.select(*(c.alias(n) for n, c in facts.items())), "mix-rows")
     counts = staged(rows.groupBy("key", "size", "prior").agg(F.count("*").alias("n")), "mix-counts")
     wanted = targets.select("key", "target")
     dual = balanced(counts, wanted, cap)
