@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
-from tidemill.operators.changes import latest_per_key, merge_changes, merge_parts
+from tidemill.operators.changes import folded, latest_per_key, merge_changes, merge_parts, net_changes
 
 CHANGE = "op string, basetime double, sequence long, k int, v string"
 TARGET = "k int, v string"
@@ -149,17 +149,47 @@ keys = st.one_of(st.none(), st.integers(0, 6))
 ops = st.sampled_from(["c", "u", "d", "r", None])
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def applied_in_order(target, changes, ops):
+    """Each change in turn, against what the changes before it left."""
+    state = list(target)
+    for op, _, _, k, v in changes:
+        hit = [i for i, (key, _) in enumerate(state) if k is not None and key == k]
+        if not hit:
+            state += [(k, v)] if op in ops else []
+        elif op == "d":
+            state = [row for i, row in enumerate(state) if i not in hit]
+        else:
+            state = [(k, v) if i in hit else row for i, row in enumerate(state)]
+    return sorted(state, key=lambda r: tuple((v is not None, str(v)) for v in r))
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     st.lists(st.tuples(keys, st.sampled_from("ab")), max_size=8),
-    st.lists(st.tuples(ops, keys), max_size=12),
+    st.lists(st.tuples(ops, keys), max_size=14),
     st.sampled_from([{"c"}, {"c", "u"}]),
+    st.integers(1, 5),
 )
-def test_merges_agree_with_applying_the_last_change_of_each_key(spark, before, raw, insert_ops):
+def test_merges_agree_with_applying_change_by_change(spark, before, raw, insert_ops, size):
     changes = [(op, float(i), i, k, f"new {i}") for i, (op, k) in enumerate(raw)]
-    last = list({c[3]: c for c in changes}.values())
-    target = spark.createDataFrame(before, TARGET)
-    latest = latest_per_key(spark.createDataFrame(changes, CHANGE), "k").coalesce(1)
-    expected = applied(before, last, insert_ops)
-    for name, merged in all_merges(target, latest, insert_ops).items():
-        assert sorted_rows(merged) == expected, name
+    target = spark.createDataFrame(before, TARGET).coalesce(1)
+    expected = applied_in_order(before, changes, insert_ops)
+    rows = spark.createDataFrame(changes, CHANGE).coalesce(1)
+    net = net_changes(rows, "k", insert_ops)
+    assert sorted_rows(merge_changes(target, net, "k", insert_ops)) == expected
+    # cut into batches, each reduced by itself
+    batches = None
+    for n, start in enumerate(range(0, len(changes), size)):
+        part = spark.createDataFrame(changes[start : start + size], CHANGE).coalesce(1)
+        part = net_changes(part, "k", insert_ops).withColumn("n", F.lit(n))
+        batches = part if batches is None else batches.unionByName(part)
+    if batches is not None:
+        merged = merge_changes(target, folded(batches, "k", "n"), "k", insert_ops)
+        assert sorted_rows(merged) == expected
+
+
+def test_created_then_updated_in_one_batch_stays(spark):
+    changes = [("c", 1.0, 1, 9, "made"), ("u", 2.0, 2, 9, "changed"), ("d", 1.0, 3, 8, "x"), ("u", 2.0, 4, 8, "y")]
+    target = spark.createDataFrame([(8, "old")], TARGET)
+    net = net_changes(spark.createDataFrame(changes, CHANGE), "k")
+    assert rows(merge_changes(target, net, "k")) == [(9, "changed")]

@@ -133,9 +133,20 @@ def test_repeated_material_is_refused(spark, dims):
     )
     with pytest.raises(ValueError, match="material repeats"):
         doubled.checked()
+    with pytest.raises(ValueError, match="material repeats"):
+        inv.report(facts(spark, {}).withColumn("fct_type", F.lit("f")), doubled)
     assert dims.checked() is dims
 
 
+def test_a_key_may_repeat_outside_the_reported_subsectors(spark, dims):
+    line = dims.product_line.where("subsector is not null").limit(1)
+    other = inv.Dimensions(
+        line.union(line.withColumn("subsector", F.lit("NOT REPORTED"))),
+        dims.material, dims.valuation, dims.conversion, dims.plant,
+    )
+    assert other.checked() is other
+
+
 def test_daily_rollup(spark, dims):
     staged = facts(
         spark, {}, {"material": "M2"}, {"plant": "P3", "currency_key": "USD"}, {"valuation_class": "V2"}

@@ -2,6 +2,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
@@ -37,7 +38,11 @@ def config(spark, tmp_path):
 
 
 def test_full_load(spark, config):
-    silver = full_load(spark, config)
+    with pytest.raises(AnalysisException, match="Missing"):
+        full_load(spark, config)
+    skipped = []
+    silver = full_load(spark, config, skipped=skipped)
+    assert skipped == ["Missing"]
     assert set(silver) == {"Address", "Product", "CustomerAddress", "SalesOrderDetail"}
     assert {"AddressL1", "AddressL2"} <= set(silver["Address"].columns)
     assert "rowguid" not in silver["Address"].columns
@@ -54,7 +59,7 @@ def test_edits_go_through_the_managed_table(spark, config, tmp_path):
         table.delete(F.col("CustomerId") == 1000)
 
     silver = full_load(
-        spark, config, managed_dir=str(tmp_path / "managed"), edits={"CustomerAddress": edit}
+        spark, config, managed_dir=str(tmp_path / "managed"), edits={"CustomerAddress": edit}, skipped=[]
     )["CustomerAddress"]
     assert silver.count() == 10
     assert rows(silver.where("AddressType = 'Airport'"), "CustomerId") == [(12345,)]
@@ -64,11 +69,11 @@ def test_edits_go_through_the_managed_table(spark, config, tmp_path):
 
 
 def test_increments_have_the_schema_of_the_full_load(spark, config, tmp_path):
-    before = full_load(spark, config)
+    before = full_load(spark, config, skipped=[])
     increments = str(tmp_path / "incremental")
     for table, count in (("Address", 5), ("Product", 7)):
         synth.generate(spark, table, count, seed=1).write.parquet(f"{increments}/{table}_part.parquet")
-    after = incremental_load(spark, config, increments)
+    after = incremental_load(spark, config, increments, skipped=[])
     assert after["Address"].schema == before["Address"].schema
     assert (after["Address"].count(), after["Product"].count()) == (25, 37)
     assert after["CustomerAddress"].count() == 10
@@ -79,7 +84,7 @@ def test_increment_reaches_both_zones(spark, config, tmp_path):
     synth.generate(spark, "Address", 5).write.parquet(str(tmp_path / "i" / "Address_part.parquet"))
     for _ in range(2):
         land_increment(
-            spark, config, str(tmp_path / "i"), str(tmp_path / "landing"), str(tmp_path / "bz")
+            spark, config, str(tmp_path / "i"), str(tmp_path / "landing"), str(tmp_path / "bz"), skipped=[]
         )
     for zone in ("landing", "bz"):
         assert spark.read.parquet(str(tmp_path / zone / "Address")).count() == 10
@@ -94,7 +99,7 @@ def test_cleaning_fills_before_it_recodes(spark, config):
 
 
 def test_profiles_are_written_per_table(spark, config, tmp_path):
-    silver = full_load(spark, config, file_based=True)
+    silver = full_load(spark, config, file_based=True, skipped=[])
     paths = profile_tables(silver, str(tmp_path), datetime(2024, 1, 1), file_based=True)
     assert set(paths) == set(silver)
     stored = spark.read.csv(paths["Product"], header=True)

@@ -1,4 +1,5 @@
 import json
+import shutil
 import time
 from datetime import datetime
 
@@ -186,7 +187,7 @@ def test_batches_in_order_equal_one_batch(spark, workdir):
     )
     query.awaitTermination()
     table = SnapshotTable(spark, str(workdir / "address"))
-    assert table.version().applied[str(workdir / "cp")] == 3
+    assert list(table.applied.values()) == [3]
     # Key 13 lives and dies in different batches, key 11 is an upsert.
     assert rows(table.read(), "AddressID", "City") == [
         (None, "null key"), (1, "updated again"), (3, "snapshot"), (4, "old 4"), (10, "created"),
@@ -205,9 +206,9 @@ def test_restart_continues_from_the_checkpoint(spark, workdir):
 
     publish(spark, workdir / "in", EVENTS[:4])
     run()
-    versions = SnapshotTable(spark, str(workdir / "address")).versions()
+    before = SnapshotTable(spark, str(workdir / "address")).state
     run()
-    assert SnapshotTable(spark, str(workdir / "address")).versions() == versions
+    assert SnapshotTable(spark, str(workdir / "address")).state == before
     publish(spark, workdir / "in", EVENTS[4:], first=4)
     run()
     assert state(spark, workdir / "address", "AddressID", "City") == [
@@ -223,3 +224,39 @@ def test_archive(spark, workdir):
     ).awaitTermination()
     stored = spark.read.parquet(str(workdir / "raw"))
     assert rows(stored, "sequence", "Body") == list(enumerate(EVENTS))
+
+
+def test_a_fresh_checkpoint_at_an_old_path_is_another_stream(spark, workdir):
+    def run():
+        stream_into_one(
+            stream(spark, workdir / "in"), targets(workdir)[0], str(workdir / "cp"), available_now=True
+        ).awaitTermination()
+
+    publish(spark, workdir / "in", [event("c", (70, "first"))])
+    run()
+    shutil.move(workdir / "cp", workdir / "old")
+    publish(spark, workdir / "in", [event("c", (71, "second"))], first=1)
+    run()
+    assert {(70, "first"), (71, "second")} <= set(state(spark, workdir / "address", "AddressID", "City"))
+
+
+def test_null_body_after_a_full_one(spark):
+    frame = spark.createDataFrame([(0, event("c", (1, "x"))), (1, None)], "sequence long, Body string").coalesce(1)
+    got = {r.sequence: r.op for r in decode(frame).collect()}
+    assert got == {0: "c", 1: None}
+
+
+def test_start_position_is_honoured(spark):
+    """Positions are the connector's own options; here the time its first row stands for."""
+    source = EventSource(
+        "rate-micro-batch", options={"rowsPerBatch": "3"}, starting={"startTimestamp": "1700000000000"}
+    )
+    query = source.stream(spark).writeStream.format("memory").queryName("positions").start()
+    try:
+        deadline = time.time() + 60
+        while not spark.table("positions").count() and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    first = spark.sql("select min(unix_millis(timestamp)), min(value) from positions").first()
+    assert tuple(first) == (1700000000000, 0)

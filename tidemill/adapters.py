@@ -227,6 +227,7 @@ def sales_tables(spark: SparkSession, folder: str) -> Mapping[str, DataFrame]:
             F.col("p_partkey").alias("ProductId"),
             F.col("p_name").alias("Name"),
             F.when(F.col("p_type") == "PROMO", F.lit("one size"))
+            .when(F.col("p_partkey") % 5 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".5")))
             .otherwise(F.col("p_size").cast("string"))
             .alias("Size"),
             F.nullif(F.col("p_brand"), F.lit("Brand#7")).alias("Color"),
@@ -259,6 +260,8 @@ ADDRESS = "Person.Address"
 CULTURE = "Production.Culture"
 ADDRESS_KEY = "AddressID"
 CULTURE_KEY = "CultureId"
+ODD_EVERY = 37
+TOMBSTONE, JUNK, NO_KEY, NO_OP, NO_TABLE, TWICE, UNKNOWN_KEY = range(7)
 
 
 def change_events(events: DataFrame, one_table: bool = False) -> DataFrame:
@@ -266,8 +269,12 @@ def change_events(events: DataFrame, one_table: bool = False) -> DataFrame:
 
     Dear events concern addresses, keyed by the user, the others cultures, keyed by
     the event's property; with ``one_table`` all concern addresses. An error is a
-    delete and a purchase a snapshot read.
+    delete and a purchase a snapshot read. A few of every ``ODD_EVERY`` events are odd:
+    a tombstone, a body that is no JSON, a change without a key, one without an operation,
+    one of a table nobody knows, one that arrives twice and a delete of an unknown key.
     """
+    odd = F.pmod(F.col("event_id"), F.lit(ODD_EVERY))
+    events = events.withColumn("user_id", F.when(odd == NO_KEY, None).when(odd == UNKNOWN_KEY, -F.col("event_id") - 1).otherwise(F.col("user_id")))
     stamp = F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS")
     k = F.get_json_object("props", "$.k")
     address = F.to_json(
@@ -280,25 +287,32 @@ def change_events(events: DataFrame, one_table: bool = False) -> DataFrame:
     )
     culture = F.to_json(
         F.struct(
-            F.concat(F.lit("c"), k).alias(CULTURE_KEY),
+            F.when(odd == UNKNOWN_KEY, F.concat(F.lit("x"), F.col("event_id").cast("string")))
+            .when(odd != NO_KEY, F.concat(F.lit("c"), k))
+            .alias(CULTURE_KEY),
             F.col("event_type").alias("Name"),
             stamp.alias("ModifiedDate"),
         )
     )
     is_address = F.lit(True) if one_table else F.col("value") >= 25
+    deleted = (F.col("event_type") == "error") | (odd == UNKNOWN_KEY)
     op = (
-        F.when(F.col("event_type") == "signup", F.lit("c"))
-        .when(F.col("event_type") == "error", F.lit("d"))
-        .when(F.col("event_type") == "purchase", F.lit("r"))
-        .otherwise(F.lit("u"))
+        F.when(odd == NO_OP, F.lit("null"))
+        .when(deleted, F.lit('"d"'))
+        .when(F.col("event_type") == "signup", F.lit('"c"'))
+        .when(F.col("event_type") == "purchase", F.lit('"r"'))
+        .otherwise(F.lit('"u"'))
     )
     null = F.lit("null")
     image = F.when(is_address, address).otherwise(culture)
-    deleted = F.col("event_type") == "error"
+    deleted &= odd != NO_OP
     source = F.to_json(
         F.struct(
             F.when(is_address, F.lit("Person")).otherwise(F.lit("Production")).alias("schema"),
-            F.when(is_address, F.lit("Address")).otherwise(F.lit("Culture")).alias("table"),
+            F.when((odd == NO_TABLE) & F.lit(not one_table), F.lit("Unknown"))
+            .when(is_address, F.lit("Address"))
+            .otherwise(F.lit("Culture"))
+            .alias("table"),
             F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
         )
     )
@@ -307,13 +321,16 @@ def change_events(events: DataFrame, one_table: bool = False) -> DataFrame:
         F.when(deleted, image).otherwise(null),
         F.lit(', "after": '),
         F.when(deleted, null).otherwise(image),
-        F.lit(', "op": "'),
+        F.lit(', "op": '),
         op,
-        F.lit('", "source": '),
+        F.lit(', "source": '),
         source,
         F.lit("}"),
     )
-    return events.select(body.cast("binary").alias("body"), F.col("event_id").alias("sequence"))
+    sent = F.when(odd == JUNK, F.lit("not json {")).when(odd != TOMBSTONE, body)
+    copies = F.explode(F.when(odd == TWICE, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy")
+    rows = events.select(sent.cast("binary").alias("body"), F.col("event_id").alias("sequence"), copies)
+    return rows.drop("copy")
 
 
 def bodies(spark: SparkSession, folder: str, one_table: bool = False) -> DataFrame:

@@ -1,8 +1,6 @@
 from tidemill.functions.cleaning import (
     any_nonzero,
     castable_to_int,
-    is_blank,
-    is_whitespace,
     null_to,
     size_letter,
 )
@@ -12,8 +10,6 @@ __all__ = [
     "any_nonzero",
     "castable_to_int",
     "in_two_year_window",
-    "is_blank",
-    "is_whitespace",
     "month_label",
     "null_to",
     "previous_month_label",

@@ -18,30 +18,25 @@ SIZE_LETTERS = (
 )
 
 
+def whole_number(column: Column) -> Column:
+    """The integer that text stands for, a fraction cut off; NULL where it is no number."""
+    return F.regexp_replace(column, r"^(\s*[+-]?[0-9]+)\.[0-9]*(\s*)$", "$1$2").try_cast("int")
+
+
 def castable_to_int(column: Column) -> Column:
-    """True where the text is an integer."""
-    return column.try_cast("int").isNotNull()
+    """True where the text is a number."""
+    return whole_number(column).isNotNull()
 
 
 def size_letter(column: Column) -> Column:
     """Letter for a numeric size; anything outside the ranges is kept as it is."""
-    number = column.try_cast("int")
+    number = whole_number(column)
     rest = column
     for low, high, letter in reversed(SIZE_LETTERS):
         rest = F.when(number.between(low, high), F.lit(letter)).otherwise(rest)
     return rest
 
 
-def is_blank(column: Column) -> Column:
-    """True for the empty string."""
-    return column == F.lit("")
-
-
-def is_whitespace(column: Column) -> Column:
-    """True for one or more whitespace characters and nothing else."""
-    return column.rlike(r"^\s+$")
-
-
 def null_to(column: Column, default: Any) -> Column:
     return F.coalesce(column, F.lit(default))
 

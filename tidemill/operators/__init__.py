@@ -1,4 +1,4 @@
-from tidemill.operators.changes import latest_per_key, merge_changes, merge_parts
+from tidemill.operators.changes import folded, latest_per_key, merge_changes, merge_parts, net_changes
 from tidemill.operators.cleanse import (
     cast_columns,
     column_types,
@@ -16,9 +16,11 @@ __all__ = [
     "dimension",
     "drop_columns",
     "fill_nulls",
+    "folded",
     "latest_per_key",
     "merge_changes",
     "merge_parts",
+    "net_changes",
     "profile",
     "rename_columns",
     "require_unique",

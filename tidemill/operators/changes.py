@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 INSERT_CREATED = frozenset({"c"})
 INSERT_CREATED_OR_UPDATED = frozenset({"c", "u"})
+DELETED, INSERTS = "_deleted", "_inserts"
 
 
 def latest_per_key(
@@ -33,6 +34,52 @@ def latest_per_key(
     return changes.groupBy(F.col(key).alias("_key")).agg(chosen.alias("_row")).select("_row.*")
 
 
+def net_changes(
+    changes: DataFrame,
+    key: str,
+    insert_ops: Collection[str] = INSERT_CREATED,
+    order: Sequence[str] = ("basetime", "sequence"),
+) -> DataFrame:
+    """What applying all changes of each key, in order, comes to.
+
+    One row per key, the last, with ``_deleted`` (some change deletes, so no older row is
+    left) and ``_inserts`` (whether the last change that deletes or inserts does the
+    latter; NULL without one). Rows without a key match nothing: they stay as they are.
+    """
+    deletes, inserts = _is(F.col("op"), {"d"}), _is(F.col("op"), insert_ops)
+    at = F.struct(*[F.col(c) for c in order])
+    row = F.struct(*[F.col(c) for c in changes.columns])
+    reduced = (
+        changes.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_key"))
+        .agg(
+            F.max_by(row, at).alias("_row"),
+            F.max(deletes).alias(DELETED),
+            F.max_by(inserts, F.when(deletes | inserts, at)).alias(INSERTS),
+        )
+        .select("_row.*", DELETED, INSERTS)
+    )
+    keyless = changes.where(F.col(key).isNull()).select("*", F.lit(False).alias(DELETED), inserts.alias(INSERTS))
+    return reduced.unionByName(keyless)
+
+
+def folded(batches: DataFrame, key: str, batch: str) -> DataFrame:
+    """The net changes of several batches of net changes, numbered by ``batch``."""
+    columns = [c for c in batches.columns if c not in (batch, DELETED, INSERTS)]
+    row = F.struct(*[F.col(c) for c in columns])
+    by_key = (
+        batches.where(F.col(key).isNotNull())
+        .groupBy(F.col(key).alias("_key"))
+        .agg(
+            F.max_by(row, F.col(batch)).alias("_row"),
+            F.max(DELETED).alias(DELETED),
+            F.max_by(F.col(INSERTS), F.when(F.col(INSERTS).isNotNull(), F.col(batch))).alias(INSERTS),
+        )
+        .select("_row.*", DELETED, INSERTS)
+    )
+    return by_key.unionByName(batches.where(F.col(key).isNull()).select(*columns, DELETED, INSERTS))
+
+
 def _is(op: Column, wanted: Collection[str]) -> Column:
     return F.coalesce(op.isin(*wanted), F.lit(False))
 
@@ -76,7 +123,8 @@ def merge_parts(
 
     A matched row is deleted by ``op = 'd'`` and updated by anything else; an
     unmatched change is inserted if its ``op`` is one of ``insert_ops`` and ignored
-    otherwise. ``changes`` hold one row per key unless ``keys_repeat``: then a target
+    otherwise. Net changes say so themselves, and may do both: delete what is there and
+    insert. ``changes`` hold one row per key unless ``keys_repeat``: then a target
     row that several changes match raises, and changes to an unknown key are inserts
     of their own.
 
@@ -84,12 +132,15 @@ def merge_parts(
     or the rows without one, that many target rows share; a full outer join could not.
     With ``few`` the changes must fit in memory, and the target is not shuffled.
     """
+    if DELETED not in changes.columns:
+        op = F.col("op")
+        changes = changes.withColumns({DELETED: _is(op, {"d"}), INSERTS: _is(op, insert_ops)})
     single = _once(changes, key) if keys_repeat else changes
     sent = F.broadcast(single) if few else single
     t = target.alias("t")
     s = sent.withColumn("_s", F.lit(True)).alias("s")
     changed = F.col("_s").isNotNull()
-    stays = ~(changed & _is(F.col("s.op"), {"d"}))
+    stays = ~(changed & F.coalesce(F.col(f"s.{DELETED}"), F.lit(False)))
     if keys_repeat:
         shown = F.col(f"t.{key}").cast("string")
         clash = F.raise_error(
@@ -104,9 +155,12 @@ def merge_parts(
     keys = single.select(key)
     known = target.select(key).join(F.broadcast(keys) if few else keys, key, "left_semi").distinct()
     absent = [f for f in target.schema if f.name not in changes.columns]
+    # an insert after a delete is new whether or not its key was known
+    matched = F.when(~F.col(DELETED), F.col(key))
     new = (
-        changes.where(_is(F.col("op"), insert_ops))
-        .join(known, key, "left_anti")
+        changes.where(F.coalesce(F.col(INSERTS), F.lit(False)))
+        .withColumn("_known", matched)
+        .join(known.select(F.col(key).alias("_known")), "_known", "left_anti")
         .withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
         .select(*target.columns)
     )

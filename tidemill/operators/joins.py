@@ -52,8 +52,12 @@ def dimension(
     estimate = _estimated_bytes(frame)
     if estimate <= _auto_broadcast_bytes(frame) or estimate > worth_measuring:
         return frame
-    rows, size = measured_size(frame)
-    return F.broadcast(frame) if rows <= max_rows and size <= max_bytes else frame
+    held = frame.persist()  # so that the join does not compute it again
+    rows, size = measured_size(held)
+    if rows <= max_rows and size <= max_bytes:
+        return F.broadcast(held)
+    held.unpersist()
+    return frame
 
 
 def require_unique(frame: DataFrame, key: str) -> DataFrame:

@@ -105,10 +105,11 @@ class Dimensions:
     conversion: DataFrame  # by currency_key
     plant: DataFrame  # by plant
 
-    def checked(self) -> Dimensions:
-        """These tables, if none of them repeats its key; a repeat would multiply stock."""
+    def checked(self, subsectors: Sequence[str] = SUBSECTORS) -> Dimensions:
+        """These tables, if none repeats its key among the rows that the report joins; a
+        repeat would multiply stock."""
         for frame, key in (
-            (self.product_line, "tdc_val"),
+            (self.product_line.where(F.col("subsector").isin(*subsectors)), "tdc_val"),
             (self.material, "material"),
             (self.valuation, "valuation_class"),
             (self.conversion, "currency_key"),
@@ -275,8 +276,11 @@ def monthly_rollup(joined: DataFrame, staged: DataFrame) -> DataFrame:
 
 
 def report(staged: DataFrame, dims: Dimensions) -> DataFrame:
-    """Both rollups in one table; a column only one of them has is NULL in the other."""
-    sums = month_sums(star_join(staged, dims))
+    """Both rollups in one table; a column only one of them has is NULL in the other.
+
+    Refuses dimensions that repeat a key.
+    """
+    sums = month_sums(star_join(staged, dims.checked()))
     return union_all_by_name([monthly_from_sums(sums, staged), daily_from_month_sums(sums)])
 
 
@@ -334,7 +338,7 @@ def build_from_catalog(
     refresh(spark, [f"{database}.{t}" for t in (*regions, *DIMENSION_TABLES.values())])
     dims = Dimensions(
         **{field: spark.table(f"{database}.{t}") for field, t in DIMENSION_TABLES.items()}
-    ).checked()
+    )
     facts = {t: project(spark, f"{database}.{t}", FACT_COLUMNS) for t in regions}
     result = report(stage(regional_union(facts, as_of), as_of), dims)
     if path is None:

@@ -71,16 +71,18 @@ def full_load(
     managed_dir: str | None = None,
     keys: Mapping[str, str] | None = None,
     edits: Mapping[str, TableEdit] | None = None,
+    skipped: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """Clean every configured table and replace its silver dataset.
 
     With ``managed_dir`` each table is first kept there as ``<table>Table``, keyed by
     ``keys[table]`` or its first column, and ``edits`` change rows in it before the
-    silver dataset is written from it.
+    silver dataset is written from it. A configured table that is missing raises, unless
+    there is a list for ``skipped`` to add its name to.
     """
     if edits and managed_dir is None:
         raise ValueError("edits need managed tables")
-    frames = read_parquet_tables(spark, config.input_dir(file_based), config.tables)
+    frames = read_parquet_tables(spark, config.input_dir(file_based), config.tables, skipped=skipped)
     silver = {}
     for table, frame in frames.items():
         cleaned = clean(table, frame, config)
@@ -98,23 +100,30 @@ def full_load(
 
 
 def incremental_load(
-    spark: SparkSession, config: LoadConfig, increments: str
+    spark: SparkSession, config: LoadConfig, increments: str, skipped: list[str] | None = None
 ) -> dict[str, DataFrame]:
-    """Clean the increments found under ``increments`` and append them to silver.
+    """Clean the increments under ``increments`` and append them to silver.
 
-    Returns the whole silver tables, read back.
+    Returns the whole silver tables, read back. A table without an increment raises, unless
+    there is a list for ``skipped`` to add its name to.
     """
-    frames = read_parquet_tables(spark, increments, config.tables, INCREMENT_SUFFIX)
+    frames = read_parquet_tables(spark, increments, config.tables, INCREMENT_SUFFIX, skipped)
     for table, frame in frames.items():
         append_parquet(clean(table, frame, config), f"{config.sink_dir}/{table}")
-    return read_parquet_tables(spark, config.sink_dir, config.tables)
+    return read_parquet_tables(spark, config.sink_dir, config.tables, skipped=None if skipped is None else [])
 
 
 def land_increment(
-    spark: SparkSession, config: LoadConfig, increments: str, landing: str, bronze: str
+    spark: SparkSession,
+    config: LoadConfig,
+    increments: str,
+    landing: str,
+    bronze: str,
+    skipped: list[str] | None = None,
 ) -> None:
-    """Append each increment, as it is, to the landing and the bronze zone."""
-    frames = read_parquet_tables(spark, increments, config.tables, INCREMENT_SUFFIX)
+    """Append each increment, as it is, to the landing and the bronze zone. ``skipped`` as
+    for :func:`incremental_load`."""
+    frames = read_parquet_tables(spark, increments, config.tables, INCREMENT_SUFFIX, skipped)
     for table, frame in frames.items():
         append_to_zones(frame, [f"{landing}/{table}", f"{bronze}/{table}"])
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill import adapters
@@ -12,14 +15,16 @@ from tidemill.operators.changes import (
     INSERT_CREATED_OR_UPDATED,
     latest_per_key,
     merge_changes,
+    net_changes,
 )
 from tidemill.registry import sales
 from tidemill.registry.query import Query
 from tidemill.session import workspace
 from tidemill.sinks.streams import archive_bodies
+from tidemill.sources.events import EventSource, event_bodies
 from tidemill.streaming.apply import Target, stream_into_many, stream_into_one, stream_per_table
 from tidemill.streaming.envelope import decode, row_image, typed_changes, with_event_time
-from tidemill.tables.snapshot import SnapshotTable
+from tidemill.tables.snapshot import SnapshotTable, describe_extended
 
 NEW_YEAR = "timestamp '2024-01-01 00:00:00'"
 
@@ -41,13 +46,14 @@ def insert(spark: SparkSession, folder: str) -> DataFrame:
         f"{NEW_YEAR} as ModifiedDate",
     )
     table.insert(new)
-    table.insert_values(12345, 567, "Main Office", F.expr(NEW_YEAR))
+    table.insert_values(-40, 7, "Depot", F.expr(NEW_YEAR))
     return table.read()
 
 
 def update(spark: SparkSession, folder: str) -> DataFrame:
     table = _customer_addresses(spark, folder)
-    table.update(F.col("AddressType") == "Shipping", {"AddressType": "Airport"})
+    table.update(F.col("AddressType") == "Shipping", {"AddressType": "Harbour"})
+    table.update(F.col("CustomerId") == 7, {"AddressId": -1}, keys=[7])
     return table.read()
 
 
@@ -57,13 +63,27 @@ def delete(spark: SparkSession, folder: str) -> DataFrame:
     return table.read()
 
 
-def overwritten(spark: SparkSession, folder: str) -> DataFrame:
-    """A table replaced by its own filtered rows, read at the version before."""
+def described(spark: SparkSession, folder: str) -> DataFrame:
+    """Column names and types that the catalog gives for a table kept by name."""
     table = _customer_addresses(spark, folder)
-    first = table.version().number
-    kept = table.read().where(F.col("AddressType").isNotNull())
-    SnapshotTable.create(kept, table.path, "CustomerId")
-    return table.read(first)
+    with _database(spark) as database:
+        table.publish(f"{database}.customer_address")
+        facts = describe_extended(spark, f"{database}.customer_address").collect()
+    columns = [(r.col_name, r.data_type) for r in facts[: len(table.schema)]]
+    keys = table.read().select(F.count("CustomerId").alias("n_rows"))
+    return spark.createDataFrame(columns, "col_name string, data_type string").crossJoin(F.broadcast(keys))
+
+
+@contextlib.contextmanager
+def _database(spark: SparkSession) -> Iterator[str]:
+    """A database that is dropped with what is in it."""
+    root = workspace(spark, "database")
+    name = f"changes_{root.rsplit('-', 1)[1]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{root}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"DROP DATABASE {name} CASCADE")
 
 
 # -- change events as a batch ---------------------------------------------------------
@@ -121,7 +141,7 @@ def latest_op_first(spark: SparkSession, folder: str) -> DataFrame:
 
 def merged(insert_ops: frozenset[str]):
     def build(spark: SparkSession, folder: str) -> DataFrame:
-        changes = latest_per_key(_address_changes(spark, folder), ADDRESS_KEY)
+        changes = net_changes(_address_changes(spark, folder), ADDRESS_KEY, insert_ops)
         return merge_changes(
             adapters.address_target(spark, folder), changes, ADDRESS_KEY, insert_ops
         )
@@ -129,14 +149,44 @@ def merged(insert_ops: frozenset[str]):
     return build
 
 
-def merged_table(spark: SparkSession, folder: str) -> DataFrame:
+def _merged_table(spark: SparkSession, folder: str) -> SnapshotTable:
     table = SnapshotTable.create(
         adapters.address_target(spark, folder), workspace(spark, "address"), ADDRESS_KEY
     )
-    changes = latest_per_key(_address_changes(spark, folder), ADDRESS_KEY).persist()
-    table.merge(changes, INSERT_CREATED)
-    changes.unpersist()
-    return table.read()
+    table.merge(net_changes(_address_changes(spark, folder), ADDRESS_KEY), INSERT_CREATED)
+    return table
+
+
+def merged_table(spark: SparkSession, folder: str) -> DataFrame:
+    return _merged_table(spark, folder).read()
+
+
+def merged_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """The merged rows, read by their name in the catalog."""
+    table = _merged_table(spark, folder)
+    with _database(spark) as database:
+        table.publish(f"{database}.address")
+        rows = spark.table(f"{database}.address").where("City is not null").select("*")
+        return staged_copy(rows, workspace(spark, "merged_by_name"))
+
+
+def staged_copy(frame: DataFrame, path: str) -> DataFrame:
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def decimals(spark: SparkSession, folder: str) -> DataFrame:
+    """Amounts of many digits, through change events and back."""
+    lines = adapters.table(spark, folder, "orders").selectExpr(
+        "o_orderkey as sequence",
+        "cast(o_orderkey as decimal(15,0)) * 100000000 + 12345678 + cast(o_custkey as decimal(19,4)) / 10000 as Amount",
+    )
+    lines = lines.select("sequence", F.col("Amount").cast("decimal(19,4)").alias("Amount"))
+    source = '"source": {"schema": "Sales", "table": "Order", "ts_ms": 1}'
+    body = F.concat(F.lit('{"before": null, "after": {"Amount": '), F.col("Amount").cast("string"), F.lit(f'}}, "op": "c", {source}}}'))
+    bodies = lines.select("sequence", body.alias("Body"))
+    changes = typed_changes(row_image(decode(bodies)), lines.select("Amount").schema, "Sales.Order")
+    return changes.select("sequence", F.col("Amount").cast("string").alias("amount"))
 
 
 # -- change events as streams ---------------------------------------------------------
@@ -160,6 +210,27 @@ def stream_one(spark: SparkSession, folder: str) -> DataFrame:
     return SnapshotTable(spark, target.path).read()
 
 
+def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """The events in many batches: rows and order are those of one."""
+    root = workspace(spark, "stream_batches")
+    target = _targets(spark, folder, root)[0]
+    events = adapters.table(spark, folder, "events")
+    parts = 5
+    at = F.ntile(parts).over(Window.orderBy("ts", "event_id"))
+    cut = events.withColumn("part", at)
+    for part in range(1, parts + 1):
+        cut.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/log")
+    log = EventSource("parquet", f"{root}/log", {"maxFilesPerTrigger": "1"}, schema=adapters.SCHEMAS["events"])
+    bodies = event_bodies(adapters.change_events(log.stream(spark), one_table=True), sequence="sequence")
+    stream_into_one(bodies, target, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return SnapshotTable(spark, target.path).read()
+
+
+def null_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows without a key, after a stream has brought some."""
+    return stream_one(spark, folder).where(F.col(ADDRESS_KEY).isNull())
+
+
 def _both(spark: SparkSession, targets: list[Target]) -> DataFrame:
     addresses = SnapshotTable(spark, targets[0].path).read()
     cultures = SnapshotTable(spark, targets[1].path).read()
@@ -209,36 +280,49 @@ def archive(spark: SparkSession, folder: str) -> DataFrame:
 
 def _changes(one_table: bool = False) -> str:
     is_address = "true" if one_table else "value >= 25"
+    odd = f"event_id % {adapters.ODD_EVERY}"
+    table = f"CASE WHEN {is_address} THEN 'Person.Address' ELSE 'Production.Culture' END"
+    if not one_table:
+        table = f"""CASE WHEN {odd} <> {adapters.NO_TABLE} THEN {table}
+              WHEN {is_address} THEN 'Person.Unknown' ELSE 'Production.Unknown' END"""
     return f"""
-changes AS (
+readable AS (
   SELECT event_id AS sequence,
-         CASE event_type WHEN 'signup' THEN 'c' WHEN 'error' THEN 'd' WHEN 'purchase' THEN 'r'
+         CASE WHEN {odd} = {adapters.NO_OP} THEN NULL
+              WHEN {odd} = {adapters.UNKNOWN_KEY} OR event_type = 'error' THEN 'd'
+              WHEN event_type = 'signup' THEN 'c' WHEN event_type = 'purchase' THEN 'r'
               ELSE 'u' END AS op,
          {is_address} AS is_address,
-         CASE WHEN {is_address} THEN 'Person.Address' ELSE 'Production.Culture' END AS schemaname,
+         {table} AS schemaname,
          CAST(epoch_us(ts) // 1000 AS DOUBLE) AS basetime,
-         user_id AS AddressID, event_type || ' ' || value AS AddressLine1, props->>'$.k' AS City,
-         'c' || (props->>'$.k') AS CultureId, event_type AS Name, ts AS ModifiedDate
-  FROM events),
+         CASE {odd} WHEN {adapters.NO_KEY} THEN NULL WHEN {adapters.UNKNOWN_KEY} THEN -event_id - 1
+              ELSE user_id END AS AddressID,
+         event_type || ' ' || value AS AddressLine1, props->>'$.k' AS City,
+         CASE {odd} WHEN {adapters.NO_KEY} THEN NULL WHEN {adapters.UNKNOWN_KEY} THEN 'x' || event_id
+              ELSE 'c' || (props->>'$.k') END AS CultureId, event_type AS Name, ts AS ModifiedDate
+  FROM events WHERE {odd} NOT IN ({adapters.TOMBSTONE}, {adapters.JUNK})),
+changes AS (
+  SELECT * FROM readable UNION ALL
+  SELECT * FROM readable WHERE sequence % {adapters.ODD_EVERY} = {adapters.TWICE}),
+unreadable AS (
+  SELECT event_id AS sequence FROM events WHERE {odd} IN ({adapters.TOMBSTONE}, {adapters.JUNK})),
 address_changes AS (
   SELECT op, basetime, sequence, AddressID, AddressLine1, City, ModifiedDate
-  FROM changes WHERE is_address),
+  FROM changes WHERE schemaname = 'Person.Address'),
 culture_changes AS (
-  SELECT op, basetime, sequence, CultureId, Name, ModifiedDate FROM changes WHERE NOT is_address),
+  SELECT op, basetime, sequence, CultureId, Name, ModifiedDate FROM changes
+  WHERE schemaname = 'Production.Culture'),
 latest_address AS (
   SELECT * FROM address_changes
   QUALIFY row_number() OVER (PARTITION BY AddressID ORDER BY basetime DESC, sequence DESC) = 1),
-latest_culture AS (
-  SELECT * FROM culture_changes
-  QUALIFY row_number() OVER (PARTITION BY CultureId ORDER BY basetime DESC, sequence DESC) = 1),
 op_first_address AS (
   SELECT * EXCLUDE (sequence) FROM address_changes
   QUALIFY row_number() OVER (PARTITION BY AddressID
-    ORDER BY op DESC, basetime DESC, AddressLine1 DESC, City DESC, ModifiedDate DESC) = 1),
+    ORDER BY op DESC NULLS LAST, basetime DESC, AddressLine1 DESC, City DESC, ModifiedDate DESC) = 1),
 op_first_culture AS (
   SELECT * EXCLUDE (sequence) FROM culture_changes
   QUALIFY row_number() OVER (PARTITION BY CultureId
-    ORDER BY op DESC, basetime DESC, Name DESC, ModifiedDate DESC) = 1),
+    ORDER BY op DESC NULLS LAST, basetime DESC, Name DESC, ModifiedDate DESC) = 1),
 address AS (
   SELECT s_suppkey AS AddressID, s_name AS AddressLine1, CAST(s_nationkey AS VARCHAR) AS City,
          TIMESTAMP '2023-12-31 00:00:00' AS ModifiedDate FROM supplier),
@@ -248,31 +332,56 @@ culture AS (
 
 
 def _merged(target: str, changes: str, key: str, columns: tuple[str, ...], ops: frozenset[str]) -> str:
+    """One change for each key."""
     inserting = ", ".join(f"'{op}'" for op in sorted(ops))
     shown = ", ".join(
-        f"CASE WHEN s.{key} IS NOT NULL THEN s.{c} ELSE t.{c} END AS {c}" for c in (key, *columns)
+        f"CASE WHEN s.{key} IS NOT NULL OR t.{key} IS NULL THEN s.{c} ELSE t.{c} END AS {c}" for c in (key, *columns)
     )
     return f"""SELECT {shown} FROM {target} t FULL OUTER JOIN {changes} s ON t.{key} = s.{key}
       WHERE (t.{key} IS NOT NULL AND coalesce(s.op, '') <> 'd')
          OR (t.{key} IS NULL AND s.op IN ({inserting}))"""
 
 
+def _in_order(target: str, changes: str, key: str, columns: tuple[str, ...], ops: frozenset[str]) -> str:
+    """Every change in commit order. A key is there at the end if it was and nothing deletes
+    it, or if something inserts it after the last delete; its row is the last one sent."""
+    inserting = ", ".join(f"'{op}'" for op in sorted(ops))
+    names = ", ".join((key, *columns))
+    last = ", ".join(f"s.{c}" for c in (key, *columns))
+    return f"""SELECT {names} FROM {changes} WHERE {key} IS NULL AND op IN ({inserting})
+      UNION ALL
+      SELECT {", ".join(f"t.{c}" for c in (key, *columns))} FROM {target} t
+      WHERE NOT EXISTS (SELECT 1 FROM {changes} s WHERE s.{key} = t.{key})
+      UNION ALL
+      SELECT {last} FROM (
+        SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY basetime, sequence) AS pos
+        FROM {changes} WHERE {key} IS NOT NULL) s
+      JOIN (
+        SELECT {key}, max(pos) AS last_pos, max(pos) FILTER (op = 'd') AS last_d,
+               max(pos) FILTER (op IN ({inserting})) AS last_i
+        FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY basetime, sequence) AS pos
+              FROM {changes} WHERE {key} IS NOT NULL) GROUP BY {key}) e
+        ON e.{key} = s.{key} AND e.last_pos = s.pos
+      WHERE coalesce(last_i > coalesce(last_d, 0), false)
+         OR (last_d IS NULL AND EXISTS (SELECT 1 FROM {target} t WHERE t.{key} = s.{key}))"""
+
+
 _ADDRESS_COLUMNS = ("AddressLine1", "City", "ModifiedDate")
 _CULTURE_COLUMNS = ("Name", "ModifiedDate")
 
 
-def _both_sql(addresses: str, cultures: str, ops: frozenset[str]) -> str:
+def _both_sql(how, addresses: str, cultures: str, ops: frozenset[str]) -> str:
     return f"""WITH {_changes()}
       SELECT 'Person.Address' AS target, CAST(AddressID AS VARCHAR) AS row_key,
              AddressLine1 AS name, ModifiedDate
-      FROM ({_merged("address", addresses, "AddressID", _ADDRESS_COLUMNS, ops)})
+      FROM ({how("address", addresses, "AddressID", _ADDRESS_COLUMNS, ops)})
       UNION ALL
       SELECT 'Production.Culture', CultureId, Name, ModifiedDate
-      FROM ({_merged("culture", cultures, "CultureId", _CULTURE_COLUMNS, ops)})"""
+      FROM ({how("culture", cultures, "CultureId", _CULTURE_COLUMNS, ops)})"""
 
 
 def _address_sql(ops: frozenset[str], one_table: bool = False) -> str:
-    merge = _merged("address", "latest_address", "AddressID", _ADDRESS_COLUMNS, ops)
+    merge = _in_order("address", "address_changes", "AddressID", _ADDRESS_COLUMNS, ops)
     return f"WITH {_changes(one_table)} {merge}"
 
 
@@ -282,12 +391,12 @@ QUERIES = {
         f"""{sales.CUSTOMER_ADDRESS}
         UNION ALL SELECT s_suppkey, s_nationkey, 'Warehouse',
                          TIMESTAMP '2024-01-01 00:00:00' FROM supplier
-        UNION ALL SELECT 12345, 567, 'Main Office', TIMESTAMP '2024-01-01 00:00:00'""",
+        UNION ALL SELECT -40, 7, 'Depot', TIMESTAMP '2024-01-01 00:00:00'""",
     ),
     "table_update": Query(
         update,
-        f"""SELECT CustomerId, AddressId,
-        CASE WHEN AddressType = 'Shipping' THEN 'Airport' ELSE AddressType END AS AddressType,
+        f"""SELECT CustomerId, CASE WHEN CustomerId = 7 THEN -1 ELSE AddressId END AS AddressId,
+        CASE WHEN AddressType = 'Shipping' THEN 'Harbour' ELSE AddressType END AS AddressType,
         ModifiedDate FROM ({sales.CUSTOMER_ADDRESS})""",
     ),
     "table_delete": Query(
@@ -295,17 +404,24 @@ QUERIES = {
         f"""SELECT * FROM ({sales.CUSTOMER_ADDRESS})
         WHERE AddressType <> 'Main Office' OR AddressType IS NULL""",
     ),
-    "table_versions": Query(overwritten, sales.CUSTOMER_ADDRESS),
+    "describe_extended": Query(
+        described,
+        f"""SELECT col_name, data_type, n_rows FROM (VALUES ('CustomerId', 'bigint'), ('AddressId', 'bigint'),
+        ('AddressType', 'string'), ('ModifiedDate', 'timestamp')) AS c(col_name, data_type),
+        (SELECT count(CustomerId) AS n_rows FROM ({sales.CUSTOMER_ADDRESS}))""",
+    ),
     "cdc_extract": Query(
         extract,
         f"""WITH {_changes()} SELECT sequence, op, schemaname, basetime,
-        op = 'd' AS has_before, op <> 'd' AS has_after FROM changes""",
+        coalesce(op, '') = 'd' AS has_before, coalesce(op, '') <> 'd' AS has_after FROM changes
+        UNION ALL SELECT sequence, NULL, NULL, NULL, false, false FROM unreadable""",
     ),
     "cdc_row_image": Query(
         image,
         f"""WITH {_changes()} SELECT sequence, op,
         CASE WHEN is_address THEN CAST(AddressID AS VARCHAR) ELSE CultureId END AS row_key,
-        strftime(ModifiedDate, '%Y-%m-%d %H:%M:%S.%f') AS modified FROM changes""",
+        strftime(ModifiedDate, '%Y-%m-%d %H:%M:%S.%f') AS modified FROM changes
+        UNION ALL SELECT sequence, NULL, NULL, NULL FROM unreadable""",
     ),
     "cdc_typed": Query(
         typed,
@@ -327,18 +443,34 @@ QUERIES = {
         merged(INSERT_CREATED_OR_UPDATED), _address_sql(INSERT_CREATED_OR_UPDATED)
     ),
     "merge_table": Query(merged_table, _address_sql(INSERT_CREATED)),
+    "merge_by_name": Query(
+        merged_by_name, f"SELECT * FROM ({_address_sql(INSERT_CREATED)}) WHERE City IS NOT NULL"
+    ),
+    "cdc_decimals": Query(
+        decimals,
+        """SELECT o_orderkey AS sequence, CAST(CAST(CAST(o_orderkey AS DECIMAL(15,0)) * 100000000 + 12345678
+        + CAST(o_custkey AS DECIMAL(19,4)) / 10000 AS DECIMAL(19,4)) AS VARCHAR) AS amount FROM orders""",
+    ),
+    "cdc_stream_batches": Query(stream_batches, _address_sql(INSERT_CREATED, one_table=True)),
+    "cdc_null_keys": Query(
+        null_keys, f"SELECT * FROM ({_address_sql(INSERT_CREATED, one_table=True)}) WHERE AddressID IS NULL"
+    ),
     "cdc_stream_one": Query(stream_one, _address_sql(INSERT_CREATED, one_table=True)),
     "cdc_stream_multi": Query(
-        stream_many(), _both_sql("latest_address", "latest_culture", INSERT_CREATED_OR_UPDATED)
+        stream_many(),
+        _both_sql(_in_order, "address_changes", "culture_changes", INSERT_CREATED_OR_UPDATED),
     ),
     "cdc_stream_multi_op_first": Query(
         stream_many(op_first=True),
-        _both_sql("op_first_address", "op_first_culture", INSERT_CREATED_OR_UPDATED),
+        _both_sql(_merged, "op_first_address", "op_first_culture", INSERT_CREATED_OR_UPDATED),
     ),
     "cdc_stream_per_table": Query(
-        streams_per_table, _both_sql("latest_address", "latest_culture", INSERT_CREATED)
+        streams_per_table,
+        _both_sql(_in_order, "address_changes", "culture_changes", INSERT_CREATED),
     ),
     "cdc_archive": Query(
-        archive, f"WITH {_changes()} SELECT sequence, op, schemaname FROM changes"
+        archive,
+        f"""WITH {_changes()} SELECT sequence, op, schemaname FROM changes
+        UNION ALL SELECT sequence, NULL, NULL FROM unreadable""",
     ),
 }

@@ -64,9 +64,14 @@ def report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stored_report(spark: SparkSession, folder: str) -> DataFrame:
+    return plain(_stored(spark, folder))
+
+
+def _stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The report as it was stored, which is what its readers read."""
     path = workspace(spark, "inventory_report")
     overwrite_partitioned(_report(spark, folder), path, inv.PARTITION_COLUMNS)
-    return plain(spark.read.parquet(path))
+    return spark.read.parquet(path)
 
 
 def from_catalog(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,9 +84,12 @@ def from_catalog(spark: SparkSession, folder: str) -> DataFrame:
         **adapters.regional_facts(spark, folder),
         **{name: getattr(dims, field) for field, name in inv.DIMENSION_TABLES.items()},
     }
-    for name, frame in tables.items():
-        overwrite_managed(frame, f"{database}.{name}")
-    return plain(inv.build_from_catalog(spark, database, adapters.AS_OF, f"{root}/report"))
+    try:
+        for name, frame in tables.items():
+            overwrite_managed(frame, f"{database}.{name}")
+        return plain(inv.build_from_catalog(spark, database, adapters.AS_OF, f"{root}/report"))
+    finally:  # the report is stored elsewhere
+        spark.sql(f"DROP DATABASE {database} CASCADE")
 
 
 def check(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,16 +98,16 @@ def check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def one_slice(spark: SparkSession, folder: str) -> DataFrame:
-    return plain(inv.slice_of(_report(spark, folder), *SLICE))
+    return plain(inv.slice_of(_stored(spark, folder), *SLICE))
 
 
 def freshness(spark: SparkSession, folder: str) -> DataFrame:
-    return inv.freshness(_report(spark, folder))
+    return inv.freshness(_stored(spark, folder))
 
 
 def row_counts(spark: SparkSession, folder: str) -> DataFrame:
     return (
-        _report(spark, folder).groupBy("fct_type").agg(F.count(F.lit(1)).alias("num_rows"))
+        _stored(spark, folder).groupBy("fct_type").agg(F.count(F.lit(1)).alias("num_rows"))
     )
 
 

@@ -58,8 +58,8 @@ def loaded_and_edited(spark: SparkSession, folder: str) -> DataFrame:
     stamp = F.expr("timestamp '2024-01-01 00:00:00'")
 
     def edit(managed: SnapshotTable) -> None:
-        managed.insert_values(-12345, 567, "Main Office", stamp)
-        managed.update(F.col("CustomerId") == -12345, {"AddressType": "Airport"})
+        managed.insert_values(-70, 8, "Depot", stamp)
+        managed.update(F.col("CustomerId") == -70, {"AddressType": "Harbour"}, keys=[-70])
         managed.delete(F.col("AddressType") == "Shipping")
 
     silver = full_load(
@@ -68,6 +68,51 @@ def loaded_and_edited(spark: SparkSession, folder: str) -> DataFrame:
     return silver[table]
 
 
+ALL = ("Product", "CustomerAddress", "Address", "SalesOrderDetail")
+
+
+def _profiles(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Stored profiles of all tables, in one."""
+    parts = [
+        spark.read.csv(path, header=True, inferSchema=False).select(F.lit(table).alias("table_name"), "*")
+        for table, path in paths.items()
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    counts = [f"cast({c} as bigint) as {c}" for c in ("num_rows", "num_null", "num_distinct", "most_freq_value_count")]
+    return whole.selectExpr("table_name", "column_names", "data_types", *counts)
+
+
+def full_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All configured tables: read, cleaned, managed, changed, stored, profiled to CSV."""
+    root = workspace(spark, "full_pipeline")
+    config = _config(root, *ALL)
+    for table, rows in adapters.sales_tables(spark, folder).items():
+        if table in ALL:
+            overwrite_parquet(rows, f"{config.source_dir}/{table}")
+
+    def edit(managed: SnapshotTable) -> None:
+        managed.delete(F.col("AddressType") == "Shipping")
+
+    silver = full_load(spark, config, managed_dir=f"{root}/managed", edits={"CustomerAddress": edit})
+    return _profiles(spark, profile_tables(silver, root, RUN_AT))
+
+
+def incremental_pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All configured tables in two loads, the first of half the rows, then profiled."""
+    root = workspace(spark, "incremental_pipeline")
+    config = _config(root, *ALL)
+    for table, rows in adapters.sales_tables(spark, folder).items():
+        if table in ALL:
+            first = F.pmod(F.xxhash64(rows.columns[0]), F.lit(2)) == 0
+            overwrite_parquet(rows.where(first), f"{config.source_dir}/{table}")
+            overwrite_parquet(rows.where(~first), f"{root}/incremental/{table}_part.parquet")
+    full_load(spark, config)
+    silver = incremental_load(spark, config, f"{root}/incremental")
+    return _profiles(spark, profile_tables(silver, root, RUN_AT))
+
+
 def incremented(spark: SparkSession, folder: str) -> DataFrame:
     """Closed orders loaded first, the others as an increment."""
     table = "CustomerAddress"
@@ -174,7 +219,43 @@ _PROFILED = (
     "column_names, data_types, num_rows, num_null, num_distinct, most_freq_value_count, most_freq_value"
 )
 
+_SILVER = {
+    "Product": (
+        f"SELECT ProductId, Name, {sales.SIZE} AS Size, Color, ListPrice, Bulky FROM ({sales.FILLED_PRODUCT})",
+        "ProductId bigint, Name string, Size string, Color string, ListPrice double, Bulky boolean",
+    ),
+    "CustomerAddress": (
+        sales.FILLED_CUSTOMER_ADDRESS,
+        "CustomerId bigint, AddressId bigint, AddressType string, ModifiedDate timestamp",
+    ),
+    "Address": (
+        f"SELECT AddressId, AddressLine1 AS AddressL1, AddressLine2 AS AddressL2, City FROM ({sales.FILLED_ADDRESS})",
+        "AddressId bigint, AddressL1 string, AddressL2 string, City string",
+    ),
+    "SalesOrderDetail": (
+        f"SELECT * REPLACE (CAST(SalesOrderID AS BIGINT) AS SalesOrderID) FROM ({sales.FILLED_SALES_ORDER_DETAIL})",
+        "SalesOrderID bigint, SalesOrderDetailID int, OrderQty int, UnitPrice decimal(19,4), "
+        "UnitPriceDiscount decimal(19,4)",
+    ),
+}
+
+
+def _profiles_sql(silver: dict[str, tuple[str, str]]) -> str:
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS table_name, column_names, data_types, num_rows, num_null, num_distinct,
+        most_freq_value_count FROM ({profiles.profile_sql(rows, profiles.column_types(ddl))})"""
+        for table, (rows, ddl) in silver.items()
+    )
+
+
+_EDITED = f"SELECT * FROM ({sales.FILLED_CUSTOMER_ADDRESS}) WHERE AddressType <> 'Shipping'"
+
 QUERIES = {
+    "full_pipeline": Query(
+        full_pipeline,
+        _profiles_sql(_SILVER | {"CustomerAddress": (_EDITED, _SILVER["CustomerAddress"][1])}),
+    ),
+    "incremental_pipeline": Query(incremental_pipeline, _profiles_sql(_SILVER)),
     "full_load_product": Query(
         loaded("Product"),
         f"""SELECT ProductId, Name, {sales.SIZE} AS Size, Color, ListPrice, Bulky
@@ -193,7 +274,7 @@ QUERIES = {
     "full_load_edited": Query(
         loaded_and_edited,
         f"""SELECT * FROM ({sales.FILLED_CUSTOMER_ADDRESS}) WHERE AddressType <> 'Shipping'
-        UNION ALL SELECT -12345, 567, 'Airport', TIMESTAMP '2024-01-01 00:00:00'""",
+        UNION ALL SELECT -70, 8, 'Harbour', TIMESTAMP '2024-01-01 00:00:00'""",
     ),
     "incremental_load": Query(incremented, sales.FILLED_CUSTOMER_ADDRESS),
     "parquet_fanout": Query(

@@ -64,15 +64,15 @@ def profile_sql(source: str, columns: dict[str, str]) -> str:
     return f"WITH src AS ({source}) " + " UNION ALL ".join(rows)
 
 
-def _columns(ddl: str) -> dict[str, str]:
-    return dict(part.strip().split(" ") for part in ddl.split(","))
+def column_types(ddl: str) -> dict[str, str]:
+    return dict(part.strip().split(" ") for part in ddl.split(", "))
 
 
 QUERIES = {
     **{
         f"profile_{name}": Query(
             profile_table(name),
-            profile_sql(f"SELECT * FROM {name}", _columns(adapters.SCHEMAS[name])),
+            profile_sql(f"SELECT * FROM {name}", column_types(adapters.SCHEMAS[name])),
         )
         for name in ("part", "customer", "orders", "lineitem", "events")
     },
@@ -80,7 +80,7 @@ QUERIES = {
         profile_sales_table("Address"),
         profile_sql(
             sales.ADDRESS,
-            _columns(
+            column_types(
                 "AddressId bigint, AddressLine1 string, AddressLine2 string, City string, Balance double"
             ),
         ),
@@ -89,7 +89,7 @@ QUERIES = {
         profile_sales_table("Product"),
         profile_sql(
             sales.PRODUCT,
-            _columns(
+            column_types(
                 "ProductId bigint, Name string, Size string, Color string, ListPrice double, Bulky boolean"
             ),
         ),

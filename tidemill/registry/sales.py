@@ -72,7 +72,8 @@ def alerts(spark: SparkSession, folder: str) -> DataFrame:
 # -- the same in SQL ------------------------------------------------------------------
 
 PRODUCT = """SELECT p_partkey AS ProductId, p_name AS Name,
-  CASE WHEN p_type = 'PROMO' THEN 'one size' ELSE CAST(p_size AS VARCHAR) END AS Size,
+  CASE WHEN p_type = 'PROMO' THEN 'one size' WHEN p_partkey % 5 = 0 THEN p_size || '.5'
+    ELSE CAST(p_size AS VARCHAR) END AS Size,
   NULLIF(p_brand, 'Brand#7') AS Color,
   CASE WHEN p_retailprice >= 905 THEN p_retailprice END AS ListPrice,
   CASE WHEN p_size <> 1 THEN p_size > 25 END AS Bulky FROM part"""
@@ -87,10 +88,10 @@ SALES_ORDER_DETAIL = """SELECT CAST(l_orderkey AS VARCHAR) AS SalesOrderID,
   l_linenumber AS SalesOrderDetailID, CAST(l_quantity AS INTEGER) AS OrderQty,
   CAST(l_extendedprice AS DECIMAL(19,4)) AS UnitPrice,
   CAST(NULLIF(l_discount, 0) AS DECIMAL(19,4)) AS UnitPriceDiscount FROM lineitem"""
-SIZE = """CASE WHEN TRY_CAST(Size AS INTEGER) BETWEEN 38 AND 42 THEN 'S'
-  WHEN TRY_CAST(Size AS INTEGER) BETWEEN 44 AND 48 THEN 'M'
-  WHEN TRY_CAST(Size AS INTEGER) BETWEEN 50 AND 54 THEN 'L'
-  WHEN TRY_CAST(Size AS INTEGER) BETWEEN 56 AND 62 THEN 'XL' ELSE Size END"""
+SIZE = """CASE WHEN TRY_CAST(split_part(Size, '.', 1) AS INTEGER) BETWEEN 38 AND 42 THEN 'S'
+  WHEN TRY_CAST(split_part(Size, '.', 1) AS INTEGER) BETWEEN 44 AND 48 THEN 'M'
+  WHEN TRY_CAST(split_part(Size, '.', 1) AS INTEGER) BETWEEN 50 AND 54 THEN 'L'
+  WHEN TRY_CAST(split_part(Size, '.', 1) AS INTEGER) BETWEEN 56 AND 62 THEN 'XL' ELSE Size END"""
 
 FILLED_PRODUCT = f"""SELECT ProductId, Name, Size, coalesce(Color, 'n/a') AS Color,
   coalesce(ListPrice, -1) AS ListPrice, coalesce(Bulky, false) AS Bulky FROM ({PRODUCT})"""
@@ -125,7 +126,7 @@ QUERIES = {
     "size_recode": Query(size_recode, f"SELECT ProductId, {SIZE} AS Size FROM ({PRODUCT})"),
     "castable_flag": Query(
         castable_flag,
-        f'SELECT Size, TRY_CAST(Size AS INTEGER) IS NOT NULL AS "Value" FROM ({PRODUCT})',
+        f"""SELECT Size, TRY_CAST(split_part(Size, '.', 1) AS INTEGER) IS NOT NULL AS "Value" FROM ({PRODUCT})""",
     ),
     "filter_size_m": Query(
         filter_size_m,

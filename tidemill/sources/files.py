@@ -17,20 +17,22 @@ def read_parquet_tables(
     folder: str,
     tables: Iterable[str],
     suffix: str = "",
-    strict: bool = False,
+    skipped: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """One DataFrame per table under ``folder``, read from ``<table><suffix>``.
 
-    A table that cannot be opened is logged and left out; ``strict`` raises instead.
+    A table that cannot be opened raises. With a list for ``skipped`` it is left out
+    instead, and its name added to the list.
     """
     frames = {}
     for table in tables:
         try:
             frames[table] = spark.read.parquet(f"{folder}/{table}{suffix}")
         except AnalysisException as error:
-            if strict:
+            if skipped is None:
                 raise
             log.warning("skipping %s: %s", table, error)
+            skipped.append(table)
     return frames
 
 

@@ -6,7 +6,6 @@ from tidemill.streaming.apply import (
     stream_per_table,
 )
 from tidemill.streaming.envelope import (
-    changes_of,
     decode,
     row_image,
     typed_changes,
@@ -16,7 +15,6 @@ from tidemill.streaming.envelope import (
 __all__ = [
     "Target",
     "apply_batch",
-    "changes_of",
     "decode",
     "row_image",
     "stream_into_many",

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Collection, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemill.operators.changes import (
     INSERT_CREATED,
     INSERT_CREATED_OR_UPDATED,
     latest_per_key,
+    net_changes,
 )
 from tidemill.sinks.streams import start_batches
 from tidemill.streaming.envelope import decode, row_image, typed_changes, with_event_time
@@ -29,8 +31,10 @@ class Target:
     epoch_millis: Collection[str] = field(default_factory=tuple)
 
 
-def _order(changes: DataFrame) -> list[str]:
-    return [c for c in ("basetime", "sequence") if c in changes.columns]
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """What identifies a stream: the id in its checkpoint, not the checkpoint's path. A
+    new checkpoint at an old path is another stream, whose batches count from 0 again."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
 def apply_batch(
@@ -41,20 +45,19 @@ def apply_batch(
     insert_ops: Collection[str],
     op_first: bool = False,
 ) -> None:
-    """Merge the latest change of each key into ``target``, once per batch.
+    """Apply a batch's changes to ``target`` in order, once per batch.
 
-    The reduced changes are cached because the merge measures them before it uses
-    them; they hold at most one row per key of the batch.
+    With ``op_first`` the one change of each key with the greatest operation is applied
+    instead. Either leaves a row per key, and those without one.
     """
     table = SnapshotTable(changes.sparkSession, target.path)
-    if op_first and "sequence" in changes.columns:
+    if op_first:
         changes = changes.drop("sequence")
-    latest = latest_per_key(changes, target.key, _order(changes), op_first)
-    latest = latest.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        table.merge(latest, insert_ops, stream, batch_id)
-    finally:
-        latest.unpersist()
+        net = latest_per_key(changes, target.key, op_first=True)
+    else:
+        order = [c for c in ("basetime", "sequence") if c in changes.columns]
+        net = net_changes(changes, target.key, insert_ops, order)
+    table.merge(net, insert_ops, stream, batch_id)
 
 
 def _images(bodies: DataFrame) -> DataFrame:
@@ -76,7 +79,7 @@ def stream_into_one(
         changes = with_event_time(changes, modified)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(batch, batch_id, target, checkpoint, insert_ops)
+        apply_batch(batch, batch_id, target, stream_id(batch.sparkSession, checkpoint), insert_ops)
 
     return start_batches(changes, apply, checkpoint, available_now)
 
@@ -98,10 +101,11 @@ def stream_into_many(
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
+        stream = stream_id(batch.sparkSession, checkpoint)
         try:
             for t in targets:
                 changes = typed_changes(batch, schemas[t.name], t.name, t.epoch_millis)
-                apply_batch(changes, batch_id, t, checkpoint, insert_ops, op_first)
+                apply_batch(changes, batch_id, t, stream, insert_ops, op_first)
         finally:
             batch.unpersist()
 
@@ -124,9 +128,10 @@ def stream_per_table(
         checkpoint = f"{checkpoint_root}/{target.name}"
 
         def apply(
-            batch: DataFrame, batch_id: int, target: Target = target, stream_id: str = checkpoint
+            batch: DataFrame, batch_id: int, target: Target = target, checkpoint: str = checkpoint
         ) -> None:
-            apply_batch(batch, batch_id, target, stream_id, insert_ops)
+            stream = stream_id(batch.sparkSession, checkpoint)
+            apply_batch(batch, batch_id, target, stream, insert_ops)
 
         queries.append(start_batches(changes, apply, checkpoint, available_now))
     return queries

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping
+from collections.abc import Collection
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +17,19 @@ def decode(bodies: DataFrame) -> DataFrame:
 
     Gives ``before``, ``after``, ``op``, ``schemaname`` (``schema.table``) and
     ``basetime`` (commit time as a double) next to the columns ``bodies`` brings. The
-    row images stay text; their schema depends on the table named in the source. A
-    body that is not JSON gives NULL in all of them.
+    row images stay text; their schema depends on the table named in the source. They
+    tell events apart, but numbers in them have been through a double: typed rows are
+    parsed from ``Body``, which is kept. A body that is not JSON gives NULL in all of them.
 
-    The text is parsed by generators, not by expressions: a filter on what they give
+    NULL is given to the parser as empty text: for NULL itself it may repeat the fields of
+    the row before. The text is parsed by generators, not by expressions: a filter on what they give
     stays above them, where an expression would be copied into the filter and every
     body parsed once more per mention.
     """
-    carried = [c for c in bodies.columns if c != "Body"]
+    carried = bodies.columns
     outer = bodies.select(
         *carried,
-        F.json_tuple("Body", "before", "after", "op", "source").alias(
+        F.json_tuple(F.coalesce("Body", F.lit("")), "before", "after", "op", "source").alias(
             "before", "after", "op", "_source"
         ),
     )
@@ -36,7 +38,7 @@ def decode(bodies: DataFrame) -> DataFrame:
         "before",
         "after",
         "op",
-        F.json_tuple("_source", "schema", "table", "ts_ms").alias("_schema", "_table", "_ts_ms"),
+        F.json_tuple(F.coalesce("_source", F.lit("")), "schema", "table", "ts_ms").alias("_schema", "_table", "_ts_ms"),
     )
     return inner.select(
         *carried,
@@ -79,8 +81,12 @@ def typed_changes(
     if table is not None:
         images = images.where(F.col("schemaname") == table)
     carried = [c for c in CARRIED if c in images.columns]
-    row = F.from_json("data", _parse_schema(schema, epoch_millis))
-    parsed = images.select(*carried, F.inline(F.array(row)).alias(*[f"_{f.name}" for f in schema]))
+    wanted = _parse_schema(schema, epoch_millis)
+    images_of = StructType([StructField("before", wanted), StructField("after", wanted)])
+    body = F.inline(F.array(F.from_json("Body", images_of))).alias("_before", "_after")
+    both = images.select(*carried, body)
+    row = F.when(F.col("op") == "d", F.col("_before")).otherwise(F.col("_after"))
+    parsed = both.select(*carried, *(row.getField(f.name).alias(f"_{f.name}") for f in schema))
     columns = [
         (
             F.timestamp_millis(F.col(f"`_{f.name}`")).cast(f.dataType)
@@ -93,19 +99,6 @@ def typed_changes(
     return rows.na.drop("all", subset=[c for c in rows.columns if c != "sequence"])
 
 
-def changes_of(
-    images: DataFrame,
-    schemas: Mapping[str, StructType],
-    epoch_millis: Mapping[str, Collection[str]] | None = None,
-) -> dict[str, DataFrame]:
-    """Change rows of each table in ``schemas``, told apart by the source they name."""
-    epochs = epoch_millis or {}
-    return {
-        table: typed_changes(images, schema, table, epochs.get(table, ()))
-        for table, schema in schemas.items()
-    }
-
-
 def with_event_time(
     changes: DataFrame, column: str = "ModifiedDate", delay: str = "20 minutes"
 ) -> DataFrame:

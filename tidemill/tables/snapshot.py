@@ -1,184 +1,157 @@
 """Tables that take inserts, updates, deletes and merges, kept as parquet.
 
-Parquet datasets in open Spark cannot change rows, so a table is a set of hash
-buckets, each a list of immutable directories, and a version names the directories
-that make it up. A change reads the buckets it touches, writes their new contents
-beside the old, and commits by creating the next version file. Readers never see a
-half-written change, and a lost executor costs only the tasks it was running.
-
-    <path>/data/<write>/_bucket=<b>/part-….parquet
-    <path>/versions/<n>.json
+Parquet datasets in open Spark cannot change rows, so a table is a set of hash buckets and
+the batches of changes merged since these were written:
+
+    <path>/base/gen=<g>/_bucket=<b>/part-….parquet
+    <path>/changes/gen=<g>/batch=<n>/part-….parquet
+    <path>/_table.json
+
+A merge writes its net changes and nothing else. Reading folds the batches per key and
+applies them to the buckets; every so many batches they are folded into new buckets, and
+what is no longer read is deleted. Updates and deletes rewrite the buckets that hold a row
+they change. The small file says which generation of each bucket counts and up to which
+batch; it is replaced last, so readers never see half a change. A table has one writer.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Collection, Mapping
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Collection, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-from tidemill.operators.changes import INSERT_CREATED, merge_parts
-from tidemill.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, row_width
-from tidemill.operators.union import union_all_by_name
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+from tidemill.operators.changes import (
+    DELETED,
+    INSERT_CREATED,
+    INSERTS,
+    folded,
+    merge_parts,
+)
+from tidemill.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, measured_size
 from tidemill.sinks.files import spread_by
 
-BUCKET = "_bucket"
-HINT = "versions/_last"
-
-
-class ConcurrentChange(RuntimeError):
-    """Another writer committed the version this change was based on."""
+BUCKET, GENERATION, BATCH = "_bucket", "gen", "batch"
+COMPACT_AFTER = 32
 
 
 @dataclass(frozen=True)
-class Version:
-    """What one version of a table consists of."""
+class State:
+    """What of the files under a table's path counts."""
 
-    number: int
     schema: str
     key: str
     buckets: int
-    # bucket -> writes whose directories hold its rows
-    parts: Mapping[int, tuple[str, ...]]
-    # stream -> last batch applied
-    applied: Mapping[str, int]
+    generation: int = 0  # the newest
+    parts: Mapping[int, int] = field(default_factory=dict)  # bucket -> its generation
+    since: int = 0  # the generation that the batches of changes are based on
+    batches: int = 0
+    applied: Mapping[str, int] = field(default_factory=dict)  # stream -> last batch
 
     def to_json(self) -> str:
-        return json.dumps(
-            {
-                "number": self.number,
-                "schema": json.loads(self.schema),
-                "key": self.key,
-                "buckets": self.buckets,
-                "parts": {str(b): list(v) for b, v in self.parts.items()},
-                "applied": dict(self.applied),
-            }
-        )
+        return json.dumps(vars(self) | {"parts": {str(b): g for b, g in self.parts.items()}})
 
     @classmethod
-    def from_json(cls, text: str) -> Version:
+    def from_json(cls, text: str) -> State:
         raw = json.loads(text)
-        return cls(
-            raw["number"],
-            json.dumps(raw["schema"]),
-            raw["key"],
-            raw["buckets"],
-            {int(b): tuple(v) for b, v in raw["parts"].items()},
-            raw["applied"],
-        )
+        return cls(**raw | {"parts": {int(b): g for b, g in raw["parts"].items()}})
+
+    @property
+    def struct(self) -> StructType:
+        return StructType.fromJson(json.loads(self.schema))
 
 
 class SnapshotTable:
-    """A versioned, hash-bucketed parquet table identified by its path."""
+    """A hash-bucketed parquet table identified by its path."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
 
-    # -- versions -----------------------------------------------------------------
+    # -- state --------------------------------------------------------------------
 
     def _hadoop(self, relative: str) -> tuple[Any, Any]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{relative}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def exists(self) -> bool:
-        return self._latest() > 0
+        fs, path = self._hadoop("_table.json")
+        return fs.exists(path)
 
-    def versions(self) -> list[int]:
-        fs, folder = self._hadoop("versions")
-        if not fs.exists(folder):
-            return []
-        names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json"))
-
-    def _text(self, relative: str) -> str | None:
-        fs, path = self._hadoop(relative)
+    @property
+    def state(self) -> State:
+        fs, path = self._hadoop("_table.json")
         if not fs.exists(path):
-            return None
+            raise FileNotFoundError(f"no table at {self.path}")
         stream = fs.open(path)
         try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return State.from_json(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _latest(self) -> int:
-        """The newest version or 0, found from the hint the last writer left.
-
-        The hint may lag behind after a crash or a race, so later versions are looked
-        for; a table with many versions is not listed.
-        """
-        hint = self._text(HINT)
-        if not hint:
-            known = self.versions()
-            return known[-1] if known else 0
-        number = int(hint)
-        while self._text(f"versions/{number + 1}.json"):
-            number += 1
-        return number
-
-    def version(self, number: int | None = None) -> Version:
-        """A version's description; the latest by default."""
-        number = self._latest() if number is None else number
-        text = self._text(f"versions/{number}.json")
-        if text is None:
-            raise FileNotFoundError(f"no version {number} at {self.path}")
-        return Version.from_json(text)
-
-    def _commit(self, version: Version) -> None:
-        """Create the version file, whole or not at all, unless it already exists."""
-        fs, draft = self._hadoop(f"versions/.{version.number}-{uuid.uuid4().hex}")
+    def _commit(self, state: State) -> State:
+        fs, draft = self._hadoop(f".{uuid.uuid4().hex}.json")
+        _, path = self._hadoop("_table.json")
         stream = fs.create(draft)
         try:
-            stream.write(bytearray(version.to_json(), "utf-8"))
+            stream.write(bytearray(state.to_json(), "utf-8"))
         finally:
             stream.close()
         jvm = self.spark._jvm
-        _, path = self._hadoop(f"versions/{version.number}.json")
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            fs.getUri(), self.spark._jsc.hadoopConfiguration()
-        )
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
         rename = jvm.org.apache.hadoop.fs.Options.Rename
-        keep_existing = self.spark.sparkContext._gateway.new_array(rename, 1)
-        keep_existing[0] = rename.NONE
-        try:
-            files.rename(draft, path, keep_existing)
-        except Py4JJavaError as error:
-            fs.delete(draft, False)
-            raise ConcurrentChange(f"version {version.number} is already taken") from error
-        _, hint = self._hadoop(HINT)
-        stream = fs.create(hint, True)
-        try:
-            stream.write(bytearray(str(version.number), "utf-8"))
-        finally:
-            stream.close()
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        files.rename(draft, path, options)
+        return state
 
     # -- reading ------------------------------------------------------------------
 
     @property
     def schema(self) -> StructType:
-        return StructType.fromJson(json.loads(self.version().schema))
-
-    def read(self, number: int | None = None) -> DataFrame:
-        """The rows of a version; the latest by default."""
-        return self._rows(self.version(number), None)
-
-    def _rows(self, version: Version, buckets: Collection[int] | None) -> DataFrame:
-        schema = StructType.fromJson(json.loads(version.schema))
-        folders = [
-            f"{self.path}/data/{write}/{BUCKET}={b}"
-            for b, writes in sorted(version.parts.items())
-            if buckets is None or b in buckets
-            for write in writes
-        ]
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*folders)
+        return self.state.struct
+
+    @property
+    def applied(self) -> Mapping[str, int]:
+        """The last batch that was merged from each stream."""
+        return self.state.applied
+
+    def read(self) -> DataFrame:
+        """The table's rows."""
+        state = self.state
+        rows = self._base(state).drop(BUCKET)
+        changes = self._changes(state)
+        if changes is None:
+            return rows
+        kept, new = merge_parts(rows, changes, state.key)
+        return kept.unionByName(new)
+
+    def _base(self, state: State, buckets: Collection[int] | None = None) -> DataFrame:
+        """The rows of the buckets as they were last written, with their bucket, which is
+        known from the directory: a filter on it opens no other file."""
+        by_generation: dict[int, list[int]] = {}
+        for bucket, generation in state.parts.items():
+            if buckets is None or bucket in buckets:
+                by_generation.setdefault(generation, []).append(bucket)
+        wanted = F.lit(False)
+        for generation, own in by_generation.items():
+            wanted |= (F.col(GENERATION) == generation) & F.col(BUCKET).isin(own)
+        layout = StructType([*state.struct.fields, StructField(GENERATION, IntegerType()), StructField(BUCKET, IntegerType())])
+        return self.spark.read.schema(layout).parquet(f"{self.path}/base").where(wanted).drop(GENERATION)
+
+    def _changes(self, state: State) -> DataFrame | None:
+        """The net changes since the buckets were written, if there are any."""
+        if not state.batches:
+            return None
+        marks = [StructField(DELETED, BooleanType()), StructField(INSERTS, BooleanType()), StructField(BATCH, IntegerType())]
+        rows = self.spark.read.schema(StructType([*state.struct.fields, *marks]))
+        rows = rows.parquet(f"{self.path}/changes/{GENERATION}={state.since}").where(F.col(BATCH) <= state.batches)
+        return folded(rows, state.key, BATCH)
 
     # -- writing ------------------------------------------------------------------
 
@@ -190,121 +163,77 @@ class SnapshotTable:
             F.when(F.col(key).isNull(), rest).otherwise(F.xxhash64(F.col(key))), F.lit(buckets)
         ).cast("int")
 
-    def _write(
-        self,
-        base: Version,
-        write: str,
-        spread: DataFrame | None = None,
-        in_place: DataFrame | None = None,
-    ) -> None:
-        """Write rows by bucket, in one job.
+    def _write(self, rows: DataFrame, parts: Mapping[int, int]) -> None:
+        """Add rows that know their bucket to the generation of each bucket."""
+        generation = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])[F.col(BUCKET)]
+        rows.withColumn(GENERATION, generation).write.mode("append").partitionBy(GENERATION, BUCKET).parquet(f"{self.path}/base")
 
-        Rows to ``spread`` are brought together by bucket first. Rows written
-        ``in_place`` come straight from a few buckets each, so the task that read them
-        writes them, without a shuffle.
-        """
-        parts = []
-        if in_place is not None:
-            parts.append(self._with_bucket(in_place, base))
-        if spread is not None:
-            parts.append(spread_by(self._with_bucket(spread, base), [BUCKET]))
-        rows = union_all_by_name(parts)
-        rows.write.mode("append").partitionBy(BUCKET).parquet(f"{self.path}/data/{write}")
-
-    def _with_bucket(self, frame: DataFrame, base: Version) -> DataFrame:
-        return frame.withColumn(BUCKET, self._bucket(frame, base.key, base.buckets))
-
-    def _written_buckets(self, write: str) -> set[int]:
-        fs, folder = self._hadoop(f"data/{write}")
-        if not fs.exists(folder):
-            return set()
-        names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        return {int(n.split("=")[1]) for n in names if n.startswith(f"{BUCKET}=")}
-
-    @staticmethod
-    def _new_write(base: Version) -> str:
-        """Directory name for the change after ``base``; never reused, even after a crash."""
-        return f"{base.number + 1}-{uuid.uuid4().hex}"
-
-    def _finish(
-        self,
-        base: Version,
-        write: str,
-        replaced: Collection[int],
-        applied: Mapping[str, int] | None = None,
-    ) -> Version:
-        parts = {b: writes for b, writes in base.parts.items() if b not in replaced}
-        for bucket in self._written_buckets(write):
-            parts[bucket] = (*parts.get(bucket, ()), write)
-        done = replace(
-            base,
-            number=base.number + 1,
-            parts=parts,
-            applied={**base.applied, **(applied or {})},
-        )
-        self._commit(done)
-        return done
+    def _spread(self, rows: DataFrame, state: State) -> DataFrame:
+        return spread_by(rows.withColumn(BUCKET, self._bucket(rows, state.key, state.buckets)), [BUCKET])
 
     @classmethod
     def create(
         cls, frame: DataFrame, path: str, key: str, buckets: int | None = None
     ) -> SnapshotTable:
-        """Write ``frame`` as the next version of the table at ``path``, replacing its rows.
+        """Write ``frame`` as the rows of the table at ``path``, replacing those it has.
 
         ``buckets`` defaults to the session's shuffle width, which is already sized
         to the cluster. More buckets make a small change rewrite less.
         """
         table = cls(frame.sparkSession, path)
         count = buckets or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        base = Version(table._latest(), frame.schema.json(), key, count, {}, {})
-        write = table._new_write(base)
-        table._write(base, write, spread=frame)
-        table._finish(base, write, ())
+        old = table.state if table.exists() else None
+        generation = old.generation + 1 if old else 1
+        parts = dict.fromkeys(range(count), generation)
+        state = State(frame.schema.json(), key, count, generation, parts, since=generation)
+        table._write(table._spread(frame, state), parts)
+        table._commit(state)
+        table._tidy(old)
         return table
 
-    def insert(self, rows: DataFrame) -> Version:
+    def insert(self, rows: DataFrame) -> None:
         """Add rows, matched to the table's columns by name. Nothing is rewritten."""
-        base = self.version()
-        schema = StructType.fromJson(json.loads(base.schema))
-        write = self._new_write(base)
-        typed = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
-        self._write(base, write, spread=typed)
-        return self._finish(base, write, ())
-
-    def insert_values(self, *values: Any) -> Version:
+        state = self._settled()
+        typed = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in state.struct])
+        self._write(self._spread(typed, state), state.parts)
+
+    def insert_values(self, *values: Any) -> None:
         """Add one row given in column order; a value may be a Column."""
         names = self.schema.fieldNames()
         if len(values) != len(names):
             raise ValueError(f"{len(values)} values for {len(names)} columns")
         columns = [v if isinstance(v, Column) else F.lit(v) for v in values]
         row = self.spark.range(1).select([c.alias(n) for n, c in zip(names, columns)])
-        return self.insert(row)
-
-    def update(self, condition: Column, values: Mapping[str, Any]) -> Version:
-        """Set columns where ``condition`` holds."""
-
-        def changed(rows: DataFrame) -> DataFrame:
-            return updated(rows, condition, values)
-
-        return self._rewrite(condition, changed)
-
-    def delete(self, condition: Column) -> Version:
-        """Remove the rows where ``condition`` holds."""
-        return self._rewrite(condition, lambda rows: without(rows, condition))
-
-    def _rewrite(self, condition: Column, change: Callable[[DataFrame], DataFrame]) -> Version:
-        base = self.version()
-        rows = self._rows(base, None)
-        hit = rows.where(condition)
-        touched = {
-            row[0]
-            for row in hit.select(self._bucket(rows, base.key, base.buckets)).distinct().collect()
-        }
-        if not touched:
-            return base
-        write = self._new_write(base)
-        self._write(base, write, in_place=change(self._rows(base, touched)))
-        return self._finish(base, write, touched)
+        self.insert(row)
+
+    def update(self, condition: Column, values: Mapping[str, Any], keys: Sequence[Any] | None = None) -> None:
+        """Set columns where ``condition`` holds. ``keys``, if the condition implies them,
+        say which buckets to open."""
+        self._rewrite(condition, lambda rows: updated(rows, condition, values), keys)
+
+    def delete(self, condition: Column, keys: Sequence[Any] | None = None) -> None:
+        """Remove the rows where ``condition`` holds. ``keys`` as for :meth:`update`."""
+        self._rewrite(condition, lambda rows: without(rows, condition), keys)
+
+    def _rewrite(self, condition: Column, change: Callable[[DataFrame], DataFrame], keys: Sequence[Any] | None) -> None:
+        state = self._settled()
+        opened = None if keys is None else self._buckets_of(keys, state)
+        hit = self._base(state, opened).where(condition)
+        touched = {row[0] for row in hit.select(BUCKET).distinct().collect()}
+        if touched:
+            self._replace(change(self._base(state, touched)), touched, state)
+
+    def _replace(self, rows: DataFrame, touched: Collection[int], state: State) -> None:
+        """Write the buckets ``touched`` anew; rows from a few buckets each need no shuffle."""
+        generation = state.generation + 1
+        parts = dict(state.parts) | dict.fromkeys(touched, generation)
+        self._write(rows, parts)
+        self._commit(replace(state, generation=generation, parts=parts))
+
+    def _buckets_of(self, keys: Sequence[Any], state: State) -> set[int]:
+        kind = state.struct[state.key].dataType
+        values = self.spark.createDataFrame([(k,) for k in keys], StructType([StructField(state.key, kind)]))
+        return {r[0] for r in values.select(self._bucket(values, state.key, state.buckets)).collect()}
 
     def merge(
         self,
@@ -315,33 +244,34 @@ class SnapshotTable:
         keys_repeat: bool = False,
         few_rows: int = MAX_BROADCAST_ROWS,
         few_bytes: int = MAX_BROADCAST_BYTES,
-    ) -> Version:
+    ) -> None:
         """Apply change rows by key. See ``merge_parts`` for what each ``op`` does.
 
         A batch already recorded for ``stream`` is skipped, so a replay is harmless.
-        The changes are measured per bucket first, which says both which buckets to
-        rewrite and whether the changes are few enough to send to the target instead
-        of shuffling it. ``changes`` are read twice; cache them if they are costly.
+        Only the changes are written, unless they lack some of the table's columns, or
+        may repeat a key: then they are applied at once, and measured first, which says
+        whether they are few enough to send to the table instead of shuffling it.
         """
-        base = self.version()
-        if stream is not None and base.applied.get(stream, -1) >= batch_id:
-            return base
-        key = base.key
-        changes = self._typed(changes, StructType.fromJson(json.loads(base.schema)))
-        sizes = self._sizes(changes, base)
-        write = self._new_write(base)
-        rows = sum(n for n, _ in sizes.values())
-        size = sum(b for _, b in sizes.values())
-        few = rows <= few_rows and size <= few_bytes
-        if sizes:
-            target = self._rows(base, sizes.keys())
-            kept, new = merge_parts(target, changes, key, insert_ops, keys_repeat, few)
-            if few:
-                self._write(base, write, spread=new, in_place=kept)
-            else:
-                self._write(base, write, spread=kept.unionByName(new))
-        applied = {} if stream is None else {stream: batch_id}
-        return self._finish(base, write, sizes.keys(), applied)
+        state = self.state
+        if stream is not None and state.applied.get(stream, -1) >= batch_id:
+            return
+        applied = dict(state.applied) if stream is None else {**state.applied, stream: batch_id}
+        changes = self._typed(changes, state.struct)
+        if keys_repeat or not set(state.struct.names) <= set(changes.columns):
+            rows, size = measured_size(changes)
+            few = rows <= few_rows and size <= few_bytes
+            kept, new = merge_parts(self.read(), changes, state.key, insert_ops, keys_repeat, few)
+            self._compacted(kept.unionByName(new), replace(state, applied=applied))
+            return
+        if DELETED not in changes.columns:
+            op = F.coalesce("op", F.lit(""))
+            changes = changes.withColumns({DELETED: op == "d", INSERTS: op.isin(*insert_ops)})
+        number = state.batches + 1
+        path = f"{self.path}/changes/{GENERATION}={state.since}/{BATCH}={number}"
+        changes.select(*state.struct.names, DELETED, INSERTS).write.mode("overwrite").parquet(path)
+        self._commit(replace(state, batches=number, applied=applied))
+        if number >= COMPACT_AFTER:
+            self.compact()
 
     @staticmethod
     def _typed(changes: DataFrame, schema: StructType) -> DataFrame:
@@ -351,19 +281,59 @@ class SnapshotTable:
             {f.name: F.col(f.name).cast(f.dataType) for f in schema if f.name in given}
         )
 
-    def _sizes(self, changes: DataFrame, base: Version) -> dict[int, tuple[int, int]]:
-        """Rows and approximate bytes of the changes, by the bucket they fall into."""
-        schema = StructType.fromJson(json.loads(base.schema))
-        absent = {f.name: F.lit(None).cast(f.dataType) for f in schema}
-        for c in changes.columns:
-            absent.pop(c, None)
-        padded = changes.withColumn("_width", row_width(changes.columns)).withColumns(absent)
-        row = padded.select(*schema.fieldNames(), "_width")
-        bucket = self._bucket(row.drop("_width"), base.key, base.buckets)
-        counted = row.groupBy(bucket.alias(BUCKET)).agg(
-            F.count(F.lit(1)).alias("rows"), F.sum("_width").alias("bytes")
-        )
-        return {r[BUCKET]: (r.rows, r.bytes) for r in counted.collect()}
+    # -- upkeep -------------------------------------------------------------------
+
+    def compact(self) -> None:
+        """Fold all batches into new buckets, and delete what is no longer read.
+
+        What was read until now stays until the next time, for readers at work.
+        """
+        self._compacted(self.read(), self.state)
+
+    def _compacted(self, rows: DataFrame, old: State) -> None:
+        generation = old.generation + 1
+        parts = dict.fromkeys(range(old.buckets), generation)
+        self._write(self._spread(rows, old), parts)
+        self._commit(replace(old, generation=generation, parts=parts, since=generation, batches=0))
+        self._tidy(old)
+
+    def _settled(self) -> State:
+        """The state without batches to fold."""
+        if self.state.batches:
+            self.compact()
+        return self.state
+
+    def _tidy(self, old: State | None) -> None:
+        """Delete directories that neither ``old`` nor the present state reads."""
+        now = self.state
+        states = [now] if old is None else [now, old]
+        live = {f"{GENERATION}={g}/{BUCKET}={b}" for s in states for b, g in s.parts.items()}
+        fs, base = self._hadoop("base")
+        for generation in fs.listStatus(base):
+            if generation.isDirectory():
+                name = generation.getPath().getName()
+                inside = [f for f in fs.listStatus(generation.getPath()) if f.isDirectory()]
+                dead = [f.getPath() for f in inside if f"{name}/{f.getPath().getName()}" not in live]
+                for path in [generation.getPath()] if len(dead) == len(inside) else dead:
+                    fs.delete(path, True)
+        fs, changes = self._hadoop("changes")
+        kept = {f"{GENERATION}={s.since}" for s in states}
+        for folder in fs.listStatus(changes) if fs.exists(changes) else ():
+            if folder.getPath().getName() not in kept:
+                fs.delete(folder.getPath(), True)
+
+    def publish(self, name: str) -> None:
+        """Make the rows readable as ``name`` in the catalog, as they are now."""
+        state = self._settled()
+        if len(set(state.parts.values())) > 1:
+            self.compact()
+            state = self.state
+        columns = ", ".join(f"`{c}`" for c in state.struct.names)
+        generation = next(iter(state.parts.values()))
+        fs, folder = self._hadoop(f"base/{GENERATION}={generation}")
+        nothing = ", ".join(f"cast(null as {f.dataType.simpleString()}) as `{f.name}`" for f in state.struct)
+        rows = f"select {columns} from parquet.`{self.path}/base/{GENERATION}={generation}`" if fs.exists(folder) else f"select {nothing} where false"
+        self.spark.sql(f"create or replace view {name} as {rows}")
 
 
 def updated(rows: DataFrame, condition: Column, values: Mapping[str, Any]) -> DataFrame:
