@@ -2,8 +2,9 @@
 
 Every host has a tree of its URLs' path segments, built level by level. Below a node a
 segment that is rare among its siblings is a value (an id, a slug, a date) and becomes the
-wildcard ``*``. Of the frequent ones, those whose labels do not differ significantly from
-their siblings' (two-proportion z-test) are merged into ``+``; the others keep their name.
+wildcard ``*``. The frequent ones stand in the order of their shares of bad labels, and
+neighbours whose shares do not differ significantly (two-proportion z-test) are merged
+into ``+0``, ``+1``, ...; those without labels into ``+``. The others keep their name.
 What a URL has become when its segments are used up is its template.
 
 A template is rejected by the share of bad labels among its URLs, smoothed towards its
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.stages import staged, unstage
@@ -54,22 +55,30 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 def _level(rows: DataFrame, depth: int) -> DataFrame:
     """``rows`` with the next segment added to their template."""
-    step = rows.withColumn("segment", F.get("segments", F.lit(depth)))
-    going = step.where(F.col("segment").isNotNull())
-    node = ["host", "template"]
-    sums = (F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    branches = going.withColumn("n", F.lit(1)).groupBy(*node, "segment").agg(*sums)
-    totals = branches.groupBy(*node).agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
+    step = rows.withColumn("_segment", F.get("_segments", F.lit(depth)))
+    going = step.where(F.col("_segment").isNotNull())
+    node = ["host", "_template"]
+    sums = (F.count("*").alias("n"), F.sum("_good").alias("_good"), F.sum("_bad").alias("_bad"))
+    branches = going.groupBy(*node, "_segment").agg(*sums)
+    totals = branches.groupBy(*node).agg(F.sum("n").alias("all_n"))
     often = branches.where(F.col("n") >= FREQUENT).join(totals, node).where(F.col("n") >= SHARE * F.col("all_n"))
-    own, others = F.col("good") + F.col("bad"), F.col("all_good") + F.col("all_bad") - F.col("good") - F.col("bad")
-    pooled = F.col("all_bad") / (own + others)
-    apart = F.col("bad") / own - (F.col("all_bad") - F.col("bad")) / others
-    error = F.sqrt(pooled * (1 - pooled) * (1 / own + 1 / others))
-    differs = F.when((own > 0) & (others > 0) & (pooled > 0) & (pooled < 1), F.abs(apart) > SIGNIFICANT * error).otherwise(F.lit(False))
-    named = often.select(*node, "segment", F.when(differs, F.col("segment")).otherwise("+").alias("name"))
-    joined = step.join(named, [*node, "segment"], "left")
-    grown = F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*")))
-    return joined.withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(grown)).select(*rows.columns)
+    # at most 1 / SHARE siblings, in the order of their shares of bad labels: between two
+    # neighbours that differ one group ends and the next begins
+    labelled = often.withColumn("own", F.col("_good") + F.col("_bad")).withColumn("share", F.when(F.col("own") > 0, F.col("_bad") / F.col("own")))
+    labelled = labelled.withColumn("unknown", F.col("share").isNull())
+    siblings = Window.partitionBy(*node, "unknown").orderBy("share", "_segment")
+    bad_before, own_before = F.lag("_bad").over(siblings), F.lag("own").over(siblings)
+    pooled = (F.col("_bad") + bad_before) / (F.col("own") + own_before)
+    error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("own") + 1 / own_before))
+    differs = (F.col("own") > 0) & (own_before > 0) & (F.col("share") - bad_before / own_before > SIGNIFICANT * error)
+    edge = F.when(F.coalesce(F.when((F.col("own") > 0) & (own_before > 0), differs), F.lit(False)), 1).otherwise(0)
+    grouped = labelled.withColumn("edge", edge).withColumn("group", F.sum("edge").over(siblings))
+    members = F.count("*").over(Window.partitionBy(*node, "unknown", "group"))
+    merged = F.when(F.col("unknown"), "+").when(members > 1, F.concat(F.lit("+"), F.col("group").cast("string"))).otherwise(F.col("_segment"))
+    named = grouped.select(*node, "_segment", merged.alias("name"))
+    joined = step.join(named, [*node, "_segment"], "left")
+    grown = F.concat("_template", F.lit("/"), F.coalesce("name", F.lit("*")))
+    return joined.withColumn("_template", F.when(F.col("_segment").isNull(), F.col("_template")).otherwise(grown)).select(*rows.columns)
 
 
 def judged_urls(
@@ -94,29 +103,31 @@ def judged_urls(
     marked = plain.select("*", host.alias("host"), path.alias("path")).withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
     labelled = F.lit(None).cast("boolean") if bad_column is None else F.col(f"`{bad_column}`").cast("boolean")
     bad = F.coalesce(F.col("_rule.verdict") == "block", labelled)
+    parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("path", 2, 1 << 30), "/", levels + 1))
     marked = staged(
-        marked.withColumn("segments", F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring("path", 2, 1 << 30), "/", levels + 1)))
-        .withColumn("bad", F.coalesce(bad.cast("int"), F.lit(0)))
-        .withColumn("good", F.coalesce((~bad).cast("int"), F.lit(0)))
-        .withColumn("template", F.lit("")),
+        marked.select(
+            "*", parts.alias("_segments"), F.lit("").alias("_template"),
+            F.coalesce(bad.cast("int"), F.lit(0)).alias("_bad"), F.coalesce((~bad).cast("int"), F.lit(0)).alias("_good"),
+        ),
         "url-level",
     )
-    deepest = marked.agg(F.max(F.size("segments"))).first()[0] or 0
+    deepest = marked.agg(F.max(F.size("_segments"))).first()[0] or 0
     for depth in range(min(deepest, levels)):
         grown = staged(_level(marked, depth), "url-level")
         unstage(marked)
         marked = grown
-    marked = marked.withColumn("template", F.when(F.size("segments") > levels, F.concat("template", F.lit("/*"))).otherwise(F.col("template")))
-    counts = staged(marked.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")), "url-templates")
+    deeper = F.when(F.size("_segments") > levels, F.concat("_template", F.lit("/*"))).otherwise(F.col("_template"))
+    marked = marked.withColumn("_template", deeper)
+    counts = staged(marked.groupBy("host", "_template").agg(F.sum("_good").alias("g"), F.sum("_bad").alias("b")), "url-templates")
     hosts = counts.groupBy("host").agg(F.sum("g").alias("host_g"), F.sum("b").alias("host_b"))
     everything = counts.agg(F.sum("g").alias("all_g"), F.sum("b").alias("all_b")).first()
     total = (everything["all_g"] or 0) + (everything["all_b"] or 0)
     overall = (everything["all_b"] or 0) / total if total else 0.0
     of_host = (F.col("host_b") + PRIOR * overall) / (F.col("host_b") + F.col("host_g") + PRIOR)
     purity = (F.col("b") + PRIOR * of_host) / (F.col("b") + F.col("g") + PRIOR)
-    pure = counts.join(hosts, "host").select("host", "template", purity.alias("purity"))
-    kept = [c for c in plain.columns]
-    return marked.join(pure, ["host", "template"], "left").select(
-        *(f"`{c}`" for c in kept), "host", "path", F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", F.when(F.col("purity") >= REJECT, "block").otherwise("allow")).alias("verdict"), "template", "purity",
+    pure = counts.join(hosts, "host").select("host", "_template", purity.alias("_purity"))
+    return marked.join(pure, ["host", "_template"], "left").select(
+        *(f"`{c}`" for c in plain.columns), "host", "path", F.col("_rule.rule").alias("rule"),
+        F.coalesce("_rule.verdict", F.when(F.col("_purity") >= REJECT, "block").otherwise("allow")).alias("verdict"),
+        F.col("_template").alias("template"), F.col("_purity").alias("purity"),
     )
