@@ -182,7 +182,8 @@ def entropy_mix(
     dual = balanced(counts, wanted, cap)
     rated = counts.join(dual, "key").join(wanted, "key")
     rated = rated.withColumn(
-        "rate", F.when(F.col("target") > 0, F.least(F.col("prior") * F.exp("lambda"), F.lit(float(cap)))).otherwise(0.0)
+        # rounded: the last digits of a sum depend on the order of its parts
+        "rate", F.when(F.col("target") > 0, F.round(F.least(F.col("prior") * F.exp("lambda"), F.lit(float(cap))), 9)).otherwise(0.0)
     ).select("key", "size", "prior", "n", "rate")
     whole = staged(_whole(rated, cap), "mix-whole")
     split = staged(_thresholds(rows, whole), "mix-split")
