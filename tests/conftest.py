@@ -19,6 +19,9 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield configure(session)
     clean(session)
+    made = ("customers_", "product_", "stock_", "changes_")  # by registered queries
+    names = [t.name for t in session.catalog.listTables()] + [d.name for d in session.catalog.listDatabases()]
+    assert not [n for n in names if n.startswith(made)]
     session.stop()
 
 

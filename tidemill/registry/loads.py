@@ -20,7 +20,7 @@ from tidemill.plans.loads import (
 )
 from tidemill.registry import profiles, sales
 from tidemill.registry.query import Query, plain
-from tidemill.session import workspace
+from tidemill.session import scratch_table, workspace
 from tidemill.sinks.files import overwrite_managed, overwrite_parquet
 from tidemill.sources.catalog import refresh
 from tidemill.sources.files import table_name_of
@@ -144,7 +144,7 @@ def _csv(spark: SparkSession, folder: str) -> tuple[str, str]:
     root = workspace(spark, "csv")
     rows = adapters.table(spark, folder, "customer")
     rows.write.csv(f"{root}/customers.csv", header=False)
-    return root, f"customers_{root.rsplit('-', 1)[1]}"
+    return root, scratch_table(f"customers_{root.rsplit('-', 1)[1]}")
 
 
 def csv_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -167,7 +167,7 @@ def csv_audit(spark: SparkSession, folder: str) -> DataFrame:
 
 def managed(spark: SparkSession, folder: str) -> DataFrame:
     root = workspace(spark, "managed")
-    table = f"product_{root.rsplit('-', 1)[1]}"
+    table = scratch_table(f"product_{root.rsplit('-', 1)[1]}")
     overwrite_managed(adapters.sales_tables(spark, folder)["Product"], table, f"{root}/{table}")
     refresh(spark, [table])
     return spark.table(table)

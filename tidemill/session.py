@@ -36,6 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 _made: set[str] = set()
+_named: set[str] = set()
 
 
 def workspace(spark: SparkSession, name: str) -> str:
@@ -55,8 +56,17 @@ def delete(spark: SparkSession, path: str) -> None:
     _made.discard(path)
 
 
+def scratch_table(name: str) -> str:
+    """``name``, of a catalog table that :func:`clean` drops."""
+    _named.add(name)
+    return name
+
+
 def clean(spark: SparkSession) -> None:
-    """Remove every workspace this driver made."""
+    """Remove every workspace and scratch table this driver made."""
+    for name in list(_named):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _named.discard(name)
     for path in list(_made):
         delete(spark, path)
 
