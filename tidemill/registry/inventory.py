@@ -9,7 +9,7 @@ from tidemill import adapters
 from tidemill.functions import in_two_year_window
 from tidemill.plans import inventory as inv
 from tidemill.registry.query import Query, plain
-from tidemill.session import workspace
+from tidemill.session import scratch_table, workspace
 from tidemill.sinks.files import overwrite_managed, overwrite_partitioned
 
 CHECK_FACT, CHECK_MONTH = "inv_fct_na", "2001-04"
@@ -68,10 +68,11 @@ def stored_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, folder: str) -> DataFrame:
-    """The report as it was stored, which is what its readers read."""
+    """The report as it was stored, read by its name, which is what its readers do."""
     path = workspace(spark, "inventory_report")
-    overwrite_partitioned(_report(spark, folder), path, inv.PARTITION_COLUMNS)
-    return spark.read.parquet(path)
+    name = scratch_table(f"stock_report_{path.rsplit('-', 1)[1]}")
+    overwrite_partitioned(_report(spark, folder), path, inv.PARTITION_COLUMNS, table=name)
+    return spark.table(name)
 
 
 def from_catalog(spark: SparkSession, folder: str) -> DataFrame:

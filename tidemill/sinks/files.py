@@ -81,17 +81,29 @@ def spread_by(frame: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def overwrite_partitioned(
-    frame: DataFrame, path: str, columns: Sequence[str], only_touched: bool = False
+    frame: DataFrame,
+    path: str,
+    columns: Sequence[str],
+    only_touched: bool = False,
+    table: str | None = None,
 ) -> None:
-    """Replace a Hive-partitioned dataset, or just the partitions present in ``frame``."""
+    """Replace a Hive-partitioned dataset, or just the partitions present in ``frame``.
+
+    With ``table`` the whole dataset is replaced and known to the catalog by that name.
+    """
+    if table is not None and only_touched:
+        raise ValueError("a catalog table is replaced as a whole")
     mode = "dynamic" if only_touched else "static"
-    (
+    writer = (
         spread_by(frame, columns)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
         .partitionBy(*columns)
-        .parquet(path)
     )
+    if table is None:
+        writer.parquet(path)
+    else:
+        writer.format("parquet").option("path", path).saveAsTable(table)
 
 
 def write_profile_csv(
