@@ -43,7 +43,7 @@ GROUPS = 32
 PER_GROUP = 32
 #: Configurations are added while one saves more than this share of a sequence.
 GAIN = 0.005
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 # How byte-level BPE cuts a text, and texts that show whether a file does so.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PROBES = (" The", " naïve", " it's 12ab", "x", " été,", " 漢字かな", " 𝔘🙂!", " a.\nB", " A1b2--c", " \x00\x7f")

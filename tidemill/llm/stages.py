@@ -11,8 +11,8 @@ from tidemill.session import delete, workspace
 
 # Text columns make wide rows: batches are cut by size as well as by count.
 ARROW_SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2048",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 
