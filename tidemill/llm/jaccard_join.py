@@ -367,5 +367,5 @@ def near_duplicates(
     twice = named.join(twice, "id").where("rep is not null").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     classes = connected(links.unionByName(to_rep).unionByName(twice))
     return named.join(classes.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component")
+        "id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component")
     )
