@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.blocks import blocks, distinct, mixed, shingle_sets
-from tidemill.llm.stages import columns_or_null, prepared, staged, unstage
+from tidemill.llm.stages import columns_or_null, prepared, released, staged, unstage
 
 SHINGLE_WORDS = 5
 #: Similarity to reach, as a fraction of whole numbers.
@@ -281,7 +281,7 @@ def near_duplicates(
     spark = prepared(docs.sparkSession)
     num, den = similarity
     texts = columns_or_null(docs, [(id_column, "long"), (text_column, "string")]).toDF("id", "text")
-    facts = staged(texts.mapInArrow(_facts(size), _FACTS), "jaccard-facts")
+    facts = staged(texts.mapInArrow(released(_facts(size)), _FACTS), "jaccard-facts")
     rows = facts.where("kind = 0").select("id", "n", "key")
     often = (
         facts.where("kind = 1")
@@ -297,12 +297,13 @@ def near_duplicates(
     grade = np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((hashes[order], grade[order]))
     shared = staged(
-        texts.mapInArrow(_entries(size, similarity, frequent), "column long, id long, n long, place long")
+        texts.mapInArrow(released(_entries(size, similarity, frequent)), "column long, id long, n long, place long")
         .repartition("column")
         .sortWithinPartitions("column")
-        .mapInArrow(_shared, ", ".join(f"{c} long" for c in _SHARED)),
+        .mapInArrow(released(_shared), ", ".join(f"{c} long" for c in _SHARED)),
         "jaccard-shared",
     )
+    frequent.destroy()
 
     def reaches(na, nb, common, after):
         """Whether two sets with ``common`` leading columns can be similar enough: what else
@@ -315,7 +316,7 @@ def near_duplicates(
         pairs = staged(pairs.select("a", "b"), "jaccard-pairs")
         ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "jaccard-wanted")
         chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-        sets = texts.join(chosen, "id").select("id", "text").mapInArrow(_sets(size), "id long, members array<long>")
+        sets = texts.join(chosen, "id").select("id", "text").mapInArrow(released(_sets(size)), "id long, members array<long>")
         sets = staged(sets, "jaccard-sets")
         links = staged(_linked(pairs, sets, similarity), "jaccard-links")
         unstage(pairs, ids, sets)
@@ -346,7 +347,7 @@ def near_duplicates(
     counted = (
         dealt.repartition("column", "low", "high")
         .sortWithinPartitions("column", "low", "high")
-        .mapInArrow(_products(similarity), "a long, b long, na long, nb long, after long")
+        .mapInArrow(released(_products(similarity)), "a long, b long, na long, nb long, after long")
         .groupBy("a", "b", "na", "nb")
         .agg(F.count("*").alias("c"), F.min("after").alias("after"))
     )

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.blocks import Block, blocks, grams, mixed
-from tidemill.llm.stages import columns_or_null, prepared, staged, unstage
+from tidemill.llm.stages import columns_or_null, prepared, released, staged, unstage
 
 ORDER = 5
 BROADCAST_BYTES = 256 << 20
@@ -396,8 +396,8 @@ def scored(
     new = {*STATS, "surprise", "n_grams", "_text", "_block"}
     names = [c for c in docs.columns if c not in new and (keep_text or c != text_column)]
     texts = columns_or_null(docs, [(text_column, "string")])
-    counted = texts.mapInArrow(_counts(order), "half int, gram string, n long").groupBy("half", "gram").agg(F.sum("n").alias("n"))
-    model = staged(kneser_ney(counted, order).mapInArrow(_hashed, "size int, key long, logp float, backoff float"), "model")
+    counted = texts.mapInArrow(released(_counts(order)), "half int, gram string, n long").groupBy("half", "gram").agg(F.sum("n").alias("n"))
+    model = staged(kneser_ney(counted, order).mapInArrow(released(_hashed), "size int, key long, logp float, backoff float"), "model")
     text = F.col(f"`{text_column}`").cast("string") if text_column in docs.columns else F.lit(None).cast("string")
     rows = docs.select(*(f"`{c}`" for c in names), F.coalesce(text, F.lit("")).alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
@@ -407,7 +407,10 @@ def scored(
     found = model.toArrow()
     arrays = Arrays.of(*(found.column(c).to_numpy() for c in ("size", "key", "logp", "backoff")))
     unstage(model)
-    return rows.mapInArrow(_scored(spark.sparkContext.broadcast(arrays.by_size), order, names), schema)
+    sent = spark.sparkContext.broadcast(arrays.by_size)
+    found = rows.mapInArrow(released(_scored(sent, order, names)), schema)
+    found.model = sent
+    return found
 
 
 def _spreads(judged: DataFrame, cell: list[str]) -> DataFrame:
@@ -439,11 +442,14 @@ def quality(
     plain = docs.drop(*new)
     lang = F.col(f"`{lang_column}`").cast("string") if lang_column in plain.columns else F.lit(None).cast("string")
     key = F.when(lang.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), lang))
-    judged = scored(plain, text_column, keep_text, broadcast_bytes=broadcast_bytes).withColumn("_key", key)
+    found = scored(plain, text_column, keep_text, broadcast_bytes=broadcast_bytes)
+    judged = found.withColumn("_key", key)
     judged = judged.withColumn("log_perplexity", F.when(F.col("n_grams") > 0, F.col("surprise") / F.col("n_grams")))
     judged = judged.withColumn("_bin", F.floor(F.log2(F.greatest("n_grams", F.lit(1)))).cast("int"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     judged = staged(judged.withColumn("base_failed", failed), "quality")
+    if "model" in vars(found):
+        found.model.destroy()
     good = judged.where(~F.col("base_failed") & (100 * F.col("n_symbols") <= SYMBOL_PERCENT * F.col("n_words")) & F.col("log_perplexity").isNotNull())
     good = good.select("_key", "_bin", "log_perplexity", F.lit(0).alias("all"))
     bins = _spreads(good, ["_key", "_bin"]).where(F.col("texts") >= MIN_TEXTS).select("_key", "_bin", F.col("spread").alias("bin_spread"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemill.llm.stages import columns_or_null, prepared, staged
+from tidemill.llm.stages import columns_or_null, prepared, released, staged
 
 CAPACITY = 2048
 END_ID = 0
@@ -146,7 +146,7 @@ def pieces(
     of more than ``capacity`` tokens are cut so that all pieces but the first are full."""
     prepared(docs.sparkSession)
     rows = columns_or_null(docs, [(id_column, "long"), (text_column, "string")])
-    return rows.mapInArrow(_tokenized(tokenizer, capacity, end_id, ids), PIECES + ", ids array<int>" * ids)
+    return rows.mapInArrow(released(_tokenized(tokenizer, capacity, end_id, ids)), PIECES + ", ids array<int>" * ids)
 
 
 def _knapsack(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -324,5 +324,5 @@ def linear_packing(
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("uid")) - 1
     ranked = bucketed.withColumn("nth", nth).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.select("id", "piece", "start", "length", "crc", "rank").mapInArrow(
-        _placed(where), "id long, piece int, start long, length long, crc long, sequence_id long, offset long"
+        released(_placed(where)), "id long, piece int, start long, length long, crc long, sequence_id long, offset long"
     )
