@@ -146,3 +146,22 @@ def test_long_text_and_large_alphabet(spark):
     rows = [(1, wide + " word" * 30, "zh"), (2, "word other " * 200_000, "en")]
     got = {r.doc_id: r for r in scored(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1].n_grams == len(rows[0][1]) - 4 and got[2].n_words == 400_000
+
+
+def test_short_junk_is_outside_of_the_band(spark):
+    """Both limits act on short texts, and copies do not narrow the band."""
+    rng = np.random.default_rng(3)
+    vocabulary = ["".join(rng.choice(list("aeinorst"), int(rng.integers(2, 8)))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(vocabulary, int(rng.integers(22, 60)))), "en") for i in range(400)]
+    rows += [(i, rows[0][1], "en") for i in range(400, 600)]
+    rows.append((1000, " ".join(w + "%&*#"[k % 4] * 3 if k % 2 else w for k, w in enumerate(rng.choice(vocabulary, 25))), "en"))
+    rows.append((1001, " ".join("st" * int(k) for k in rng.integers(2, 9, 30)), "en"))
+    phrases = [" ".join(rng.choice(vocabulary, 4)) for _ in range(5)]
+    order = [k for i in range(5) for k in (i, *(k for j in range(i + 1, 5) for k in (i, j)))]  # no two follow each other twice
+    rows.append((1002, " ".join(phrases[k] for k in order), "en"))
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(got[i].kept for i in range(600))
+    assert all(0 < r.lowest < r.highest < 5 for r in got.values())
+    assert got[1000].log_perplexity > got[1000].highest and not got[1000].kept
+    assert not got[1001].kept and not got[1001].base_failed
+    assert not got[1002].kept and got[1002].n_repeat_words == 0 and got[1002].lowest < got[1002].log_perplexity < got[1002].highest

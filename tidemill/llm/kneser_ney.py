@@ -15,9 +15,14 @@ document's is no surprise. It is an interpolated modified Kneser-Ney model:
    (half, gram). If they are at most ``BROADCAST_BYTES`` they are sent to the executors;
    beyond that texts are dealt into blocks, and each block is joined with the part of the
    model whose hashes it holds. Both give the same numbers.
-4. Bands. Within a language, log perplexities of trusted texts scatter around their median;
-   short texts more so. For each text length (in powers of two) the spread is taken from
-   the quartiles. A text more than ``BAND`` spreads below or above is rejected.
+4. Bands. Within a language, log perplexities of trusted texts scatter around their median
+   by about one over the root of the number of grams. The scatter's lower and upper tails
+   (``TAIL`` of distinct texts) are taken for each text length (in powers of two). A text
+   ``BAND`` tails below or above the median is rejected, where a tail counts as
+   ``MIN_WIDTH`` at least; so is one below ``LEAST`` of the median at any length.
+5. Repetition. Characters do not see words come back, so word trigrams that were there
+   within the last ``NEAR`` words are counted, and their share has an upper limit of the
+   same kind.
 """
 
 from __future__ import annotations
@@ -40,10 +45,15 @@ MIN_WORDS = 20
 REPEAT_WORDS = 8
 REPEAT_PERCENT = 30
 SYMBOL_PERCENT = 10
-BAND = 20.0
-#: A spread is taken from so many texts at least, and is at least this (in log perplexity).
+#: A text is rejected so many tails from the median of its language; a tail holds this share.
+BAND, TAIL = 4.0, 0.05
+#: A tail is taken from so many distinct texts at least.
 MIN_TEXTS = 50
-MIN_SPREAD = 0.01
+#: A band reaches this far at least (in log perplexity), and down to this share of the median.
+MIN_WIDTH, LEAST = 0.2, 0.25
+#: Word trigrams are repeated if they were there within so many words; the limit of their
+#: share is this far above the median at least.
+NEAR_GRAM, NEAR, NEAR_WIDTH = 3, 128, 0.3
 STEP = 0.001
 
 _SYMBOL = np.zeros(256, bool)
@@ -114,6 +124,18 @@ def text_stats(block: Block) -> dict[str, np.ndarray]:
     }
 
 
+def near_repeats(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """For each text how many of its word trigrams were there within the last ``NEAR`` words,
+    and how many trigrams it has."""
+    begin, end, owner = block.words()
+    runs, at = grams(block.hashes(begin, end), owner, NEAR_GRAM)
+    key = mixed(runs ^ mixed(owner[at].astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key, kind="stable")
+    again = order[1:][(key[order[1:]] == key[order[:-1]]) & (at[order[1:]] - at[order[:-1]] <= NEAR)]
+    of = owner[at]
+    return np.bincount(of[again], minlength=block.texts), np.bincount(of, minlength=block.texts)
+
+
 def _codes(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Folded code points of a block, and the text each belongs to."""
     codes = np.frombuffer(block.data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
@@ -338,13 +360,15 @@ def _scored(model, order: int, names: list[str]):
 
 
 def _score_batch(batch: pa.RecordBatch, arrays: Arrays, order: int, names: list[str]) -> pa.RecordBatch:
-    parts: dict[str, list[np.ndarray]] = {c: [] for c in (*STATS, "surprise", "n_grams")}
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in (*STATS, "surprise", "n_grams", "n_near", "n_trigrams")}
     for _, _, block in blocks(batch.column("_text")):
         for c, v in text_stats(block).items():
             parts[c].append(v.astype(np.int64))
         surprise, n = _judged(block, arrays, order)
         parts["surprise"].append(surprise)
         parts["n_grams"].append(n.astype(np.int64))
+        for c, v in zip(("n_near", "n_trigrams"), near_repeats(block), strict=True):
+            parts[c].append(v.astype(np.int64))
     empty = np.zeros(0, np.int64)
     made = [pa.array(np.concatenate(v) if v else (empty.astype(float) if c == "surprise" else empty)) for c, v in parts.items()]
     return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], [*names, *parts])
@@ -391,9 +415,10 @@ def scored(
     order: int = ORDER, broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The columns of ``docs`` (without the text unless ``keep_text``), the counts of
-    :func:`text_stats`, ``surprise`` (sum over its grams) and ``n_grams``."""
+    :func:`text_stats`, ``surprise`` (sum over its grams), ``n_grams``, and ``n_near`` and
+    ``n_trigrams`` of :func:`near_repeats`."""
     spark = prepared(docs.sparkSession)
-    new = {*STATS, "surprise", "n_grams", "_text", "_block"}
+    new = {*STATS, "surprise", "n_grams", "n_near", "n_trigrams", "_text", "_block"}
     names = [c for c in docs.columns if c not in new and (keep_text or c != text_column)]
     texts = columns_or_null(docs, [(text_column, "string")])
     counted = texts.mapInArrow(released(_counts(order)), "half int, gram string, n long").groupBy("half", "gram").agg(F.sum("n").alias("n"))
@@ -401,7 +426,7 @@ def scored(
     text = F.col(f"`{text_column}`").cast("string") if text_column in docs.columns else F.lit(None).cast("string")
     rows = docs.select(*(f"`{c}`" for c in names), F.coalesce(text, F.lit("")).alias("_text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names]
-    schema = ", ".join([*kinds, *(f"{c} long" for c in STATS), "surprise double", "n_grams long"])
+    schema = ", ".join([*kinds, *(f"{c} long" for c in STATS), "surprise double", "n_grams long", "n_near long", "n_trigrams long"])
     if model.count() * 16 > broadcast_bytes:
         return _by_block(rows, model, order, names, schema)
     found = model.toArrow()
@@ -413,15 +438,15 @@ def scored(
     return found
 
 
-def _spreads(judged: DataFrame, cell: list[str]) -> DataFrame:
-    """For each cell its texts, and median and spread of their log perplexity."""
+def _tails(values: DataFrame, cell: list[str]) -> DataFrame:
+    """``low, mid, high`` of ``value`` for each cell with ``MIN_TEXTS`` texts or more: its lower
+    tail, median and upper tail."""
     upto = Window.partitionBy(*cell).orderBy("level")
     every = Window.partitionBy(*cell)
-    levels = judged.groupBy(*cell, F.floor(F.col("log_perplexity") / STEP).alias("level")).agg(F.count("*").alias("n"))
-    ranked = levels.withColumn("seen", F.sum("n").over(upto)).withColumn("texts", F.sum("n").over(every))
-    at = [F.min(F.when(F.col("seen") >= q * F.col("texts"), F.col("level"))).alias(c) for q, c in ((0.25, "low"), (0.5, "mid"), (0.75, "high"))]
-    spread = F.greatest((F.col("high") - F.col("low")) * (STEP / 1.349), F.lit(MIN_SPREAD))
-    return ranked.groupBy(*cell).agg(F.first("texts").alias("texts"), *at).select(*cell, "texts", ((F.col("mid") + 0.5) * STEP).alias("middle"), spread.alias("spread"))
+    levels = values.groupBy(*cell, F.floor(F.col("value") / STEP).alias("level")).agg(F.count("*").alias("n"))
+    ranked = levels.withColumn("seen", F.sum("n").over(upto)).withColumn("texts", F.sum("n").over(every)).where(F.col("texts") >= MIN_TEXTS)
+    at = [((F.min(F.when(F.col("seen") >= q * F.col("texts"), F.col("level"))) + 0.5) * STEP).alias(c) for q, c in ((TAIL, "low"), (0.5, "mid"), (1 - TAIL, "high"))]
+    return ranked.groupBy(*cell).agg(*at)
 
 
 def quality(
@@ -431,11 +456,12 @@ def quality(
     """``docs`` with the counts of :func:`text_stats`, ``base_failed`` (fewer than
     ``MIN_WORDS`` words, or too many repeated ones), ``log_perplexity`` (per character; NULL
     for a text of fewer than ``ORDER`` characters), ``lowest`` and ``highest`` (the band of
-    its language and length) and ``kept``.
+    its language and length) and ``kept``: neither failed, nor outside of the band, nor with
+    more near repeats than its language's limit.
 
     A NULL text has no words and fails. NULL is a language of its own. A language with fewer
     than ``MIN_TEXTS`` trusted texts has the band of all languages; with fewer than that in
-    all, no text is rejected by its perplexity. Repeated rows are judged alike, an empty
+    all, no text is rejected by its perplexity. Copies count once in a band. Repeated rows are judged alike, an empty
     table gives an empty result, columns of ``docs`` with the names of new ones are replaced.
     """
     new = ["base_failed", "log_perplexity", "lowest", "highest", "kept", "_bin", "_key"]
@@ -451,17 +477,41 @@ def quality(
     if "model" in vars(found):
         found.model.destroy()
     good = judged.where(~F.col("base_failed") & (100 * F.col("n_symbols") <= SYMBOL_PERCENT * F.col("n_words")) & F.col("log_perplexity").isNotNull())
-    good = good.select("_key", "_bin", "log_perplexity", F.lit(0).alias("all"))
-    bins = _spreads(good, ["_key", "_bin"]).where(F.col("texts") >= MIN_TEXTS).select("_key", "_bin", F.col("spread").alias("bin_spread"))
-    langs = _spreads(good, ["_key"]).where(F.col("texts") >= MIN_TEXTS).select("_key", F.col("middle").alias("lang_middle"), F.col("spread").alias("lang_spread"))
-    whole = _spreads(good, ["all"]).where(F.col("texts") >= MIN_TEXTS).select("all", F.col("middle").alias("any_middle"), F.col("spread").alias("any_spread"))
-    joined = judged.withColumn("all", F.lit(0)).join(bins, ["_key", "_bin"], "left").join(langs, "_key", "left").join(F.broadcast(whole), "all", "left")
-    # a length with few texts: the language's spread, wider for fewer grams than usual
-    usual = F.coalesce("lang_spread", "any_spread") * F.sqrt(F.greatest(F.lit(1.0), F.lit(1024.0) / F.greatest("n_grams", F.lit(1))))
-    middle, width = F.coalesce("lang_middle", "any_middle"), band * F.coalesce("bin_spread", usual)
-    outside = (F.col("log_perplexity") < middle - width) | (F.col("log_perplexity") > middle + width)
-    names = [c for c in judged.columns if c not in ("_key", "_bin", "surprise", "n_grams", "base_failed", "log_perplexity")]
+    near = F.col("n_near") / F.greatest("n_trigrams", F.lit(1))
+    # a text's copies have its counts and its perplexity
+    good = staged(
+        good.select("_key", "_bin", "n_words", "n_grams", F.round("log_perplexity", 9).alias("value"), near.alias("near"), F.lit(0).alias("all")).distinct(),
+        "quality-trusted",
+    )
+    langs = staged(_tails(good, ["_key"]).select("_key", F.col("mid").alias("lang_middle")), "quality-tails")
+    whole = _tails(good, ["all"]).select("all", *(F.col(c).alias(f"any_{c}") for c in ("low", "mid", "high")))
+    scatter = (F.col("value") - F.col("lang_middle")) * F.sqrt("n_grams")
+    scattered = good.join(langs, "_key").select("_key", "_bin", scatter.alias("value"))
+    of_bin = _tails(scattered, ["_key", "_bin"]).select("_key", "_bin", F.col("low").alias("bin_low"), F.col("high").alias("bin_high"))
+    of_lang = _tails(scattered, ["_key"]).select("_key", F.col("low").alias("lang_low"), F.col("high").alias("lang_high"))
+    nears = good.select("_key", "all", F.col("near").alias("value"))
+
+    def most(cell: str, name: str) -> DataFrame:
+        limit = F.col("mid") + F.greatest(F.lit(NEAR_WIDTH), band * (F.col("high") - F.col("mid")))
+        return _tails(nears, [cell]).select(cell, limit.alias(name))
+
+    langs = langs.join(of_lang, "_key").join(most("_key", "lang_near"), "_key")
+    whole = whole.join(most("all", "any_near"), "all")
+    joined = judged.withColumn("all", F.lit(0)).join(of_bin, ["_key", "_bin"], "left").join(langs, "_key", "left").join(F.broadcast(whole), "all", "left")
+    root = F.sqrt(F.greatest("n_grams", F.lit(1)))
+    middle = F.coalesce("lang_middle", "any_mid")
+
+    def width(tail: Column, of_all: Column) -> Column:
+        # in a language with few texts: the tail of all texts, whose languages differ
+        reach = F.when(F.col("lang_middle").isNotNull(), tail / root).otherwise(of_all)
+        return F.when(middle.isNotNull(), F.greatest(F.lit(MIN_WIDTH), band * reach))
+
+    below = width(-F.coalesce("bin_low", "lang_low"), F.col("any_mid") - F.col("any_low"))
+    above = width(F.coalesce("bin_high", "lang_high"), F.col("any_high") - F.col("any_mid"))
+    lowest, highest = F.when(middle.isNotNull(), F.greatest(middle - below, LEAST * middle)), middle + above
+    outside = (F.col("log_perplexity") < lowest) | (F.col("log_perplexity") > highest) | (near > F.coalesce("lang_near", "any_near"))
+    names = [c for c in judged.columns if c not in ("_key", "_bin", "surprise", "n_grams", "n_near", "n_trigrams", "base_failed", "log_perplexity")]
     return joined.select(
-        *(f"`{c}`" for c in names), "base_failed", "log_perplexity", (middle - width).alias("lowest"), (middle + width).alias("highest"),
+        *(f"`{c}`" for c in names), "base_failed", "log_perplexity", lowest.alias("lowest"), highest.alias("highest"),
         (~F.col("base_failed") & ~F.coalesce(outside, F.lit(False))).alias("kept"),
     )
