@@ -31,6 +31,13 @@ def test_dense_container_without_an_article():
     assert lines[0] == "T" and lines[2] == "Ok." and len(lines) == 4
 
 
+@pytest.mark.parametrize("lead", ["<main><p>The lead of it.</p></main>", "<article><h2>The lead of it.</h2></article>"])
+def test_body_outside_of_the_article(lead):
+    body = ["many words here " * 20, "and more of it " * 20]
+    page = "<nav><a href=x>link</a></nav>" + lead + "<div>" + "".join(f"<p>{p}</p>" for p in body) + "</div><div><ul>" + "<li><a href=x>link</a></li>" * 9 + "</ul></div>"
+    assert content(page).split("\n") == ["The lead of it.", *(p.strip() for p in body)]
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [("", ""), ("<", ""), ("plain", "plain"), ("<p>x</p", "x"), ("<article><p>a<p>b</article", "a\nb"), ("<script>x", ""),

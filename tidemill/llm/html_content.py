@@ -10,8 +10,8 @@ of the tags since the block before. Lines are grouped by the container they stan
    threshold is a share of its standard deviation, so it separates the page's own dense
    and sparse lines.
 3. A container is content if most of its characters are in lines above the threshold, or if
-   it stands in the page's article and is not a list of links. All candidate lines of a
-   content container are kept, short ones too.
+   it stands in an article, and is not a list of links. All candidate lines of a content
+   container are kept, short ones too.
 """
 
 from __future__ import annotations
@@ -169,9 +169,7 @@ def content(html: str) -> str:
     total = np.bincount(of, own)
     in_article = np.bincount(of, own * [line[5] for line in lines]) > 0
     many_links = np.bincount(of, linked) > LINKED * total
-    has_article = bool((in_article & ~many_links).any())
-    good = (np.bincount(of, own * dense) > 0.5 * total) & ~many_links
-    good = in_article & ~many_links if has_article else good
+    good = (in_article | (np.bincount(of, own * dense) > 0.5 * total)) & ~many_links
     return "\n".join(line[0] for line, keep in zip(lines, candidate & good[of], strict=True) if keep)
 
 
