@@ -38,6 +38,32 @@ def test_body_outside_of_the_article(lead):
     assert content(page).split("\n") == ["The lead of it.", *(p.strip() for p in body)]
 
 
+LONG = "many words of a text " * 12
+KEPT = " ".join(LONG.split())
+COMMENTS = "<div id=comments>" + f"<p>{LONG}</p>" * 3 + "</div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [f"<head><title>no</title><meta charset=x><body><p>{LONG}", f"<head><title>no</title><p>{LONG}", f"<head><script>x</script>{LONG}",
+     f"<head><noscript><img src=x></noscript></head><body class='has-sidebar'><p>{LONG}", f"<article class='post tags-news'><p>{LONG}</article>",
+     f"<div class='content with-comments'><p>{LONG}</p><div class='ad'>Buy</div></div>", f"<form id=aspnet><div><p>{LONG}</p></div></form>",
+     f"<div class='with-sidebar'><div class='post related-x'><p>{LONG}</p></div></div><div class=sidebar>x</div>",
+     f"<article><p>{LONG}</p></article>" + COMMENTS, f"<div class='page with-comments'><div><p>{LONG}</p></div>{COMMENTS}</div>"],
+)
+def test_furniture_does_not_empty_a_page(page):
+    assert content(page) == KEPT
+
+
+def test_names_beside_and_inside_an_article():
+    assert content(f"<div class=ad>{LONG}</div><article><h1>Title</h1></article>") == "Title"
+    assert content(f"<article><h1>Title</h1><div class='text tags-x'><p>{LONG}</p></div></article>") == "Title\n" + KEPT
+
+
+def test_names_of_repeated_posts():
+    assert content(f"<div class='post tags'><p>{LONG}</div>" * 2 + "<div class=sidebar>x</div>") == KEPT + "\n" + KEPT
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [("", ""), ("<", ""), ("plain", "plain"), ("<p>x</p", "x"), ("<article><p>a<p>b</article", "a\nb"), ("<script>x", ""),

@@ -5,7 +5,10 @@ paragraph, heading, list item, cell, ...) is a line with the number of its chara
 of the tags since the block before. Lines are grouped by the container they stand in.
 
 1. Lines inside elements that are furniture by tag, role or class name are no candidates,
-   and neither are scripts, styles and the head.
+   and neither are scripts, styles and the head. A class name is only a hint: it says nothing
+   of the page and its article, and elements alike by name that hold most of the page's
+   text, in dense lines, are no furniture where little dense text is left without them, unless
+   they stand beside an article with text of its own. The same holds for a form.
 2. The text-to-tag ratio of all lines, candidates or not, is smoothed with a Gaussian. The
    threshold is a share of its standard deviation, so it separates the page's own dense
    and sparse lines.
@@ -29,6 +32,9 @@ from tidemill.llm.stages import columns_or_null, prepared
 SIGMA = 1.0
 THRESHOLD = 0.5
 LINKED = 0.6
+#: Elements that a name makes furniture hold content if they have more than this share of the
+#: text, and what is left without them less than that.
+MOST, LITTLE = 0.5, 0.25
 # Elements by what they mean for a page's text.
 FURNITURE = frozenset(
     "head title script style noscript template svg math canvas object iframe audio video nav header footer aside "
@@ -45,15 +51,17 @@ ARTICLE = frozenset("article main".split())
 CONTAINERS = frozenset("html body div section article main table tbody thead tfoot ul ol dl blockquote center details".split())
 BLOCKS = CONTAINERS | FURNITURE | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th caption pre figure figcaption address hr summary".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements that may stand in a head, and those that no class makes furniture.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title".split())
+WHOLE = frozenset("html body main article".split())
 _WORD = re.compile(r"[a-z0-9]+")
 
 
 def _furniture(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
-    if tag in FURNITURE:
+    """Whether tag, role or visibility make an element furniture."""
+    if tag in FURNITURE and tag != "form":
         return True
     for name, value in attributes:
-        if value and (name == "class" or name == "id") and not NAMES.isdisjoint(_WORD.findall(value.lower())):
-            return True
         if value and name == "role" and value.strip().lower() in ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -61,14 +69,23 @@ def _furniture(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+def _named(tag: str, attributes: list[tuple[str, str | None]]) -> tuple | None:
+    """What elements alike by a name that hints at furniture have in common."""
+    words = [w for name, value in attributes if value and name in ("class", "id") for w in _WORD.findall(value.lower())]
+    if tag == "form" or (tag not in WHOLE and not NAMES.isdisjoint(words)):
+        return (tag, words[0] if words else "", *sorted(NAMES.intersection(words)))
+    return None
+
+
 class Lines(HTMLParser):
-    """Collects ``(text, tags, linked characters, container, candidate, in article)``."""
+    """Collects ``(text, tags, linked characters, container, candidate, in article, names)``,
+    where the names are those of :func:`_named` that the line stands in."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, bool]] = []
-        self.open: list[tuple[str, bool, bool, int]] = []  # tag, furniture, article, container
-        self.state = (False, False, 0)
+        self.lines: list[tuple[str, int, int, int, bool, bool, frozenset]] = []
+        self.open: list[tuple[str, bool, bool, int, frozenset]] = []  # tag, furniture, article, container, names
+        self.state = (False, False, 0, frozenset())
         self.containers = 0
         self.text: list[str] = []
         self.tags = 0
@@ -79,12 +96,20 @@ class Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.linked, self.state[2], not self.state[0], self.state[1]))
+                self.lines.append((text, self.tags, self.linked, self.state[2], not self.state[0], self.state[1], self.state[3]))
                 self.tags = 0
             self.text.clear()
         self.linked = 0
 
+    def leave_head(self, tag: str) -> None:
+        """``</head>`` may be left out: what can't stand in a head ends it."""
+        if tag == "body" or (tag not in IN_HEAD and self.open and self.open[-1][0] == "head"):
+            depth = next((i for i, x in enumerate(self.open) if x[0] == "head"), None)
+            if depth is not None:
+                self.leave(depth)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.leave_head(tag)
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
@@ -96,16 +121,18 @@ class Lines(HTMLParser):
             return
         if tag == "a":
             self.links += 1
-        furniture = tag in FURNITURE or (bool(attrs) and _furniture(tag, attrs))
-        if furniture or tag in CONTAINERS:
-            if furniture:
+        furniture = _furniture(tag, attrs)
+        named = None if furniture else _named(tag, attrs)
+        if furniture or named or tag in CONTAINERS:
+            if furniture or named:
                 self.end_line()
             container = self.state[2]
             if tag in CONTAINERS:
                 self.containers += 1
                 container = self.containers
             self.open.append((tag, *self.state))
-            self.state = (self.state[0] or furniture, self.state[1] or tag in ARTICLE, container)
+            names = self.state[3] | {named} if named else self.state[3]
+            self.state = (self.state[0] or furniture, self.state[1] or tag in ARTICLE, container, names)
 
     def leave(self, depth: int) -> None:
         self.end_line()
@@ -129,6 +156,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.leave_head("")
         self.text.append(data)
         if self.links:
             self.linked += len(data)
@@ -146,6 +175,30 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(ratio, kernel, "same") / weight
 
 
+def _candidates(lines: list[tuple], size: np.ndarray, dense: np.ndarray) -> np.ndarray:
+    """Which lines can be content: not in furniture, or only in furniture by a name that the
+    text speaks against."""
+    sound = np.array([line[4] for line in lines])
+    names = [line[6] for line in lines]
+    article = np.array([line[5] for line in lines])
+    text = size * sound
+    solid = text * dense * np.array([line[2] <= LINKED * max(1, len(line[0])) for line in lines])
+    of: dict[tuple, list[int]] = {}
+    for i, own in enumerate(names):
+        for name in own:
+            of.setdefault(name, []).append(i)
+    lifted: set[tuple] = set()
+    free = np.array([not n for n in names])
+    for name, at in sorted(of.items(), key=lambda x: (-text[x[1]].sum(), x[1][0], len(names[x[1][0]]))):
+        if solid[free].sum() >= LITTLE * text.sum() or text[at].sum() <= MOST * text.sum():
+            break
+        beside = (text * free * article).sum() > 0 and not article[at].all()  # an article with its own text
+        if not beside and solid[at].sum() > 0.5 * text[at].sum():
+            lifted.add(name)
+            free = np.array([n <= lifted for n in names])
+    return sound & free
+
+
 def content(html: str) -> str:
     """The main text of a page, one line for each block."""
     cut = html.rfind("<")
@@ -162,7 +215,7 @@ def content(html: str) -> str:
     ratio = smoothed(size / np.maximum(1, [line[1] for line in lines]))
     dense = ratio >= THRESHOLD * ratio.std()
     container = np.array([line[3] for line in lines])
-    candidate = np.array([line[4] for line in lines])
+    candidate = _candidates(lines, size, dense)
     _, of = np.unique(container, return_inverse=True)
     own = size * candidate
     linked = np.array([line[2] for line in lines], float) * candidate
