@@ -110,3 +110,37 @@ def test_license_scan_of_odd_tables(spark):
     out = license_scan(spark.createDataFrame([(None, long, 1, 2), (1, long, 1, 2), (1, long, 1, 2)], schema))
     assert out.columns == ["doc_id", "n", "sentence_ids", "licenses", "n_licenses"]
     assert [r.licenses for r in out.collect()] == ["MIT"] * 3
+
+
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful."""
+GPL2 = GPL.replace(":", ";").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Copyright (c) 2020 Jane Doe
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+
+
+def commented(text):
+    return "\n".join(f" * {line}".rstrip() for line in text.split("\n"))
+
+
+def test_real_notices(spark):
+    cases = [
+        (GPL, "GPL-3.0-or-later"), (GPL2, "GPL-2.0-or-later"), (commented("x.c\n\n" + GPL), "GPL-3.0-or-later"),
+        (GPL.replace("This program is free", "Foo is free"), "GPL-3.0-or-later"), (GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0-or-later"),
+        ("MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + MIT, "MIT"), ("Copyright 2020 Jane Doe\n" + MIT, "MIT"), (commented("MIT License\n\n" + MIT), "MIT"),
+        (BSD + "\n" + NAMES.replace("the copyright holder", "Foo Inc"), "BSD-3-Clause"), (MPL, "MPL-2.0"), (ISC, "ISC"),
+        ("This project is licensed under the MIT License.", "MIT"), ("The code is released under the terms of the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Nobody said it is licensed under the MIT License.", ""),
+    ]
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.licenses for r in license_scan(rows).collect()}
+    assert [got[i] for i in range(len(cases))] == [licences for _, licences in cases]
