@@ -25,7 +25,8 @@ def test_query_against_its_sql(spark, name):
      ("op4_kneser_ney", "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept"),
      ("op5_entropy_mix", "doc_id size source_size target taken"),
      ("op6_linear_packing", "doc_id piece start length ids_crc32 sequence_id offset"),
-     ("op7_pii_votes", "doc_id n_email n_ip n_card n_phone base_sha256 spans"), ("op8_jaccard_join", "doc_id n_shingles component_id")],
+     ("op7_pii_votes", "doc_id n_email n_ip n_card n_phone base_sha256 spans"), ("op8_jaccard_join", "doc_id n_shingles component_id"),
+     ("op12_concat_cut", "doc_id start length ids_crc32 doc_tokens sequence_id offset")],
 )
 def test_query_covers_its_table(spark, name, columns):
     out = entry.queries()[name](spark, SMALL)
@@ -36,6 +37,14 @@ def test_query_covers_its_table(spark, name, columns):
     assert out.select(wanted[0]).distinct().count() == ids.count()
 
 
+def test_whitening_covers_its_table(spark):
+    out = entry.queries()["op11_chebyshev_whitening"](spark, SMALL)
+    assert out.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    rows = out.collect()
+    assert len(rows) == 4 * spark.read.parquet(f"{SMALL}/embeddings.parquet").where("embedding is not null").count()
+    assert max(r.identity_error for r in rows) < 1e-12
+
+
 def test_mix_comes_near_its_targets(spark):
     by_source = defaultdict(lambda: [0, 0.0])
     for r in entry.queries()["op5_entropy_mix"](spark, SMALL).collect():

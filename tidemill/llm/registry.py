@@ -7,6 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm.collocations import collocations
+from tidemill.llm.concat_cut import concatenate_and_cut
 from tidemill.llm.entropy_mix import entropy_mix, source_key, weighted_targets, words
 from tidemill.llm.html_content import main_text
 from tidemill.llm.jaccard_join import near_duplicates
@@ -18,6 +20,7 @@ from tidemill.llm.stages import staged
 from tidemill.llm.threshold_topk import exact_topk
 from tidemill.llm.url_templates import judged_urls
 from tidemill.llm.warc_chunks import chunked, read_archives, write_archives
+from tidemill.llm.whitening import whiten
 from tidemill.registry.query import Query
 from tidemill.session import workspace
 
@@ -94,6 +97,21 @@ def warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    """A deviation that does not fit a long is NULL."""
+    found = whiten(_table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)")).withColumnRenamed("id", "vec_id")
+
+
+def concatenated(spark: SparkSession, folder: str) -> DataFrame:
+    cut = concatenate_and_cut(_table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return cut.toDF("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_threshold_topk": Query(
         topk,
@@ -132,5 +150,46 @@ QUERIES = {
         FROM rows LEFT JOIN firsts USING (digest)
         """,
     ),
+    "op11_chebyshev_whitening": Query(whitened),
+    "op12_concat_cut": Query(concatenated),
+    "op13_collocations": Query(
+        phrases,
+        r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents WHERE text IS NOT NULL
+        ), words AS (
+            SELECT lang, list_filter(regexp_split_to_array(piece, '[ \x09]+'), lambda w: w <> '') AS ws FROM pieces
+        ), totals AS (
+            SELECT lang, sum(len(ws))::BIGINT AS n FROM words GROUP BY lang
+        ), grams AS (
+            SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase
+            FROM words, (VALUES (1), (2), (3), (4)) AS sizes(size)
+        ), found AS (
+            SELECT lang, size, phrase, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 30
+        ), cuts AS (
+            SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS ws, unnest(range(1, size)) AS k FROM found WHERE size >= 2
+        ), cut_scores AS (
+            SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+            FROM cuts c
+            JOIN found x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.k], ' ')
+            JOIN found y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1:], ' ')
+        ), scored AS (
+            SELECT lang, phrase, a, l, r, score FROM cut_scores
+            QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), spans AS (
+            SELECT lang, f, string_split(phrase, ' ') AS ws, size, unnest(range(1, size)) AS i FROM found WHERE size > 2
+        ), inside AS (
+            SELECT lang, array_to_string(ws[i:j], ' ') AS phrase, max(f) AS outer_f
+            FROM (SELECT lang, f, ws, size, i, unnest(range(i + 1, size + 1)) AS j FROM spans) WHERE j - i + 1 < size GROUP BY ALL
+        ), kept AS (
+            SELECT s.* FROM scored s LEFT JOIN inside i USING (lang, phrase) WHERE i.outer_f IS NULL OR 100 * i.outer_f < 80 * s.a
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+        )
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+        """,
+    ),
     "pipeline": Query(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
