@@ -8,11 +8,10 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemill.llm.concat_cut import concatenate_and_cut, sequences, token_ids, windows
-from tidemill.llm.linear_packing import Words
+from tidemill.llm.concat_cut import Encoder, concatenate_and_cut, sequences, token_ids, windows
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = ["", " ", "  two", "two ", "one", "a b", "a  b", " a b ", "line\nline", "line \n line", "tab\t x", "é été ü", "漢字 かな", "\x00 \x1c x", "x　 y", "it's 12ab, ok.", "\n", "a" * 3000, "b c " * 2000]
+TEXTS = ["", " ", "  two", "two ", "one", "a b", "a  b", " a b ", "line\nline", "line \n line", "tab\t x", "é été ü", "漢字 かな", "\x00 \x1c x", "x　 y", "it's 12ab, ok.", "\n", "a" * 3000, "b c " * 2000, "x <|endoftext|> y", "<|endoftext|>", "a <|endoftext|>b"]
 TOKENIZER = Tokenizer.from_file(FILE)
 
 
@@ -23,11 +22,11 @@ def expected_ids(text):
 def test_ids_are_the_tokenizers():
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choices("ab é\n\t .,'漢 1", k=rng.randint(0, 40))) for _ in range(300)]
-    ids, begin = token_ids(pa.array(texts, pa.large_string()), Words(FILE), 0)
+    ids, begin = token_ids(pa.array(texts, pa.large_string()), Encoder(FILE), 0)
     assert len(begin) == len(texts) + 1
     for text, a, b in zip(texts, begin[:-1], begin[1:], strict=True):
         assert ids[a:b].tolist() == expected_ids(text), repr(text)
-    nothing, begin = token_ids(pa.array([], pa.large_string()), Words(FILE), 0)
+    nothing, begin = token_ids(pa.array([], pa.large_string()), Encoder(FILE), 0)
     assert len(nothing) == 0 and begin.tolist() == [0]
 
 

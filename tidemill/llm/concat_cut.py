@@ -33,51 +33,79 @@ from tidemill.llm.stages import columns_or_null, prepared, released, staged
 WINDOW = 1024
 END_ID = 0
 #: Texts tokenized together, in characters (one text at least).
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 4 << 20
 
 TOKENS = "id long, task int, before long, tokens long, ids binary"
 RECORDS = "id long, start long, length long, crc long, doc_tokens long, sequence_id long, offset long"
 
 
-def token_ids(texts: pa.Array, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts end to end, each followed by ``end_id``, and where each begins."""
+class Encoder:
+    """Token ids of many words, each with the space before it, by one call: where tokens have
+    as many characters as bytes, their lengths tell which belong to which word."""
+
+    def __init__(self, path: str):
+        self.words = Words(path)
+        vocabulary = self.words.tokenizer.get_vocab()
+        self.length = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.length[i] = len(token)
+
+    def text(self, text: str) -> np.ndarray:
+        return np.array(self.words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def each(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words end to end, and how many each has. No word is empty, or
+        begins or ends with white space."""
+        if not len(words):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        listed = words.to_pylist()
+        ids = np.array(self.words.encode(" " + " ".join(listed)), "<u4")
+        after = np.cumsum(self.length[ids])
+        ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        last = np.searchsorted(after, ends)
+        if len(after) and last[-1] < len(after) and (after[last] == ends).all():
+            return ids, np.diff(last, prepend=-1)
+        parts = [np.array(self.words.encode(" " + w), "<u4") for w in listed]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+
+def token_ids(texts: pa.Array, encoder: Encoder, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts end to end, each followed by ``end_id``, and where each begins.
+
+    A space that no other white space touches always begins a token, so a text may be
+    tokenized word by word; other texts are tokenized as a whole."""
     cut = pc.split_pattern(texts.cast(pa.large_string()), " ")
     edge = np.asarray(cut.offsets, np.int64)
     edge, n = edge - edge[0], len(texts)
     coded = cut.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy().astype(np.int64)
+    codes, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary
     # a word that begins a text has no space before it: it is an entry of its own
     begins = np.zeros(len(codes), bool)
     begins[edge[:-1]] = True
-    found = [None] * len(coded.dictionary)
-    for code in np.unique(codes[~begins]):
-        found[code] = words[coded.dictionary[int(code)].as_py()]
-    joined = np.array([f is None for f in found], bool)[codes] & ~begins
-    firsts = coded.dictionary.take(pa.array(codes[edge[:-1]])).to_pylist()
-    trailing = np.array([f[-1:].isspace() for f in firsts], bool)
-    whole = np.zeros(n, bool)
-    whole[np.searchsorted(edge, np.flatnonzero(joined), "right") - 1] = True
-    whole |= trailing
-    own = []
-    for row, first in enumerate(firsts):
-        text = texts[row].as_py() if whole[row] else first
-        own.append(np.array(words.tokenizer.encode(text, add_special_tokens=False).ids if whole[row] else words.encode(text), "<u4").tobytes())
-    table = [f or b"" for f in found] + own + [b"", np.array([end_id], "<u4").tobytes()]
-    nothing, end = len(table) - 2, len(table) - 1
+    used = np.zeros(len(known), bool)
+    used[codes[~begins]] = True
+    sound = pc.and_(pc.equal(pc.utf8_trim_whitespace(known), known), pc.greater(pc.binary_length(known), 0)).to_numpy(zero_copy_only=False)
     row_of = np.repeat(np.arange(n), np.diff(edge))
-    codes[whole[row_of]] = nothing
-    codes[edge[:-1]] = len(found) + np.arange(n)
+    firsts = known.take(pa.array(codes[edge[:-1]]))
+    whole = ~pc.equal(pc.utf8_rtrim_whitespace(firsts), firsts).to_numpy(zero_copy_only=False).astype(bool)
+    whole[row_of[~sound[codes] & ~begins]] = True
+    own = [encoder.text(texts[row].as_py()) if whole[row] else np.array(encoder.words.encode(first), "<u4") for row, first in enumerate(firsts.to_pylist())]
+    ids, counts = encoder.each(known.filter(pa.array(used & sound)))
+    size = np.zeros(len(known) + n + 2, np.int64)
+    size[: len(known)][used & sound] = counts
+    size[len(known) : -2] = [len(o) for o in own]
+    size[-1] = 1
+    pool = np.concatenate([ids, *own, np.array([end_id], "<u4")])
+    codes[whole[row_of]] = len(size) - 2  # nothing
+    codes[edge[:-1]] = len(known) + np.arange(n)
     order = np.empty(len(codes) + n, np.int64)
     order[np.arange(len(codes)) + row_of] = codes
-    order[edge[1:] + np.arange(n)] = end
-    size = np.array([len(t) // 4 for t in table], np.int64)
-    place = np.cumsum(size) - size
+    order[edge[1:] + np.arange(n)] = len(size) - 1
     long = size[order]
     after = np.cumsum(long)
-    pool = np.frombuffer(b"".join(table), "<u4")
-    ids = pool[np.repeat(place[order] - (after - long), long) + np.arange(after[-1] if len(after) else 0)]
+    made = pool[np.repeat((np.cumsum(size) - size)[order] - (after - long), long) + np.arange(after[-1] if len(after) else 0)]
     begin = np.concatenate(([0], after[edge[1:] + np.arange(n)])) if n else np.zeros(1, np.int64)
-    return ids, begin
+    return made, begin
 
 
 def _blocks(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
@@ -93,11 +121,11 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 def _tokenized(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = kept_by_worker(("words", path), lambda: Words(path))
+        encoder = kept_by_worker(("encoder", path), lambda: Encoder(path))
         task, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for row, texts in _blocks(batch.column(1)):
-                ids, begin = token_ids(texts, words, end_id)
+                ids, begin = token_ids(texts, encoder, end_id)
                 raw = ids.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
