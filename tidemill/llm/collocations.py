@@ -1,9 +1,9 @@
 """Phrase collocations: every phrase's occurrences counted with burst tries, and cohesion scores.
 
-A task counts the word paths of its texts in a trie. Words are numbered as they come up.
-The trie is shallow: below a language and first word lies a hash container of the rest of
-each path, which bursts into a branch with a container for each next word once it holds too
-many. When the containers of a task hold ``ENTRIES`` paths, whole subtrees, the largest
+A task counts the word paths of its texts in a trie. Words are numbered as they come up, so
+frequent ones have small numbers. The trie is shallow: some neighbouring first words of a
+language share a hash container of their paths, which bursts into a branch with a container
+for each word once it holds too many, and these for each next word. When the containers of a task hold ``ENTRIES`` paths, whole subtrees, the largest
 first, leave it as runs sorted by the words of their paths. A run is dealt to partitions by a
 hash of the path's prefix; a partition merges the runs it gets and keeps what reaches the
 least count. So a frequent word or pair is one row for each run, not one for each occurrence,
@@ -22,6 +22,7 @@ phrases, in whole numbers.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,10 @@ ENTRIES = 1_000_000
 BURST = 4096
 #: Text cut into paths at one time, in bytes.
 SEGMENT = 1 << 20
-#: Words that are numbered before the numbers begin again; their bits.
-ID_BITS = 21
+#: Bits of a word's number; beyond them the numbers begin again. Bits of the first words that
+#: share a container, where paths of the trie's depth leave room for them.
+ID_BITS = 20
+BLOCK_BITS = 10
 #: Bytes of text for each partition of the merge.
 PART_BYTES = 8 << 20
 #: Rows that a merge gathers before it adds them up.
@@ -107,31 +110,43 @@ class Pairs:
 
 
 class Trie:
-    """Counts of word paths: below each first word a container or a branch."""
+    """Counts of word paths, each a number made of its words': below each block of first
+    words a container (path: count) or a branch (path's first words: node)."""
 
     def __init__(self, depth: int):
-        self.shift = ID_BITS * (depth - 2)
+        self.rest = ID_BITS * (depth - 1)
+        #: bits of the first word that are told apart within a block
+        self.low = max(0, min(BLOCK_BITS, 62 - self.rest))
+        self.shift = self.rest if self.low else self.rest - ID_BITS
         self.roots: dict[int, dict] = {}
         self.branched: set[int] = set()  # ids of the nodes that are branches
         self.held: dict[int, int] = {}
         self.entries = 0
 
-    def add(self, first: int, paths: list[int], counts: list[int]) -> None:
-        """Add sorted paths below a first word."""
-        node = self.roots.get(first)
-        if node is None:
-            node = self.roots[first] = {}
-        grown = self._add(node, paths, counts, self.shift)
-        self.held[first] = self.held.get(first, 0) + grown
-        self.entries += grown
+    def add(self, first: np.ndarray, rest: np.ndarray) -> None:
+        """Count paths, given as language and first word, and the other words."""
+        block, path = first >> self.low, (first & ((1 << self.low) - 1)) << self.rest | rest
+        order = np.lexsort((path, block))
+        block, path = block[order], path[order]
+        opens = np.concatenate(([True], block[1:] != block[:-1]))
+        edge = np.flatnonzero(opens | np.concatenate(([True], path[1:] != path[:-1])))
+        counts = np.diff(np.concatenate((edge, [len(path)]))).tolist()
+        block, paths, bound = block[edge], path[edge].tolist(), np.flatnonzero(opens[edge]).tolist()
+        for root, a, b in zip(block[bound].tolist(), bound, [*bound[1:], len(paths)], strict=True):
+            node = self.roots.get(root)
+            if node is None:
+                node = self.roots[root] = {}
+            grown = self._add(node, paths[a:b], counts[a:b], self.shift)
+            self.held[root] = self.held.get(root, 0) + grown
+            self.entries += grown
 
     def _add(self, node: dict, paths: list[int], counts: list[int], shift: int) -> int:
+        """Add sorted paths below a node; how many of them are new."""
         if id(node) in self.branched:
             grown, begin = 0, 0
             while begin < len(paths):
-                word, end = paths[begin] >> shift, begin + 1
-                while end < len(paths) and paths[end] >> shift == word:
-                    end += 1
+                word = paths[begin] >> shift
+                end = bisect_left(paths, word + 1 << shift, begin)
                 child = node.get(word)
                 if child is None:
                     child = node[word] = {}
@@ -140,35 +155,33 @@ class Trie:
             return grown
         before = len(node)
         if before:
+            had = node.get
             for path, count in zip(paths, counts, strict=True):
-                node[path] = node.get(path, 0) + count
+                node[path] = had(path, 0) + count
         else:
             node.update(zip(paths, counts, strict=True))
         grown = len(node) - before
         if len(node) > BURST and shift > 0:
-            self._burst(node, shift)
+            rows = sorted(node.items())
+            node.clear()
+            self.branched.add(id(node))
+            self._add(node, [p for p, _ in rows], [c for _, c in rows], shift)
         return grown
 
-    def _burst(self, node: dict, shift: int) -> None:
-        """Make a container a branch: its paths move to a container for each next word."""
-        rows = sorted(node.items())
-        node.clear()
-        self.branched.add(id(node))
-        self._add(node, [p for p, _ in rows], [c for _, c in rows], shift)
-
     def take(self, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Remove whole subtrees, the largest first, until ``most`` entries are left: their
-        first words, paths and counts."""
-        firsts, paths, counts = [], [], []
-        for first in sorted(self.held, key=self.held.get, reverse=True):
+        first words, other words and counts."""
+        roots, paths, counts = [], [], []
+        for root in sorted(self.held, key=self.held.get, reverse=True):
             if self.entries <= most:
                 break
             before = len(paths)
-            self._walk(self.roots.pop(first), paths, counts)
-            self.entries -= self.held.pop(first)
-            firsts.append((first, len(paths) - before))
-        first = np.repeat(np.array([f for f, _ in firsts], np.int64), [n for _, n in firsts])
-        return first, np.array(paths, np.int64), np.array(counts, np.int64)
+            self._walk(self.roots.pop(root), paths, counts)
+            self.entries -= self.held.pop(root)
+            roots.append((root, len(paths) - before))
+        path = np.array(paths, np.int64)
+        block = np.repeat(np.array([r for r, _ in roots], np.int64), [n for _, n in roots])
+        return block << self.low | path >> self.rest, path & ((1 << self.rest) - 1), np.array(counts, np.int64)
 
     def _walk(self, node: dict, paths: list[int], counts: list[int]) -> None:
         if id(node) in self.branched:
@@ -198,7 +211,6 @@ class Counter:
         self._new()
 
     def _new(self) -> None:
-        # full paths are kept under their node's, so that a word ends where its path ends
         self.words, self.hashes, self.trie = Numbered(), np.zeros(0, np.uint64), Trie(self.depth)
 
     def count(self, lang: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
@@ -273,16 +285,7 @@ class Counter:
         first, path = first[keep], path[keep]
         if not len(first):
             return
-        order = np.lexsort((path, first)) if self.depth > 2 else np.argsort(first << ID_BITS | path)
-        first, path = first[order], path[order]
-        edge = np.flatnonzero(np.concatenate(([True], (first[1:] != first[:-1]) | (path[1:] != path[:-1]))))
-        count = np.diff(np.concatenate((edge, [len(first)]))).tolist()
-        first, path = first[edge], path[edge].tolist()
-        bound = np.concatenate((np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1]))), [len(first)])).tolist()
-        firsts = first.tolist()
-        add = self.trie.add
-        for a, b in zip(bound[:-1], bound[1:], strict=True):
-            add(firsts[a], path[a:b], count[a:b])
+        self.trie.add(first, path)
 
     def _lang_hashes(self) -> np.ndarray:
         return text_hashes(pa.array(list(self.langs), pa.large_binary()))
