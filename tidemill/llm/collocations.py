@@ -40,7 +40,7 @@ REPORTED = 2000
 #: A phrase is dropped if a longer one holds it this often, in percent.
 INSIDE_PERCENT = 80
 #: Paths that a task's trie holds, and a container before it bursts.
-ENTRIES = 1_000_000
+ENTRIES = 600_000
 BURST = 4096
 #: Text cut into paths at one time, in bytes.
 SEGMENT = 1 << 20
@@ -51,7 +51,7 @@ BLOCK_BITS = 10
 #: Bytes of text for each partition of the merge.
 PART_BYTES = 8 << 20
 #: Rows that a merge gathers before it adds them up.
-FOLD_ROWS = 1_000_000
+FOLD_ROWS = 500_000
 BLOOM_BITS = 1 << 28
 BLOOM_PER_KEY = 16
 BLOOM_HASHES = 4
