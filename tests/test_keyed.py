@@ -1,0 +1,177 @@
+import random
+import time
+import uuid
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import executed_plan, rows
+from tests.test_streaming import EVENTS, event, publish, stream
+from tidemill.operators.marks import combined, is_there, summary, unchanged
+from tidemill.streaming import Target, stream_into_many, stream_into_one
+from tidemill.streaming.apply import side_by_side
+from tidemill.tables import KeyedTable
+
+CHANGES = "op string, basetime double, sequence long, id int, city string"
+OLD = [(1, "old 1"), (2, "old 2"), (3, "old 3"), (None, "lone"), (None, "lone")]
+
+
+def in_order(old, changes, insert_ops=("c",)):
+    """The changes one by one, each event once."""
+    there = {k: v for k, v in old if k is not None}
+    lone = [v for k, v in old if k is None]
+    for op, _, _, key, city in sorted(set(changes), key=lambda c: (c[1], c[2])):
+        if key is None:
+            lone += [city] if op in insert_ops else []
+        elif op == "d":
+            there.pop(key, None)
+        elif key in there or op in insert_ops:
+            there[key] = city
+    return sorted([(k, v) for k, v in there.items()] + [(None, v) for v in lone], key=str)
+
+
+def changes(seed, n=60):
+    rng = random.Random(seed)
+    return [(rng.choice("ccudur"), float(i // 3), i, rng.choice([1, 2, 3, 4, 5, 6, None]), f"v{i}") for i in range(n)]
+
+
+@pytest.fixture
+def keyed(spark):
+    names = []
+
+    def make(old=OLD, schema="id int, city string", key="id", slots=3):
+        names.append(f"keyed_{uuid.uuid4().hex}")
+        return KeyedTable.create(spark.createDataFrame(old, schema), names[-1], key, slots)
+
+    yield make
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+@pytest.mark.parametrize(("seed", "ops"), [(1, ("c",)), (2, ("c", "u")), (3, ("c",))])
+def test_batches_in_any_order_come_to_the_same(spark, seed, ops):
+    made = changes(seed)
+    old = unchanged(spark.createDataFrame(OLD, "id int, city string"), "id").cache()
+    expected = in_order(OLD, made, ops)
+    rng = random.Random(seed)
+    for _ in range(3):
+        rng.shuffle(made)
+        cuts = sorted(rng.sample(range(len(made)), 2))
+        state = old
+        for part in (made[: cuts[0]], made[cuts[0] : cuts[1]], made[cuts[1] :], made[: cuts[1]]):  # some come twice
+            state = combined(state.unionByName(summary(spark.createDataFrame(part, CHANGES), "id", ["id", "city"], ops)), "id")
+        got = state.where(is_there()).select("id", "city").collect()
+        assert sorted((tuple(r) for r in got), key=str) == expected
+
+
+def test_merge_touches_only_the_partitions_it_must(spark, keyed):
+    table = keyed([(i, f"old {i}") for i in range(200)], slots=8)
+    files = set(spark.table(table.name).inputFiles())
+    table.merge(spark.createDataFrame([("u", 1.0, 1, 7, "new"), ("c", 1.0, 2, 7, "newer"), ("d", 1.0, 3, 900, "x")], CHANGES))
+    assert len(files - set(spark.table(table.name).inputFiles())) <= 2
+    assert rows(table.read().where("id = 7")) == [(7, "newer")] and table.read().count() == 200
+    batch = table._slotted(summary(spark.createDataFrame([("u", 1.0, 1, 7, "x")], CHANGES), "id", ["id", "city"]))
+    plan = executed_plan(table.merged(batch, [1, 2]))
+    scanned = plan[plan.index("Union") :]
+    assert scanned.count("FileScan parquet") == 1 and "_slot#" in scanned.split("PartitionFilters: [")[1].split("]")[0]
+    assert plan[: plan.index("Union")].count("Exchange") == 1
+
+
+def test_in_two_merges(spark, keyed):
+    table, made = keyed(), changes(9)
+    for part in (made[30:], made[:40], []):
+        table.merge(spark.createDataFrame(part, CHANGES))
+    assert sorted((tuple(r) for r in table.read().collect()), key=str) == in_order(OLD, made)
+    assert table.schema.names == ["id", "city"]
+
+
+def test_forgets_old_deletes(spark, keyed):
+    table = keyed()
+    table.merge(spark.createDataFrame([("d", 1.0, 1, 1, ""), ("d", 5.0, 2, 2, ""), ("d", 1.0, 3, 50, "")], CHANGES))
+    stored = spark.table(table.name).count()
+    before = rows(table.read())
+    table.forget(3.0)
+    assert spark.table(table.name).count() == stored - 2 and rows(table.read()) == before
+    table.merge(spark.createDataFrame([("c", 2.0, 1, 2, "too old")], CHANGES))  # the later delete is still known
+    assert rows(table.read()) == before
+
+
+def test_refuses_what_it_cannot_keep(spark, keyed):
+    with pytest.raises(ValueError, match="_slot"):
+        KeyedTable.create(spark.createDataFrame([(1, 2)], "id int, _slot int"), f"keyed_{uuid.uuid4().hex}", "id")
+    with pytest.raises(ValueError, match="city"):
+        keyed().merge(spark.createDataFrame([("c", 1.0, 1, 2)], "op string, basetime double, sequence long, id int"))
+
+
+ADDRESS = "AddressID int, City string, ModifiedDate timestamp"
+
+
+def targets(spark, keyed):
+    old = spark.createDataFrame([(i, f"old {i}") for i in range(1, 5)], "AddressID int, City string")
+    address = keyed([(r[0], r[1], None) for r in old.collect()], ADDRESS, "AddressID")
+    culture = keyed([("en", "English"), ("fr", "French")], "CultureId string, Name string", "CultureId")
+    return [Target("Person.Address", None, "AddressID", table=address.name), Target("Production.Culture", None, "CultureId", table=culture.name)]
+
+
+def cities(spark, target):
+    return rows(KeyedTable(spark, target.table).read(), *KeyedTable(spark, target.table).schema.names[:2])
+
+
+def test_stream_restarts_and_takes_a_late_change(spark, keyed, tmp_path):
+    target = targets(spark, keyed)[0]
+    publish(spark, tmp_path / "log", [event("u", (1, "second"), at=20), event("d", (2, ""), at=30)], first=10)
+    stream_into_one(stream(spark, tmp_path / "log"), target, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    publish(spark, tmp_path / "log", [event("u", (1, "first"), at=5), event("c", (2, "older"), at=6), event("c", (9, "new"), at=7)])
+    stream_into_one(stream(spark, tmp_path / "log"), target, str(tmp_path / "cp"), available_now=True).awaitTermination()
+    assert cities(spark, target) == [(1, "second"), (3, "old 3"), (4, "old 4"), (9, "new")]
+
+
+@pytest.mark.parametrize("workers", [1, 2])
+def test_many_targets_side_by_side(spark, keyed, tmp_path, workers):
+    both = targets(spark, keyed)
+    publish(spark, tmp_path / "log", EVENTS)
+    stream_into_many(stream(spark, tmp_path / "log"), both, str(tmp_path / "cp"), available_now=True, workers=workers).awaitTermination()
+    assert cities(spark, both[1]) == [("cs", "Czech"), ("en", "English!"), ("fr", "French")]
+    assert (1, "updated again") in cities(spark, both[0]) and (11, "unknown update") in cities(spark, both[0])
+
+
+def test_op_first_needs_a_target_by_path(spark, keyed, tmp_path):
+    publish(spark, tmp_path / "log", EVENTS)
+    query = stream_into_many(stream(spark, tmp_path / "log"), targets(spark, keyed), str(tmp_path / "cp"), op_first=True, available_now=True)
+    with pytest.raises(Exception, match="applied by time"):
+        query.awaitTermination()
+
+
+def test_tasks_run_at_the_same_time_in_their_pools(spark):
+    seen, started = {}, time.monotonic()
+
+    def task(name):
+        def run():
+            seen[name] = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+            spark.range(4, numPartitions=1).select(F.expr("java_method('java.lang.Thread', 'sleep', 400L)")).collect()
+
+        return run
+
+    side_by_side(spark, {n: task(n) for n in ("a", "b", "c")}, 3)
+    assert seen == {"a": "a", "b": "b", "c": "c"} and time.monotonic() - started < 4.5
+    assert spark.sparkContext.getLocalProperty("spark.scheduler.pool") is None
+
+
+def test_a_failure_cancels_the_others(spark):
+    ended = []
+
+    def fails():
+        time.sleep(0.5)
+        raise RuntimeError("no disk")
+
+    def slow():
+        spark.range(400, numPartitions=100).select(F.expr("java_method('java.lang.Thread', 'sleep', 300L)")).collect()
+        ended.append("slow")
+
+    def later():
+        ended.append("later")
+
+    started = time.monotonic()
+    with pytest.raises(RuntimeError, match="no disk"):
+        side_by_side(spark, {"fails": fails, "slow": slow, "later": later}, 2)
+    assert "slow" not in ended and time.monotonic() - started < 20

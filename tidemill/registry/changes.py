@@ -19,13 +19,16 @@ from tidemill.operators.changes import (
 )
 from tidemill.registry import sales
 from tidemill.registry.query import Query
-from tidemill.session import workspace
+from tidemill.session import scratch_table, workspace
 from tidemill.sinks.streams import archive_bodies
-from tidemill.sources.events import EventSource, event_bodies
+from tidemill.sources.events import EventSource, Positions, event_bodies
 from tidemill.streaming.apply import Target, stream_into_many, stream_into_one, stream_per_table
+from tidemill.streaming.deliveries import first_deliveries, late_events
 from tidemill.streaming.envelope import decode, row_image, typed_changes, with_event_time
+from tidemill.tables.keyed import KeyedTable
 from tidemill.tables.snapshot import SnapshotTable, describe_extended
 
+PARTS = 6  # of an event log that is delivered out of order
 NEW_YEAR = "timestamp '2024-01-01 00:00:00'"
 
 
@@ -232,8 +235,10 @@ def null_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _both(spark: SparkSession, targets: list[Target]) -> DataFrame:
-    addresses = SnapshotTable(spark, targets[0].path).read()
-    cultures = SnapshotTable(spark, targets[1].path).read()
+    return _named(*(SnapshotTable(spark, t.path).read() for t in targets))
+
+
+def _named(addresses: DataFrame, cultures: DataFrame) -> DataFrame:
     return addresses.selectExpr(
         f"'{ADDRESS}' as target", f"cast({ADDRESS_KEY} as string) as row_key",
         "AddressLine1 as name", "ModifiedDate",
@@ -268,6 +273,82 @@ def streams_per_table(spark: SparkSession, folder: str) -> DataFrame:
     return _both(spark, targets)
 
 
+def _log(spark: SparkSession, folder: str, root: str, deliver, order, one_table: bool = True, within: Positions | None = None) -> DataFrame:
+    """The event log cut by time into ``PARTS``, and delivered in files of one batch each:
+    ``deliver`` says in which files a row comes, ``order`` which file comes when."""
+    events = adapters.table(spark, folder, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    first, last = events.agg(F.min(micros), F.max(micros)).first()
+    part = F.least(F.floor(PARTS * (micros - first) / (last - first + 1)), F.lit(PARTS - 1)).cast("int")
+    cut = events.withColumn("part", part).withColumn("file", F.explode(deliver(F.col("part"), F.col("event_id")))).drop("part")
+    cut = staged_copy(cut, f"{root}/cut")
+    for number in order:
+        cut.where(F.col("file") == number).drop("file").coalesce(1).write.mode("append").parquet(f"{root}/log")
+    log = EventSource("parquet", f"{root}/log", {"maxFilesPerTrigger": "1"}, schema=adapters.SCHEMAS["events"], within=within)
+    return event_bodies(adapters.change_events(log.stream(spark), one_table), sequence="sequence")
+
+
+def _keyed(spark: SparkSession, folder: str, root: str) -> list[Target]:
+    """Targets that take changes in any order."""
+    run = root.rsplit("-", 1)[1]
+    targets = []
+    for name, key, rows in ((ADDRESS, ADDRESS_KEY, adapters.address_target), (CULTURE, CULTURE_KEY, adapters.culture_target)):
+        table = scratch_table(f"changes_{name.replace('.', '_').lower()}_{run}")
+        KeyedTable.create(rows(spark, folder), table, key, path=f"{root}/{table}")
+        targets.append(Target(name, None, key, table=table))
+    return targets
+
+
+def stream_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The events in batches that come out of order, some of them twice."""
+    root = workspace(spark, "stream_shuffled")
+    target = _keyed(spark, folder, root)[0]
+    bodies = _log(
+        spark, folder, root, order=(3, 0, 5, 1, 4, 2),
+        deliver=lambda part, event: F.when(event % 9 == 4, F.array(part, F.pmod(part + 3, F.lit(PARTS)))).otherwise(F.array(part)),
+    )
+    stream_into_one(bodies, target, f"{root}/checkpoint", available_now=True).awaitTermination()
+    return staged_copy(KeyedTable(spark, target.table).read(), f"{root}/result")
+
+
+def stream_side_by_side(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tables fed by one stream whose batches come out of order, written side by side."""
+    root = workspace(spark, "stream_side_by_side")
+    targets = _keyed(spark, folder, root)
+    bodies = _log(spark, folder, root, lambda part, event: F.array(part), (4, 1, 0, 3, 2, 5), one_table=False)
+    stream_into_many(bodies, targets, f"{root}/checkpoint", available_now=True, workers=2).awaitTermination()
+    addresses, cultures = (KeyedTable(spark, t.table).read() for t in targets)
+    return staged_copy(_named(addresses, cultures), f"{root}/result")
+
+
+def deduplicated(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of which some are delivered again a batch later, and some of the first come last:
+    each once but for those, and how many came too late."""
+    root = workspace(spark, "deduplicated")
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    span = adapters.table(spark, folder, "events").agg(F.max(at) - F.min(at)).first()[0]
+    bodies = _log(
+        spark, folder, root, order=range(PARTS),
+        deliver=lambda part, event: F.when((part == 0) & (event % 50 == 7), F.array(F.lit(PARTS - 1)))
+        .when((event % 10 == 3) & (part < PARTS - 1), F.array(part, part + 1)).otherwise(F.array(part)),
+    )
+    told = first_deliveries(row_image(decode(bodies)), f"{max(1, span // 3)} seconds").select("sequence", "op", "schemaname", "basetime")
+    query = told.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/told")
+    query.awaitTermination()
+    late = spark.range(1).select(F.lit(late_events(query)).cast("bigint").alias("late"))
+    return spark.read.parquet(f"{root}/told").unionByName(late, allowMissingColumns=True)
+
+
+def positions(spark: SparkSession, folder: str) -> DataFrame:
+    """The second quarter of the events, by their numbers, out of a stream of all."""
+    root = workspace(spark, "positions")
+    first, last = adapters.table(spark, folder, "events").agg(F.min("event_id"), F.max("event_id")).first()
+    within = Positions("event_id", first + (last - first) // 4, first + (last - first) // 2)
+    bodies = _log(spark, folder, root, lambda part, event: F.array(part), range(PARTS), within=within)
+    archive_bodies(bodies, f"{root}/bodies", f"{root}/checkpoint", available_now=True).awaitTermination()
+    return decode(spark.read.parquet(f"{root}/bodies")).select("sequence", "op", "schemaname")
+
+
 def archive(spark: SparkSession, folder: str) -> DataFrame:
     root = workspace(spark, "archive")
     stream = adapters.body_stream(spark, folder)
@@ -366,6 +447,11 @@ def _in_order(target: str, changes: str, key: str, columns: tuple[str, ...], ops
          OR (last_d IS NULL AND EXISTS (SELECT 1 FROM {target} t WHERE t.{key} = s.{key}))"""
 
 
+def _once_each(target: str, changes: str, key: str, columns: tuple[str, ...], ops: frozenset[str]) -> str:
+    """As :func:`_in_order`, with events that come twice counted once."""
+    return _in_order(target, f"(SELECT DISTINCT * FROM {changes})", key, columns, ops)
+
+
 _ADDRESS_COLUMNS = ("AddressLine1", "City", "ModifiedDate")
 _CULTURE_COLUMNS = ("Name", "ModifiedDate")
 
@@ -449,7 +535,7 @@ QUERIES = {
     "cdc_decimals": Query(
         decimals,
         """SELECT o_orderkey AS sequence, CAST(CAST(CAST(o_orderkey AS DECIMAL(15,0)) * 100000000 + 12345678
-        + CAST(o_custkey AS DECIMAL(19,4)) / 10000 AS DECIMAL(19,4)) AS VARCHAR) AS amount FROM orders""",
+        + CAST(o_custkey AS DECIMAL(14,0)) * 0.0001::DECIMAL(5,4) AS DECIMAL(19,4)) AS VARCHAR) AS amount FROM orders""",
     ),
     "cdc_stream_batches": Query(stream_batches, _address_sql(INSERT_CREATED, one_table=True)),
     "cdc_null_keys": Query(
@@ -468,6 +554,25 @@ QUERIES = {
         streams_per_table,
         _both_sql(_in_order, "address_changes", "culture_changes", INSERT_CREATED),
     ),
+    "cdc_stream_shuffled": Query(stream_shuffled, _address_sql(INSERT_CREATED, one_table=True)),
+    "cdc_stream_side_by_side": Query(
+        stream_side_by_side, _both_sql(_once_each, "address_changes", "culture_changes", INSERT_CREATED_OR_UPDATED)
+    ),
+    "cdc_first_deliveries": Query(
+        deduplicated,
+        f"""WITH {_changes(one_table=True)},
+        bounds AS (SELECT epoch_us(min(ts)) AS a, epoch_us(max(ts)) AS b FROM events),
+        timed AS (SELECT c.*, c.sequence % 50 = 7 AND (epoch_us(ModifiedDate) - a) * {PARTS} // (b - a + 1) = 0 AS late
+                  FROM changes c, bounds)
+        SELECT DISTINCT sequence, op, schemaname, basetime, NULL::BIGINT AS late FROM timed WHERE NOT late
+        UNION ALL SELECT NULL, NULL, NULL, NULL, count(*) FILTER (late) FROM timed""",
+    ),
+    "cdc_positions": Query(
+        positions,
+        f"""WITH {_changes(one_table=True)}, bounds AS (SELECT min(event_id) AS a, max(event_id) AS b FROM events),
+        listed AS (SELECT sequence, op, schemaname FROM changes UNION ALL SELECT sequence, NULL, NULL FROM unreadable)
+        SELECT listed.* FROM listed, bounds WHERE sequence >= a + (b - a) // 4 AND sequence < a + (b - a) // 2""",
+    ),
     "cdc_archive": Query(
         archive,
         f"""WITH {_changes()} SELECT sequence, op, schemaname FROM changes

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+_one_mode = threading.Lock()  # the session has one overwrite mode
 RUN_STAMP_FORMAT = "%m-%d-%Y, %H:%M:%S"
 
 
@@ -89,10 +91,12 @@ def overwrite_partitioned(
 ) -> None:
     """Replace a Hive-partitioned dataset, or just the partitions present in ``frame``.
 
-    With ``table`` the whole dataset is replaced and known to the catalog by that name.
+    With ``table`` the dataset is known to the catalog by that name. If only the touched
+    partitions are replaced, the table must be there, and may have columns added before.
     """
     if table is not None and only_touched:
-        raise ValueError("a catalog table is replaced as a whole")
+        overwrite_partitions(spread_by(frame, columns), table)
+        return
     mode = "dynamic" if only_touched else "static"
     writer = (
         spread_by(frame, columns)
@@ -106,6 +110,28 @@ def overwrite_partitioned(
         writer.format("parquet").option("path", path).saveAsTable(table)
 
 
+def overwrite_partitions(frame: DataFrame, table: str) -> None:
+    """Replace the partitions of a catalog table that ``frame`` has rows for, and leave the
+    others. Columns are matched by name; new partitions become known to the catalog.
+
+    The rows may come from the table itself: new files are moved into place only when all of
+    them are written.
+    """
+    spark = frame.sparkSession
+    columns = spark.table(table).columns
+    lacking = [c for c in columns if c not in frame.columns]
+    if lacking:
+        raise ValueError(f"{table} has columns the rows lack: {lacking}")
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    with _one_mode:
+        before = spark.conf.get(mode)
+        spark.conf.set(mode, "dynamic")
+        try:
+            frame.select(*(f"`{c}`" for c in columns)).write.mode("overwrite").insertInto(table)
+        finally:
+            spark.conf.set(mode, before)
+
+
 def write_profile_csv(
     profile: DataFrame, folder: str, table: str, run_at: datetime, file_based: bool = False
 ) -> str:

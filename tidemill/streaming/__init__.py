@@ -5,6 +5,7 @@ from tidemill.streaming.apply import (
     stream_into_many,
     stream_per_table,
 )
+from tidemill.streaming.deliveries import first_deliveries, late_events
 from tidemill.streaming.envelope import (
     decode,
     row_image,
@@ -16,6 +17,8 @@ __all__ = [
     "Target",
     "apply_batch",
     "decode",
+    "first_deliveries",
+    "late_events",
     "row_image",
     "stream_into_many",
     "stream_into_one",

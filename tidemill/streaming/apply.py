@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Collection, Sequence
+import threading
+import uuid
+from collections.abc import Callable, Collection, Mapping, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tidemill.operators.changes import (
     INSERT_CREATED,
@@ -18,17 +22,24 @@ from tidemill.operators.changes import (
 )
 from tidemill.sinks.streams import start_batches
 from tidemill.streaming.envelope import decode, row_image, typed_changes, with_event_time
+from tidemill.tables.keyed import KeyedTable
 from tidemill.tables.snapshot import SnapshotTable
 
 
 @dataclass(frozen=True)
 class Target:
-    """A table that a change stream feeds."""
+    """A table that a change stream feeds: by ``path`` one that applies batches in the order
+    they come, by ``table``, its name in the catalog, one that changes may reach in any
+    order."""
 
     name: str  # schema.table, as the events call it
-    path: str
+    path: str | None
     key: str
     epoch_millis: Collection[str] = field(default_factory=tuple)
+    table: str | None = None
+
+    def schema(self, spark: SparkSession) -> StructType:
+        return KeyedTable(spark, self.table).schema if self.table else SnapshotTable(spark, self.path).schema
 
 
 def stream_id(spark: SparkSession, checkpoint: str) -> str:
@@ -49,7 +60,15 @@ def apply_batch(
 
     With ``op_first`` the one change of each key with the greatest operation is applied
     instead. Either leaves a row per key, and those without one.
+
+    A target in the catalog takes changes by commit time and sequence, whatever batch they
+    come in; a batch that comes again changes nothing.
     """
+    if target.table:
+        if op_first:
+            raise ValueError("changes in any order are applied by time, not by operation")
+        KeyedTable(changes.sparkSession, target.table).merge(changes, insert_ops)
+        return
     table = SnapshotTable(changes.sparkSession, target.path)
     if op_first:
         changes = changes.drop("sequence")
@@ -60,6 +79,42 @@ def apply_batch(
     table.merge(net, insert_ops, stream, batch_id)
 
 
+def side_by_side(spark: SparkSession, tasks: Mapping[str, Callable[[], None]], workers: int) -> None:
+    """Run named tasks, up to ``workers`` at a time, each with jobs in a scheduler pool of its
+    name. The first failure cancels the jobs of the others, and is raised when all have
+    ended; tasks that have not begun by then do not."""
+    if workers <= 1 or len(tasks) <= 1:
+        for task in tasks.values():
+            task()
+        return
+    context, failed, run = spark.sparkContext, threading.Event(), uuid.uuid4().hex
+    groups = {name: f"{name} {run}" for name in tasks}
+
+    def one(name: str, task: Callable[[], None]) -> None:
+        if failed.is_set():
+            return
+        context.setJobGroup(groups[name], name, interruptOnCancel=False)
+        context.setLocalProperty("spark.scheduler.pool", name)
+        try:
+            task()
+        except BaseException:
+            failed.set()
+            raise
+
+    with ThreadPoolExecutor(min(workers, len(tasks))) as pool:
+        started = {pool.submit(inheritable_thread_target(spark)(one), name, task): name for name, task in tasks.items()}
+        done, rest = wait(started, return_when=FIRST_EXCEPTION)
+        errors = [f.exception() for f in done if f.exception() is not None]
+        if errors:
+            for future in rest:
+                future.cancel()
+            while rest:  # a task may be between two jobs
+                for future in rest:
+                    context.cancelJobGroup(groups[started[future]])
+                _, rest = wait(rest, timeout=0.2)
+            raise errors[0]
+
+
 def _images(bodies: DataFrame) -> DataFrame:
     return row_image(decode(bodies))
 
@@ -73,7 +128,7 @@ def stream_into_one(
     available_now: bool = False,
 ) -> StreamingQuery:
     """Apply a stream that carries a single table's changes."""
-    schema = SnapshotTable(bodies.sparkSession, target.path).schema
+    schema = target.schema(bodies.sparkSession)
     changes = typed_changes(_images(bodies), schema, epoch_millis=target.epoch_millis)
     if modified is not None:
         changes = with_event_time(changes, modified)
@@ -91,21 +146,26 @@ def stream_into_many(
     insert_ops: Collection[str] = INSERT_CREATED_OR_UPDATED,
     op_first: bool = False,
     available_now: bool = False,
+    workers: int = 1,
 ) -> StreamingQuery:
     """Apply one stream that carries the changes of several tables.
 
     Each batch is cached once and split; a table already holding the batch, after a
-    failure between two tables, skips it.
+    failure between two tables, skips it. Up to ``workers`` tables are written at a time; the
+    first that fails cancels the others' jobs and fails the batch, which then comes again.
     """
-    schemas = {t.name: SnapshotTable(bodies.sparkSession, t.path).schema for t in targets}
+    schemas = {t.name: t.schema(bodies.sparkSession) for t in targets}
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         stream = stream_id(batch.sparkSession, checkpoint)
+
+        def into(t: Target) -> None:
+            changes = typed_changes(batch, schemas[t.name], t.name, t.epoch_millis)
+            apply_batch(changes, batch_id, t, stream, insert_ops, op_first)
+
         try:
-            for t in targets:
-                changes = typed_changes(batch, schemas[t.name], t.name, t.epoch_millis)
-                apply_batch(changes, batch_id, t, stream, insert_ops, op_first)
+            side_by_side(batch.sparkSession, {t.name: lambda t=t: into(t) for t in targets}, workers)
         finally:
             batch.unpersist()
 
@@ -123,7 +183,7 @@ def stream_per_table(
     queries = []
     for target in targets:
         stream = bodies()
-        schema = SnapshotTable(stream.sparkSession, target.path).schema
+        schema = target.schema(stream.sparkSession)
         changes = typed_changes(_images(stream), schema, target.name, target.epoch_millis)
         checkpoint = f"{checkpoint_root}/{target.name}"
 
