@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 INSERT_CREATED = frozenset({"c"})
 INSERT_CREATED_OR_UPDATED = frozenset({"c", "u"})
 DELETED, INSERTS = "_deleted", "_inserts"
+SLOT = "_slot"
 
 
 def latest_per_key(
@@ -18,7 +19,7 @@ def latest_per_key(
     order: Sequence[str] = ("basetime", "sequence"),
     op_first: bool = False,
 ) -> DataFrame:
-    """One row per key: the last by ``order``.
+    """One row per key: the last by ``order``. Rows without a key count as one key.
 
     With ``op_first`` rows are compared field by field in the order the columns
     stand, operation first, so that within a batch an update outranks a delete and
@@ -174,6 +175,51 @@ def merge_changes(
     insert_ops: Collection[str] = INSERT_CREATED,
     keys_repeat: bool = False,
 ) -> DataFrame:
-    """``target`` after applying ``changes``; see ``merge_parts``."""
+    """``target``, whose rows may share a key, after ``changes``; see ``merge_parts``."""
     kept, new = merge_parts(target, changes, key, insert_ops, keys_repeat)
     return kept.unionByName(new)
+
+
+def with_slot(frame: DataFrame, key: str) -> DataFrame:
+    """``frame`` with a hash of each row's key; of the row itself where it has none, so that
+    such rows are scattered."""
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in frame.columns])
+    slot = F.when(F.col(f"`{key}`").isNull(), whole).otherwise(F.xxhash64(f"`{key}`"))
+    return frame.withColumn(SLOT, slot)
+
+
+def merge_once(
+    target: DataFrame, changes: DataFrame, key: str, insert_ops: Collection[str] = INSERT_CREATED
+) -> DataFrame:
+    """``target`` after ``changes`` in a single join, which reads each side once.
+
+    No two rows of ``target`` share a key, and ``changes`` hold one row per key. What each
+    change does is as in :func:`merge_parts`. A full outer join gives both the rows that
+    remain and those that are new; a key that is deleted and then inserted again takes part
+    twice, the second time with nothing to match. Where ``target`` is a table from
+    :func:`tidemill.sinks.files.save_bucketed`, it is neither shuffled nor hashed again.
+    """
+    if DELETED not in changes.columns:
+        op = F.col("op")
+        changes = changes.withColumns({DELETED: _is(op, {"d"}), INSERTS: _is(op, insert_ops)})
+    if SLOT not in target.columns:
+        target = with_slot(target, key)
+    kinds = {f.name: f.dataType for f in target.schema}
+    given = [c for c in changes.columns if c in kinds and c != SLOT]
+    deleted, inserts = (F.coalesce(F.col(c), F.lit(False)) for c in (DELETED, INSERTS))
+    typed = changes.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in given), deleted.alias(DELETED), inserts.alias(INSERTS))
+    again = F.explode(F.when(F.col(DELETED) & F.col(INSERTS), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    sent = with_slot(typed.withColumn("_again", again), key)
+    sent = sent.withColumn("_key", F.when(~F.col("_again"), F.col(f"`{key}`")))
+    t, s = target.alias("t"), sent.alias("s")
+    held, changed = F.col(f"t.{SLOT}").isNotNull(), F.col(f"s.{SLOT}").isNotNull()
+    stays = F.when(held, ~F.coalesce(F.col(f"s.{DELETED}"), F.lit(False))).otherwise(
+        F.col(f"s.{INSERTS}") & (F.col("s._again") | ~F.col(f"s.{DELETED}"))
+    )
+    columns = [
+        (F.when(changed, F.col(f"s.`{c}`")).otherwise(F.col(f"t.`{c}`")) if c in given else F.col(f"t.`{c}`")).alias(c)
+        for c in target.columns
+        if c != SLOT
+    ]
+    matched = (F.col(f"t.{SLOT}") == F.col(f"s.{SLOT}")) & (F.col(f"t.`{key}`") == F.col("s._key"))
+    return t.join(s, matched, "full_outer").where(stays).select(*columns)

@@ -15,11 +15,13 @@ from tidemill.operators.changes import (
     INSERT_CREATED_OR_UPDATED,
     latest_per_key,
     merge_changes,
+    merge_once,
     net_changes,
 )
 from tidemill.registry import sales
 from tidemill.registry.query import Query
 from tidemill.session import scratch_table, workspace
+from tidemill.sinks.files import overwrite_partitioned, save_bucketed
 from tidemill.sinks.streams import archive_bodies
 from tidemill.sources.events import EventSource, Positions, event_bodies
 from tidemill.streaming.apply import Target, stream_into_many, stream_into_one, stream_per_table
@@ -145,13 +147,28 @@ def latest_op_first(spark: SparkSession, folder: str) -> DataFrame:
 def merged(insert_ops: frozenset[str]):
     def build(spark: SparkSession, folder: str) -> DataFrame:
         changes = net_changes(_address_changes(spark, folder), ADDRESS_KEY, insert_ops)
-        return merge_changes(
-            adapters.address_target(spark, folder), changes, ADDRESS_KEY, insert_ops
-        )
+        return merge_once(adapters.address_target(spark, folder), changes, ADDRESS_KEY, insert_ops)
 
     return build
 
 
+def merged_repeated(spark: SparkSession, folder: str) -> DataFrame:
+    """Changes to a target in which rows share keys: each row of a key is changed."""
+    target = adapters.address_target(spark, folder)
+    target = target.unionByName(target.where(F.col(ADDRESS_KEY) % 2 == 0).withColumn("City", F.lit("second")))
+    changes = net_changes(_address_changes(spark, folder), ADDRESS_KEY, INSERT_CREATED)
+    return merge_changes(target, changes, ADDRESS_KEY, INSERT_CREATED)
+
+
+def merged_bucketed(spark: SparkSession, folder: str) -> DataFrame:
+    """The merge into a bucketed table of the catalog, which is not shuffled."""
+    root = workspace(spark, "merged_bucketed")
+    name = scratch_table(f"changes_bucketed_{root.rsplit('-', 1)[1]}")
+    save_bucketed(adapters.address_target(spark, folder), name, ADDRESS_KEY, path=f"{root}/{name}")
+    changes = net_changes(_address_changes(spark, folder), ADDRESS_KEY, INSERT_CREATED)
+    return staged_copy(merge_once(spark.table(name), changes, ADDRESS_KEY, INSERT_CREATED), f"{root}/result")
+
+
 def _merged_table(spark: SparkSession, folder: str) -> SnapshotTable:
     table = SnapshotTable.create(
         adapters.address_target(spark, folder), workspace(spark, "address"), ADDRESS_KEY
@@ -173,6 +190,20 @@ def merged_by_name(spark: SparkSession, folder: str) -> DataFrame:
         return staged_copy(rows, workspace(spark, "merged_by_name"))
 
 
+def replaced_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """Two months of a partitioned table replaced by name, with a column the table got after
+    it was written, and a new partition; the other months stay."""
+    root = workspace(spark, "partitions")
+    name = scratch_table(f"changes_orders_{root.rsplit('-', 1)[1]}")
+    orders = adapters.table(spark, folder, "orders").select("o_orderkey", "o_totalprice", F.month("o_orderdate").alias("month"))
+    overwrite_partitioned(orders, f"{root}/{name}", ["month"], table=name)
+    spark.sql(f"ALTER TABLE {name} ADD COLUMNS (note string)")
+    fixed = orders.where(F.col("month").isin(2, 5) & (F.col("o_totalprice") >= 100000)).withColumn("note", F.lit("corrected"))
+    added = orders.where("o_orderkey < 100").withColumns({"month": F.lit(13), "note": F.lit("new")})
+    overwrite_partitioned(fixed.unionByName(added), f"{root}/{name}", ["month"], only_touched=True, table=name)
+    return spark.table(name).select("o_orderkey", "o_totalprice", "note", "month")
+
+
 def staged_copy(frame: DataFrame, path: str) -> DataFrame:
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
@@ -528,6 +559,25 @@ QUERIES = {
     "merge_upsert": Query(
         merged(INSERT_CREATED_OR_UPDATED), _address_sql(INSERT_CREATED_OR_UPDATED)
     ),
+    "merge_bucketed": Query(merged_bucketed, _address_sql(INSERT_CREATED)),
+    "merge_repeated_keys": Query(
+        merged_repeated,
+        f"""WITH {_changes()}, doubled AS (
+          SELECT * FROM address UNION ALL SELECT * REPLACE ('second' AS City) FROM address WHERE AddressID % 2 = 0),
+        once AS ({_in_order("address", "address_changes", "AddressID", _ADDRESS_COLUMNS, INSERT_CREATED)}),
+        kept AS (SELECT s.* FROM once s WHERE AddressID IN (SELECT AddressID FROM address_changes) OR AddressID IS NULL)
+        SELECT * FROM doubled WHERE AddressID NOT IN (SELECT AddressID FROM address_changes WHERE AddressID IS NOT NULL)
+        UNION ALL SELECT * FROM kept
+        UNION ALL SELECT kept.* FROM kept JOIN address a USING (AddressID) WHERE AddressID % 2 = 0
+          AND AddressID NOT IN (SELECT AddressID FROM address_changes WHERE op = 'd' AND AddressID IS NOT NULL)""",
+    ),
+    "partitions_replaced": Query(
+        replaced_partitions,
+        """SELECT o_orderkey, o_totalprice, CASE WHEN extract(month FROM o_orderdate) IN (2, 5) THEN 'corrected' END AS note,
+        CAST(extract(month FROM o_orderdate) AS INTEGER) AS month FROM orders
+        WHERE extract(month FROM o_orderdate) NOT IN (2, 5) OR o_totalprice >= 100000
+        UNION ALL SELECT o_orderkey, o_totalprice, 'new', 13 FROM orders WHERE o_orderkey < 100""",
+    ),
     "merge_table": Query(merged_table, _address_sql(INSERT_CREATED)),
     "merge_by_name": Query(
         merged_by_name, f"SELECT * FROM ({_address_sql(INSERT_CREATED)}) WHERE City IS NOT NULL"

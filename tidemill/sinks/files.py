@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tidemill.operators.changes import SLOT, with_slot
+
 _one_mode = threading.Lock()  # the session has one overwrite mode
 RUN_STAMP_FORMAT = "%m-%d-%Y, %H:%M:%S"
 
@@ -47,6 +49,16 @@ def overwrite_managed(frame: DataFrame, table: str, path: str | None = None) ->
     (writer.option("path", path) if path else writer).saveAsTable(table)
 
 
+def save_bucketed(frame: DataFrame, table: str, key: str, buckets: int | None = None, path: str | None = None) -> None:
+    """Replace a catalog table with ``frame``, bucketed by a hash of its key that it keeps next
+    to its columns: :func:`tidemill.operators.changes.merge_once` joins it without a shuffle.
+    As many buckets as the session's shuffles have, unless given."""
+    slotted = with_slot(frame, key)
+    count = buckets or int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    writer = slotted.repartition(count, SLOT, key).write.format("parquet").mode("overwrite").bucketBy(count, SLOT, key).sortBy(SLOT, key)
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
 @dataclass(frozen=True)
 class LoadAudit:
     """What one load did to a table."""
@@ -98,15 +110,10 @@ def overwrite_partitioned(
         overwrite_partitions(spread_by(frame, columns), table)
         return
     mode = "dynamic" if only_touched else "static"
-    writer = (
-        spread_by(frame, columns)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", mode)
-        .partitionBy(*columns)
-    )
+    writer = spread_by(frame, columns).write.mode("overwrite").partitionBy(*columns)
     if table is None:
-        writer.parquet(path)
-    else:
+        writer.option("partitionOverwriteMode", mode).parquet(path)
+    else:  # a table would keep the mode as its own
         writer.format("parquet").option("path", path).saveAsTable(table)
 
 

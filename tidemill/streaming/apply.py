@@ -59,7 +59,7 @@ def apply_batch(
     """Apply a batch's changes to ``target`` in order, once per batch.
 
     With ``op_first`` the one change of each key with the greatest operation is applied
-    instead. Either leaves a row per key, and those without one.
+    instead, and rows without a key count as one key; otherwise each is a row of its own.
 
     A target in the catalog takes changes by commit time and sequence, whatever batch they
     come in; a batch that comes again changes nothing.

@@ -16,10 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemill.operators.changes import INSERT_CREATED
+from tidemill.operators.changes import INSERT_CREATED, SLOT
 from tidemill.operators.marks import DELETED, LONE, MARK_TYPES, MARKS, combined, is_there, summary, unchanged
 
-SLOT = "_slot"
 KEY_PROPERTY, SLOTS_PROPERTY = "tidemill.key", "tidemill.slots"
 
 
