@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     DataType,
@@ -22,6 +22,7 @@ from pyspark.sql.types import (
     MapType,
     NumericType,
     StringType,
+    StructType,
 )
 
 PROFILE_COLUMNS = (
@@ -66,7 +67,7 @@ def _facts(column: Column, number: Column, kind: DataType, name: str) -> Column:
     """The aggregates of one column as a struct."""
     nothing = F.lit(0).cast("bigint")
     text = isinstance(kind, StringType)
-    described = text or isinstance(kind, NumericType)
+    described = _described(kind)
     missing = column.isNull()
     if isinstance(kind, (StringType, FloatType, DoubleType)):
         # The text NaN is as little a value as the number.
@@ -84,6 +85,10 @@ def _facts(column: Column, number: Column, kind: DataType, name: str) -> Column:
     )
 
 
+def _described(kind: DataType) -> bool:
+    return isinstance(kind, (StringType, NumericType))
+
+
 def _counted_as(kind: DataType) -> str:
     """The type a column's values are counted in; whole numbers of any width share one."""
     if isinstance(kind, IntegralType):
@@ -95,15 +100,16 @@ def _as_text(value: Column, counted_as: str) -> Column:
     return F.hex(value) if counted_as == "binary" else value.cast("string")
 
 
-def _extremes(frame: DataFrame, columns: dict[int, Column], counted_as: str) -> DataFrame:
-    """Distinct values and extreme frequencies of columns counted in one type."""
+def _value_counts(frame: DataFrame, columns: dict[int, Column], counted_as: str) -> DataFrame:
+    """``position, value, copies`` of columns counted in one type."""
     values = frame.select(*[c.cast(counted_as).alias(str(i)) for i, c in columns.items()])
     names = [F.col(_quoted(c)) for c in values.columns]
-    counted = (
-        values.unpivot([], names, "position", "value")
-        .groupBy("position", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+    counted = values.unpivot([], names, "position", "value").groupBy("position", "value")
+    return counted.agg(F.count(F.lit(1)).alias("copies"))
+
+
+def _extremes(counted: DataFrame, counted_as: str) -> DataFrame:
+    """Distinct values and extreme frequencies of columns whose values are counted."""
     absent = F.col("value").isNull().alias("absent")
     fewest = F.struct(F.col("copies"), absent, F.col("value"))
     most = F.struct((-F.col("copies")).alias("copies"), absent, F.col("value"))
@@ -122,45 +128,95 @@ def _extremes(frame: DataFrame, columns: dict[int, Column], counted_as: str) ->
     )
 
 
-def profile(frame: DataFrame) -> DataFrame:
-    """Counts, moments, distinct values and extreme frequencies of every column.
+def _moments(number: Column, kind: DataType) -> Column:
+    """How many numbers there are, and their squared deviations from the mean."""
+    described = _described(kind)
+    n = F.count(number) if described else F.lit(0)
+    spread = (F.var_pop(number) * F.count(number)) if described else F.lit(None)
+    return F.struct(n.cast("bigint").alias("numbers"), spread.cast("double").alias("spread"))
 
-    Values are reported as text. Ties between frequencies go to the smaller value,
-    NULL last. NULL is one of the distinct values. The rows are read once for each
-    type among the columns, so profile a stored table rather than a long computation.
-    """
+
+def _column_facts(frame: DataFrame, moments: bool = False) -> DataFrame:
+    """``position`` and the facts of every column, from one aggregate."""
     fields = frame.schema.fields
     columns = [F.col(_quoted(f.name)) for f in fields]
-
     numbered = frame.select(
         *[c.alias(f"c{i}") for i, c in enumerate(columns)],
         *[_as_number(c, f.dataType).alias(f"n{i}") for i, (c, f) in enumerate(zip(columns, fields))],
     )
     facts = numbered.agg(
-        *[
-            _facts(F.col(f"c{i}"), F.col(f"n{i}"), field.dataType, field.name).alias(f"f{i}")
-            for i, field in enumerate(fields)
-        ]
+        *[_facts(F.col(f"c{i}"), F.col(f"n{i}"), f.dataType, f.name).alias(f"f{i}") for i, f in enumerate(fields)],
+        *[_moments(F.col(f"n{i}"), f.dataType).alias(f"m{i}") for i, f in enumerate(fields) if moments],
     )
-    facts = facts.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("position"), F.col(f"f{i}.*"))
-                    for i in range(len(fields))
-                ]
-            )
-        ).alias("fact")
-    ).select("fact.*")
+    each = [
+        F.struct(F.lit(i).alias("position"), F.col(f"f{i}.*"), *([F.col(f"m{i}.*")] if moments else []))
+        for i in range(len(fields))
+    ]
+    return facts.select(F.explode(F.array(*each)).alias("fact")).select("fact.*")
+
 
+def _by_type(schema: StructType) -> dict[str, dict[int, Column]]:
+    """Columns by the type their values are counted in."""
     by_type: dict[str, dict[int, Column]] = {}
-    for i, (column, field) in enumerate(zip(columns, fields)):
-        by_type.setdefault(_counted_as(field.dataType), {})[i] = column
-    extremes = reduce(
-        DataFrame.unionByName,
-        [_extremes(frame, group, counted_as) for counted_as, group in by_type.items()],
-    )
-    joined = facts.join(extremes, "position", "left")
+    for i, field in enumerate(schema):
+        by_type.setdefault(_counted_as(field.dataType), {})[i] = F.col(_quoted(field.name))
+    return by_type
+
+
+def _profiled(facts: DataFrame, extremes: list[DataFrame]) -> DataFrame:
+    joined = facts.join(reduce(DataFrame.unionByName, extremes), "position", "left")
     counts = ("num_distinct", "most_freq_value_count", "least_freq_value_count")
-    joined = joined.fillna(0, subset=list(counts))
-    return joined.select(*PROFILE_COLUMNS)
+    return joined.fillna(0, subset=list(counts)).select(*PROFILE_COLUMNS)
+
+
+def profile(frame: DataFrame) -> DataFrame:
+    """Counts, moments, distinct values and extreme frequencies of every column.
+
+    Values are reported as text. Ties between frequencies go to the smaller value,
+    NULL last. NULL is one of the distinct values. The rows are read once for each
+    type among the columns, so profile a stored table rather than a long computation.
+    """
+    extremes = [_extremes(_value_counts(frame, group, kind), kind) for kind, group in _by_type(frame.schema).items()]
+    return _profiled(_column_facts(frame), extremes)
+
+
+# -- profiles from stored parts ---------------------------------------------------------
+
+
+def _counts_folder(folder: str, index: int) -> str:
+    return f"{folder}/values/type={index}"
+
+
+def store_part(frame: DataFrame, folder: str, load: str) -> None:
+    """Store what a profile needs to know of one load's rows: the facts of each column with its
+    moments, and how often each value occurs. A load stored again replaces itself."""
+    _column_facts(frame, moments=True).write.mode("overwrite").parquet(f"{folder}/facts/load={load}")
+    for index, (kind, group) in enumerate(_by_type(frame.schema).items()):
+        counts = _value_counts(frame, group, kind)
+        counts.write.mode("overwrite").parquet(f"{_counts_folder(folder, index)}/load={load}")
+
+
+def stored_profile(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The profile of all loads stored under ``folder``, of tables with one schema: what
+    :func:`profile` gives of all their rows, from the parts alone. Counts are added; moments
+    are merged by the formula of Chan, Golub and LeVeque, from each part's own mean."""
+    parts = spark.read.parquet(f"{folder}/facts").drop("load")
+    weight = F.when(F.col("numbers") > 0, F.col("numbers"))
+    column = Window.partitionBy("position")
+    whole = F.sum(weight * F.col("mean")).over(column) / F.sum(weight).over(column)
+    apart = F.col("mean") - F.col("whole")
+    merged = parts.withColumn("whole", whole).groupBy("position").agg(
+        F.first("column_names").alias("column_names"),
+        F.first("data_types").alias("data_types"),
+        *(F.sum(c).alias(c) for c in ("num_rows", "num_null", "num_spaces", "num_blank", "count")),
+        F.first("whole").alias("mean"),
+        F.sum("numbers").alias("numbers"),
+        F.sum(F.when(F.col("numbers") > 0, F.col("spread") + F.col("numbers") * apart * apart)).alias("spread"),
+    )
+    deviation = F.when(F.col("numbers") > 1, F.sqrt(F.col("spread") / (F.col("numbers") - 1)))
+    facts = merged.withColumn("stddev", deviation).drop("numbers", "spread")
+    extremes = []
+    for index, kind in enumerate(_by_type(schema)):
+        counts = spark.read.schema(f"position string, value {kind}, copies bigint").parquet(_counts_folder(folder, index))
+        extremes.append(_extremes(counts.groupBy("position", "value").agg(F.sum("copies").alias("copies")), kind))
+    return _profiled(facts, extremes)

@@ -17,7 +17,7 @@ from tidemill.operators.cleanse import (
     fill_nulls,
     rename_columns,
 )
-from tidemill.operators.profile import profile
+from tidemill.operators.profile import profile, store_part, stored_profile
 from tidemill.sinks.files import (
     LoadAudit,
     append_managed,
@@ -37,6 +37,7 @@ SIZE_COLUMN = "Size"
 MANAGED_SUFFIX = "Table"
 INCREMENT_SUFFIX = "_part.parquet"
 INCREMENT_FOLDER = "incremental"
+FULL_LOAD = "full"
 
 TableEdit = Callable[[SnapshotTable], object]
 
@@ -72,13 +73,15 @@ def full_load(
     keys: Mapping[str, str] | None = None,
     edits: Mapping[str, TableEdit] | None = None,
     skipped: list[str] | None = None,
+    parts: str | None = None,
 ) -> dict[str, DataFrame]:
     """Clean every configured table and replace its silver dataset.
 
     With ``managed_dir`` each table is first kept there as ``<table>Table``, keyed by
     ``keys[table]`` or its first column, and ``edits`` change rows in it before the
     silver dataset is written from it. A configured table that is missing raises, unless
-    there is a list for ``skipped`` to add its name to.
+    there is a list for ``skipped`` to add its name to. With ``parts``, what a profile needs
+    to know of the rows is stored there, for :func:`profile_loads`.
     """
     if edits and managed_dir is None:
         raise ValueError("edits need managed tables")
@@ -96,20 +99,27 @@ def full_load(
         path = f"{config.sink_dir}/{table}"
         overwrite_parquet(cleaned, path)
         silver[table] = spark.read.parquet(path)
+        if parts is not None:
+            store_part(silver[table], f"{parts}/{table}", FULL_LOAD)
     return silver
 
 
 def incremental_load(
-    spark: SparkSession, config: LoadConfig, increments: str, skipped: list[str] | None = None
+    spark: SparkSession, config: LoadConfig, increments: str, skipped: list[str] | None = None,
+    parts: str | None = None, load: str = INCREMENT_FOLDER,
 ) -> dict[str, DataFrame]:
     """Clean the increments under ``increments`` and append them to silver.
 
     Returns the whole silver tables, read back. A table without an increment raises, unless
-    there is a list for ``skipped`` to add its name to.
+    there is a list for ``skipped`` to add its name to. With ``parts``, what a profile needs to
+    know of the increment is stored there as ``load``; silver is not read for that.
     """
     frames = read_parquet_tables(spark, increments, config.tables, INCREMENT_SUFFIX, skipped)
     for table, frame in frames.items():
-        append_parquet(clean(table, frame, config), f"{config.sink_dir}/{table}")
+        cleaned = clean(table, frame, config)
+        append_parquet(cleaned, f"{config.sink_dir}/{table}")
+        if parts is not None:
+            store_part(cleaned, f"{parts}/{table}", load)
     return read_parquet_tables(spark, config.sink_dir, config.tables, skipped=None if skipped is None else [])
 
 
@@ -138,6 +148,18 @@ def profile_tables(
     }
 
 
+def profile_loads(
+    tables: Mapping[str, DataFrame], parts: str, folder: str, run_at: datetime, file_based: bool = False
+) -> dict[str, str]:
+    """As :func:`profile_tables`, from the parts stored by the loads instead of the rows."""
+    return {
+        table: write_profile_csv(
+            stored_profile(frame.sparkSession, f"{parts}/{table}", frame.schema), folder, table, run_at, file_based
+        )
+        for table, frame in tables.items()
+    }
+
+
 def load_csv(
     spark: SparkSession,
     folder: str,

@@ -16,6 +16,7 @@ from tidemill.plans.loads import (
     incremental_load,
     land_increment,
     load_csv,
+    profile_loads,
     profile_tables,
 )
 from tidemill.registry import profiles, sales
@@ -100,7 +101,8 @@ def full_pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def incremental_pipeline(spark: SparkSession, folder: str) -> DataFrame:
-    """All configured tables in two loads, the first of half the rows, then profiled."""
+    """All configured tables in two loads, the first of half the rows, then profiled from what
+    each load stored of its rows."""
     root = workspace(spark, "incremental_pipeline")
     config = _config(root, *ALL)
     for table, rows in adapters.sales_tables(spark, folder).items():
@@ -108,9 +110,9 @@ def incremental_pipeline(spark: SparkSession, folder: str) -> DataFrame:
             first = F.pmod(F.xxhash64(rows.columns[0]), F.lit(2)) == 0
             overwrite_parquet(rows.where(first), f"{config.source_dir}/{table}")
             overwrite_parquet(rows.where(~first), f"{root}/incremental/{table}_part.parquet")
-    full_load(spark, config)
-    silver = incremental_load(spark, config, f"{root}/incremental")
-    return _profiles(spark, profile_tables(silver, root, RUN_AT))
+    full_load(spark, config, parts=f"{root}/parts")
+    silver = incremental_load(spark, config, f"{root}/incremental", parts=f"{root}/parts")
+    return _profiles(spark, profile_loads(silver, f"{root}/parts", root, RUN_AT))
 
 
 def incremented(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill import adapters
-from tidemill.operators.profile import profile
+from tidemill.operators.profile import profile, store_part, stored_profile
 from tidemill.registry import sales
 from tidemill.registry.query import Query
+from tidemill.session import workspace
 
 # Moments are rounded: their last digits depend on the order of summation.
 DIGITS = 4
@@ -32,6 +33,19 @@ def profile_sales_table(name: str):
     return build
 
 
+def profile_in_parts(name: str):
+    """The profile from what was stored of each of three loads."""
+
+    def build(spark: SparkSession, folder: str) -> DataFrame:
+        rows, root = adapters.table(spark, folder, name), workspace(spark, "profile_parts")
+        first = rows.columns[0]
+        for load in range(3):
+            store_part(rows.where(F.pmod(F.xxhash64(first), F.lit(3)) == load), root, str(load))
+        return _rounded(stored_profile(spark, root, rows.schema))
+
+    return build
+
+
 def profile_sql(source: str, columns: dict[str, str]) -> str:
     """One row per column; ``columns`` gives each column's type."""
     rows = []
@@ -76,6 +90,13 @@ QUERIES = {
         )
         for name in ("part", "customer", "orders", "lineitem", "events")
     },
+    **{
+        f"profile_parts_{name}": Query(
+            profile_in_parts(name),
+            profile_sql(f"SELECT * FROM {name}", column_types(adapters.SCHEMAS[name])),
+        )
+        for name in ("orders", "events")
+    },
     "profile_address": Query(
         profile_sales_table("Address"),
         profile_sql(
