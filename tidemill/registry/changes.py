@@ -27,6 +27,7 @@ from tidemill.sources.events import EventSource, Positions, event_bodies
 from tidemill.streaming.apply import Target, stream_into_many, stream_into_one, stream_per_table
 from tidemill.streaming.deliveries import first_deliveries, late_events
 from tidemill.streaming.envelope import decode, row_image, typed_changes, with_event_time
+from tidemill.streaming.variant import parsed, variant_changes
 from tidemill.tables.keyed import KeyedTable
 from tidemill.tables.snapshot import SnapshotTable, describe_extended
 
@@ -223,6 +224,34 @@ def decimals(spark: SparkSession, folder: str) -> DataFrame:
     return changes.select("sequence", F.col("Amount").cast("string").alias("amount"))
 
 
+def decimals_by_variant(spark: SparkSession, folder: str) -> DataFrame:
+    """The amounts, by VARIANT, with the field that the target lacks."""
+    lines = adapters.table(spark, folder, "orders").selectExpr(
+        "o_orderkey as sequence",
+        "cast(cast(o_orderkey as decimal(15,0)) * 100000000 + 12345678 + cast(o_custkey as decimal(19,4)) / 10000 as decimal(19,4)) as Amount",
+        "o_orderstatus as status",
+    )
+    fields = F.concat(F.lit('{"Amount": '), F.col("Amount").cast("string"), F.lit(', "status": "'), F.col("status"), F.lit('"}'))
+    source = '"source": {"schema": "Sales", "table": "Order", "ts_ms": 1}'
+    bodies = lines.select("sequence", F.concat(F.lit('{"before": null, "after": '), fields, F.lit(f', "op": "c", {source}}}')).alias("Body"))
+    changes = variant_changes(parsed(bodies), lines.select("Amount").schema, "Sales.Order", rest="rest")
+    return changes.select("sequence", F.col("Amount").cast("string").alias("amount"), "rest")
+
+
+def demultiplexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The changes of both tables out of events parsed once."""
+    events = staged_copy(parsed(adapters.bodies(spark, folder)), workspace(spark, "parsed"))
+    schemas = adapters.target_schemas(spark, folder)
+    addresses = variant_changes(events, schemas[ADDRESS], ADDRESS)
+    cultures = variant_changes(events, schemas[CULTURE], CULTURE)
+    named = (ADDRESS, addresses, ADDRESS_KEY, "AddressLine1"), (CULTURE, cultures, CULTURE_KEY, "Name")
+    first, second = (
+        rows.select(F.lit(target).alias("target"), "op", "basetime", "sequence", F.col(key).cast("string").alias("row_key"), F.col(name).alias("name"), "ModifiedDate")
+        for target, rows, key, name in named
+    )
+    return first.unionByName(second)
+
+
 # -- change events as streams ---------------------------------------------------------
 
 
@@ -587,6 +616,19 @@ QUERIES = {
         """SELECT o_orderkey AS sequence, CAST(CAST(CAST(o_orderkey AS DECIMAL(15,0)) * 100000000 + 12345678
         + CAST(o_custkey AS DECIMAL(14,0)) * 0.0001::DECIMAL(5,4) AS DECIMAL(19,4)) AS VARCHAR) AS amount FROM orders""",
     ),
+    "cdc_variant_decimals": Query(
+        decimals_by_variant,
+        """SELECT o_orderkey AS sequence, CAST(CAST(CAST(o_orderkey AS DECIMAL(15,0)) * 100000000 + 12345678
+        + CAST(o_custkey AS DECIMAL(14,0)) * 0.0001::DECIMAL(5,4) AS DECIMAL(19,4)) AS VARCHAR) AS amount,
+        '{"status":"' || o_orderstatus || '"}' AS rest FROM orders""",
+    ),
+    "cdc_variant_demux": Query(
+        demultiplexed,
+        f"""WITH {_changes()}
+        SELECT 'Person.Address' AS target, op, basetime, sequence, CAST(AddressID AS VARCHAR) AS row_key, AddressLine1 AS name, ModifiedDate
+        FROM address_changes
+        UNION ALL SELECT 'Production.Culture', op, basetime, sequence, CultureId, Name, ModifiedDate FROM culture_changes""",
+    ),
     "cdc_stream_batches": Query(stream_batches, _address_sql(INSERT_CREATED, one_table=True)),
     "cdc_null_keys": Query(
         null_keys, f"SELECT * FROM ({_address_sql(INSERT_CREATED, one_table=True)}) WHERE AddressID IS NULL"

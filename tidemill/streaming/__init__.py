@@ -12,6 +12,7 @@ from tidemill.streaming.envelope import (
     typed_changes,
     with_event_time,
 )
+from tidemill.streaming.variant import parsed, variant_changes
 
 __all__ = [
     "Target",
@@ -19,10 +20,12 @@ __all__ = [
     "decode",
     "first_deliveries",
     "late_events",
+    "parsed",
     "row_image",
     "stream_into_many",
     "stream_into_one",
     "stream_per_table",
     "typed_changes",
+    "variant_changes",
     "with_event_time",
 ]
