@@ -55,6 +55,8 @@ MIN_WIDTH, LEAST = 0.2, 0.25
 #: share is this far above the median at least.
 NEAR_GRAM, NEAR, NEAR_WIDTH = 3, 128, 0.3
 STEP = 0.001
+#: Surprises of grams that a task keeps at hand: two to this power, 16 bytes each.
+RECALLED_BITS = 20
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -286,6 +288,9 @@ class Arrays:
 
     def __init__(self, by_size: dict[int, tuple]):
         self.by_size = by_size
+        # surprises already worked out, by the leading bits of the gram's hash: a later gram
+        # takes the place of an earlier one
+        self.seen, self.worked_out = np.zeros(0, np.uint64), np.zeros(0)
 
     @classmethod
     def of(cls, size: np.ndarray, key: np.ndarray, logp: np.ndarray, backoff: np.ndarray) -> Arrays:
@@ -316,7 +321,23 @@ class Arrays:
         return found
 
     def surprise(self, group: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
-        """Minus the log probability of the last character of each gram."""
+        """Minus the log probability of the last character of each gram. Most grams have been
+        met before: a text's grams are few kinds, and each kind is worked out once."""
+        h = _gram_hash(group, codes)
+        if not len(self.seen):
+            self.seen, self.worked_out = np.zeros(1 << RECALLED_BITS, np.uint64), np.zeros(1 << RECALLED_BITS)
+        place = (h >> np.uint64(64 - RECALLED_BITS)).astype(np.int64)
+        found = self.worked_out[place]
+        new = np.flatnonzero((self.seen[place] != h) | (h == 0))
+        if len(new):
+            _, first, of = np.unique(h[new], return_index=True, return_inverse=True)
+            kinds = new[first]
+            worked_out = self._worked_out(group[kinds], [c[kinds] for c in codes])
+            found[new] = worked_out[of]
+            self.seen[place[kinds]], self.worked_out[place[kinds]] = h[kinds], worked_out
+        return found
+
+    def _worked_out(self, group: np.ndarray, codes: list[np.ndarray]) -> np.ndarray:
         total = np.zeros(len(group), np.float64)
         left = np.arange(len(group))
         for size in range(len(codes), 0, -1):
