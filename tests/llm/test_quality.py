@@ -165,3 +165,16 @@ def test_short_junk_is_outside_of_the_band(spark):
     assert got[1000].log_perplexity > got[1000].highest and not got[1000].kept
     assert not got[1001].kept and not got[1001].base_failed
     assert not got[1002].kept and got[1002].n_repeat_words == 0 and got[1002].lowest < got[1002].log_perplexity < got[1002].highest
+
+
+def test_other_columns_are_kept_whatever_their_names(spark):
+    names = ["all", "lang_near", "lang_middle", "bin_low", "any_mid", "value", "near", "half", "size", "key"]
+    texts = [(i, "en", " ".join(f"word{(i * 7 + k) % 50}" for k in range(30))) for i in range(70)]
+    plain = spark.createDataFrame(texts, "doc_id long, lang string, text string")
+    wide = plain.select("*", *(F.lit(n).alias(n) for n in names))
+    found = quality(wide)
+    assert {tuple(r) for r in found.select(*names).collect()} == {tuple(names)}
+    judged = ["doc_id", "kept", "log_perplexity", "lowest", "highest"]
+    assert sorted(map(tuple, found.select(*judged).collect())) == sorted(map(tuple, quality(plain).select(*judged).collect()))
+    with pytest.raises(ValueError, match="_q_"):
+        quality(plain.withColumn("_q_low", F.lit(1)))

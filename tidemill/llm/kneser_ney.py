@@ -55,6 +55,8 @@ MIN_WIDTH, LEAST = 0.2, 0.25
 #: share is this far above the median at least.
 NEAR_GRAM, NEAR, NEAR_WIDTH = 3, 128, 0.3
 STEP = 0.001
+#: Rows of bands (a language, or a language and length, each) that are sent to the texts.
+SENT_ROWS = 100_000
 #: Surprises of grams that a task keeps at hand: two to this power, 16 bytes each.
 RECALLED_BITS = 20
 
@@ -470,6 +472,12 @@ def _tails(values: DataFrame, cell: list[str]) -> DataFrame:
     return ranked.groupBy(*cell).agg(*at)
 
 
+def _sent(bands: DataFrame) -> DataFrame:
+    """``bands`` to be sent to the texts, instead of bringing all texts of a language together,
+    if there are at most ``SENT_ROWS``."""
+    return F.broadcast(bands) if bands.count() <= SENT_ROWS else bands
+
+
 def quality(
     docs: DataFrame, text_column: str = "text", lang_column: str = "lang", keep_text: bool = True,
     band: float = BAND, broadcast_bytes: int = BROADCAST_BYTES,
@@ -482,9 +490,14 @@ def quality(
 
     A NULL text has no words and fails. NULL is a language of its own. A language with fewer
     than ``MIN_TEXTS`` trusted texts has the band of all languages; with fewer than that in
-    all, no text is rejected by its perplexity. Copies count once in a band. Repeated rows are judged alike, an empty
-    table gives an empty result, columns of ``docs`` with the names of new ones are replaced.
+    all, no text is rejected by its perplexity. Copies count once in a band. Repeated rows are
+    judged alike, an empty table gives an empty result. Columns of ``docs`` with the names of
+    new ones, of what they are made from (``surprise``, ``n_grams``, ``n_near``, ``n_trigrams``)
+    or ``_bin``, ``_key``, ``_text`` and ``_block`` are replaced; names that begin with ``_q_``
+    are refused, all others kept.
     """
+    if any(c.startswith("_q_") for c in docs.columns):
+        raise ValueError("names that begin with _q_ are taken")
     new = ["base_failed", "log_perplexity", "lowest", "highest", "kept", "_bin", "_key"]
     plain = docs.drop(*new)
     lang = F.col(f"`{lang_column}`").cast("string") if lang_column in plain.columns else F.lit(None).cast("string")
@@ -501,36 +514,38 @@ def quality(
     near = F.col("n_near") / F.greatest("n_trigrams", F.lit(1))
     # a text's copies have its counts and its perplexity
     good = staged(
-        good.select("_key", "_bin", "n_words", "n_grams", F.round("log_perplexity", 9).alias("value"), near.alias("near"), F.lit(0).alias("all")).distinct(),
+        good.select("_key", "_bin", "n_words", "n_grams", F.round("log_perplexity", 9).alias("value"), near.alias("near"), F.lit(0).alias("_q_all")).distinct(),
         "quality-trusted",
     )
-    langs = staged(_tails(good, ["_key"]).select("_key", F.col("mid").alias("lang_middle")), "quality-tails")
-    whole = _tails(good, ["all"]).select("all", *(F.col(c).alias(f"any_{c}") for c in ("low", "mid", "high")))
-    scatter = (F.col("value") - F.col("lang_middle")) * F.sqrt("n_grams")
+    langs = staged(_tails(good, ["_key"]).select("_key", F.col("mid").alias("_q_lang_middle")), "quality-tails")
+    whole = _tails(good, ["_q_all"]).select("_q_all", *(F.col(c).alias(f"_q_any_{c}") for c in ("low", "mid", "high")))
+    scatter = (F.col("value") - F.col("_q_lang_middle")) * F.sqrt("n_grams")
     scattered = good.join(langs, "_key").select("_key", "_bin", scatter.alias("value"))
-    of_bin = _tails(scattered, ["_key", "_bin"]).select("_key", "_bin", F.col("low").alias("bin_low"), F.col("high").alias("bin_high"))
-    of_lang = _tails(scattered, ["_key"]).select("_key", F.col("low").alias("lang_low"), F.col("high").alias("lang_high"))
-    nears = good.select("_key", "all", F.col("near").alias("value"))
+    of_bin = _tails(scattered, ["_key", "_bin"]).select("_key", "_bin", F.col("low").alias("_q_bin_low"), F.col("high").alias("_q_bin_high"))
+    of_lang = _tails(scattered, ["_key"]).select("_key", F.col("low").alias("_q_lang_low"), F.col("high").alias("_q_lang_high"))
+    nears = good.select("_key", "_q_all", F.col("near").alias("value"))
 
     def most(cell: str, name: str) -> DataFrame:
         limit = F.col("mid") + F.greatest(F.lit(NEAR_WIDTH), band * (F.col("high") - F.col("mid")))
         return _tails(nears, [cell]).select(cell, limit.alias(name))
 
-    langs = langs.join(of_lang, "_key").join(most("_key", "lang_near"), "_key")
-    whole = whole.join(most("all", "any_near"), "all")
-    joined = judged.withColumn("all", F.lit(0)).join(of_bin, ["_key", "_bin"], "left").join(langs, "_key", "left").join(F.broadcast(whole), "all", "left")
+    # rows for each language and length: few, unless texts name very many languages
+    langs = _sent(staged(langs.join(of_lang, "_key").join(most("_key", "_q_lang_near"), "_key"), "quality-langs"))
+    of_bin = _sent(staged(of_bin, "quality-bins"))
+    whole = whole.join(most("_q_all", "_q_any_near"), "_q_all")
+    joined = judged.withColumn("_q_all", F.lit(0)).join(of_bin, ["_key", "_bin"], "left").join(langs, "_key", "left").join(F.broadcast(whole), "_q_all", "left")
     root = F.sqrt(F.greatest("n_grams", F.lit(1)))
-    middle = F.coalesce("lang_middle", "any_mid")
+    middle = F.coalesce("_q_lang_middle", "_q_any_mid")
 
     def width(tail: Column, of_all: Column) -> Column:
         # in a language with few texts: the tail of all texts, whose languages differ
-        reach = F.when(F.col("lang_middle").isNotNull(), tail / root).otherwise(of_all)
+        reach = F.when(F.col("_q_lang_middle").isNotNull(), tail / root).otherwise(of_all)
         return F.when(middle.isNotNull(), F.greatest(F.lit(MIN_WIDTH), band * reach))
 
-    below = width(-F.coalesce("bin_low", "lang_low"), F.col("any_mid") - F.col("any_low"))
-    above = width(F.coalesce("bin_high", "lang_high"), F.col("any_high") - F.col("any_mid"))
+    below = width(-F.coalesce("_q_bin_low", "_q_lang_low"), F.col("_q_any_mid") - F.col("_q_any_low"))
+    above = width(F.coalesce("_q_bin_high", "_q_lang_high"), F.col("_q_any_high") - F.col("_q_any_mid"))
     lowest, highest = F.when(middle.isNotNull(), F.greatest(middle - below, LEAST * middle)), middle + above
-    outside = (F.col("log_perplexity") < lowest) | (F.col("log_perplexity") > highest) | (near > F.coalesce("lang_near", "any_near"))
+    outside = (F.col("log_perplexity") < lowest) | (F.col("log_perplexity") > highest) | (near > F.coalesce("_q_lang_near", "_q_any_near"))
     names = [c for c in judged.columns if c not in ("_key", "_bin", "surprise", "n_grams", "n_near", "n_trigrams", "base_failed", "log_perplexity")]
     return joined.select(
         *(f"`{c}`" for c in names), "base_failed", "log_perplexity", lowest.alias("lowest"), highest.alias("highest"),
