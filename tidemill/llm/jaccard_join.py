@@ -13,10 +13,12 @@ passage found in thousands of texts is not a column of texts that have words of
 3. Star round: each text is compared with the one text it shares most columns with, out of
    the hubs of its columns, if these columns reach the bound of step 4. Groups of copies,
    however large, come together here without a pair for each two members.
-4. Block product of what is left: pairs of texts of different classes in one column, hot
-   columns cut into blocks dealt as tasks of their own. Pairs that cannot reach the
-   size-derived bound from this column on are not made; the overlap counts of the others
-   are summed, and those that still cannot reach it are discarded.
+4. Block product of what is left. Columns that the same texts hold are a block: they are
+   multiplied once, with their number as weight, so near copies are a pair for each block
+   and not for each shingle. Within a block, texts of different classes are paired, in blocks
+   of rows dealt as tasks of their own where many texts hold it. Pairs that cannot reach the
+   size-derived bound from the block's first column on are not made; the overlap counts of
+   the others are summed, and those that still cannot reach it are discarded.
 5. Candidates of 3 and 4 are compared on their whole sets. Links are merged by alternating
    large-star and small-star steps.
 
@@ -47,7 +49,7 @@ COLUMN_BLOCK = 2048
 #: Up to so many ids (8 bytes each) are sent to the executors instead of joined.
 BROADCAST_IDS = 2_000_000
 
-_SHARED = ["column", "id", "n", "place", "hub", "hub_n", "hub_place", "block", "blocks"]
+_SHARED = ["column", "id", "n", "place", "hub", "hub_n", "hub_place", "block", "blocks", "held_by"]
 _FACTS = "kind int, id long, n long, key long"
 _ENTRIES = pa.schema([("column", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
@@ -155,28 +157,32 @@ def _edges(values: list[np.ndarray]) -> np.ndarray:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of columns that several texts hold: the text's id, set size and place of the
     column in its order, the same of the column's hub, the row's own block and the number
-    of blocks. The hub has the fewest shingles before the column, hence the fewest that few
+    of blocks, and a hash of the texts that hold the column. The hub has the fewest shingles before the column, hence the fewest that few
     others hold: in a group of copies, what they are copies of."""
     for column, ids, n, place in _runs(batches, 1):
         edge = _edges([column])
         members = np.diff(edge)
         run = np.repeat(np.arange(len(members)), members)
         first = np.lexsort((ids, place, run))[edge[:-1]][run]
-        block = (np.arange(len(ids)) - edge[:-1][run]) // COLUMN_BLOCK
+        nth = np.empty(len(ids), np.int64)
+        nth[np.lexsort((ids, run))] = np.arange(len(ids)) - edge[:-1][run]
+        block = nth // COLUMN_BLOCK
+        held_by = mixed(np.add.reduceat(mixed(ids.view(np.uint64) + np.uint64(1)), edge[:-1])).view(np.int64)[run]
         blocks = -(-members // COLUMN_BLOCK)[run]
         many = (members > 1)[run]
-        rows = (column, ids, n, place, ids[first], n[first], place[first], block, blocks)
+        rows = (column, ids, n, place, ids[first], n[first], place[first], block, blocks, held_by)
         yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in rows], _SHARED)
 
 
 def _products(similarity: tuple[int, int]):
-    """Pairs of texts of different classes within each (column, block, block) that can reach
-    the bound: what they share is the column, or one of the ``before`` and ``after`` it that
-    each shares with any text at all, as far as that is known."""
+    """Pairs of texts of different classes within each (columns, block, block) that can reach
+    the bound: what they share is the first of the columns, or one of the ``before`` and
+    ``after`` it that each shares with any text at all, as far as that is known. With a pair go
+    the number of columns, and what may come after the ``last`` of them."""
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for column, low, high, block, ids, n, before, after, cls in _runs(batches, 3):
+        for column, low, high, block, ids, n, before, after, cls, columns, last in _runs(batches, 3):
             edge = _edges([column, low, high])
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2 or (cls[a:b] == cls[a]).all():
@@ -196,9 +202,9 @@ def _products(similarity: tuple[int, int]):
                         i, j = part[i], right[j]
                         swap = ids[i] > ids[j]
                         i, j = np.where(swap, j, i), np.where(swap, i, j)
-                        rest = np.minimum(after[i], after[j])
+                        rest, shared = np.minimum(last[i], last[j]), np.minimum(columns[i], columns[j])
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(v) for v in (ids[i], ids[j], n[i], n[j], rest)], ["a", "b", "na", "nb", "after"]
+                            [pa.array(v) for v in (ids[i], ids[j], n[i], n[j], shared, rest)], ["a", "b", "na", "nb", "c", "after"]
                         )
 
     return run
@@ -341,15 +347,23 @@ def near_duplicates(
     unknown = F.col("n") - (F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1)
     placed = shared.withColumn("before", before).withColumn("after", F.count("*").over(own) - F.col("before") - 1 + unknown)
     rest = placed.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id"))
-    dealt = rest.withColumn(
-        "other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(F.lit(0).cast("long"))))
-    ).select("column", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "before", "after", "cls")
+    # the texts of a block share all its columns, in one order: the first has least before it
+    held = rest.groupBy("held_by", "id", "n", "cls").agg(
+        F.min("before").alias("before"), F.max("after").alias("after"), F.count("*").alias("columns"), F.min("after").alias("last"),
+        F.first("block").alias("block"), F.first("blocks").alias("blocks"),
+    )
+    first = F.lit(0).cast("long")
+    others = F.when(F.col("blocks") > 1, F.sequence(first, F.col("blocks") - 1)).otherwise(F.array(first))
+    dealt = held.withColumn("other", F.explode(others)).select(
+        "held_by", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
+        "block", "id", "n", "before", "after", "cls", "columns", "last",
+    )
     counted = (
-        dealt.repartition("column", "low", "high")
-        .sortWithinPartitions("column", "low", "high")
-        .mapInArrow(released(_products(similarity)), "a long, b long, na long, nb long, after long")
+        dealt.repartition("held_by", "low", "high")
+        .sortWithinPartitions("held_by", "low", "high")
+        .mapInArrow(released(_products(similarity)), "a long, b long, na long, nb long, c long, after long")
         .groupBy("a", "b", "na", "nb")
-        .agg(F.count("*").alias("c"), F.min("after").alias("after"))
+        .agg(F.sum("c").alias("c"), F.min("after").alias("after"))
     )
     left = counted.where(reaches(F.col("na"), F.col("nb"), F.col("c"), F.col("after"))).select("a", "b").distinct()
     links = staged(links.unionByName(verified(left)), "jaccard-links")
