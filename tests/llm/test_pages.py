@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import html as entities
+import math
 import random
 import re
 from collections import defaultdict
@@ -9,7 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 
-from tidemill.llm import url_templates
+from tidemill.llm import url_templates as tree
 from tidemill.llm.html_content import content, main_text, smoothed
 from tidemill.llm.url_templates import judged_urls
 from tidemill.llm.warc_chunks import chunked, read_archives, read_chunks, write_archives
@@ -196,11 +197,11 @@ def test_templates(spark):
     rows += [(1000 + i, f"http://other.net/p/{i}", None) for i in range(40)]
     rows += [(2000, "http://h.net/" + "/".join(map(str, range(30))), None), (2001, "http://h.net/", None), (2001, "http://h.net/", None)]
     got = judged(spark, rows)
-    assert got[0].template == got[1].template == "/+0/*" and got[2].template == "/spam/*"
+    assert got[0].template == got[1].template == "/+</*" and got[2].template == "/spam/*"
     assert {got[i].verdict for i in range(900) if i % 3 == 2} == {"block"}
     assert {got[i].verdict for i in range(900) if i % 3 < 2} == {"allow"}
-    assert got[1000].template == "/+/*" and got[1000].verdict == "allow"
-    assert got[2000].template.count("/") <= url_templates.LEVELS + 1
+    assert got[1000].template == "/p/*" and got[1000].verdict == "allow"
+    assert got[2000].template == "/*" * 30
     bad = sum(r[2] is True for r in rows if "/spam/" in r[1])
     good = sum(r[2] is False for r in rows if "/spam/" in r[1])
     all_bad, all_good = (sum(r[2] is x for r in rows) for x in (True, False))
@@ -209,6 +210,106 @@ def test_templates(spark):
     assert got[2].purity == pytest.approx((bad + 10 * host) / (bad + good + 10))
 
 
+def tree_by_hand(paths):
+    """``{(host, path): template}`` of ``{(host, path): (bad, labels)}``, node by node."""
+
+    def h(n):
+        return n * math.log(n) if n else 0.0
+
+    def ratio(b, n, bb, nn):
+        return 2 * sum(h(x) + h(y - x) - h(y) for x, y in ((b, n), (bb - b, nn - n))) - 2 * (h(bb) + h(nn - bb) - h(nn))
+
+    def groups(members, name=""):
+        bb, nn = (sum(m[i] for m in members.values()) for i in (0, 1))
+        parts = defaultdict(dict)
+        for segment, (b, n) in members.items():
+            differs = ratio(b, n, bb, nn) > 2 * math.log(len(members) / tree.ALPHA)
+            parts[(">" if b * nn > bb * n else "<") if differs else "="][segment] = (b, n)
+        if set(parts) <= {"="}:
+            return {s: s if len(members) == 1 else "+" + name.rstrip("=") for s in members}
+        return {s: n for mark, part in parts.items() for s, n in groups(part, name + mark).items()}
+
+    found = {}
+
+    def grow(node, rows):
+        """``rows``: segments left, key, bad, labels."""
+        below = defaultdict(list)
+        for left, *fact in rows:
+            if left:
+                below[left[0]].append((left[1:], *fact))
+            else:
+                found[fact[0]] = node
+        sums = {s: (sum(r[2] for r in below[s]), sum(r[3] for r in below[s])) for s in below}
+        names = groups({s: v for s, v in sums.items() if len(below[s]) >= tree.FREQUENT or v[1] >= tree.FREQUENT})
+        children = defaultdict(list)
+        for s, part in below.items():
+            children[names.get(s, "*")] += part
+        for name, part in children.items():
+            grow(f"{node}/{name}", part)
+
+    hosts = defaultdict(list)
+    for (host, path), (bad, own) in paths.items():
+        hosts[host].append((path[1:].split("/") if path else [], (host, path), bad, own))
+    for rows in hosts.values():
+        grow("", rows)
+    return found
+
+
+def test_tree_by_brute_force(spark):
+    rng = random.Random(5)
+    paths = {}
+    for host in ("a.net", "b.net", "c.net"):
+        for _ in range(500):
+            path = "".join(f"/{rng.choice('xyz')}{rng.randint(0, 3) if d < 2 else rng.randint(0, 40)}" for d in range(rng.randint(0, 5)))
+            own = rng.choice((0, 0, 1, 2, 9))
+            paths[host, path] = (sum(rng.random() < (0.9 if "x1" in path else 0.2) for _ in range(own)), own)
+    got = tree.path_templates(spark.createDataFrame([(*k, *v) for k, v in paths.items()], "host string, path string, bad long, own long"))
+    assert {(r.host, r.path): r.template for r in got.collect()} == tree_by_hand(paths)
+    assert any(">" in r.template for r in got.collect())
+
+
+def test_one_bad_section_of_many(spark):
+    rows = [(i, f"http://h.net/s{i % 60}/{i}", i % 60 == 7 if i % 2 else None) for i in range(6000)]
+    got = judged(spark, rows)
+    assert {got[i].verdict for i in range(6000) if i % 60 == 7} == {"block"} and got[7].template == "/s7/*"
+    assert {got[i].verdict for i in range(6000) if i % 60 != 7} == {"allow"}
+
+
+def test_branches_far_down(spark):
+    rows = [(i, "http://h.net/1/2/3/4/5/6/7/8/9/" + ("good", "bad")[i % 2] + f"/{i}", i % 2 == 1) for i in range(200)]
+    got = judged(spark, rows)
+    assert [got[i].verdict for i in range(200)] == ["allow", "block"] * 100
+
+
+def test_branches_join_a_group_not_a_neighbour(spark):
+    """Shares of 15 to 90 % of which neighbours do not differ are not all one template."""
+    rows = [(1000 * k + i, f"http://h.net/s{k}/{i}", i < bad) for k, bad in enumerate((3, 7, 11, 15, 18)) for i in range(20)]
+    got = judged(spark, rows)
+    assert got[0].verdict == "allow" and got[4000].verdict == "block" and got[0].template != got[2000].template != got[4000].template
+
+
+def test_many_like_branches_are_one(spark):
+    """Chance differences between hundreds of small branches make no templates."""
+    rng = random.Random(3)
+    rows = [(i, f"http://h.net/s{i % 400}/{i}", rng.random() < 0.15) for i in range(2400)]
+    assert {r.template for r in judged(spark, rows).values()} == {"/+/*"}
+
+
+def test_segments_that_look_like_marks(spark):
+    rows = [(10 * k + i, f"http://h.net/{s}/{i}", s == "*") for k, s in enumerate(("*", "+", "\\", "a")) for i in range(10)]
+    got = judged(spark, rows)
+    assert got[0].template == "/\\*/*" and got[0].verdict == "block" and {got[i].template for i in range(10, 40)} == {"/+/*"}
+
+
+def test_hot_url_and_any_column_name(spark):
+    rows = [(i, "http://h.net/hot/page", True) for i in range(300)] + [(1000 + i, f"http://h.net/p/{i}", False) for i in range(300)]
+    names = ["name", "node", "own", "label", "segment", "row", "fit", "b", "group"]
+    frame = spark.createDataFrame([(*r, *range(9)) for r in rows], "page_id long, url string, bad boolean, " + ", ".join(f"{n} int" for n in names))
+    out = judged_urls(frame, bad_column="bad")
+    assert out.columns[3:12] == names
+    assert {(r.page_id < 1000, r.verdict, r.name, r.group) for r in out.collect()} == {(True, "block", 0, 8), (False, "allow", 0, 8)}
+
+
 def test_no_urls_and_clashing_columns(spark):
     schema = "page_id long, url string, bad boolean"
     assert judged(spark, [], schema) == {}
