@@ -83,6 +83,29 @@ def test_hot_count_is_split(spark, monkeypatch):
     assert abs(taken - 0.437 * 3_000_000) <= 1
 
 
+def test_rows_without_an_id_and_repeated_rows(spark):
+    """A third of the rows are alike in all columns, another third differ in the text only."""
+    rows = [(None, "a", 20, "same")] * 3000 + [(None, "a", 20, str(i)) for i in range(3000)] + [(i, "b", 7, "x") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long, text string").repartition(6)
+    targets = spark.createDataFrame([("0a", 85_714.0), ("0b", 30_003.0)], "key string, target double")
+    out = mix.entropy_mix(frame, targets).persist()
+    taken = {r.source: r.n for r in out.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n")).collect()}
+    assert out.count() == 9000 and abs(taken["a"] - 85_714) <= 10 and abs(taken["b"] - 30_003) <= 4
+    again = mix.entropy_mix(frame.repartition(3, "text"), targets)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+    only = frame.where("text = 'same'")
+    some = mix.entropy_mix(only, spark.createDataFrame([("0a", 20_020.0)], "key string, target double"))
+    assert [(r.copies, r["count"]) for r in some.groupBy("copies").count().orderBy("copies").collect()] == [(0, 1999), (1, 1001)]
+
+
+def test_any_column_name_in_the_mix(spark):
+    names = ["key", "prior", "u", "base", "last", "row", "rows_at", "extra_at", "chosen", "at", "task", "target"]
+    frame = spark.createDataFrame([(i, "a", 5, *names) for i in range(9)], "doc_id long, source string, size long, " + ", ".join(f"{n} string" for n in names))
+    out = mix.entropy_mix(frame, spark.createDataFrame([("0a", 30.0)], "key string, target double"))
+    assert out.columns == [*frame.columns, "rate", "copies"]
+    assert out.agg(F.sum("copies")).first()[0] == 6 and {tuple(r)[3:15] for r in out.collect()} == {tuple(names)}
+
+
 def test_mix_of_nothing_clashing_columns_and_unknown_sources(spark):
     none = spark.createDataFrame([], "doc_id long, source string, size long")
     assert mixed(none)[1].count() == 0

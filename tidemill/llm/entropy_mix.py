@@ -10,7 +10,8 @@ Newton iteration is one aggregation over these counts. Rates become whole copies
 from the largest size down, each takes the copies that bring its source nearest to what
 the rates ask for so far, so that what one size leaves over is made up by the next; at the
 end a source misses its target by about half of its smallest document. Which documents of
-a count get the extra copy is decided by a hash of ``key_columns``: the same on each run.
+a count get the extra copy is decided by a hash of the whole row; of rows that are alike in
+every column as many get it as the count asks for, so the result is the same on each run.
 
 DataFrame operations only.
 """
@@ -127,9 +128,10 @@ def _whole(counts: DataFrame, cap: int) -> DataFrame:
 
 
 def _thresholds(rows: DataFrame, whole: DataFrame) -> DataFrame:
-    """``key, size, prior, rate, base, last``: every document gets ``base`` copies, and one
-    more if its ``u`` is at most ``last``. Found by counting slices of the range of u, and
-    ordering the rows of one slice only."""
+    """``key, size, prior, rate, base, last, rows_at, extra_at``: every document gets ``base``
+    copies, and one more if its ``u`` is below ``last``, or is one of ``extra_at`` of the
+    ``rows_at`` rows at it. Found by counting slices of the range of u, then the values of u
+    in one slice only."""
     cell = ["key", "size", "prior"]
     split = whole.withColumn("base", F.floor(F.col("copies") / F.greatest("n", F.lit(1))).cast("long"))
     split = split.withColumn("extra", F.col("copies") - F.col("base") * F.col("n"))
@@ -145,13 +147,39 @@ def _thresholds(rows: DataFrame, whole: DataFrame) -> DataFrame:
         .where("seen >= extra and seen - here < extra")
         .select(*cell, "slice", (F.col("extra") - F.col("seen") + F.col("here")).alias("nth"))
     )
+    before = Window.partitionBy(*cell).orderBy("u")
     last = (
         sliced.join(found, [*cell, "slice"])
-        .withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("u")))
-        .where("place = nth")
-        .select(*cell, F.col("u").alias("last"))
+        .groupBy(*cell, "u", "nth")
+        .agg(F.count("*").alias("rows_at"))
+        .withColumn("seen", F.sum("rows_at").over(before))
+        .where("seen >= nth and seen - rows_at < nth")
+        .select(*cell, F.col("u").alias("last"), "rows_at", (F.col("nth") - F.col("seen") + F.col("rows_at")).alias("extra_at"))
     )
-    return split.join(last, cell, "left").select(*cell, "rate", "base", F.coalesce("last", F.lit(-1.0)).alias("last"))
+    none = F.lit(0).cast("long")
+    return split.join(last, cell, "left").select(
+        *cell, "rate", "base", F.coalesce("last", F.lit(-1.0)).alias("last"), F.coalesce("rows_at", none).alias("rows_at"), F.coalesce("extra_at", none).alias("extra_at")
+    )
+
+
+def _some_of_each(rows: DataFrame, cell: Sequence[str], wanted: str) -> DataFrame:
+    """``rows`` with ``chosen``, true for ``wanted`` rows of each ``cell``. A cell may hold a
+    large share of all rows: they are numbered within the task that read them, and the tasks'
+    counts are summed up."""
+    placed = staged(rows.withColumn("at", F.monotonically_increasing_id()), "mix-ties")
+    placed = placed.withColumn("task", F.shiftright("at", 33))
+    upto = Window.partitionBy(*cell).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = placed.groupBy(*cell, "task").agg(F.count("*").alias("here")).withColumn("before", F.coalesce(F.sum("here").over(upto), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*cell, "task").orderBy("at"))
+    numbered = placed.withColumn("within", within).join(tasks.drop("here"), [*cell, "task"])
+    return numbered.withColumn("chosen", F.col("before") + F.col("within") <= F.col(wanted)).select(*rows.columns, "chosen")
+
+
+def _hashed(docs: DataFrame, seed: int) -> Column:
+    """A number from 0 to 1 of each whole row, but for types that have no hash."""
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+    columns = (F.col(f"`{c}`") for c, kind in kinds.items() if "map<" not in kind and "variant" not in kind)
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / float(1 << 53)
 
 
 def entropy_mix(
@@ -160,7 +188,6 @@ def entropy_mix(
     source_column: str = "source",
     size_column: str = "size",
     prior_column: str | None = None,
-    key_columns: Sequence[str] = ("doc_id",),
     cap: int = CAP,
     seed: int = 17,
 ) -> DataFrame:
@@ -168,14 +195,13 @@ def entropy_mix(
 
     ``targets`` has ``key`` (of :func:`source_key`) and ``target``, one row for each source.
     A source that ``targets`` lacks gets no copies. NULL is a source of its own, a NULL or
-    negative size counts as 0 and gets no copies, a NULL prior as 1. Rows that agree in
-    source, size and ``key_columns`` are treated alike, so repeated rows are kept or
-    dropped together. Names of added columns that clash replace those of ``docs``.
+    negative size counts as 0 and gets no copies, a NULL prior as 1. Repeated rows, and rows
+    without an id, are documents of their own: any number of them may get one copy more than
+    the others. Columns called ``rate`` or ``copies`` are replaced, others may have any name.
     """
     size = F.greatest(F.coalesce(F.col(f"`{size_column}`").cast("long"), F.lit(0)), F.lit(0))
     prior = F.lit(1.0) if prior_column is None else F.coalesce(F.col(f"`{prior_column}`").cast("double"), F.lit(1.0))
-    drawn = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in key_columns)), 11) / float(1 << 53)
-    facts = {"key": source_key(F.col(f"`{source_column}`")), "size": size, "prior": prior, "u": drawn}
+    facts = {"key": source_key(F.col(f"`{source_column}`")), "size": size, "prior": prior, "u": _hashed(docs, seed)}
     rows = staged(docs.select(*(c.alias(n) for n, c in facts.items())), "mix-rows")
     counts = staged(rows.groupBy("key", "size", "prior").agg(F.count("*").alias("n")), "mix-counts")
     wanted = targets.select("key", "target")
@@ -188,10 +214,20 @@ def entropy_mix(
     whole = staged(_whole(rated, cap), "mix-whole")
     split = staged(_thresholds(rows, whole), "mix-split")
     split = F.broadcast(split) if split.count() <= BROADCAST_COUNTS else split
-    plain = docs.drop("rate", "copies")
-    marked = plain.select("*", *(c.alias(f"_mix_{n}") for n, c in facts.items()))
-    split = split.toDF(*(f"_mix_{n}" for n in ("key", "size", "prior")), "rate", "base", "last")
-    copies = F.when(F.col("_mix_size") > 0, F.least(F.coalesce("base", F.lit(0)) + F.when(F.col("_mix_u") <= F.col("last"), 1).otherwise(0), F.lit(cap))).otherwise(0)
-    return marked.join(split, ["_mix_key", "_mix_size", "_mix_prior"], "left").select(
-        *(f"`{c}`" for c in plain.columns), F.coalesce("rate", F.lit(0.0)).alias("rate"), copies.cast("long").alias("copies")
-    )
+    plain = [c for c in docs.columns if c.lower() not in ("rate", "copies")]
+    # the columns of the table stay packed, so their names meet none of those used here
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in plain)).alias("row"), *(c.alias(n) for n, c in facts.items()))
+    cell = ["key", "size", "prior"]
+    judged = packed.join(split, cell, "left")
+
+    def copied(judged: DataFrame, more: Column) -> DataFrame:
+        copies = F.least(F.coalesce("base", F.lit(0)) + F.when(more, 1).otherwise(0), F.lit(cap))
+        return judged.select(
+            *(F.col(f"row.`{c}`") for c in plain), F.coalesce("rate", F.lit(0.0)).alias("rate"), F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies")
+        )
+
+    if split.where("extra_at < rows_at").isEmpty():
+        return copied(judged, F.col("u") <= F.col("last"))
+    tied = F.coalesce((F.col("u") == F.col("last")) & (F.col("extra_at") < F.col("rows_at")), F.lit(False))
+    clear = copied(judged.where(~tied), F.col("u") <= F.col("last"))
+    return clear.unionByName(copied(_some_of_each(judged.where(tied), cell, "extra_at"), F.col("chosen")))
