@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.llm import license_rules as rules
 from tidemill.llm import threshold_topk as top
 from tidemill.llm.license_rules import SENTENCES, license_scan
 
@@ -58,6 +60,16 @@ def test_queries_stop_only_when_nothing_can_beat_them(spread):
         assert sorted((-int(s), int(ids[f])) for n, f, s in zip(query, found, score) if n == i) == expected
 
 
+def test_large_components_take_part(spark):
+    """Finite components of any size count, and their scores are compared exactly."""
+    rows = [(0, [1.0, 1.0]), (1, [1e17, 0.0]), (2, [1e17, 1 / 256]), (3, [-1e300, 5.0]), (4, [1e200, 1e200]), (5, [3.0, 0.0])]
+    found = top.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=9).collect()
+    exact = {i: sum(256 * int(256 * x) if abs(x) < 1e15 else 256 * 256 * int(x) for x in v) for i, v in rows[1:]}
+    order = sorted(exact, key=lambda i: (-exact[i], i))
+    assert [r.id for r in sorted(found, key=lambda r: r.rank)] == order == [4, 2, 1, 5, 3]
+    assert {r.id: r.score for r in found} == {i: min(max(s, -(1 << 63)), (1 << 63) - 1) for i, s in exact.items()}
+
+
 def test_a_clear_winner_needs_few_rows():
     """The lists are not read to their ends."""
     x = np.concatenate([np.full((5, 4), 1000), np.random.default_rng(1).integers(-3, 3, (500, 4))])
@@ -99,6 +111,19 @@ def test_rules(spark, text, licenses):
     assert row.licenses == licenses and row.n_licenses == len([x for x in licenses.split(",") if x])
 
 
+def test_no_known_sentence_is_left_out_unread():
+    for sentence in (*rules.SENTENCES.values(), *rules.MORE_SENTENCES.values()):
+        assert re.search(rules.ANCHOR, sentence.upper())
+    for wording in rules.SHORT.values():
+        assert re.search(rules.ANCHOR, "released under " + re.sub(r"\([^()]*\)\??", "", wording))
+
+
+def test_sentences_without_the_word_license(spark):
+    cases = [("Released under CC BY 4.0.", "CC-BY-4.0"), ("This is free and unencumbered software released into the public domain.", "Unlicense")]
+    rows = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "doc_id long, text string")
+    assert [r.licenses for r in license_scan(rows).orderBy("doc_id").collect()] == [name for _, name in cases]
+
+
 def test_known_sentences_are_normalised():
     assert all(s == " ".join(s.split()) == s.lower() and not s.endswith(".") for s in SENTENCES.values())
 

@@ -6,12 +6,14 @@ end a sentence there too). A normalised sentence that is
 known becomes its identifier, others are dropped. The identifiers in their order are
 matched with the rules, the longest first; what a rule has matched no other rule sees.
 
-DataFrame operations only. Texts that hold none of the words every known sentence has one
-of are not cut at all.
+DataFrame operations only. Every known sentence and every pattern has a word that a text
+must hold for it to match; texts with none of these words are not cut at all.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +85,24 @@ MORE_RULES = (
     ("Unlicense", ("unlicense",)),
     *((name, (f"short-{name}",)) for name in SHORT),
 )
-ANCHOR = "[Ll][Ii][Cc][Ee][Nn][Ss]|[Pp][Ee][Rr][Mm][Ii][Ss][Ss]|[Rr][Ee][Dd][Ii][Ss][Tt][Rr][Ii][Bb][Uu][Tt]|[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]"
+
+
+def _needed() -> list[str]:
+    """Words of which each known sentence and pattern holds one: the longest of each, but
+    for those that hold a word already taken."""
+    plain = [s.split() for s in (*SENTENCES.values(), *MORE_SENTENCES.values())]
+    for name, pattern in PATTERNS.items():
+        wording = SHORT[name.removeprefix("short-")] if name.startswith("short-") else pattern
+        fixed = re.sub(r"\([^()]*\)[?]?|\S*[{}?*]\S*", " ", wording).split()
+        plain.append([w for w in fixed if name.startswith("short-") or w.isalpha()])
+    words: list[str] = []
+    for sentence in sorted(plain, key=lambda s: len(max(s, key=len))):
+        if not any(taken in word for taken in words for word in sentence):
+            words.append(max(sentence, key=len))
+    return words
+
+
+ANCHOR = "(?i)" + "|".join(map(re.escape, _needed()))
 ENDS = r"[.!?;:]+[ \t\r\n]+"
 #: A blank line, also of a comment; a line that says whose the copyright is.
 BLANK = r"\n[ \t\r*#/;-]*\n"
