@@ -54,6 +54,15 @@ def test_long_runs_take_linear_time(spark):
     assert [r.n for r in found] == [0, 0, 0, 0, 2_500, 0]
 
 
+@pytest.mark.parametrize("n", [0, 1, pii.BLOCK - 1, pii.BLOCK, pii.BLOCK + 1, 20_000])
+def test_many_finds_keep_their_places(spark, n):
+    """Positions go on from block to block, as do those of spans that may clash."""
+    text = "é𝔘 ".join(("u@ex.com", "10.1.2.3", "no", "+1 (678) 555-5272")[i % 4] for i in range(n)) + ' api_key = "0123456789abcdef0123"'
+    spans = pii.pii_spans(spark.createDataFrame([(1, text)], SCHEMA)).first().spans
+    assert [(s.kind, s.start, s.end) for s in spans if s.base] == brute(text)
+    assert [(s.kind, text[s.start : s.end]) for s in spans if not s.base] == [("secret", "0123456789abcdef0123")]
+
+
 def test_reliabilities_by_hand(spark):
     """The same expectation maximisation in plain Python."""
     rng = random.Random(3)

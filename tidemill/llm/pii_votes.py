@@ -19,6 +19,7 @@ DataFrame operations only.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +64,8 @@ ROUNDS = 25
 #: Beliefs before any vote: a labeler that votes is right eight times out of ten.
 RIGHT, WRONG = 8.0, 2.0
 CONTEXT = 48
+#: Matches whose positions are summed up one by one.
+BLOCK = 128
 
 
 def _digits(value: Column) -> Column:
@@ -145,30 +148,53 @@ def _features(kind: str, hit: Column) -> Column:
     return F.array(*votes, F.least(F.floor(F.length(value) / 8), F.lit(6)).cast("int"), *side)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once: it is the only element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def hits(text: Column, needs: str, pattern: str) -> Column:
     """``start, end, value, before, after`` of every match, in code points. What the matches
-    leave and the matches themselves, in turn, make up the text."""
-
-    def collect() -> Column:
-        gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        nothing = "cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)"
-        rows = F.zip_with(found, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
-        rows = F.zip_with(rows, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda r, g: F.struct(r["v"].alias("v"), r["g"].alias("g"), g.alias("h")))
-
-        def step(state: Column, r: Column) -> Column:
-            start = state["at"] + F.length(r["g"])
-            end = start + F.length(r["v"])
-            hit = F.struct(
-                start.alias("start"), end.alias("end"), r["v"].alias("value"),
-                F.right(r["g"], F.lit(CONTEXT)).alias("before"), F.left(r["h"], F.lit(8)).alias("after"),
+    leave and the matches themselves, in turn, make up the text. Positions are summed up
+    within blocks of matches, then over the blocks: no array grows match by match beyond one."""
+    nothing = "cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)"
+
+    def step(state: Column, r: Column) -> Column:
+        start = state["at"] + F.length(r["g"])
+        end = start + F.length(r["v"])
+        hit = F.struct(
+            start.alias("start"), end.alias("end"), r["v"].alias("value"),
+            F.right(r["g"], F.lit(CONTEXT)).alias("before"), F.left(r["h"], F.lit(8)).alias("after"),
+        )
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(hit)).alias("out"))
+
+    def placed(blocks: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+        lengths = F.transform(blocks, lambda b: b["at"])
+        before = F.aggregate(
+            lengths, start, lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"]
+        )
+
+        def moved(block: Column, by: Column) -> Column:
+            return F.transform(
+                block["out"],
+                lambda h: F.struct((h["start"] + by).alias("start"), (h["end"] + by).alias("end"), h["value"].alias("value"), h["before"].alias("before"), h["after"].alias("after")),
             )
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(hit)).alias("out"))
 
-        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.expr(nothing).alias("out")), step, lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, before, moved))
 
-    return F.when(text.rlike(needs), collect()).otherwise(
-        F.expr("cast(array() as array<struct<start:int,end:int,value:string,before:string,after:string>>)")
-    )
+    def blocked(rows: Column) -> Column:
+        first = F.sequence(F.lit(1), F.size(rows), F.lit(BLOCK))
+        start = F.struct(F.lit(0).alias("at"), F.expr(nothing).alias("out"))
+        return _bound(F.transform(first, lambda i: F.aggregate(F.slice(rows, i, F.lit(BLOCK)), start, step)), placed)
+
+    def paired(gaps: Column) -> Column:
+        found, n = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.greatest(F.size(gaps) - 1, F.lit(0))
+        rows = F.zip_with(found, F.slice(gaps, 1, n), lambda v, g: F.struct(v.alias("v"), g.alias("g")))
+        rows = F.zip_with(rows, F.slice(gaps, 2, n), lambda r, g: F.struct(r["v"].alias("v"), r["g"].alias("g"), g.alias("h")))
+        return _bound(rows, lambda rows: F.when(F.size(rows) > 0, blocked(rows)).otherwise(F.expr(nothing)))
+
+    return F.when(text.rlike(needs), _bound(F.split(text, pattern, -1), paired)).otherwise(F.expr(nothing))
 
 
 def candidates(text: Column) -> Column:
@@ -260,12 +286,22 @@ def accepted(found: Column, weights: dict[tuple[str, int, int], float]) -> Colum
     kept = F.filter(F.transform(found, scored), lambda c: c["base"] | (c["score"] > 0))
     none = F.expr("cast(array() as array<struct<kind:string,start:int,end:int,base:boolean,score:double>>)")
 
-    def add(out: Column, c: Column) -> Column:
-        clash = F.exists(out, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
-        return F.when(~c["base"] & clash, out).otherwise(F.concat(out, F.array(c)))
+    def clear(kept: Column) -> Column:
+        # base spans may overlap one another; they all stay, and come first
+        base = F.filter(kept, lambda c: c["base"])
+
+        def clash(c: Column, spans: Column) -> Column:
+            return F.exists(spans, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]))
+
+        def add(out: Column, c: Column) -> Column:
+            return F.when(clash(c, out), out).otherwise(F.concat(out, F.array(c)))
+
+        def free(base: Column) -> Column:
+            return F.concat(base, F.aggregate(F.filter(kept, lambda c: ~c["base"] & ~clash(c, base)), none, add))
+
+        return F.when(F.size(base) == F.size(kept), kept).otherwise(_bound(base, free))
 
-    # base spans may overlap one another; they all stay
-    return F.when(F.forall(kept, lambda c: c["base"]), kept).otherwise(F.aggregate(kept, none, add))
+    return _bound(kept, clear)
 
 
 def listed(spans: Column) -> Column:
