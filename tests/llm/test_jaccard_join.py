@@ -2,6 +2,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tidemill.llm import jaccard_join
@@ -81,6 +82,34 @@ def test_small_column_blocks_and_no_frequent_shingles(spark, rows, monkeypatch):
     assert classes(spark.createDataFrame(rows, SCHEMA).repartition(5)) == brute(rows)
 
 
+def test_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(8)
+    sets = []
+    for n in (1, 2, 31, 33, 90, 500, 700, 5000):
+        own = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        sets += [own, own[: n * 3 // 4], np.concatenate([own, rng.integers(0, 1 << 63, n // 3).astype(np.uint64)])]
+    sketches = np.array([jaccard_join._sketch(s) if len(s) else None for s in sets] + [None], object)
+    i, j = np.triu_indices(len(sketches), 1)
+    found = jaccard_join._differences(sketches, i, j)
+    for a, b, bits in zip(i, j, found, strict=True):
+        if sketches[a] is None or sketches[b] is None:
+            assert bits == 0
+        else:
+            assert bits <= len(set(sets[a].tolist()) ^ set(sets[b].tolist()))
+    # half of the members differ: seen as more than a similarity of 0.75 allows
+    x, y = rng.integers(0, 1 << 63, (2, 300)).astype(np.uint64)
+    y[:150] = x[:150]
+    pair = np.array([jaccard_join._sketch(x), jaccard_join._sketch(y)], object)
+    assert jaccard_join._differences(pair, np.array([0]), np.array([1]))[0] > 600 // 7
+
+
+def test_ids_shared_by_different_texts_of_one_size(spark):
+    rng = random.Random(5)
+    one, two = ([f"{k}{rng.random():.4f}" for _ in range(60)] for k in "xy")
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join([*one[:58], "p", "q"])), (3, " ".join([*two[:58], "r", "s"]))]
+    assert classes(spark.createDataFrame(rows, SCHEMA).repartition(3)) == brute(rows)
+
+
 def test_empty_extra_columns_and_long_text(spark):
     assert classes(spark.createDataFrame([], SCHEMA)) == []
     long = " ".join(f"t{i}" for i in range(60_000))

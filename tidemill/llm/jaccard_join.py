@@ -17,8 +17,10 @@ passage found in thousands of texts is not a column of texts that have words of
    multiplied once, with their number as weight, so near copies are a pair for each block
    and not for each shingle. Within a block, texts of different classes are paired, in blocks
    of rows dealt as tasks of their own where many texts hold it. Pairs that cannot reach the
-   size-derived bound from the block's first column on are not made; the overlap counts of
-   the others are summed, and those that still cannot reach it are discarded.
+   size-derived bound from the block's first column on are not made, nor are those whose sets
+   differ in more members than it allows: a parity sketch of each whole set goes with its
+   rows, and no two sets differ in fewer members than their sketches in bits. The overlap
+   counts of the others are summed, and those that still cannot reach the bound are discarded.
 5. Candidates of 3 and 4 are compared on their whole sets. Links are merged by alternating
    large-star and small-star steps.
 
@@ -48,9 +50,13 @@ FREQUENT_FROM = 16
 COLUMN_BLOCK = 2048
 #: Up to so many ids (8 bytes each) are sent to the executors instead of joined.
 BROADCAST_IDS = 2_000_000
+#: Least and most bits of a set's parity sketch, powers of two; between them twice its members.
+SKETCH_BITS = (64, 4096)
+#: Pairs whose sketches are compared at a time.
+SKETCH_PAIRS = 1 << 16
 
 _SHARED = ["column", "id", "n", "place", "hub", "hub_n", "hub_place", "block", "blocks", "held_by"]
-_FACTS = "kind int, id long, n long, key long"
+_FACTS = "kind int, id long, n long, key long, sketch binary"
 _ENTRIES = pa.schema([("column", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
 
@@ -59,17 +65,46 @@ def _set_key(members: np.ndarray) -> int:
     return int(mixed(np.array([total + np.uint64(len(members))], np.uint64)).view(np.int64)[0])
 
 
+def _sketch(members: np.ndarray) -> bytes:
+    """For each value of the low bits of a hash, whether an odd number of members has it."""
+    least, most = SKETCH_BITS
+    bits = min(most, max(least, 1 << (2 * len(members) - 1).bit_length()))
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differences(sketches: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The bits in which the sketches of ``i`` and ``j`` differ, the wider one folded to the
+    width of the other; 0 where one is missing."""
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = at[: len(i)], at[len(i) :]
+    own = sketches[rows]
+    width = np.array([len(s) // 8 if s is not None else 0 for s in own])
+    common = np.minimum(width[x], width[y])
+    found = np.zeros(len(i), np.int64)
+    for w in np.unique(common[common > 0]):
+        folded = np.zeros((len(rows), w), np.uint64)
+        for v in np.unique(width[width >= w]):
+            some = np.flatnonzero(width == v)
+            words = np.frombuffer(b"".join(own[some]), "<u8").reshape(len(some), v // w, w)
+            folded[some] = np.bitwise_xor.reduce(words, axis=1)
+        of = np.flatnonzero(common == w)
+        found[of] = np.bitwise_count(folded[x[of]] ^ folded[y[of]]).sum(axis=1, dtype=np.int64)
+    return found
+
+
 def _facts(size: int):
-    """Rows of kind 0: a text's id, set size and set key. Rows of kind 1: a shingle (key)
-    that n texts of the batch hold, n at least 2."""
+    """Rows of kind 0: a text's id, set size, set key and sketch. Rows of kind 1: a shingle
+    (key) that n texts of the batch hold, n at least 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, members = [], [], []
+            sizes, keys, members, sketches = [], [], [], []
             for _, _, block in blocks(batch.column(1)):
                 for own in shingle_sets(block, size):
                     sizes.append(len(own))
                     keys.append(_set_key(own) if len(own) else None)
+                    sketches.append(_sketch(own) if len(own) else None)
                     members.append(own)
             pooled = np.sort(np.concatenate(members)) if members else np.zeros(0, np.uint64)
             edge = np.flatnonzero(np.concatenate(([True], pooled[1:] != pooled[:-1], [True]))) if len(pooled) else np.zeros(1, np.int64)
@@ -82,8 +117,9 @@ def _facts(size: int):
                     pa.concat_arrays([batch.column(0), pa.nulls(len(shared), pa.int64())]),
                     pa.array(np.concatenate([np.array(sizes, np.int64), count]), pa.int64()),
                     pa.concat_arrays([pa.array(keys, pa.int64()), pa.array(shared.view(np.int64))]),
+                    pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(len(shared), pa.binary())]),
                 ],
-                ["kind", "id", "n", "key"],
+                ["kind", "id", "n", "key", "sketch"],
             )
 
     return run
@@ -177,13 +213,27 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _products(similarity: tuple[int, int]):
     """Pairs of texts of different classes within each (columns, block, block) that can reach
     the bound: what they share is the first of the columns, or one of the ``before`` and
-    ``after`` it that each shares with any text at all, as far as that is known. With a pair go
-    the number of columns, and what may come after the ``last`` of them."""
+    ``after`` it that each shares with any text at all, as far as that is known, and their sets
+    differ in as many members as their sketches in bits, or more. With a pair go the number of
+    columns, and what may come after the ``last`` of them."""
     num, den = similarity
 
+    def made(ids, n, columns, last, sketches, i, j) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(i), SKETCH_PAIRS):
+            x, y = i[at : at + SKETCH_PAIRS], j[at : at + SKETCH_PAIRS]
+            alike = (num + den) * (n[x] + n[y] - _differences(sketches, x, y)) >= 2 * num * (n[x] + n[y])
+            x, y = x[alike], y[alike]
+            if len(x):
+                x, y = np.where(ids[x] > ids[y], y, x), np.where(ids[x] > ids[y], x, y)
+                rest, shared = np.minimum(last[x], last[y]), np.minimum(columns[x], columns[y])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v) for v in (ids[x], ids[y], n[x], n[y], shared, rest)], ["a", "b", "na", "nb", "c", "after"]
+                )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for column, low, high, block, ids, n, before, after, cls, columns, last in _runs(batches, 3):
+        for column, low, high, block, ids, n, before, after, cls, columns, last, sketches in _runs(batches, 3):
             edge = _edges([column, low, high])
+            pairs, waiting = [], 0
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2 or (cls[a:b] == cls[a]).all():
                     continue
@@ -198,14 +248,13 @@ def _products(similarity: tuple[int, int]):
                     most = np.minimum(before[x], before[y]) + 1 + np.minimum(after[x], after[y])
                     apart &= (num + den) * most >= num * (n[x] + n[y])
                     i, j = np.nonzero(apart)
-                    if len(i):
-                        i, j = part[i], right[j]
-                        swap = ids[i] > ids[j]
-                        i, j = np.where(swap, j, i), np.where(swap, i, j)
-                        rest, shared = np.minimum(last[i], last[j]), np.minimum(columns[i], columns[j])
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(v) for v in (ids[i], ids[j], n[i], n[j], shared, rest)], ["a", "b", "na", "nb", "c", "after"]
-                        )
+                    pairs.append((part[i], right[j]))
+                    waiting += len(i)
+                    if waiting >= SKETCH_PAIRS:
+                        yield from made(ids, n, columns, last, sketches, *map(np.concatenate, zip(*pairs, strict=True)))
+                        pairs, waiting = [], 0
+            if waiting:
+                yield from made(ids, n, columns, last, sketches, *map(np.concatenate, zip(*pairs, strict=True)))
 
     return run
 
@@ -288,7 +337,7 @@ def near_duplicates(
     num, den = similarity
     texts = columns_or_null(docs, [(id_column, "long"), (text_column, "string")]).toDF("id", "text")
     facts = staged(texts.mapInArrow(released(_facts(size)), _FACTS), "jaccard-facts")
-    rows = facts.where("kind = 0").select("id", "n", "key")
+    rows = facts.where("kind = 0").select("id", "n", "key", "sketch")
     often = (
         facts.where("kind = 1")
         .groupBy("key")
@@ -352,11 +401,16 @@ def near_duplicates(
         F.min("before").alias("before"), F.max("after").alias("after"), F.count("*").alias("columns"), F.min("after").alias("last"),
         F.first("block").alias("block"), F.first("blocks").alias("blocks"),
     )
+    # rows that share an id and a size may be different texts: none of their sketches counts
+    sketches = rows.where("n > 0 and id is not null").groupBy("id", "n").agg(
+        F.when(F.min("key") == F.max("key"), F.min("sketch")).alias("sketch")
+    )
+    held = held.join(sketches, ["id", "n"], "left")
     first = F.lit(0).cast("long")
     others = F.when(F.col("blocks") > 1, F.sequence(first, F.col("blocks") - 1)).otherwise(F.array(first))
     dealt = held.withColumn("other", F.explode(others)).select(
         "held_by", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "id", "n", "before", "after", "cls", "columns", "last",
+        "block", "id", "n", "before", "after", "cls", "columns", "last", "sketch",
     )
     counted = (
         dealt.repartition("held_by", "low", "high")
