@@ -11,8 +11,10 @@ passage found in thousands of texts is not a column of texts that have words of
    any order gives the same result.
 2. A second scan makes the incidence rows, shuffled by column. Columns with one text go.
 3. Star round: each text is compared with the one text it shares most columns with, out of
-   the hubs of its columns, if these columns reach the bound of step 4. Groups of copies,
-   however large, come together here without a pair for each two members.
+   the hubs of its columns, if these columns reach the bound of step 4. Chain round: the texts
+   of each block (see 4) in an order of its own, each with the next one if that is of another
+   class. Groups of copies, however large, come together here without a pair for each two
+   members.
 4. Block product of what is left. Columns that the same texts hold are a block: they are
    multiplied once, with their number as weight, so near copies are a pair for each block
    and not for each shingle. Within a block, texts of different classes are paired, in blocks
@@ -24,7 +26,7 @@ passage found in thousands of texts is not a column of texts that have words of
 5. Candidates of 3 and 4 are compared on their whole sets. Links are merged by alternating
    large-star and small-star steps.
 
-Exact copies share a key and are joined by it; only their smallest id takes part in 5.
+Exact copies share a key and are joined by it; only their smallest id takes part from 2 on.
 Sets are of 64-bit hashes.
 """
 
@@ -56,6 +58,9 @@ SKETCH_BITS = (64, 4096)
 SKETCH_PAIRS = 1 << 16
 
 _SHARED = ["column", "id", "n", "place", "hub", "hub_n", "hub_place", "block", "blocks", "held_by"]
+#: Rows of a text in a block of columns that the same texts hold.
+_HELD = ["held_by", "block", "id", "n", "before", "after", "columns", "last", "sketch", "cls"]
+_PAIRS = "a long, b long, na long, nb long, c long, after long"
 _FACTS = "kind int, id long, n long, key long, sketch binary"
 _ENTRIES = pa.schema([("column", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("place", pa.int64())])
 
@@ -210,29 +215,60 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x[many]) for x in rows], _SHARED)
 
 
-def _products(similarity: tuple[int, int]):
-    """Pairs of texts of different classes within each (columns, block, block) that can reach
-    the bound: what they share is the first of the columns, or one of the ``before`` and
-    ``after`` it that each shares with any text at all, as far as that is known, and their sets
-    differ in as many members as their sketches in bits, or more. With a pair go the number of
-    columns, and what may come after the ``last`` of them."""
+def _alike(similarity: tuple[int, int], rows: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs (i, j) of rows whose sketches differ in no more bits than similar sets do in
+    members, with the number of columns and what may come after the last of them."""
     num, den = similarity
+    ids, n, columns, last = (rows[c] for c in ("id", "n", "columns", "last"))
+    for at in range(0, len(i), SKETCH_PAIRS):
+        x, y = i[at : at + SKETCH_PAIRS], j[at : at + SKETCH_PAIRS]
+        alike = (num + den) * (n[x] + n[y] - _differences(rows["sketch"], x, y)) >= 2 * num * (n[x] + n[y])
+        x, y = x[alike], y[alike]
+        if len(x):
+            x, y = np.where(ids[x] > ids[y], y, x), np.where(ids[x] > ids[y], x, y)
+            rest, shared = np.minimum(last[x], last[y]), np.minimum(columns[x], columns[y])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in (ids[x], ids[y], n[x], n[y], shared, rest)], ["a", "b", "na", "nb", "c", "after"]
+            )
+
+
+def _apart(similarity: tuple[int, int], rows: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which pairs of rows of one block are of different classes and can reach the bound: what
+    they share is the first of the columns, or one of the ``before`` and ``after`` it that each
+    shares with any text at all, as far as that is known."""
+    num, den = similarity
+    ids, n, before, after, cls = (rows[c] for c in ("id", "n", "before", "after", "cls"))
+    apart = (cls[x] != cls[y]) & (ids[x] != ids[y])
+    apart &= den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+    most = np.minimum(before[x], before[y]) + 1 + np.minimum(after[x], after[y])
+    return apart & ((num + den) * most >= num * (n[x] + n[y]))
+
 
-    def made(ids, n, columns, last, sketches, i, j) -> Iterator[pa.RecordBatch]:
-        for at in range(0, len(i), SKETCH_PAIRS):
-            x, y = i[at : at + SKETCH_PAIRS], j[at : at + SKETCH_PAIRS]
-            alike = (num + den) * (n[x] + n[y] - _differences(sketches, x, y)) >= 2 * num * (n[x] + n[y])
-            x, y = x[alike], y[alike]
-            if len(x):
-                x, y = np.where(ids[x] > ids[y], y, x), np.where(ids[x] > ids[y], x, y)
-                rest, shared = np.minimum(last[x], last[y]), np.minimum(columns[x], columns[y])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v) for v in (ids[x], ids[y], n[x], n[y], shared, rest)], ["a", "b", "na", "nb", "c", "after"]
-                )
+def _chains(similarity: tuple[int, int]):
+    """Pairs of texts that are next to each other within (columns, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for column, low, high, block, ids, n, before, after, cls, columns, last, sketches in _runs(batches, 3):
-            edge = _edges([column, low, high])
+        for values in _runs(batches, 2):
+            rows = dict(zip(_HELD, values, strict=True))
+            column, block, ids = rows["held_by"], rows["block"], rows["id"]
+            edge = _edges([column, block])
+            run = np.repeat(np.arange(len(edge) - 1), np.diff(edge))
+            order = np.lexsort((mixed(mixed(ids.view(np.uint64)) ^ column.view(np.uint64)), run))
+            x, y = order[:-1], order[1:]
+            wanted = (run[x] == run[y]) & _apart(similarity, rows, x, y)
+            yield from _alike(similarity, rows, x[wanted], y[wanted])
+
+    return run
+
+
+def _products(similarity: tuple[int, int]):
+    """Pairs of texts within each (columns, block, block)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for low, high, *values in _runs(batches, 3):
+            rows = dict(zip(_HELD, values, strict=True))
+            ids, cls, block = rows["id"], rows["cls"], rows["block"]
+            edge = _edges([rows["held_by"], low, high])
             pairs, waiting = [], 0
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 if b - a < 2 or (cls[a:b] == cls[a]).all():
@@ -241,20 +277,17 @@ def _products(similarity: tuple[int, int]):
                 right = left if low[a] == high[a] else np.arange(a, b)[block[a:b] == high[a]]
                 for part in np.array_split(left, -(-len(left) // 256)):
                     x, y = part[:, None], right[None, :]
-                    apart = (cls[x] != cls[y]) & (ids[x] != ids[y])
+                    apart = _apart(similarity, rows, x, y)
                     if low[a] == high[a]:
                         apart &= ids[x] < ids[y]
-                    apart &= den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
-                    most = np.minimum(before[x], before[y]) + 1 + np.minimum(after[x], after[y])
-                    apart &= (num + den) * most >= num * (n[x] + n[y])
                     i, j = np.nonzero(apart)
                     pairs.append((part[i], right[j]))
                     waiting += len(i)
                     if waiting >= SKETCH_PAIRS:
-                        yield from made(ids, n, columns, last, sketches, *map(np.concatenate, zip(*pairs, strict=True)))
+                        yield from _alike(similarity, rows, *map(np.concatenate, zip(*pairs, strict=True)))
                         pairs, waiting = [], 0
             if waiting:
-                yield from made(ids, n, columns, last, sketches, *map(np.concatenate, zip(*pairs, strict=True)))
+                yield from _alike(similarity, rows, *map(np.concatenate, zip(*pairs, strict=True)))
 
     return run
 
@@ -351,8 +384,13 @@ def near_duplicates(
     order = np.argsort(hashes)
     grade = np.log2(np.maximum(often["n"].to_numpy(np.float64), 1)).astype(np.uint8)
     frequent = spark.sparkContext.broadcast((hashes[order], grade[order]))
+    copies = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
+    copies = staged(copies.where("c > 1").select("key", "rep"), "jaccard-copies")
+    again = rows.where("id is not null").join(copies, "key", "left").groupBy("id").agg(F.max(F.coalesce(F.col("rep") == F.col("id"), F.lit(True))).alias("first"))
+    again = staged(again.where("not first").select("id"), "jaccard-again")
+    sources = texts.join(F.broadcast(again) if again.count() <= BROADCAST_IDS else again, "id", "left_anti").select("id", "text")
     shared = staged(
-        texts.mapInArrow(released(_entries(size, similarity, frequent)), "column long, id long, n long, place long")
+        sources.mapInArrow(released(_entries(size, similarity, frequent)), "column long, id long, n long, place long")
         .repartition("column")
         .sortWithinPartitions("column")
         .mapInArrow(released(_shared), ", ".join(f"{c} long" for c in _SHARED)),
@@ -395,9 +433,8 @@ def near_duplicates(
     before = F.row_number().over(own.orderBy("place")).cast("long") - 1
     unknown = F.col("n") - (F.col("n") - F.ceil(F.col("n") * num / den).cast("long") + 1)
     placed = shared.withColumn("before", before).withColumn("after", F.count("*").over(own) - F.col("before") - 1 + unknown)
-    rest = placed.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id"))
     # the texts of a block share all its columns, in one order: the first has least before it
-    held = rest.groupBy("held_by", "id", "n", "cls").agg(
+    held = placed.groupBy("held_by", "id", "n").agg(
         F.min("before").alias("before"), F.max("after").alias("after"), F.count("*").alias("columns"), F.min("after").alias("last"),
         F.first("block").alias("block"), F.first("blocks").alias("blocks"),
     )
@@ -405,26 +442,31 @@ def near_duplicates(
     sketches = rows.where("n > 0 and id is not null").groupBy("id", "n").agg(
         F.when(F.min("key") == F.max("key"), F.min("sketch")).alias("sketch")
     )
-    held = held.join(sketches, ["id", "n"], "left")
+    held = staged(held.join(sketches, ["id", "n"], "left"), "jaccard-held")
+    unstage(shared)
+
+    def rest() -> DataFrame:
+        return held.join(classes, "id", "left").withColumn("cls", F.coalesce("component", "id"))
+
+    chains = rest().select(*_HELD).repartition("held_by", "block").sortWithinPartitions("held_by", "block")
+    links = staged(links.unionByName(verified(chains.mapInArrow(released(_chains(similarity)), _PAIRS).select("a", "b").distinct())), "jaccard-links")
+    classes = connected(links)
+
     first = F.lit(0).cast("long")
     others = F.when(F.col("blocks") > 1, F.sequence(first, F.col("blocks") - 1)).otherwise(F.array(first))
-    dealt = held.withColumn("other", F.explode(others)).select(
-        "held_by", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        "block", "id", "n", "before", "after", "cls", "columns", "last", "sketch",
-    )
+    dealt = rest().withColumn("other", F.explode(others))
+    dealt = dealt.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *_HELD)
     counted = (
         dealt.repartition("held_by", "low", "high")
-        .sortWithinPartitions("held_by", "low", "high")
-        .mapInArrow(released(_products(similarity)), "a long, b long, na long, nb long, c long, after long")
+        .sortWithinPartitions("low", "high", "held_by")
+        .mapInArrow(released(_products(similarity)), _PAIRS)
         .groupBy("a", "b", "na", "nb")
         .agg(F.sum("c").alias("c"), F.min("after").alias("after"))
     )
     left = counted.where(reaches(F.col("na"), F.col("nb"), F.col("c"), F.col("after"))).select("a", "b").distinct()
     links = staged(links.unionByName(verified(left)), "jaccard-links")
-    unstage(shared)
+    unstage(held)
 
-    copies = rows.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
-    copies = staged(copies.where("c > 1").select("key", "rep"), "jaccard-copies")
     named = staged(
         rows.join(copies, "key", "left").select("id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "id")).alias("rep")),
         "jaccard-named",
