@@ -298,3 +298,20 @@ def test_hot_material_is_split_between_tasks(spark):
         for name in settings:
             spark.conf.unset(name)
         configure(spark)
+
+
+def test_tasks_read_little_unless_the_session_says_otherwise(spark):
+    names = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for name in names:
+            spark.conf.unset(name)
+        configure(spark)
+        assert [spark.conf.get(name) for name in names] == ["16MB", "16MB"]
+        for name in names:
+            spark.conf.set(name, "32m")
+        configure(spark)
+        assert [spark.conf.get(name) for name in names] == ["32m", "32m"]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
