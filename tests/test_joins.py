@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import executed_plan
-from tidemill.operators import dimension, require_unique
+from tidemill.operators import dimension, joins, require_unique
 from tidemill.operators.joins import measured_size
 
 
@@ -45,3 +45,14 @@ def test_unique_key(spark):
     assert require_unique(good, "k") is good
     with pytest.raises(ValueError, match="'b' has 2 rows"):
         require_unique(spark.createDataFrame([("b",), ("b",), ("c",)], "k string"), "k")
+
+
+def test_small_files_of_many_rows_are_not_sent(spark, tmp_path):
+    wide = [F.concat(F.lit("the same long text in every row "), (F.col("id") % 2).cast("string")).alias(f"c{i}") for i in range(9)]
+    spark.range(400_000).select("id", *wide).write.parquet(str(tmp_path / "wide"))
+    small = spark.read.parquet(str(tmp_path / "wide"))
+    assert joins._estimated_bytes(small) <= joins._auto_broadcast_bytes(small)
+    joined = spark.range(10).join(joins.dimension(small), "id", "left")
+    assert "BroadcastHashJoin" not in executed_plan(joined)
+    few = joins.dimension(small.where("id < 100"))
+    assert "BroadcastHashJoin" in executed_plan(spark.range(10).join(few, "id", "left"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 WORTH_MEASURING_BYTES = 10 * 1024 * 1024 * 1024
+SURELY_SMALL_BYTES = 256 * 1024
 
 
 def _estimated_bytes(frame: DataFrame) -> int:
@@ -43,21 +44,22 @@ def dimension(
 ) -> DataFrame:
     """Prepare the small side of a star join.
 
-    A table Catalyst already sees as small needs nothing. A side that comes out of a
-    filter or an aggregate is estimated at up to the size of its input, so the planner
+    A tiny table needs nothing. One that Catalyst sees as small may be so only as compressed
+    files, and take a hundred times as much when sent: it is measured, and kept from being
+    sent if it is too large. A side that comes out of a filter or an aggregate is estimated at up to the size of its input, so the planner
     would shuffle the facts to meet it; such a side is measured, and hinted only when
     it really fits. Anything larger is left to a shuffled join, where AQE splits hot
     keys; so is a side whose input is too large to read once more for the measuring.
     """
     estimate = _estimated_bytes(frame)
-    if estimate <= _auto_broadcast_bytes(frame) or estimate > worth_measuring:
+    if estimate <= min(SURELY_SMALL_BYTES, _auto_broadcast_bytes(frame)) or estimate > worth_measuring:
         return frame
     held = frame.persist()  # so that the join does not compute it again
     rows, size = measured_size(held)
     if rows <= max_rows and size <= max_bytes:
         return F.broadcast(held)
     held.unpersist()
-    return frame
+    return frame.hint("merge") if estimate <= _auto_broadcast_bytes(frame) else frame
 
 
 def require_unique(frame: DataFrame, key: str) -> DataFrame:
