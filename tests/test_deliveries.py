@@ -58,3 +58,16 @@ def test_positions_reach_the_scan(spark, tmp_path):
     plan = Positions("offset", end=3).of(frame)._jdf.queryExecution().executedPlan().toString()
     assert "LessThan(offset,3)" in plan.replace("...", "")
     assert Positions("offset").of(frame).count() == 10
+
+
+def test_events_are_written_in_order_in_as_many_files_for_each_part(spark, tmp_path):
+    from tidemill.registry.changes import write_in_order
+
+    events = spark.range(103).selectExpr("id % 7 as ts", "102 - id as event_id")
+    log = str(tmp_path / "log")
+    assert write_in_order(events, ["ts", "event_id"], 5, log, str(tmp_path / "cut"), file_rows=8) == 3
+    files = sorted((p.stat().st_mtime_ns, str(p)) for p in (tmp_path / "log").glob("part-*"))
+    assert len(files) == 15
+    parts = [[tuple(r) for r in spark.read.parquet(*(f for _, f in files[k : k + 3])).collect()] for k in range(0, 15, 3)]
+    assert [len(p) for p in parts] == [21, 21, 21, 20, 20]
+    assert sum(map(sorted, parts), []) == sorted(tuple(r) for r in events.collect())

@@ -273,17 +273,37 @@ def stream_one(spark: SparkSession, folder: str) -> DataFrame:
     return SnapshotTable(spark, target.path).read()
 
 
+def write_in_order(events: DataFrame, order: list[str], parts: int, path: str, cut: str, file_rows: int = 500_000) -> int:
+    """Write equal parts of the events to ``path``, one after the other in ``order``; returns the
+    number of files, which is the same for each. Events are sorted in slices, side by side, and
+    numbered by what the slices before hold."""
+    slices = staged_copy(events.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), f"{cut}/slices")
+    sizes = slices.groupBy("_slice").agg(F.count("*").alias("n")).orderBy("_slice").collect()  # a row per slice
+    before, total = {}, 0
+    for size in sizes:
+        before[size._slice], total = total, total + size.n
+    offsets = events.sparkSession.createDataFrame(list(before.items()), "_slice int, _before long")
+    at = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
+    numbered = slices.join(F.broadcast(offsets), "_slice").withColumn("_at", F.col("_before") + at - 1)
+    numbered = staged_copy(numbered.select(*events.columns, "_at"), f"{cut}/numbered")
+    base, more = divmod(total, parts)
+    files, start = 1 + base // file_rows, 0
+    for part in range(parts):
+        size = base + (part < more)
+        own = numbered.where(F.col("_at").between(start, start + size - 1))
+        place = F.expr(f"cast((_at - {start}) * {files} div {max(size, 1)} as int)")
+        own.repartitionById(files, place).select(*events.columns).write.mode("append").parquet(path)
+        start += size
+    return files
+
+
 def stream_batches(spark: SparkSession, folder: str) -> DataFrame:
     """The events in many batches: rows and order are those of one."""
     root = workspace(spark, "stream_batches")
     target = _targets(spark, folder, root)[0]
     events = adapters.table(spark, folder, "events")
-    parts = 5
-    at = F.ntile(parts).over(Window.orderBy("ts", "event_id"))
-    cut = events.withColumn("part", at)
-    for part in range(1, parts + 1):
-        cut.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/log")
-    log = EventSource("parquet", f"{root}/log", {"maxFilesPerTrigger": "1"}, schema=adapters.SCHEMAS["events"])
+    files = write_in_order(events, ["ts", "event_id"], 5, f"{root}/log", f"{root}/cut")
+    log = EventSource("parquet", f"{root}/log", {"maxFilesPerTrigger": str(files)}, schema=adapters.SCHEMAS["events"])
     bodies = event_bodies(adapters.change_events(log.stream(spark), one_table=True), sequence="sequence")
     stream_into_one(bodies, target, f"{root}/checkpoint", available_now=True).awaitTermination()
     return SnapshotTable(spark, target.path).read()
