@@ -7,6 +7,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.oracle import connect, difference, spark_rows, sql_rows
 from tidemill.llm.registry import QUERIES
+from tidemill.llm.stages import staged
 
 SMALL = "/root/testdata/sf0.001"
 WITH_SQL = [n for n, q in QUERIES.items() if q.sql is not None]
@@ -95,3 +96,22 @@ def test_stages_take_empty_tables(spark, tmp_path):
         stage(spark, docs, SMALL).write.parquet(str(tmp_path / str(n)))
         docs = spark.read.parquet(str(tmp_path / str(n)))
         assert docs.count() == 0
+
+
+def test_freed_memory_of_the_driver_is_given_back(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+
+    def resident():
+        with open(f"/proc/{pid}/status") as status:
+            return int(re.search(r"VmRSS:\s+(\d+)", status.read())[1]) / 1024
+
+    before = resident()
+    taken = [jvm.java.util.zip.Deflater() for _ in range(2000)]  # outside of the heap, in small pieces
+    assert resident() - before > 100
+    for deflater in taken[:-1]:  # the last one keeps the others from being at the end of what the C library holds
+        deflater.end()
+    held = resident()
+    staged(spark.range(1), "memory")
+    assert held - resident() > 60
+    taken[-1].end()
